@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from tremor.llm import exact_dedup
+from tremor.llm import exact_dedup, language_id, mixing, packing, simhash
 
 QUERIES = {
+    "op1_language_id": language_id.op1_language_id,
+    "op2_packing": packing.op2_packing,
+    "op3_mixing": mixing.op3_mixing,
+    "op4_simhash": simhash.op4_simhash,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
 }
 
 ORACLES = {
+    "op3_mixing": mixing.OP3_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
 }
