@@ -1,7 +1,482 @@
-"""Queries over the driver tables that apply the library's operators, with equivalent SQL."""
+"""Queries over the driver tables that apply the library's operators, with equivalent SQL.
+
+The tables hold no source code, so each query first projects one of them onto the operator's own schema: usages and
+imports from lineitem, changed definitions from part, change lists and hunks from orders, ownership rules from nation,
+references and routes from pages, file contents from documents. The projections are plain SQL that both engines read.
+"""
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tremor.functions import paths, text, urls
+from tremor.operators import binding, changes, checks, closures, routes, scoring
+from tremor.plans import impact, report
+from tremor.session import table
+from tremor.sources import extract
+
+FLAGSHIP = "impact_report"
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+# --- projections, in SQL of both engines; {t} is the table ---
+USAGES = """
+SELECT 'app/m' || l_suppkey || '.py' AS path, 'app.m' || l_suppkey AS own_module, l_orderkey * 10 + l_linenumber AS seq, l_linenumber AS line, 'sym_' || l_partkey AS name,
+       CASE l_linenumber % 4 WHEN 0 THEN 'name' WHEN 1 THEN 'attr' WHEN 2 THEN 'import' ELSE 'str' END AS kind,
+       CASE WHEN l_linenumber % 4 <> 1 THEN NULL WHEN l_orderkey % 3 = 0 THEN '' WHEN l_orderkey % 3 = 1 THEN 'sym_' || (l_partkey % 50) || '.x' ELSE 'self' END AS base,
+       CASE WHEN l_linenumber % 4 = 2 THEN 'pkg.b' || (l_partkey % 25) END AS module, CASE WHEN l_linenumber % 4 = 2 THEN 0 END AS level,
+       CASE WHEN l_linenumber % 4 = 2 AND l_orderkey % 2 = 0 THEN 'as_' || l_partkey END AS alias, l_returnflag || '.f' AS ctx_qname, 'function' AS ctx_kind,
+       CASE WHEN l_orderkey % 2 = 0 THEN 'render' ELSE 'log' END AS callee, CASE WHEN l_orderkey % 5 = 0 THEN 'template_name' END AS kwarg
+FROM {t}"""
+ENTITIES = """
+SELECT 'sym_' || p_partkey AS name, CASE p_size % 5 WHEN 0 THEN 'class_field' WHEN 1 THEN 'method' WHEN 2 THEN 'class' WHEN 3 THEN 'function' ELSE 'module_field' END AS kind,
+       p_partkey % 21 = 0 AS deleted, 'pkg.b' || (p_partkey % 25) AS module, 'app/p' || (p_partkey % 40) || '.py' AS path, p_size AS line, p_size + p_partkey % 7 AS end_line
+FROM {t} WHERE p_partkey % 7 = 0"""
+CHANGED = "SELECT DISTINCT 'app/m' || (o_custkey % 200) || '.py' AS path FROM {t} WHERE o_orderkey % 50 = 0"
+HUNKS = "SELECT 'app/p' || (o_custkey % 40) || '.py' AS path, CAST(o_custkey % 100 + 1 AS INT) AS new_start, CAST(o_orderkey % 4 AS INT) AS new_count, CAST(o_custkey % 90 + 1 AS INT) AS old_start, CAST(o_orderkey % 3 AS INT) AS old_count FROM {t} WHERE o_orderkey % 100 = 0"
+EDGES = "SELECT DISTINCT l_suppkey AS src, (l_suppkey * 7 + l_linenumber) % 97 + 1 AS dst FROM {t} WHERE l_partkey % 3 = 0"
+
+
+def _view(spark: SparkSession, sf_dir: str, sql: str, name: str) -> DataFrame:
+    return spark.sql(sql.format(t="{t}"), t=table(spark, sf_dir, name))
+
+
+def query(sql: str | None = None) -> Callable:
+    """Register a query under its function's name, with its SQL."""
+
+    def register(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+U, E, C = USAGES.format(t="lineitem"), ENTITIES.format(t="part"), CHANGED.format(t="orders")
+_HITS = f"""
+u AS ({U}), e AS ({E}), c AS ({C}),
+imports AS (
+  SELECT DISTINCT path, unnest([name, alias]) AS bound, module FROM u WHERE kind = 'import'),
+targets AS (
+  SELECT path, bound, module AS target FROM imports WHERE bound IS NOT NULL UNION
+  SELECT u.path, b, u.module || '.' || u.name FROM u, unnest([u.name, u.alias]) AS x(b) WHERE u.kind = 'import' AND b IS NOT NULL),
+h0 AS (
+  SELECT u.*, e.kind AS entity_kind, e.deleted, e.module AS entity_module, CASE WHEN u.kind = 'attr' THEN split_part(u.base, '.', 1) ELSE u.name END AS head, u.path IN (SELECT path FROM c) AS is_changed
+  FROM u JOIN e ON u.name = e.name
+  WHERE CASE e.kind WHEN 'class_field' THEN u.kind = 'attr' WHEN 'method' THEN u.kind IN ('name', 'attr') ELSE u.kind IN ('name', 'attr', 'import') END),
+h1 AS (
+  SELECT h0.*, EXISTS (SELECT 1 FROM targets t WHERE t.path = h0.path AND t.bound = h0.head AND t.target = h0.entity_module) AS fine,
+         EXISTS (SELECT 1 FROM targets t WHERE t.path = h0.path AND t.bound = h0.head) AS other FROM h0),
+hits AS (
+  SELECT * FROM h1 WHERE (is_changed AND NOT deleted) OR CASE
+    WHEN kind <> 'attr' THEN own_module = entity_module OR fine
+    WHEN entity_kind = 'class_field' THEN fine AND base <> ''
+    WHEN base = '' THEN true WHEN fine THEN true WHEN other THEN false ELSE own_module = entity_module END)"""
+
+
+def _hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    e = _view(spark, sf_dir, ENTITIES, "part").select("name", "kind", "deleted", F.array("module").alias("modules"))
+    changed = _view(spark, sf_dir, CHANGED, "orders")
+    return binding.references(_view(spark, sf_dir, USAGES, "lineitem"), e, changed), changed
+
+
+@query(f"WITH {_HITS} SELECT name, path, line, kind AS how, seq, deleted, fine AS bound FROM hits")
+def references(spark, sf_dir):
+    return _hits(spark, sf_dir)[0].select("name", "path", "line", "how", "seq", "deleted", "bound")
+
+
+_REPORT = f"""{_HITS},
+r0 AS (
+  SELECT seq, path, own_module AS module, CASE WHEN seq % 5 = 0 THEN 'template' ELSE 'python' END AS category, name || ' (' || kind || ' at ' || line || ')' AS ref, line, name AS entity, deleted,
+         CASE WHEN fine THEN 'high' WHEN kind = 'attr' AND NOT other THEN 'low' ELSE 'medium' END AS confidence, ctx_qname FROM hits),
+r1 AS (SELECT * FROM r0 QUALIFY row_number() OVER (PARTITION BY path, category, ref ORDER BY seq) = 1),
+la AS (SELECT entity, string_agg(DISTINCT category, '+' ORDER BY category) AS layers, count(DISTINCT category) AS n_layers FROM r1 GROUP BY entity),
+v AS (SELECT * FROM r1 WHERE confidence <> 'low'),
+fan AS (SELECT entity, count(DISTINCT path) AS fan_in FROM v GROUP BY entity),
+r2 AS (
+  SELECT v.*, la.layers, fan.fan_in, v.path IN (SELECT path FROM c) AS inside,
+         CASE WHEN deleted OR n_layers >= 2 THEN 'High' WHEN v.path IN (SELECT path FROM c) THEN 'Low' ELSE 'Medium' END AS severity,
+         CASE WHEN CAST(substr(v.path, 6, length(v.path) - 8) AS INT) % 3 = 0 AND v.path LIKE 'app/m%' THEN 0 ELSE 1 END AS missing_test
+  FROM v JOIN la USING (entity) JOIN fan USING (entity)),
+r3 AS (
+  SELECT *, CASE WHEN deleted OR severity = 'High' THEN 'Breaking' ELSE 'Direct' END AS section, CASE WHEN inside THEN 'Changed' ELSE 'Impacted' END AS badge, path || ':' || line AS key,
+         0.4::DOUBLE * CASE severity WHEN 'High' THEN 1.0::DOUBLE WHEN 'Medium' THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END + 0.3::DOUBLE * least(fan_in / (SELECT greatest(max(fan_in), 1) FROM fan), 1.0::DOUBLE) + 0.2::DOUBLE * missing_test + 0.1::DOUBLE * 0.0::DOUBLE AS risk
+  FROM r2)"""
+
+
+def _report(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    hits, changed = _hits(spark, sf_dir)
+    rows = impact.python_rows(hits).withColumn("category", F.when(F.col("seq") % 5 == 0, "template").otherwise("python"))
+    suppliers = table(spark, sf_dir, "supplier").filter("s_suppkey % 3 = 0")
+    files = suppliers.select(F.concat(F.lit("tests/test_m"), F.col("s_suppkey").cast("string"), F.lit(".py")).alias("path"))
+    ranked, hidden = impact.compose(rows, changed, files)
+    return ranked, hidden, changed
+
+
+@query(f"""WITH {_REPORT} SELECT row_number() OVER (ORDER BY round(risk, 9) DESC, path, seq) AS rank, path, module, category, ref, entity, severity, section, badge, key, fan_in, missing_test, layers, round(risk, 9) AS risk FROM r3""")
+def impact_report(spark, sf_dir):
+    ranked, _, _ = _report(spark, sf_dir)
+    ranked = scoring.ranked(ranked.drop("rank").withColumn("risk", F.round("risk", 9)))
+    return ranked.select("rank", "path", "module", "category", "ref", "entity", "severity", "section", "badge", "key", "fan_in", "missing_test", F.array_join("layers", "+").alias("layers"), "risk")
+
+
+@query(f"""WITH {_REPORT}, s AS (SELECT count(*) FILTER (severity = 'High') AS high, count(*) FILTER (severity = 'Medium') AS medium, count(*) FILTER (severity = 'Low') AS low, count(DISTINCT CASE WHEN NOT inside THEN path END) AS impacted FROM r3)
+SELECT *, least(round_even(100 * (high + 0.5::DOUBLE * medium) / (high + medium + low), 0), 100)::INT AS summary_risk FROM s""")
+def report_summary(spark, sf_dir):
+    ranked, _, changed = _report(spark, sf_dir)
+    return scoring.summary(ranked, changed)
+
+
+@query(f"""WITH {_REPORT}, n AS (SELECT *, row_number() OVER (ORDER BY CASE section WHEN 'Breaking' THEN 0 ELSE 1 END, round(risk, 9) DESC, path, seq) AS number FROM r3)
+SELECT module, count(*) AS hidden, count(*) FILTER (severity = 'High') AS high FROM n WHERE number > 20 GROUP BY module""")
+def report_overflow(spark, sf_dir):
+    ranked, _, _ = _report(spark, sf_dir)
+    ranked = scoring.ranked(ranked.drop("rank").withColumn("risk", F.round("risk", 9)))
+    return scoring.overflow(scoring.displayed(ranked)[1])
+
+
+@query(f"""WITH {_REPORT}, b AS (SELECT path, round(risk, 9) AS risk FROM r3 WHERE NOT inside QUALIFY row_number() OVER (PARTITION BY path ORDER BY risk DESC, seq) = 1)
+SELECT path, risk FROM b ORDER BY risk DESC, path LIMIT 5""")
+def top_impacted_paths(spark, sf_dir):
+    ranked, _, changed = _report(spark, sf_dir)
+    return scoring.top_paths(ranked.withColumn("risk", F.round("risk", 9)), changed).select("path", "risk")
+
+
+@query(f"""WITH {_REPORT} SELECT row_number() OVER (ORDER BY round(risk, 9) DESC, path, seq) AS rank, 'impact/' || lower(severity) AS rule, CASE severity WHEN 'High' THEN 'error' WHEN 'Medium' THEN 'warning' ELSE 'note' END AS level, ref AS text, path AS uri, greatest(line, 1) AS line FROM r3""")
+def sarif_results(spark, sf_dir):
+    ranked, _, _ = _report(spark, sf_dir)
+    return report.sarif_results(scoring.ranked(ranked.drop("rank").withColumn("risk", F.round("risk", 9))))
+
+
+@query(f"""WITH {_REPORT}, reached AS (SELECT 'app.m' || s_suppkey AS node FROM supplier WHERE s_suppkey % 2 = 0 UNION SELECT 'N')
+SELECT seq, CASE WHEN module IN (SELECT node FROM reached) OR split_part(ctx_qname, '.', 1) IN (SELECT node FROM reached) THEN 'reachable' ELSE 'unreachable' END AS reachability,
+       CASE WHEN module IN (SELECT node FROM reached) OR split_part(ctx_qname, '.', 1) IN (SELECT node FROM reached) THEN severity WHEN severity = 'High' THEN 'Medium' ELSE 'Low' END AS severity FROM r3""")
+def reachability_downgrade(spark, sf_dir):
+    ranked, _, _ = _report(spark, sf_dir)
+    nodes = table(spark, sf_dir, "supplier").filter("s_suppkey % 2 = 0").selectExpr("'app.m' || s_suppkey AS node")
+    rows = ranked.withColumn("ctx_qname", F.substring_index("ctx_qname", ".", 1))
+    return closures.downgraded(rows, nodes.union(spark.sql("SELECT 'N' AS node"))).select("seq", "reachability", "severity")
+
+
+@query(f"""WITH {_HITS} SELECT name AS entity, string_agg(DISTINCT CASE WHEN seq % 5 = 0 THEN 'template' ELSE 'python' END, '+' ORDER BY CASE WHEN seq % 5 = 0 THEN 'template' ELSE 'python' END) AS layers FROM hits GROUP BY name""")
+def entity_layers(spark, sf_dir):
+    hits, _ = _hits(spark, sf_dir)
+    rows = hits.select(F.col("name").alias("entity"), F.when(F.col("seq") % 5 == 0, "template").otherwise("python").alias("category"))
+    return scoring.layers(rows).select("entity", F.array_join("layers", "+").alias("layers"))
+
+
+@query(f"""WITH u AS ({U}), t AS (SELECT DISTINCT 'sym_' || p_partkey AS template FROM part WHERE p_partkey % 11 = 0)
+SELECT path, line, name AS template, split_part(ctx_qname, '.', 2) AS ctx_leaf, callee IN ('render', 'render_to_string', 'get_template', 'select_template', 'TemplateResponse') OR coalesce(kwarg = 'template_name', false) AS certain
+FROM u JOIN t ON u.name = t.template WHERE kind = 'str'""")
+def render_sites(spark, sf_dir):
+    templates = table(spark, sf_dir, "part").filter("p_partkey % 11 = 0").selectExpr("'sym_' || p_partkey AS template")
+    return binding.render_sites(_view(spark, sf_dir, USAGES, "lineitem"), templates).select("path", "line", "template", "ctx_leaf", "certain")
+
+
+@query(f"""WITH u AS ({U}), c AS ({C}), s AS (SELECT 'sym_' || p_partkey AS name FROM part WHERE p_partkey % 97 = 0),
+i AS (SELECT path FROM u WHERE kind = 'import' AND (name IN (SELECT name FROM s) OR alias IN (SELECT name FROM s) OR split_part(module, '.', 1) IN (SELECT name FROM s) OR split_part(module, '.', 2) IN (SELECT name FROM s)))
+SELECT DISTINCT path FROM u WHERE path IN (SELECT path FROM i) OR path IN (SELECT path FROM c)""")
+def fast_subset(spark, sf_dir):
+    u = _view(spark, sf_dir, USAGES, "lineitem")
+    seeds = table(spark, sf_dir, "part").filter("p_partkey % 97 = 0").selectExpr("'sym_' || p_partkey AS name")
+    return binding.fast_subset(u, u, seeds, _view(spark, sf_dir, CHANGED, "orders"))
+
+
+_DEFS = "SELECT 'app/p' || (p_partkey % 40) || '.py' AS path, 'sym_' || (p_partkey % 300) AS name, 'k' || (p_size % 5) AS kind, CAST(p_size AS INT) AS line, CAST(p_size + p_partkey % 7 AS INT) AS end_line, p_partkey FROM {t}"
+_D = _DEFS.format(t="part")
+
+
+@query(f"""WITH d AS ({_D}), o AS (SELECT * FROM d WHERE p_partkey % 5 <> 0), n AS (SELECT * FROM d WHERE p_partkey % 3 <> 0), h AS ({HUNKS.format(t="orders")}),
+ol AS (SELECT DISTINCT path, unnest(range(old_start, old_start + old_count)) AS line FROM h), nl AS (SELECT DISTINCT path, unnest(range(new_start, new_start + new_count)) AS line FROM h),
+t_old AS (SELECT DISTINCT o.* FROM o JOIN ol ON o.path = ol.path AND ol.line BETWEEN o.line AND o.end_line), tn AS (SELECT DISTINCT n.* FROM n JOIN nl ON n.path = nl.path AND nl.line BETWEEN n.line AND n.end_line),
+x AS (SELECT path, name, kind, line, NOT EXISTS (SELECT 1 FROM n WHERE n.path = t.path AND n.name = t.name) AS deleted FROM t_old t UNION ALL SELECT path, name, kind, line, false FROM tn)
+SELECT name, arg_min(kind, struct_pack(a := deleted, b := path, c := line, d := kind)) AS kind, bool_and(deleted) AS deleted, string_agg(DISTINCT replace(replace(path, '.py', ''), '/', '.'), ',' ORDER BY replace(replace(path, '.py', ''), '/', '.')) AS modules FROM x GROUP BY name""")
+def changed_entities(spark, sf_dir):
+    d = _view(spark, sf_dir, _DEFS, "part")
+    old, new = d.filter("p_partkey % 5 <> 0"), d.filter("p_partkey % 3 <> 0")
+    h = _view(spark, sf_dir, HUNKS, "orders")
+    touched = lambda x, side: changes.overlapping(x, changes.hunk_lines(h, side)).drop("p_partkey")
+    modules = d.select("path", paths.module_of(F.col("path")).alias("module")).distinct()
+    found = changes.changed_entities(old.drop("p_partkey"), new.drop("p_partkey"), touched(old, "old"), touched(new, "new"), modules)
+    return found.select("name", "kind", "deleted", F.array_join("modules", ",").alias("modules"))
+
+
+@query(f"WITH h AS ({HUNKS.format(t='orders')}) SELECT DISTINCT path, unnest(range(new_start, new_start + new_count)) AS line FROM h")
+def hunk_lines(spark, sf_dir):
+    return changes.hunk_lines(_view(spark, sf_dir, HUNKS, "orders"))
+
+
+@query("""WITH t AS (SELECT doc_id, '@@ -' || (doc_id % 90 + 1) || CASE WHEN doc_id % 2 = 0 THEN ',3' ELSE '' END || ' +' || (doc_id % 80 + 1) || CASE WHEN doc_id % 3 = 0 THEN ',0' ELSE '' END || ' @@' AS h FROM documents)
+SELECT 'd' || doc_id AS path, (doc_id % 90 + 1)::INT AS old_start, CASE WHEN doc_id % 2 = 0 THEN 3 ELSE 1 END AS old_count, (doc_id % 80 + 1)::INT AS new_start, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 1 END AS new_count FROM t""")
+def parsed_hunks(spark, sf_dir):
+    diffs = table(spark, sf_dir, "documents").selectExpr(
+        "'d' || doc_id AS path", "'diff --git\\n@@ -' || (doc_id % 90 + 1) || CASE WHEN doc_id % 2 = 0 THEN ',3' ELSE '' END || ' +' || (doc_id % 80 + 1) || CASE WHEN doc_id % 3 = 0 THEN ',0' ELSE '' END || ' @@ f\\n-a\\n+b' AS text")
+    return changes.parse_hunks(diffs)
+
+
+@query("""WITH a AS (SELECT 'app/m' || (o_custkey % 200) || '.py' AS path, max(CASE o_orderstatus WHEN 'F' THEN 'D' WHEN 'O' THEN 'M' ELSE 'A' END) AS status, 0 AS k FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1),
+b AS (SELECT 'app/m' || (o_custkey % 260) || '.PY' AS path, max(CASE o_orderstatus WHEN 'F' THEN 'D' WHEN 'O' THEN 'M' ELSE 'A' END) AS status, 1 AS k FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1),
+c AS (SELECT 'app/m' || (o_custkey % 200) || '.py' AS path, 'M' AS status, 2 AS k FROM orders GROUP BY 1)
+SELECT path, status, 'py' AS ext FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c) QUALIFY row_number() OVER (PARTITION BY path ORDER BY k, status) = 1""")
+def merged_change_lists(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_custkey", "CASE o_orderstatus WHEN 'F' THEN 'D' WHEN 'O' THEN 'M' ELSE 'A' END AS s")
+    none = F.lit(None).cast("string").alias("old_path")
+    a = o.filter("o_orderkey % 3 = 0").groupBy(F.expr("'app/m' || (o_custkey % 200) || '.py'").alias("path")).agg(F.max("s").alias("status")).select("path", "status", none)
+    b = o.filter("o_orderkey % 2 = 0").groupBy(F.expr("'app/m' || (o_custkey % 260) || '.PY'").alias("path")).agg(F.max("s").alias("status")).select("path", "status", none)
+    c = o.select(F.expr("'app/m' || (o_custkey % 200) || '.py'").alias("path"), F.lit("M").alias("status"), none).distinct()
+    return changes.merge_change_lists(a, b, c).select("path", "status", "ext")
+
+
+_OLD, _NEW = "SELECT 'd/' || doc_id || '.txt' AS path, coalesce(text, '') || ' #' || doc_id AS content FROM {t} WHERE doc_id % 11 <> 0", "SELECT CASE WHEN doc_id % 17 = 0 THEN 'e/' ELSE 'd/' END || doc_id || '.txt' AS path, coalesce(text, '') || CASE WHEN doc_id % 7 = 0 AND doc_id % 17 <> 0 THEN ' edited' ELSE ' #' || doc_id END AS content FROM {t} WHERE doc_id % 13 <> 0"
+
+
+@query(f"""WITH o AS ({_OLD.format(t='documents')}), n AS ({_NEW.format(t='documents')}),
+j AS (SELECT coalesce(o.path, n.path) AS path, sha1(o.content) AS was, sha1(n.content) AS now, CASE WHEN o.path IS NULL THEN 'A' WHEN n.path IS NULL THEN 'D' WHEN o.content <> n.content THEN 'M' END AS status FROM o FULL JOIN n ON o.path = n.path),
+r AS (SELECT a.path, d.path AS gone FROM j a JOIN j d ON a.status = 'A' AND d.status = 'D' AND a.now = d.was)
+SELECT path, 'R100' AS status, gone AS old_path, 'txt' AS ext FROM r
+UNION ALL SELECT path, status, CASE WHEN status = 'D' THEN path END, 'txt' FROM j WHERE status IS NOT NULL AND path NOT IN (SELECT path FROM r) AND path NOT IN (SELECT gone FROM r)""")
+def snapshot_diff(spark, sf_dir):
+    return changes.diff_snapshots(_view(spark, sf_dir, _OLD, "documents"), _view(spark, sf_dir, _NEW, "documents"))
+
+
+@query("""WITH c AS (SELECT doc_id, sha1(text || CASE WHEN doc_id % 7 = 0 THEN '!' ELSE '' END) AS hash, CASE WHEN doc_id % 5 = 0 THEN 2 ELSE 3 END AS v FROM documents)
+SELECT 'd/' || d.doc_id AS path, sha1(d.text) AS hash FROM documents d WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.doc_id = d.doc_id AND c.v = 3 AND c.hash = sha1(d.text))""")
+def stale_analyses(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    path = F.expr("'d/' || doc_id").alias("path")
+    cache = d.select(path, text.content_hash(F.concat("text", F.when(F.col("doc_id") % 7 == 0, "!").otherwise(""))).alias("hash"), F.when(F.col("doc_id") % 5 == 0, 2).otherwise(3).alias("v"))
+    return changes.stale(d.select(path, text.content_hash(F.col("text")).alias("hash")), cache, extract.ANALYSIS_VERSION).select("path", "hash")
+
+
+@query("""WITH l AS (SELECT DISTINCT 'app/m' || (o_custkey % 200) || '.py' AS path, o_orderkey % 40 AS line FROM orders), t AS (SELECT DISTINCT 'app/m' || s_suppkey || '.py' AS path, 50 + s_suppkey % 9 AS n FROM supplier)
+SELECT t.path, round(count(l.line) / max(t.n), 9) AS removed_ratio FROM t LEFT JOIN l ON t.path = l.path GROUP BY t.path""")
+def removed_ratio(spark, sf_dir):
+    lines = table(spark, sf_dir, "orders").selectExpr("'app/m' || (o_custkey % 200) || '.py' AS path", "o_orderkey % 40 AS line")
+    totals = table(spark, sf_dir, "supplier").selectExpr("'app/m' || s_suppkey || '.py' AS path", "50 + s_suppkey % 9 AS n")
+    return changes.removed_ratio(lines, totals).withColumn("removed_ratio", F.round("removed_ratio", 9))
+
+
+@query("""WITH p AS (SELECT DISTINCT 'lib/s' || s_suppkey || '/m.py' AS path, s_suppkey AS k FROM supplier), r AS (SELECT n_nationkey AS ord, n_name AS owner FROM nation)
+SELECT p.path, coalesce(arg_max(r.owner, r.ord) FILTER (r.ord = k % 40 OR (r.ord = 7 AND k % 3 = 0)), '') AS owner FROM p LEFT JOIN r ON true GROUP BY p.path""")
+def owners(spark, sf_dir):
+    rows = table(spark, sf_dir, "supplier").selectExpr("'lib/s' || s_suppkey || '/m.py' AS path")
+    numbers = table(spark, sf_dir, "supplier").selectExpr("s_suppkey % 40 AS ord", "s_suppkey AS k")
+    exact = numbers.groupBy("ord").agg(F.concat(F.lit("^lib/s(?:"), F.array_join(F.array_sort(F.collect_set(F.col("k").cast("string"))), "|"), F.lit(")/m\\.py$")).alias("regex"))
+    third = numbers.filter("k % 3 = 0").agg(F.lit(7).alias("ord"), F.concat(F.lit("^lib/s(?:"), F.array_join(F.array_sort(F.collect_set(F.col("k").cast("string"))), "|"), F.lit(")/m\\.py$")).alias("regex"))
+    rules = exact.select(F.col("ord").cast("int").alias("ord"), "regex").union(third.select(F.col("ord").cast("int"), "regex")).join(table(spark, sf_dir, "nation").selectExpr("n_nationkey AS ord", "n_name AS owner"), "ord")
+    return routes.owners(rows, rules).select("path", "owner")
+
+
+@query(f"""WITH RECURSIVE e AS ({EDGES.format(t='lineitem')}), r(node, hop) AS (SELECT s_suppkey, 0 FROM supplier WHERE s_suppkey % 40 = 1 UNION SELECT e.dst, r.hop + 1 FROM r JOIN e ON e.src = r.node WHERE r.hop < 3)
+SELECT node, min(hop) AS hop FROM r GROUP BY node""")
+def reach_three_hops(spark, sf_dir):
+    seeds = table(spark, sf_dir, "supplier").filter("s_suppkey % 40 = 1").selectExpr("s_suppkey AS node")
+    return closures.reach(_view(spark, sf_dir, EDGES, "lineitem"), seeds, hops=3)
+
+
+@query(f"""WITH RECURSIVE e AS ({EDGES.format(t='lineitem')}), r(seed, node, hop) AS (SELECT s_suppkey, s_suppkey, 0 FROM supplier WHERE s_suppkey % 10 = 1 UNION SELECT r.seed, e.dst, r.hop + 1 FROM r JOIN e ON e.src = r.node WHERE r.hop < 2)
+SELECT seed, node, min(hop) AS hop FROM r GROUP BY seed, node""")
+def reach_from_each_entry(spark, sf_dir):
+    seeds = table(spark, sf_dir, "supplier").filter("s_suppkey % 10 = 1").selectExpr("s_suppkey AS node")
+    return closures.reach_from_each(_view(spark, sf_dir, EDGES, "lineitem"), seeds, hops=2)
+
+
+_TEMPLATES = "SELECT DISTINCT 't' || (l_suppkey % 60) AS src, 't' || (l_suppkey % 60 + 1 + l_linenumber % 5) AS dst FROM {t} WHERE l_partkey % 20 = 0"
+
+
+@query(f"""WITH RECURSIVE e AS ({_TEMPLATES.format(t='lineitem')}), r(node) AS (SELECT dst FROM e WHERE src = 't40' UNION SELECT e.dst FROM r JOIN e ON e.src = r.node) SELECT node FROM r""")
+def template_descendants(spark, sf_dir):
+    return closures.descendants(_view(spark, sf_dir, _TEMPLATES, "lineitem"), "t40").select("node")
+
+
+_INCLUDES = "SELECT DISTINCT 'u' || (n_nationkey // 3) AS parent, 'u' || n_nationkey AS child, n_name || '/' AS prefix, n_nationkey AS ord FROM nation WHERE n_nationkey > 0"
+
+
+@query(f"""WITH RECURSIVE i AS ({_INCLUDES}), r(module, prefix) AS (SELECT 'u0', '' UNION ALL SELECT i.child, r.prefix || i.prefix FROM r JOIN i ON i.parent = r.module) SELECT module, prefix FROM r""")
+def url_prefixes(spark, sf_dir):
+    i = table(spark, sf_dir, "nation").filter("n_nationkey > 0").selectExpr("'u' || (n_nationkey div 3) AS parent", "'u' || n_nationkey AS child", "n_name || '/' AS prefix", "n_nationkey AS ord")
+    return closures.composed_prefixes(i)
+
+
+_REFS = "SELECT 'p' || page_id AS file, CAST(page_id AS INT) AS line, '/' || split_part(split_part(url, '://', 2), '/', 2) || '/' || split_part(split_part(split_part(url, '://', 2), '/', 3), '#', 1) AS ref FROM {t}"
+_ROUTES = """SELECT 0 AS ord, '/en/<int:id>' AS full, 'views.en' AS handler UNION ALL SELECT 1, '/fr/<int:id>/more', 'views.more' UNION ALL SELECT 2, '/de/7', 'views.seven' UNION ALL SELECT 3, '/de/<slug>', 'views.de' UNION ALL SELECT 4, '/es/<int:id>/', 'views.es'"""
+
+
+@query(f"""WITH r AS ({_REFS.format(t='pages')}), q AS (SELECT *, split_part(ref, '?', 1) AS u FROM r),
+m AS (SELECT *, CASE WHEN u = '/de/7' THEN 2 WHEN u LIKE '/en/%' AND length(u) > 4 AND instr(substr(u, 5), '/') = 0 THEN 0 WHEN u LIKE '/de/%' AND length(u) > 4 AND instr(substr(u, 5), '/') = 0 THEN 3
+  WHEN u IN ('/en/', '/en') THEN 0 WHEN u IN ('/fr/', '/fr') THEN 1 WHEN u IN ('/de/', '/de') THEN 3 WHEN u IN ('/es/', '/es') THEN 4 END AS ord FROM q)
+SELECT file, line, ref, CASE ord WHEN 0 THEN 'views.en' WHEN 1 THEN 'views.more' WHEN 2 THEN 'views.seven' WHEN 3 THEN 'views.de' WHEN 4 THEN 'views.es' END AS handler FROM m""")
+def url_matches(spark, sf_dir):
+    refs, table_ = _view(spark, sf_dir, _REFS, "pages"), spark.sql(_ROUTES)
+    matched, unresolved = routes.match_urls(refs, table_)
+    missed = refs.join(unresolved.select("file", "ref"), ["file", "ref"], "left_semi").select("file", "line", "ref", F.lit(None).cast("string").alias("handler"))
+    return matched.select("file", "line", "ref", "handler").unionByName(missed)
+
+
+@query("""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"\\r\\n]{1,500})"', 1)) AS ref FROM pages)
+SELECT ref, count(*) AS n FROM l WHERE length(ref) BETWEEN 3 AND 500 AND instr(ref, '/') > 0 AND NOT regexp_matches(ref, '\\s') AND NOT regexp_matches(ref, '^(?:@|\\.|//|http://|https://|www\\.)') AND (starts_with(ref, '/') OR ends_with(ref, '/'))
+AND NOT regexp_matches(lower(ref), '^(?:application|text|image|audio|video|multipart|font)/') AND NOT regexp_matches(lower(ref), '\\.(?:js|ts|json|css|svg|png|jpg|jpeg|gif|ico|woff|woff2|map|html)$') GROUP BY ref""")
+def url_like_literals(spark, sf_dir):
+    refs = table(spark, sf_dir, "pages").select(F.explode(F.regexp_extract_all("html", F.lit('href="([^"\\r\\n]{1,500})"'), F.lit(1))).alias("ref"))
+    return refs.filter(urls.is_url_like(F.col("ref"))).groupBy("ref").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH r AS (SELECT 't' || page_id AS file, CASE WHEN page_id % 3 = 0 THEN NULL ELSE 'route_' || (page_id % 40) END AS name FROM pages), t AS (SELECT 'route_' || (n_nationkey % 20) AS name, n_nationkey AS ord, n_name AS full FROM nation),
+l AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY name ORDER BY ord DESC) = 1)
+SELECT r.file, r.name, l.full, CASE WHEN l.full IS NOT NULL THEN NULL WHEN r.name IS NULL THEN 'dynamic-ref' ELSE 'unknown-url' END AS reason FROM r LEFT JOIN l ON r.name = l.name""")
+def template_refs(spark, sf_dir):
+    refs = table(spark, sf_dir, "pages").selectExpr("'t' || page_id AS file", "CASE WHEN page_id % 3 = 0 THEN NULL ELSE 'route_' || (page_id % 40) END AS name")
+    named = table(spark, sf_dir, "nation").selectExpr("'route_' || (n_nationkey % 20) AS name", "n_nationkey AS ord", "n_name AS full", "'h' AS handler")
+    matched, missed = routes.match_template_refs(refs, named)
+    return matched.select("file", "name", "full", F.lit(None).cast("string").alias("reason")).union(missed.select("file", F.col("ref").alias("name"), F.lit(None).cast("string"), "reason"))
+
+
+@query("""WITH a AS (SELECT DISTINCT 'page' || p_size AS file, 'js/f' || (p_partkey % 90) || '.js' AS asset FROM part), c AS (SELECT 'static/app' || (s_suppkey % 4) || '/js/f' || s_suppkey || '.js' AS path FROM supplier)
+SELECT file, asset, path FROM a JOIN c ON path = asset OR ends_with(path, '/' || asset)""")
+def asset_matches(spark, sf_dir):
+    refs = table(spark, sf_dir, "part").selectExpr("'page' || p_size AS file", "'js/f' || (p_partkey % 90) || '.js' AS asset").distinct()
+    changed = table(spark, sf_dir, "supplier").selectExpr("'static/app' || (s_suppkey % 4) || '/js/f' || s_suppkey || '.js' AS path")
+    return routes.match_assets(refs, changed).select("file", "asset", "path")
+
+
+@query("""WITH s AS (SELECT s_suppkey AS k FROM supplier), g AS (SELECT 'src/d' || (k % 7) || '/m' || k || '.ts' AS path, CASE k % 3 WHEN 0 THEN './m' || (k + 7) WHEN 1 THEN '../d' || ((k + 1) % 7) || '/m' || (k + 1) || '?x' ELSE '../../../out' END AS specifier, CASE k % 3 WHEN 0 THEN 'src/d' || (k % 7) || '/m' || (k + 7) WHEN 1 THEN 'src/d' || ((k + 1) % 7) || '/m' || (k + 1) END AS base FROM s),
+f AS (SELECT path FROM g)
+SELECT g.path AS src, f.path AS dst FROM g JOIN f ON f.path = g.base || '.ts'""")
+def import_edges(spark, sf_dir):
+    g = table(spark, sf_dir, "supplier").selectExpr("'src/d' || (s_suppkey % 7) || '/m' || s_suppkey || '.ts' AS path", "CASE s_suppkey % 3 WHEN 0 THEN './m' || (s_suppkey + 7) WHEN 1 THEN '../d' || ((s_suppkey + 1) % 7) || '/m' || (s_suppkey + 1) || '?x' ELSE '../../../out' END AS specifier")
+    return routes.import_edges(g, g.select("path"))
+
+
+@query("""WITH c AS (SELECT 'f' || (p_partkey % 60) AS file, 'N' || (p_partkey % 37) AS name, CASE WHEN p_partkey % 3 = 0 THEN 'N' || (p_partkey % 5) END AS prefix, p_brand AS literal FROM part WHERE p_partkey < 700),
+o AS (SELECT * FROM c QUALIFY count(*) OVER (PARTITION BY file, name) = 1), p AS (SELECT file, name, literal AS value FROM o WHERE prefix IS NULL)
+SELECT * FROM p UNION ALL SELECT o.file, o.name, p.value || o.literal FROM o JOIN p ON o.file = p.file AND o.prefix = p.name""")
+def constants(spark, sf_dir):
+    c = table(spark, sf_dir, "part").filter("p_partkey < 700").selectExpr("'f' || (p_partkey % 60) AS file", "'N' || (p_partkey % 37) AS name", "CASE WHEN p_partkey % 3 = 0 THEN 'N' || (p_partkey % 5) END AS prefix", "p_brand AS literal")
+    return routes.resolve_constants(c)
+
+
+@query("""WITH c AS (SELECT DISTINCT p_brand AS g, p_type AS k, 'c' || (p_size % 12) AS child FROM part), n AS (SELECT g, k, count(DISTINCT child) AS n FROM c GROUP BY ALL)
+SELECT c.g, c.k, c.child, NULL::VARCHAR AS related FROM c JOIN n USING (g, k) WHERE n <= 8 UNION ALL SELECT c.g, c.k, min(child), string_agg(child, ',' ORDER BY child) FROM c JOIN n USING (g, k) WHERE n > 8 GROUP BY c.g, c.k""")
+def rolled_up_children(spark, sf_dir):
+    c = table(spark, sf_dir, "part").selectExpr("p_brand AS g", "p_type AS k", "'c' || (p_size % 12) AS child")
+    return scoring.rolled_up(c, ["g", "k"]).select("g", "k", "child", F.array_join("related", ",").alias("related"))
+
+
+_REASON = "CASE event_id % 6 WHEN 0 THEN 'dynamic-ref' WHEN 1 THEN 'a Dynamic include' WHEN 2 THEN 'no importer found' WHEN 3 THEN 'unsupported file' WHEN 4 THEN NULL ELSE 'other' END"
+
+
+@query(f"""WITH r AS (SELECT {_REASON} AS reason FROM events) SELECT CASE WHEN lower(reason) LIKE '%dynamic%' THEN 'dynamic-ref' WHEN reason = 'unsupported file' THEN 'binary/unsupported' WHEN reason = 'no importer found' THEN 'no-import-chain' ELSE 'unknown-url' END AS reason, count(*) AS n FROM r GROUP BY 1""")
+def unresolved_counts(spark, sf_dir):
+    return scoring.unresolved_counts(table(spark, sf_dir, "events").selectExpr(f"{_REASON} AS reason"))
+
+
+@query("""SELECT event_id, round(0.4::DOUBLE * CASE event_type WHEN 'click' THEN 1.0::DOUBLE WHEN 'view' THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END + 0.3::DOUBLE * least(greatest(value / 100, 0), 1) + 0.2::DOUBLE * (user_id % 2) + 0.1::DOUBLE * least(greatest(value / 10 - 1, 0), 1), 6) AS risk FROM events""")
+def risk_scores(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("severity", F.when(F.col("event_type") == "click", "High").when(F.col("event_type") == "view", "Medium").otherwise("Low"))
+    return e.select("event_id", F.round(text.risk(F.col("severity"), F.col("value") / 100, F.col("user_id") % 2, F.col("value") / 10 - 1), 6).alias("risk"))
+
+
+@query("""SELECT round(count(*) FILTER (value > 50) / count(*), 3) AS hit_rate FROM events""")
+def cache_hit_rate(spark, sf_dir):
+    return scoring.hit_rate(table(spark, sf_dir, "events").select((F.col("value") > 50).alias("hit")))
+
+
+_PATHS = """SELECT CASE p_partkey % 9 WHEN 0 THEN 'app/pkg/__init__.py' WHEN 1 THEN 'tests/test_m' || p_size || '.py' WHEN 2 THEN 'web/templates/base/t' || p_size || '.html' WHEN 3 THEN 'static/vendor/x' || p_size || '.js' WHEN 4 THEN 'a/jquery-' || p_size || '.min.js'
+ WHEN 5 THEN 'db/migrations/00' || p_size || '.py' WHEN 6 THEN '.gitignore' WHEN 7 THEN 'cfg/tsconfig.' || p_size || '.json' ELSE 'img/I' || p_size || '.PNG' END AS path FROM {t}"""
+
+
+@query(f"""WITH p AS (SELECT DISTINCT path FROM ({_PATHS.format(t='part')}))
+SELECT path, CASE WHEN path LIKE '%.PNG' THEN 'png' WHEN path = '.gitignore' THEN '' ELSE split_part(path, '.', -1) END AS ext,
+       replace(regexp_replace(regexp_replace(path, '\\.py$', ''), '/__init__$', ''), '/', '.') AS module, CASE WHEN path LIKE 'web/templates/%' THEN substr(path, 15) END AS template_name,
+       path LIKE '%/vendor/%' OR path LIKE '%.min.js' AS vendor, path NOT LIKE '%.min.%' AS graph_file, path LIKE 'tests/%' AS test, path LIKE '%migrations/%' AS infra, path LIKE '%tsconfig.%' AS jsonc,
+       CASE WHEN path LIKE 'tests/%' THEN NULL WHEN path = '.gitignore' THEN NULL ELSE 'tests/test_' || regexp_replace(split_part(path, '/', -1), '\\.[^.]*$', '') || '.py' END AS test_path,
+       path LIKE '%/migrations/%' AS ignored FROM p""")
+def path_functions(spark, sf_dir):
+    p = F.col("path")
+    d = _view(spark, sf_dir, _PATHS, "part").distinct()
+    return d.select(
+        "path", paths.extension(p).alias("ext"), paths.module_of(p).alias("module"), paths.template_name_of(p).alias("template_name"), paths.is_vendor(p).alias("vendor"), paths.is_graph_file(p).alias("graph_file"), paths.is_test_path(p).alias("test"),
+        paths.is_migration_or_infra(p).alias("infra"), paths.is_jsonc(p).alias("jsonc"), paths.test_path_of(p).alias("test_path"), paths.matches_glob(p, paths.DEFAULT_IGNORES).alias("ignored"))
+
+
+# --- file contents: documents with faults by doc_id ---
+_FILES = """SELECT 'd/' || doc_id || '.txt' AS path, CASE doc_id % 6 WHEN 0 THEN replace(text, ' ', chr(13) || chr(10)) WHEN 1 THEN replace(text, chr(10), '  ' || chr(10)) || chr(10) || chr(10) WHEN 2 THEN text || chr(10)
+ WHEN 3 THEN '<<<<<<< a' || chr(10) || text || chr(10) || '=======' || chr(10) || '========' WHEN 4 THEN text || '-----BEGIN RSA PRIVATE KEY-----' ELSE text END AS body, doc_id FROM {t} WHERE text IS NOT NULL"""
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _view(spark, sf_dir, _FILES, "documents")
+    return f.select("path", F.encode("body", "UTF-8").alias("content"), F.octet_length("body").cast("long").alias("length"), F.lit(True).alias("tracked"))
+
+
+@query(f"""WITH f AS ({_FILES.format(t='documents')})
+SELECT 'hygiene/mixed-line-ending' AS check_id, path, md5(replace(replace(body, chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS content FROM f WHERE instr(body, chr(13)) > 0
+UNION ALL SELECT 'hygiene/end-of-file-fixer', path, md5(CASE WHEN rtrim(body, chr(10) || chr(13)) = '' THEN '' ELSE rtrim(body, chr(10) || chr(13)) || chr(10) END) FROM f WHERE body <> CASE WHEN rtrim(body, chr(10) || chr(13)) = '' THEN '' ELSE rtrim(body, chr(10) || chr(13)) || chr(10) END""")
+def hygiene_fixes(spark, sf_dir):
+    f = _files(spark, sf_dir)
+    out = checks.fixed(f, "hygiene/mixed-line-ending").unionByName(checks.fixed(f, "hygiene/end-of-file-fixer"))
+    return out.select("check_id", "path", F.md5("content").alias("content"))
+
+
+@query(f"""WITH f AS ({_FILES.format(t='documents')}), l AS (SELECT path, unnest(string_split(replace(replace(body, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))) AS t, generate_subscripts(string_split(replace(replace(body, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), 1) AS line FROM f)
+SELECT path, line::INT AS line FROM l WHERE t = '=======' OR starts_with(t, '<<<<<<< ') OR starts_with(t, '>>>>>>> ')""")
+def merge_conflicts(spark, sf_dir):
+    return checks.merge_conflicts(_files(spark, sf_dir)).select("path", "line")
+
+
+@query(f"""WITH f AS ({_FILES.format(t='documents')}) SELECT 'repo/private-key' AS check_id, path FROM f WHERE instr(body, '-----BEGIN RSA PRIVATE KEY-----') > 0
+UNION ALL SELECT 'repo/large-files', path FROM f WHERE strlen(body) > 8 * 1024""")
+def repository_checks(spark, sf_dir):
+    f = _files(spark, sf_dir)
+    return checks.private_keys(f).unionByName(checks.large_files(f, 8)).select("check_id", "path")
+
+
+_CASED = "SELECT DISTINCT CASE WHEN p_partkey % 2 = 0 THEN upper(p_brand) ELSE lower(p_brand) END || '/' || p_size AS path FROM {t}"
+
+
+@query(f"""WITH p AS ({_CASED.format(t='part')}) SELECT a.path, 'differs by case only from ' || min(b.path) AS message FROM p a JOIN p b ON lower(a.path) = lower(b.path) AND a.path <> b.path GROUP BY a.path""")
+def case_conflicts(spark, sf_dir):
+    p = _view(spark, sf_dir, _CASED, "part")
+    return checks.case_conflicts(p, p).select("path", "message")
+
+
+_JSON = "SELECT 'e/' || event_id || '.json' AS path, CASE WHEN event_id % 3 = 0 THEN substr(props, 1, 5) ELSE props END AS body FROM {t}"
+
+
+@query(f"WITH f AS ({_JSON.format(t='events')}) SELECT path FROM f WHERE body IS NOT NULL AND trim(body) <> '' AND NOT json_valid(body)")
+def json_syntax(spark, sf_dir):
+    f = _view(spark, sf_dir, _JSON, "events").filter("body IS NOT NULL").select("path", F.encode("body", "UTF-8").alias("content"))
+    return checks.json_syntax(f).select("path")
+
+
+_MESSAGES = "SELECT 'app/m' || l_suppkey || '.py' AS path, CAST(l_linenumber AS INT) AS line, CAST(l_partkey % 50 AS INT) AS `column`, 'E' || (l_orderkey % 20) AS code, l_orderkey FROM {t} WHERE l_linenumber <= 4"
+_M = _MESSAGES.format(t="lineitem").replace("`column`", '"column"')
+
+
+@query(f"""WITH m AS ({_M}), b AS (SELECT DISTINCT 'm' || s_suppkey || '.py' AS path, '1:' || (s_suppkey % 50) || ':E' || (s_suppkey % 20) AS key FROM supplier),
+s AS (SELECT 'app/m' || s_suppkey || '.py' AS path, CASE s_suppkey % 3 WHEN 0 THEN 'lines' WHEN 1 THEN 'all' ELSE 'none' END AS scope_mode FROM supplier), l AS (SELECT DISTINCT 'app/m' || s_suppkey || '.py' AS path, 1 + s_suppkey % 4 AS line FROM supplier)
+SELECT m.path, m.line, m."column", m.code, count(*) AS n FROM m JOIN s USING (path) WHERE (scope_mode = 'all' OR (scope_mode = 'lines' AND EXISTS (SELECT 1 FROM l WHERE l.path = m.path AND l.line = m.line)))
+AND NOT EXISTS (SELECT 1 FROM b WHERE b.key = m.line || ':' || m."column" || ':' || m.code AND (m.path = b.path OR ends_with(m.path, '/' || b.path))) GROUP BY ALL""")
+def linter_findings(spark, sf_dir):
+    m = _view(spark, sf_dir, _MESSAGES, "lineitem")
+    s = table(spark, sf_dir, "supplier")
+    scope = s.selectExpr("'app/m' || s_suppkey || '.py' AS path", "CASE s_suppkey % 3 WHEN 0 THEN 'lines' WHEN 1 THEN 'all' ELSE 'none' END AS scope_mode")
+    lines = s.selectExpr("'app/m' || s_suppkey || '.py' AS path", "CAST(1 + s_suppkey % 4 AS INT) AS line")
+    baseline = s.selectExpr("'m' || s_suppkey || '.py' AS path", "'1:' || (s_suppkey % 50) || ':E' || (s_suppkey % 20) AS key")
+    return checks.not_in_baseline(checks.on_changed_lines(m, scope, lines), baseline).groupBy("path", "line", "column", "code").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH c AS (SELECT CASE o_orderkey % 4 WHEN 0 THEN 'tests/test_x' || o_custkey || '.py' WHEN 1 THEN 'app/migrations/' || o_custkey || '.py' ELSE 'app/m' || o_custkey || '.py' END AS path, CASE o_orderstatus WHEN 'F' THEN 'D' WHEN 'O' THEN 'M' ELSE 'A' END AS status, 'pkg.b' || (o_custkey % 60) AS module FROM orders WHERE o_orderkey % 9 = 0),
+d AS (SELECT 'pkg.b' || (p_partkey % 25) AS module, min('sym_' || p_partkey) AS symbol FROM part GROUP BY 1)
+SELECT path, CASE WHEN path LIKE 'tests/%' AND status = 'D' THEN 'deleted-test' WHEN symbol IS NOT NULL THEN 'removed-export' ELSE 'migration-infra' END AS rule, symbol FROM c LEFT JOIN d USING (module)
+WHERE status <> 'A' AND ((path LIKE 'tests/%' AND status = 'D') OR symbol IS NOT NULL OR path LIKE '%migrations/%')""")
+def breaking_changes(spark, sf_dir):
+    c = table(spark, sf_dir, "orders").filter("o_orderkey % 9 = 0").selectExpr(
+        "CASE o_orderkey % 4 WHEN 0 THEN 'tests/test_x' || o_custkey || '.py' WHEN 1 THEN 'app/migrations/' || o_custkey || '.py' ELSE 'app/m' || o_custkey || '.py' END AS path", "CASE o_orderstatus WHEN 'F' THEN 'D' WHEN 'O' THEN 'M' ELSE 'A' END AS status",
+        "CAST(NULL AS STRING) AS old_path", "'pkg.b' || (o_custkey % 60) AS module", "CAST(NULL AS STRING) AS old_module")
+    none = c.select("path", F.lit(0.0).alias("removed_ratio")).limit(0)
+    return scoring.breaking(c, none, table(spark, sf_dir, "part").selectExpr("'pkg.b' || (p_partkey % 25) AS module", "'sym_' || p_partkey AS name"))

@@ -1,0 +1 @@
+"""No operator of this library is a stream: change-sets are one batch each. Kept for the package's layout."""
