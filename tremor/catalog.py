@@ -36,7 +36,7 @@ SELECT 'sym_' || p_partkey AS name, CASE p_size % 5 WHEN 0 THEN 'class_field' WH
        p_partkey % 21 = 0 AS deleted, 'pkg.b' || (p_partkey % 25) AS module, 'app/p' || (p_partkey % 40) || '.py' AS path, p_size AS line, p_size + p_partkey % 7 AS end_line
 FROM {t} WHERE p_partkey % 7 = 0"""
 CHANGED = "SELECT DISTINCT 'app/m' || (o_custkey % 200) || '.py' AS path FROM {t} WHERE o_orderkey % 50 = 0"
-HUNKS = "SELECT 'app/p' || (o_custkey % 40) || '.py' AS path, CAST(o_custkey % 100 + 1 AS INT) AS new_start, CAST(o_orderkey % 4 AS INT) AS new_count, CAST(o_custkey % 90 + 1 AS INT) AS old_start, CAST(o_orderkey % 3 AS INT) AS old_count FROM {t} WHERE o_orderkey % 100 = 0"
+HUNKS = "SELECT 'app/p' || (o_custkey % 40) || '.py' AS path, CAST(o_custkey % 100 + 1 AS INT) AS new_start, CAST(o_custkey % 4 AS INT) AS new_count, CAST(o_custkey % 90 + 1 AS INT) AS old_start, CAST(o_custkey % 3 AS INT) AS old_count FROM {t} WHERE o_orderkey % 100 = 0"
 EDGES = "SELECT DISTINCT l_suppkey AS src, (l_suppkey * 7 + l_linenumber) % 97 + 1 AS dst FROM {t} WHERE l_partkey % 3 = 0"
 
 

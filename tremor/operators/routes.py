@@ -80,7 +80,7 @@ def handler_roots(handlers: DataFrame, defs: DataFrame, bindings: DataFrame) ->
 def export_users(exports: DataFrame, edges: DataFrame, words: DataFrame) -> DataFrame:
     """(name, path): files that import a changed export's file (path, name) and hold the name as a word (path, word)."""
     users = exports.join(edges.select(F.col("src").alias("user"), F.col("dst").alias("path")), "path").select("name", F.col("user").alias("path"))
-    return users.distinct().join(words.select("path", F.col("word").alias("name")).distinct(), ["path", "name"], "left_semi")
+    return users.distinct().join(words.select("path", F.col("word").alias("name")).distinct(), ["path", "name"], "left_semi").select("name", "path")
 
 
 def owners(rows: DataFrame, rules: DataFrame) -> DataFrame:
