@@ -41,9 +41,7 @@ _CLOSES = {"li": (frozenset(["li"]), frozenset(["ul", "ol", "menu", "dir"])), "d
 _TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-#: Weight of a node's features against its tree, as they are not independent.
-TEMPER = 0.7
-TRAIN_PAGES, SEED = 500, 20_240
+TRAIN_PAGES, SEED = 800, 20_240
 
 
 class Page:
@@ -174,7 +172,7 @@ def element_features(name: str, attributes: str) -> tuple[list[str], str | None]
 def leaf_features(text: str, linked: float) -> list[str]:
     words = text.count(" ") + 1
     stops = sum(map(text.count, ".,;:!?"))
-    return [f"words:{min(6, words.bit_length())}", f"links:{0 if linked < 0.1 else 1 if linked < 0.5 else 2}", f"stops:{min(3, stops)}", "sign:1" if text[0] in "©" or "©" in text[:40] else "sign:0"]
+    return [f"words:{min(6, words.bit_length())}", f"links:{0 if linked < 0.1 else 1 if linked < 0.5 else 2}", f"stops:{min(3, stops)}", "sign:1" if text[0] == "©" else "sign:0"]
 
 
 class Model:
@@ -186,7 +184,7 @@ class Model:
     def marginals(self, page: Page) -> list[float]:
         """Probability that each node is content: messages up, then down, in page order (parents come first)."""
         n, get = len(page.parent), self.odds.get
-        one = [math.exp(max(-30.0, min(30.0, TEMPER * sum(get(f, 0.0) for f in fs)))) for fs in page.features]  # potential of 1 against 0
+        one = [math.exp(max(-30.0, min(30.0, sum(get(f, 0.0) for f in fs)))) for fs in page.features]  # potential of 1 against 0
         up = [1.0] * n
         below = one[:]
         for i in range(n - 1, 0, -1):
@@ -241,6 +239,8 @@ class _Writer:
 
     def paragraph(self) -> str:
         r = self.rng
+        if r.random() < 0.2:  # text without an end mark
+            return self.words(r.choice((1, 2, 4, 8, 15)))
         out = []
         for _ in range(r.choice((1, 1, 1, 2, 4, 8))):
             s = self.sentence(r.choice((1, 2, 3, 7, 12, 20)))
@@ -293,6 +293,8 @@ class _Writer:
                 inner.append(e(r.choice(("div", "li", "article")), r.choice(("", self.words(1))) + e("p", self.paragraph()), self.names(_BAD_NAMES["comments"])))
         else:
             inner = [r.choice((self.links(r.randint(2, 5)), self.words(4)))]
+        if name == "p":  # holds no blocks
+            inner = [re.sub(r"</?(?:p|ul|li|h\d)\b[^>]*>", " ", x) for x in inner]
         sure = 0.55 if name in ("nav", "footer", "aside", "header", "form") else 1.0
         return self.element(name, self.names(_BAD_NAMES[kind], sure), 0, "".join(inner))
 
@@ -304,9 +306,9 @@ class _Writer:
             out = [self.element("header", "", 1, out[0] + self.element("p", self.names(_BAD_NAMES["share"], 1.0), 0, self.words(3)))]
         for _ in range(r.choice((1, 2, 5, 9, 20))):
             x = r.random()
-            if x < 0.72:
+            if x < 0.64:
                 out.append(e("p", self.paragraph()))
-            elif x < 0.8:
+            elif x < 0.71:
                 out.append(e(r.choice(("h2", "h3", "h4")), self.words(r.randint(1, 6))))
             elif x < 0.86:
                 out.append(e(r.choice(("ul", "ol")), "".join(e("li", self.paragraph()) for _ in range(r.randint(2, 6)))))
