@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremor.functions import paths, text, urls
-from tremor.operators import binding, changes, checks, closures, routes, scoring
+from tremor.operators import binding, changes, checks, closures, routes, scope, scoring
 from tremor.plans import impact, report
 from tremor.session import table
 from tremor.sources import extract
@@ -480,3 +480,30 @@ def breaking_changes(spark, sf_dir):
         "CAST(NULL AS STRING) AS old_path", "'pkg.b' || (o_custkey % 60) AS module", "CAST(NULL AS STRING) AS old_module")
     none = c.select("path", F.lit(0.0).alias("removed_ratio")).limit(0)
     return scoring.breaking(c, none, table(spark, sf_dir, "part").selectExpr("'pkg.b' || (p_partkey % 25) AS module", "'sym_' || p_partkey AS name"))
+
+
+@query(f"""WITH r AS ({_REFS.format(t='pages')}), n AS (SELECT unnest(['en', 'de']) AS needle) SELECT DISTINCT file FROM r WHERE EXISTS (SELECT 1 FROM n WHERE instr(ref, needle) > 0)""")
+def needle_files(spark, sf_dir):
+    files = _view(spark, sf_dir, _REFS, "pages").select(F.col("file").alias("path"), F.col("ref").alias("text"))
+    leads = spark.sql("SELECT '^en/<int:id>/$' AS full UNION ALL SELECT 'de/{slug}' UNION ALL SELECT '<x>'")
+    return scope.with_needles(files, leads).select(F.col("path").alias("file")).distinct()
+
+
+@query(f"""WITH u AS ({U}) SELECT path, name, kind, line, arg_min(coalesce(base, '-'), seq) AS base FROM u GROUP BY ALL""")
+def first_bases(spark, sf_dir):
+    u = _view(spark, sf_dir, USAGES, "lineitem").withColumn("base", F.coalesce("base", F.lit("-")))
+    return scope.first_bases(u)
+
+
+@query("""WITH f AS (SELECT 'app/m' || s_suppkey || '.py' AS path, s_suppkey % 4 <> 0 AS tracked FROM supplier), l AS (SELECT DISTINCT 'app/m' || (s_suppkey * 3 % 100) || '.py' AS path FROM supplier WHERE s_suppkey % 2 = 0)
+SELECT path, CASE WHEN NOT tracked THEN 'all' WHEN path IN (SELECT path FROM l) THEN 'lines' ELSE 'none' END AS scope_mode FROM f""")
+def scope_modes(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier")
+    files = s.selectExpr("'app/m' || s_suppkey || '.py' AS path", "s_suppkey % 4 <> 0 AS tracked")
+    return scope.scope_modes(files, s.filter("s_suppkey % 2 = 0").selectExpr("'app/m' || (s_suppkey * 3 % 100) || '.py' AS path"))
+
+
+@query("""SELECT '/' || n_name AS url, arg_min(n_nationkey, n_nationkey) AS handler FROM (SELECT CASE WHEN n_nationkey % 2 = 0 THEN 'a' || (n_nationkey % 6) ELSE 'b' || (n_nationkey % 5) END AS n_name, n_nationkey FROM nation) GROUP BY 1""")
+def endpoint_rows(spark, sf_dir):
+    r = table(spark, sf_dir, "nation").selectExpr("n_nationkey AS ord", "CASE WHEN n_nationkey % 2 = 0 THEN 'a' || (n_nationkey % 6) ELSE 'b' || (n_nationkey % 5) END AS full", "n_nationkey AS handler", "n_name AS name", "'m' AS module")
+    return scope.endpoints(r).select("url", "handler")
