@@ -9,7 +9,7 @@ padding plus penalties of all windows up to cut point i,
 
 so for each m it is a sliding-window minimum of f(j) + pos_j, kept in a monotone queue: every cut point enters and
 leaves each queue once. Windows as long as a power of two need no padding and are further transitions. The stream is
-worked off in blocks of BLOCK_TOKENS; what the last window of a block holds goes on to the next block.
+worked off in blocks of BLOCK_TOKENS; what stands after a block's last window goes on to the next block.
 
 Defined results: null text is empty, and an empty text is its end id alone; texts of any length are encoded whole, in
 parts cut where the tokenizer cuts too; null and repeated doc_ids are carried as they are; an empty table gives an
@@ -21,6 +21,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
 
@@ -33,8 +34,8 @@ from pyspark.sql import functions as F
 from tremor.session import ship, table
 
 LENGTH, END_ID = 2048, 1
-#: Penalties in padding tokens, full windows in a row, tokens between sentence cut points at least, and the stream's block.
-SENTENCE, HARD, RUNS, GAP, BLOCK_TOKENS = 2, 16, 3, 8, 1 << 19
+#: Penalties in padding tokens, full windows in a row, tokens between sentence cut points at least, between forced ones, and the stream's block.
+SENTENCE, HARD, RUNS, GAP, FORCED, BLOCK_TOKENS = 1, 6, 3, 16, 48, 1 << 19
 #: Windows of these lengths are not padded, inside a stream; its end may use every power of two.
 POWERS = (128, 256, 512, 1024)
 #: Chunks of text whose ids a worker remembers, and characters encoded at a time.
@@ -49,9 +50,31 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: Latin letters, digits and some marks, which every reading of the splitting pattern classes alike.
+_PLAIN = re.compile(r"[0-9A-Za-zÀ-ÖØ-öø-ÿ.,;:!?-]+").fullmatch
+
+
+def _direct(spec: dict):
+    """A quicker way to the same ids for plain chunks: byte pairs by rank, where ids are in the order of the merges."""
+    import tiktoken
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    merges, vocabulary = spec["model"].get("merges", []), spec["model"].get("vocab", {})
+    ids = [vocabulary.get("".join(m if isinstance(m, list) else m.split(" "))) for m in merges]
+    letters = sorted(ByteLevel.alphabet())
+    if any(i is None for i in ids) or any(a >= b for a, b in zip(ids, ids[1:], strict=False)) or any(c not in vocabulary or vocabulary[c] >= ids[0] for c in letters):
+        return None
+    kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # bytes that stand for themselves
+    others = [b for b in range(256) if b not in kept]
+    byte_of = {chr(b): b for b in kept} | {chr(0x100 + k): b for k, b in enumerate(others)}
+    ranks = {bytes(byte_of[c] for c in token): i for token, i in vocabulary.items() if i <= ids[-1] and all(c in byte_of for c in token)}
+    pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+    return tiktoken.Encoding("plain", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
+
+
 class Encoder:
     """Ids of whole texts. A byte-level tokenizer never joins a space to what stands before it, so texts are cut
-    before single spaces and the ids of each chunk are remembered."""
+    before single spaces and the ids of each chunk are remembered; chunks of plain letters take the quicker way."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -64,38 +87,62 @@ class Encoder:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
         self.chunked = not spec.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # chunks after a space
+        self.bare: dict[str, bytes] = {}  # chunks after none
+        self.direct = _direct(spec) if self.chunked else None
+        self.line_feed = self.direct("\n")[0] if self.direct else None
         size = self.tokenizer.get_vocab_size()
         ends = re.compile(r"[.!?Ċ][\"')\]]*$")
         self.sentence_end = np.array([bool(ends.search(self.tokenizer.id_to_token(i) or "")) for i in range(size)])
 
     def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, chunks: set[str]) -> None:
-        if len(self.known) + len(chunks) > CACHE:
-            self.known.clear()
-            chunks = chunks | self.now
-        new = list(chunks)
-        for k in range(0, len(new), 20_000):
-            self.known.update(zip(new[k : k + 20_000], self._plain(new[k : k + 20_000]), strict=True))
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, chunks: set[str], known: dict[str, bytes], lead: str) -> None:
+        """Ids of lead and each chunk. Plain chunks go in one text, between line feeds, which are ids of their own there."""
+        rest = list(chunks)
+        if self.direct:
+            plain = [c for c in rest if _PLAIN(c)]
+            if plain:
+                ids = np.array(self.direct("\n".join([lead + c for c in plain])), dtype="<u4")
+                marks = np.flatnonzero(ids == self.line_feed)
+                data, starts, ends = ids.tobytes(), [0, *(4 * (marks + 1)).tolist()], [*(4 * marks).tolist(), 4 * len(ids)]
+                known.update(zip(plain, [data[a:b] for a, b in zip(starts, ends, strict=True)], strict=True))
+                rest = [c for c in rest if c not in known]
+            lines = [(c, c.split("\n")) for c in rest if "\n" in c]
+            lines = [(c, p) for c, p in lines if all(map(_PLAIN, p))]  # single line feeds between plain chunks stand alone
+            if lines:
+                self._learn({p[0] for _, p in lines} - known.keys(), known, lead)
+                self._learn({x for _, p in lines for x in p[1:]} - self.bare.keys(), self.bare, "")
+                feed = array("I", [self.line_feed]).tobytes()
+                known.update((c, feed.join([known[p[0]], *(self.bare[x] for x in p[1:])])) for c, p in lines)
+                rest = [c for c in rest if c not in known]
+        for k in range(0, len(rest), 20_000):
+            known.update(zip(rest[k : k + 20_000], self._plain([lead + c for c in rest[k : k + 20_000]]), strict=True))
+
+    def _uneven(self, text: str) -> bytes:
+        """Ids of a text with runs of white space: it is cut only between two visible characters."""
+        parts = re.split(r"(?<=\S)(?= \S)", text)
+        new = [k for k, p in enumerate(parts) if p[:1] != " " or p[1:] not in self.known]
+        fresh = dict(zip(new, self._plain([parts[k] for k in new]), strict=True))
+        return b"".join(fresh[k] if k in fresh else self.known[p[1:]] for k, p in enumerate(parts))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.chunked:
             return self._plain(texts)
-        parts = []
-        for text in texts:
-            p = text.split(" ")
-            if len(p) > 1:
-                p[1:] = [f" {x}" for x in p[1:]]
-                if any(map(str.isspace, p)):  # runs of white space: cut only between two visible characters
-                    p = re.split(r"(?<=\S)(?= \S)", text)
-            parts.append(p)
-        self.now = set().union(*parts)
-        if new := self.now - self.known.keys():
-            self._learn(new)
-        get = self.known.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+        parts = [text.split(" ") for text in texts]
+        heads, tails = [p[0] for p in parts], [p[1:] for p in parts]
+        now = set().union(*tails)
+        new = now - self.known.keys()
+        if len(self.known) + len(self.bare) + len(new) > CACHE:
+            self.known.clear()
+            self.bare.clear()
+            new = now
+        odd = {c for c in new if not c or c.isspace()}
+        self._learn(new - odd, self.known, " ")
+        self._learn({h for h in heads if h and h not in self.bare}, self.bare, "")
+        get, first = self.known.__getitem__, self.bare
+        return [(first[h] if h else b"") + b"".join(map(get, t)) if not odd or odd.isdisjoint(t) else self._uneven(text) for text, h, t in zip(texts, heads, tails, strict=True)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -117,8 +164,8 @@ def cut_points(ids: np.ndarray, doc_ends: np.ndarray, sentence_end: np.ndarray)
     pos = np.union1d(at, np.append(doc_ends, n))
     pos = pos[pos > 0]
     gaps = np.diff(np.concatenate(([0], pos)))
-    wide = np.flatnonzero(gaps > LENGTH)
-    forced = [np.arange(pos[k] - gaps[k] + LENGTH, pos[k], LENGTH) for k in wide]
+    wide = np.flatnonzero(gaps > FORCED)
+    forced = [np.arange(pos[k] - gaps[k] + FORCED, pos[k], FORCED) for k in wide]
     if forced:
         pos = np.union1d(pos, np.concatenate(forced))
     penalty = np.full(len(pos), HARD, dtype=np.int64)
@@ -128,14 +175,17 @@ def cut_points(ids: np.ndarray, doc_ends: np.ndarray, sentence_end: np.ndarray)
     return pos, penalty
 
 
-def best_cuts(pos: np.ndarray, penalty: np.ndarray, length: int = LENGTH) -> tuple[list[int], int]:
-    """Ends of the windows with the least padding plus penalties for the cut points of one stream, and that least sum."""
+def best_cuts(pos: np.ndarray, penalty: np.ndarray, length: int = LENGTH, whole: bool = True) -> tuple[list[int], int]:
+    """Ends of the windows with the least padding plus penalties for the cut points of one stream, and that least sum.
+
+    If the stream goes on (not whole), the windows end at the cheapest cut point within the last length instead.
+    """
     p, pen = [0, *pos.tolist()], [0, *penalty.tolist()]
     n = len(p)
     f, back, key = [0] * n, [(0, 0)] * n, [0] * n
     queues = [deque() for _ in range(RUNS + 1)]
     enter = [0] * (RUNS + 1)
-    index = {0: 0}
+    index, powers = {0: 0}, [w for w in POWERS if w <= length]
     for i in range(1, n):
         at, least, how = p[i], None, (0, 0)
         for m in range(RUNS + 1):
@@ -155,19 +205,22 @@ def best_cuts(pos: np.ndarray, penalty: np.ndarray, length: int = LENGTH) -> tup
                     least, how = c, (q[0], m)
             if low < 0:
                 break
-        for w in POWERS:
+        for w in powers:
             j = index.get(at - w)
             if j is not None and f[j] < least:
                 least, how = f[j], (j, 0)
         f[i], back[i], index[at] = least + pen[i], how, i
         key[i] = f[i] + at
-    cuts, i = [], n - 1
+    cuts, end = [], n - 1
+    if not whole:
+        end = max((k for k in range(n - 1) if p[k] > p[-1] - length), key=lambda k: (-f[k], k), default=0)
+    i = end
     while i:
         j, m = back[i]
         cuts.append(p[i])
         cuts.extend(p[j] + length * k for k in range(m, 0, -1))
         i = j
-    return cuts[::-1], f[-1]
+    return cuts[::-1], f[end]
 
 
 class Packer:
@@ -189,10 +242,8 @@ class Packer:
         ids = np.frombuffer(data, dtype="<u4")
         sizes = np.array([len(d[3]) // 4 for d in self.docs], dtype=np.int64)
         ends = np.cumsum(sizes)
-        cuts, _ = best_cuts(*cut_points(ids, ends, self.sentence_end)) if len(ids) else ([], 0)
-        if not last:
-            cuts = cuts[:-1]
-        elif cuts:
+        cuts, _ = best_cuts(*cut_points(ids, ends, self.sentence_end), whole=last) if len(ids) else ([], 0)
+        if last and cuts:
             rest = cuts[-1] - (begin := cuts[-2] if len(cuts) > 1 else 0)
             bits = [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
             if (len(bits) - 1) * HARD < LENGTH - rest:
