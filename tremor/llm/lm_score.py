@@ -34,9 +34,9 @@ from tremor.session import ship, shuffle_partitions, stored, table
 
 BACKOFF, MIN_COUNT = 0.4, 2
 #: Bytes of text of a chunk, text that one hash partition counts the n-grams of, and of a piece that is split at once.
-CHUNK, PARTITION, SLICE = 6_000_000, 12_000_000, 4 << 20
+CHUNK, PARTITION, SLICE = 3_000_000, 8_000_000, 1 << 20
 _REST = np.uint64((1 << 50) - 1)
-_WORDS_KEPT = 400_000
+_WORDS_KEPT = 250_000
 
 
 class _Hashes(dict):
