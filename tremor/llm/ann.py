@@ -163,7 +163,8 @@ def nearest(vectors: DataFrame, queries: str, k: int) -> DataFrame:
     draw = lambda n: F.pmod(F.xxhash64("uid"), F.lit(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     indexed = rows.select(draw(blocks).alias("block"), all_of(query_blocks).alias("asked"), "uid", "vec_id", "embedding")
-    asked = asked.select(all_of(blocks).alias("block"), draw(query_blocks).alias("asked"), "uid", "vec_id", "embedding")
+    # columns of their own on this side, so that pruning can't take those of the other for them
+    asked = asked.select(all_of(blocks).alias("q_block"), draw(query_blocks).alias("q_asked"), *[F.col(c).alias(f"q_{c}") for c in ("uid", "vec_id", "embedding")])
 
     def search(t: pa.Table, q: pa.Table) -> pa.Table:
         found = []
@@ -171,13 +172,13 @@ def nearest(vectors: DataFrame, queries: str, k: int) -> DataFrame:
             x, ids, uid = _matrix(t["embedding"]), np.asarray(t["vec_id"]), np.asarray(t["uid"])
             kept = _distinct_few(x, ids, k + 1)
             x, ids, uid = x[kept], ids[kept], uid[kept]
-            q_uid, q_ids = np.asarray(q["uid"]), np.asarray(q["vec_id"])
-            for i, c, s in search_block(x, ids, uid, _matrix(q["embedding"]), q_uid, model, radius, k):
+            q_uid, q_ids = np.asarray(q["q_uid"]), np.asarray(q["q_vec_id"])
+            for i, c, s in search_block(x, ids, uid, _matrix(q["q_embedding"]), q_uid, model, radius, k):
                 found.append((np.full(len(c), q_uid[i]), np.full(len(c), q_ids[i]), ids[c], uid[c], s))
         cols = [np.concatenate(f) for f in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 4 + [np.zeros(0)]
         return pa.table(dict(zip(("query_uid", "query_id", "vec_id", "uid", "score"), cols, strict=True)))
 
-    found = indexed.groupBy("block", "asked").cogroup(asked.groupBy("block", "asked")).applyInArrow(search, "query_uid long, query_id long, vec_id long, uid long, score double")
+    found = indexed.groupBy("block", "asked").cogroup(asked.groupBy("q_block", "q_asked")).applyInArrow(search, "query_uid long, query_id long, vec_id long, uid long, score double")
     found = found.withColumn("rank", F.expr("row_number() OVER (PARTITION BY query_uid ORDER BY score DESC, vec_id, uid)")).filter(F.col("rank") <= k)
     return found.select("query_id", "rank", F.when(F.col("vec_id") != _NULL_ID, F.col("vec_id")).alias("vec_id"), "score")
 
