@@ -25,12 +25,13 @@ from tremor.llm import graph
 from tremor.session import ship, stored, table
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 8, 0.8, 16, 5
-#: Lines of a bucket that are compared in one task, and characters whose minima are taken at a time.
-BUCKET, SLICE = 1024, 1 << 20
+#: Lines of a bucket that are compared in one task, of one whose list of members is compared with other lists, and characters whose minima are taken at a time.
+BUCKET, FEW, SLICE = 1024, 64, 1 << 18
 WHITE = " \t\n\x0b\x0c\r"
 _EDGE = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 _rng = np.random.default_rng(20_240)
-_MULTIPLY = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * 2 + 1
+_MULTIPLY = _rng.integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_FLIP = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -82,13 +83,13 @@ def band_keys(lines: list[str]) -> np.ndarray:
             at = int(ends[i] - sizes[i])
             inside[at] = True
             h[at] = _shingles(points[at : at + sizes[i]])[0]
-        h = h[: len(points)][inside]
+        h = (h[: len(points)][inside] >> np.uint64(32)).astype(np.uint32)
         starts = np.concatenate(([0], np.cumsum(np.add.reduceat(inside, ends - sizes, dtype=np.int64))[:-1]))
         with np.errstate(over="ignore"):
             for b in range(BANDS):
                 key = np.full(last - first, b + 1, np.uint64)
                 for r in range(ROWS):
-                    least = np.minimum.reduceat(((h * _MULTIPLY[b * ROWS + r]) >> np.uint64(32)).astype(np.uint32), starts)
+                    least = np.minimum.reduceat((h ^ _FLIP[b * ROWS + r]) * _MULTIPLY[b * ROWS + r], starts)
                     key = (key ^ least) * np.uint64(0x94D049BB133111EB)
                     key ^= key >> np.uint64(31)
                 out[first:last, b] = key
@@ -151,12 +152,16 @@ def alike(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Links (a, b) between the nodes of lines (node, line): enough to connect all lines that are alike."""
     ship(lines.sparkSession)
     buckets = lines.select("node", "line").mapInArrow(_keys, "bucket long, node long")
-    buckets = buckets.selectExpr("*", "count(*) OVER (PARTITION BY bucket) AS n").filter("n > 1")
+    buckets = stored(buckets.selectExpr("*", "count(*) OVER (PARTITION BY bucket) AS n").filter("n > 1"), "buckets")
+    # alike lines share most of their buckets: equal lists of members are compared once
+    few = buckets.filter(F.col("n") <= FEW).groupBy("bucket").agg(F.sort_array(F.collect_list("node")).alias("members")).select("members").distinct()
+    few = few.select(F.xxhash64("members").alias("bucket"), F.explode("members").alias("node"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(True).alias("base")).select("bucket", "node", "i", "j", "base")
+    buckets = buckets.filter(F.col("n") > FEW)
     blocks = F.ceil(F.col("n") / BUCKET).cast("int")
     buckets = buckets.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
     base = F.transform(F.sequence("own", F.col("blocks") - 1), lambda j: F.struct(F.col("own").alias("i"), j.alias("j"), F.lit(True).alias("base")))
     query = F.transform(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: i < F.col("own")), lambda i: F.struct(i.alias("i"), F.col("own").alias("j"), F.lit(False).alias("base")))
-    tasks = buckets.select("bucket", "node", F.explode(F.concat(base, query)).alias("t")).select("bucket", "t.i", "t.j", "t.base", "node")
+    tasks = buckets.select("bucket", "node", F.explode(F.concat(base, query)).alias("t")).select("bucket", "node", "t.i", "t.j", "t.base").unionByName(few)
     tasks = tasks.join(lines.select("node", "line"), "node").select("bucket", "i", "j", "base", "node", "line")
     return tasks.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node").mapInArrow(_verify(similarity), "a long, b long")
 
