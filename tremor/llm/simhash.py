@@ -162,16 +162,19 @@ def links(nodes: DataFrame, count: int, radius: int = RADIUS) -> DataFrame:
     return dealt.groupBy("shard", "i", "j").applyInArrow(pairs, "a long, b long").filter("a <> b")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """uid, doc_id, fp and component_id of every row; uid numbers the rows."""
+def components_of(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """uid, doc_id, fp, root of every row; uid numbers the rows, root is the same for all rows of a component."""
     rows = stored(fingerprints(docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("uid")), shingle, "uid", "doc_id"), "fingerprints")
-    nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    found = graph.components(links(nodes, nodes.count(), radius), "links")
-    linked = stored(nodes.join(found.withColumnRenamed("node", "fp"), "fp"), "linked")
-    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = linked.join(least, "root").select("fp", "component_id")
-    nodes = nodes.join(linked, "fp", "left_anti").select("fp", F.col("least").alias("component_id")).union(linked)
-    return rows.join(nodes, "fp")
+    nodes = stored(rows.select("fp").distinct(), "nodes")
+    found = stored(graph.components(links(nodes, nodes.count(), radius), "links"), "components")
+    return rows.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("uid", "doc_id", "fp", F.coalesce("root", "fp").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """uid, doc_id, fp and component_id of every row: the smallest doc_id of its component."""
+    rows = stored(components_of(docs, shingle, radius), "rooted")
+    least = stored(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")  # of its own, so that a large component's rows can be split
+    return rows.join(least, "root").select("uid", "doc_id", "fp", "component_id")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
