@@ -23,8 +23,8 @@ from tremor.session import stored, table
 
 #: Words of a block, weights that repeat over the sources, and how often the mix may use a document.
 BLOCK, WEIGHTS, EPOCHS = 1024, (5, 2, 1), 3
-#: Rows of a shuffle bucket of the largest source on average, slots that one row is expanded into, slots of a rank bucket.
-BUCKET_ROWS, EXPAND, RANK_SLOTS = 2_000, 4_096, 65_536
+#: Slots that one row is expanded into, and slots of a rank bucket.
+EXPAND, RANK_SLOTS = 4_096, 65_536
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 
 
@@ -34,6 +34,12 @@ def word_count(text) -> F.Column:
     return F.when(flat == "", 0).otherwise(F.length(flat) - F.length(F.replace(flat, F.lit(" "))) + 1).cast("long")
 
 
+def first_words(text, n) -> F.Column:
+    """text up to the end of its n-th word (n of 1 to its number of words)."""
+    words = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    return F.array_join(F.slice(words, F.lit(1), n.cast("int")), "")
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """uid, doc_id, source, size, key (60 bits that shuffle the documents), tie (of the text)."""
     key = F.conv(F.substring(F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")), 1, 15), 16, 10).cast("long")
@@ -92,7 +98,8 @@ def schedule(sources: DataFrame, block: int = BLOCK) -> DataFrame:
     points = points.withColumn("slot", F.expr(f"cast((cast(point AS decimal(19,0)) * cast({back} AS decimal(19,0))) % cast({max(1, int(total))} AS decimal(19,0)) AS long)"))
     points = points.withColumn("bucket", F.expr(f"slot div {RANK_SLOTS}"))
     before = points.groupBy("ord", "bucket").count().selectExpr("ord", "bucket", "sum(count) OVER (PARTITION BY ord ORDER BY bucket) - count AS before")
-    ranked = points.join(before, ["ord", "bucket"]).withColumn("rank", F.expr("row_number() OVER (PARTITION BY ord, bucket ORDER BY slot) - 1 + before"))
+    # Spark takes exploded rows for as few as they came from, so merge joins are asked for
+    ranked = points.join(before.hint("merge"), ["ord", "bucket"]).withColumn("rank", F.expr("row_number() OVER (PARTITION BY ord, bucket ORDER BY slot) - 1 + before"))
     last = (F.col("rank") == F.col("slots") - 1) & F.col("cut").isNotNull()
     return ranked.select("slot", "ord", "rank", F.expr("rank div per_epoch").alias("epoch"), F.expr("rank % per_epoch").alias("block"), F.when(last, F.col("cut")).alias("limit"))
 
@@ -100,10 +107,10 @@ def schedule(sources: DataFrame, block: int = BLOCK) -> DataFrame:
 def laid_out(sizes: DataFrame, sources: DataFrame) -> DataFrame:
     """sizes with ord and start: where each document begins in its source's shuffled words.
 
-    Shuffle keys are uniform, so their high bits cut a source of any size into buckets of a few thousand rows.
+    Shuffle keys are uniform, so their high bits cut a source of any size into buckets: about as many as the root of
+    the rows, so that neither a bucket nor the list of a source's buckets grows faster than that root.
     """
-    rows = max(1, sizes.count())
-    bits = max(0, math.ceil(math.log2(rows / BUCKET_ROWS))) if rows > BUCKET_ROWS else 0
+    bits = math.ceil(math.log2(max(1, sizes.count())) / 2)
     joined = sizes.join(sources.select(F.col("source").alias("s"), "ord", "source_size", "target"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     joined = joined.withColumn("bucket", F.shiftright("key", 60 - bits))
     before = joined.groupBy("ord", "bucket").agg(F.sum("size").alias("words")).selectExpr("ord", "bucket", "sum(words) OVER (PARTITION BY ord ORDER BY bucket) - words AS before")
@@ -122,7 +129,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCH
     uses = schedule(sources, block).groupBy("ord", "block").agg(F.count(F.when(F.col("limit").isNull(), 1)).alias("whole"), F.coalesce(F.max("limit"), F.lit(0)).alias("cut"))
     pieces = placed.filter("size > 0").select("uid", "ord", "start", "size", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))).alias("block"))
     pieces = pieces.selectExpr("uid", "ord", "block", f"greatest(start, block * {block}) - block * {block} AS a", f"least(start + size, (block + 1) * {block}) - block * {block} AS b")
-    taken = pieces.join(uses, ["ord", "block"]).groupBy("uid").agg(F.sum(F.expr("whole * (b - a) + greatest(0, least(b, cut) - a)")).alias("taken"))
+    taken = pieces.join(uses.hint("merge"), ["ord", "block"]).groupBy("uid").agg(F.sum(F.expr("whole * (b - a) + greatest(0, least(b, cut) - a)")).alias("taken"))
     out = placed.join(taken, "uid", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
     return out.select("uid", "doc_id", "size", "source_size", "target", "taken", F.when(F.col("size") > 0, F.expr("taken % size")).otherwise(0).alias("partial"))
 
