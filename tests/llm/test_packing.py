@@ -27,6 +27,15 @@ def test_ids_equal_the_tokenizers(tokenizer):
         assert got == want[k : k + 100]
 
 
+def test_plain_texts_equal_the_tokenizers(tokenizer):
+    rng = random.Random(6)
+    alphabet = [*map(chr, range(0x20, 0x7F)), *" " * 30, *"\n\r\t", *"éèßÄñ", "'s", "'re", "   ", "\n\n"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(4000)]
+    encode = op.Encoder(op.default_tokenizer())
+    assert encode.direct
+    assert [np.frombuffer(b, dtype="<u4").tolist() for b in encode(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_whole_operator(spark, tokenizer):
     rows = [r for r in data.rows() if r[0] is not None and r[0] != 104]
     ids = {r[0]: [*tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 1] for r in rows}

@@ -35,11 +35,11 @@ from tremor.session import ship, table
 
 LENGTH, END_ID = 2048, 1
 #: Penalties in padding tokens, full windows in a row, tokens between sentence cut points at least, between forced ones, and the stream's block.
-SENTENCE, HARD, RUNS, GAP, FORCED, BLOCK_TOKENS = 1, 6, 3, 16, 48, 1 << 19
+SENTENCE, HARD, RUNS, GAP, FORCED, BLOCK_TOKENS = 1, 6, 2, 32, 64, 1 << 19
 #: Windows of these lengths are not padded, inside a stream; its end may use every power of two.
 POWERS = (128, 256, 512, 1024)
 #: Chunks of text whose ids a worker remembers, and characters encoded at a time.
-CACHE, BATCH_CHARS = 400_000, 1_000_000
+CACHE, BATCH_CHARS = 250_000, 1_000_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _FIELDS = [pa.field(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]
 
@@ -54,6 +54,9 @@ def default_tokenizer() -> str:
 _PLAIN = re.compile(r"[0-9A-Za-zÀ-ÖØ-öø-ÿ.,;:!?-]+").fullmatch
 
 
+_WHOLE = re.compile(r"[ \n\r\t!-~À-ÖØ-öø-ÿ]*").fullmatch
+
+
 def _direct(spec: dict):
     """A quicker way to the same ids for plain chunks: byte pairs by rank, where ids are in the order of the merges."""
     import tiktoken
@@ -74,7 +77,7 @@ def _direct(spec: dict):
 
 class Encoder:
     """Ids of whole texts. A byte-level tokenizer never joins a space to what stands before it, so texts are cut
-    before single spaces and the ids of each chunk are remembered; chunks of plain letters take the quicker way."""
+    before single spaces and the ids of each chunk are remembered; texts and chunks of plain characters take the quicker way."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -91,6 +94,7 @@ class Encoder:
         self.bare: dict[str, bytes] = {}  # chunks after none
         self.direct = _direct(spec) if self.chunked else None
         self.line_feed = self.direct("\n")[0] if self.direct else None
+        self.special = [t["content"] for t in spec.get("added_tokens", [])]
         size = self.tokenizer.get_vocab_size()
         ends = re.compile(r"[.!?Ċ][\"')\]]*$")
         self.sentence_end = np.array([bool(ends.search(self.tokenizer.id_to_token(i) or "")) for i in range(size)])
@@ -98,17 +102,20 @@ class Encoder:
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, chunks: set[str], known: dict[str, bytes], lead: str) -> None:
-        """Ids of lead and each chunk. Plain chunks go in one text, between line feeds, which are ids of their own there."""
-        rest = list(chunks)
+    def _learn(self, chunks: set[str], known: dict[str, bytes], lead: str) -> set[str]:
+        """Ids of lead and each chunk. Plain chunks go in one text, between line feeds, which are ids of their own there.
+
+        What is white, and after a lead would be part of a longer run, is left out and returned.
+        """
+        rest = chunks
         if self.direct:
-            plain = [c for c in rest if _PLAIN(c)]
+            plain = [c for c in chunks if (c.isascii() and c.isalnum()) or _PLAIN(c)]
             if plain:
-                ids = np.array(self.direct("\n".join([lead + c for c in plain])), dtype="<u4")
+                ids = np.array(self.direct(lead + f"\n{lead}".join(plain)), dtype="<u4")
                 marks = np.flatnonzero(ids == self.line_feed)
                 data, starts, ends = ids.tobytes(), [0, *(4 * (marks + 1)).tolist()], [*(4 * marks).tolist(), 4 * len(ids)]
-                known.update(zip(plain, [data[a:b] for a, b in zip(starts, ends, strict=True)], strict=True))
-                rest = [c for c in rest if c not in known]
+                known.update(zip(plain, map(data.__getitem__, map(slice, starts, ends)), strict=True))
+                rest = chunks.difference(plain)
             lines = [(c, c.split("\n")) for c in rest if "\n" in c]
             lines = [(c, p) for c, p in lines if all(map(_PLAIN, p))]  # single line feeds between plain chunks stand alone
             if lines:
@@ -116,9 +123,12 @@ class Encoder:
                 self._learn({x for _, p in lines for x in p[1:]} - self.bare.keys(), self.bare, "")
                 feed = array("I", [self.line_feed]).tobytes()
                 known.update((c, feed.join([known[p[0]], *(self.bare[x] for x in p[1:])])) for c, p in lines)
-                rest = [c for c in rest if c not in known]
+                rest = rest.difference(c for c, _ in lines)
+        odd = {c for c in rest if not c or c.isspace()} if lead else set()
+        rest = list(rest - odd)
         for k in range(0, len(rest), 20_000):
             known.update(zip(rest[k : k + 20_000], self._plain([lead + c for c in rest[k : k + 20_000]]), strict=True))
+        return odd
 
     def _uneven(self, text: str) -> bytes:
         """Ids of a text with runs of white space: it is cut only between two visible characters."""
@@ -130,6 +140,14 @@ class Encoder:
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.chunked:
             return self._plain(texts)
+        out = [array("I", self.direct(t)).tobytes() if self.direct and _WHOLE(t) and not any(x in t for x in self.special) else None for t in texts]
+        rest = [k for k, ids in enumerate(out) if ids is None]
+        if rest:
+            for k, ids in zip(rest, self._by_chunks([texts[k] for k in rest]), strict=True):
+                out[k] = ids
+        return out
+
+    def _by_chunks(self, texts: list[str]) -> list[bytes]:
         parts = [text.split(" ") for text in texts]
         heads, tails = [p[0] for p in parts], [p[1:] for p in parts]
         now = set().union(*tails)
@@ -138,8 +156,7 @@ class Encoder:
             self.known.clear()
             self.bare.clear()
             new = now
-        odd = {c for c in new if not c or c.isspace()}
-        self._learn(new - odd, self.known, " ")
+        odd = self._learn(new, self.known, " ")
         self._learn({h for h in heads if h and h not in self.bare}, self.bare, "")
         get, first = self.known.__getitem__, self.bare
         return [(first[h] if h else b"") + b"".join(map(get, t)) if not odd or odd.isdisjoint(t) else self._uneven(text) for text, h, t in zip(texts, heads, tails, strict=True)]
