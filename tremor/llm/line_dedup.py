@@ -27,8 +27,9 @@ from tremor.session import ship, stored, table
 SHINGLE, SIMILARITY, BANDS, ROWS = 8, 0.8, 16, 5
 #: Lines of a bucket that are compared in one task, of one whose list of members is compared with other lists, and characters whose minima are taken at a time.
 BUCKET, FEW, SLICE = 1024, 64, 1 << 18
+#: Bytes of shingle sets that a task remembers.
+SETS = 64 << 20
 WHITE = " \t\n\x0b\x0c\r"
-_EDGE = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 _rng = np.random.default_rng(20_240)
 _MULTIPLY = _rng.integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _FLIP = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
@@ -38,7 +39,7 @@ def numbered(docs: DataFrame) -> DataFrame:
     """uid, doc_id, place, line: every line that is not blank, trimmed."""
     lines = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     lines = lines.select("uid", "doc_id", F.posexplode(F.split("text", "\n")).alias("place", "line"))
-    return lines.withColumn("line", F.regexp_replace("line", _EDGE, "")).filter("line <> ''")
+    return lines.withColumn("line", F.trim(F.col("line"), F.lit(WHITE))).filter("line <> ''")
 
 
 def _shingles(points: np.ndarray) -> np.ndarray:
@@ -103,47 +104,66 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(np.asarray(batch.column(0)), BANDS))], names=["bucket", "node"])
 
 
-def _link(base: list[tuple[int, str]], query: list[tuple[int, str]], within: bool, similarity: float) -> list[tuple[int, int]]:
-    """Links of a spanning forest of the pairs (query, base), and with within of the pairs inside base, that are alike."""
-    every = base + query
-    sets = [shingle_set(line) for _, line in every]
-    root = list(range(len(every)))
+class _Links:
+    """Links of a spanning forest, over the buckets of one task: what earlier ones connected is not compared again."""
 
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
+    def __init__(self, similarity: float):
+        self.similarity = similarity
+        self.root: dict[int, int] = {}
+        self.sets: dict[int, np.ndarray] = {}
+        self.size = 0
+
+    def find(self, x: int) -> int:
+        root = self.root
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root.setdefault(up, up)
         return x
 
-    out = []
-    for k in range(0 if within else len(base), len(every)):
-        for j in range(min(k, len(base))):
-            a, b = len(sets[j]), len(sets[k])
-            if min(a, b) >= similarity * max(a, b) and find(j) != find(k) and jaccard(sets[j], sets[k]) >= similarity:
-                root[find(k)] = find(j)
-                out.append((every[k][0], every[j][0]))
-    return out
+    def shingles(self, node: int, line: str) -> np.ndarray:
+        found = self.sets.get(node)
+        if found is None:
+            found = self.sets[node] = shingle_set(line)
+            self.size += found.nbytes
+        return found
+
+    def add(self, base: list[tuple[int, str]], query: list[tuple[int, str]], within: bool) -> list[tuple[int, int]]:
+        """New links among the pairs (query, base), and with within among those inside base, that are alike."""
+        if self.size > SETS or len(self.root) > SETS >> 6:  # forgetting costs comparisons, no links
+            self.sets.clear()
+            self.root.clear()
+            self.size = 0
+        out, every = [], base + query
+        for k in range(0 if within else len(base), len(every)):
+            for j in range(min(k, len(base))):
+                a, b = every[k], every[j]
+                if self.find(a[0]) == self.find(b[0]):
+                    continue
+                x, y = self.shingles(*a), self.shingles(*b)
+                if min(len(x), len(y)) >= self.similarity * max(len(x), len(y)) and jaccard(x, y) >= self.similarity:
+                    self.root[self.find(a[0])] = self.find(b[0])
+                    out.append((a[0], b[0]))
+        return out
 
 
 def _verify(similarity: float):
     """Buckets in sorted batches, to links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, base, query = None, [], []
+        links, now, base, query = _Links(similarity), None, [], []
 
-        def links() -> pa.RecordBatch:
-            found = _link(base, query, now[1] == now[2], similarity)
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        def found() -> pa.RecordBatch:
+            new = links.add(base, query, now[1] == now[2])
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in new], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
             for bucket, i, j, is_base, node, line in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if (bucket, i, j) != now:
                     if now is not None:
-                        yield links()
+                        yield found()
                     now, base, query = (bucket, i, j), [], []
                 (base if is_base else query).append((node, line))
         if now is not None:
-            yield links()
+            yield found()
 
     return run
 
@@ -155,15 +175,17 @@ def alike(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     buckets = stored(buckets.selectExpr("*", "count(*) OVER (PARTITION BY bucket) AS n").filter("n > 1"), "buckets")
     # alike lines share most of their buckets: equal lists of members are compared once
     few = buckets.filter(F.col("n") <= FEW).groupBy("bucket").agg(F.sort_array(F.collect_list("node")).alias("members")).select("members").distinct()
-    few = few.select(F.xxhash64("members").alias("bucket"), F.explode("members").alias("node"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(True).alias("base")).select("bucket", "node", "i", "j", "base")
+    # lists with the same first member go to one task
+    number = F.pmod(F.xxhash64("members"), F.lit((1 << 31) - 1)).cast("int")
+    few = few.select(F.element_at("members", 1).alias("bucket"), number.alias("i"), F.explode("members").alias("node")).select("bucket", "node", "i", F.col("i").alias("j"), F.lit(True).alias("base"), F.lit(0).cast("long").alias("deal"))
     buckets = buckets.filter(F.col("n") > FEW)
     blocks = F.ceil(F.col("n") / BUCKET).cast("int")
     buckets = buckets.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
     base = F.transform(F.sequence("own", F.col("blocks") - 1), lambda j: F.struct(F.col("own").alias("i"), j.alias("j"), F.lit(True).alias("base")))
     query = F.transform(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: i < F.col("own")), lambda i: F.struct(i.alias("i"), F.col("own").alias("j"), F.lit(False).alias("base")))
-    tasks = buckets.select("bucket", "node", F.explode(F.concat(base, query)).alias("t")).select("bucket", "node", "t.i", "t.j", "t.base").unionByName(few)
-    tasks = tasks.join(lines.select("node", "line"), "node").select("bucket", "i", "j", "base", "node", "line")
-    return tasks.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node").mapInArrow(_verify(similarity), "a long, b long")
+    tasks = buckets.select("bucket", "node", F.explode(F.concat(base, query)).alias("t")).select("bucket", "node", "t.i", "t.j", "t.base", F.xxhash64("t.i", "t.j").alias("deal")).unionByName(few)
+    tasks = tasks.join(lines.select("node", "line"), "node").select("bucket", "i", "j", "base", "node", "line", "deal")
+    return tasks.repartition("bucket", "deal").sortWithinPartitions("bucket", "i", "j", "node").drop("deal").mapInArrow(_verify(similarity), "a long, b long")
 
 
 def decide(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
