@@ -149,8 +149,8 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], *keep: str) ->
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(lang, pa.string()), pa.array(p, pa.float64())], names=[*keep, "lang_pred", "score"])
 
     kept = docs.select(F.col("text").cast("string").alias("__text"), *[F.col(f"`{k}`") for k in keep])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[1:])
-    return kept.mapInArrow(score, f"{schema}, lang_pred string, score double")
+    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[1:]]
+    return kept.mapInArrow(score, ", ".join([*schema, "lang_pred string", "score double"]))
 
 
 def learnable(docs: DataFrame) -> DataFrame:
