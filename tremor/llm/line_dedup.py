@@ -107,8 +107,8 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class _Links:
     """Links of a spanning forest, over the buckets of one task: what earlier ones connected is not compared again."""
 
-    def __init__(self, similarity: float):
-        self.similarity = similarity
+    def __init__(self, similarity: float, shingle_set=shingle_set):
+        self.similarity, self.shingle_set = similarity, shingle_set
         self.root: dict[int, int] = {}
         self.sets: dict[int, np.ndarray] = {}
         self.size = 0
@@ -122,7 +122,7 @@ class _Links:
     def shingles(self, node: int, line: str) -> np.ndarray:
         found = self.sets.get(node)
         if found is None:
-            found = self.sets[node] = shingle_set(line)
+            found = self.sets[node] = self.shingle_set(line)
             self.size += found.nbytes
         return found
 
@@ -145,11 +145,11 @@ class _Links:
         return out
 
 
-def _verify(similarity: float):
+def _verify(similarity: float, shingle_set=shingle_set):
     """Buckets in sorted batches, to links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        links, now, base, query = _Links(similarity), None, [], []
+        links, now, base, query = _Links(similarity, shingle_set), None, [], []
 
         def found() -> pa.RecordBatch:
             new = links.add(base, query, now[1] == now[2])
@@ -171,7 +171,11 @@ def _verify(similarity: float):
 def alike(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Links (a, b) between the nodes of lines (node, line): enough to connect all lines that are alike."""
     ship(lines.sparkSession)
-    buckets = lines.select("node", "line").mapInArrow(_keys, "bucket long, node long")
+    return linked(lines.select("node", "line").mapInArrow(_keys, "bucket long, node long"), lines, similarity)
+
+
+def linked(buckets: DataFrame, lines: DataFrame, similarity: float, shingle_set=shingle_set) -> DataFrame:
+    """Links (a, b) between the nodes of lines (node, line) that share a bucket of buckets (bucket, node) and are alike."""
     buckets = stored(buckets.selectExpr("*", "count(*) OVER (PARTITION BY bucket) AS n").filter("n > 1"), "buckets")
     # alike lines share most of their buckets: equal lists of members are compared once
     few = buckets.filter(F.col("n") <= FEW).groupBy("bucket").agg(F.sort_array(F.collect_list("node")).alias("members")).select("members").distinct()
@@ -185,7 +189,7 @@ def alike(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     query = F.transform(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: i < F.col("own")), lambda i: F.struct(i.alias("i"), F.col("own").alias("j"), F.lit(False).alias("base")))
     tasks = buckets.select("bucket", "node", F.explode(F.concat(base, query)).alias("t")).select("bucket", "node", "t.i", "t.j", "t.base", F.xxhash64("t.i", "t.j").alias("deal")).unionByName(few)
     tasks = tasks.join(lines.select("node", "line"), "node").select("bucket", "i", "j", "base", "node", "line", "deal")
-    return tasks.repartition("bucket", "deal").sortWithinPartitions("bucket", "i", "j", "node").drop("deal").mapInArrow(_verify(similarity), "a long, b long")
+    return tasks.repartition("bucket", "deal").sortWithinPartitions("bucket", "i", "j", "node").drop("deal").mapInArrow(_verify(similarity, shingle_set), "a long, b long")
 
 
 def decide(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
