@@ -188,3 +188,10 @@ def test_chains(spark):
     table = frame(spark, "ord int, full string, handler string", (0, "/x/", "views.pay"))
     got = impact.endpoint_chain(calls, table, frame(spark, "src string, dst string", ("pay", "charge"))).collect()
     assert {(r.url, r.callee, r.hop) for r in got} == {("/x/", "pay", 0), ("/x/", "charge", 1)}
+
+
+def test_template_chain_is_whole_and_drops_cycles(spark):
+    chain = [(f"t{k}.html", [f"t{k - 1}.html"], []) for k in range(1, 26)] + [("a.html", ["c.html"], []), ("b.html", ["a.html"], []), ("c.html", ["b.html"], [])]
+    graph = spark.createDataFrame(chain, "template_name string, extends array<string>, assets array<string>")
+    got = {(r.template, r.child, r.kind) for r in impact.template_chain(frame(spark, "template string", ("t0.html",), ("a.html",)), graph, frame(spark, USAGE, usage("v.py", 1, "x", "str"))).collect()}
+    assert got == {("t0.html", "t1.html", "extends"), ("a.html", "b.html", "extends")} | {("t0.html", f"t{k}.html", "transitive") for k in range(2, 26)}

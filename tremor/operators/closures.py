@@ -30,12 +30,13 @@ def reach(edges: DataFrame, seeds: DataFrame, hops: int | None = None, nodes: in
     return known
 
 
-def reach_from_each(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
-    """seed, node, hop: what each seed reaches by itself, from many seeds at once."""
+def reach_from_each(edges: DataFrame, seeds: DataFrame, hops: int | None = None) -> DataFrame:
+    """seed, node, hop: what each seed reaches by itself, from many seeds at once; all of it without hops."""
     edges = edges.select("src", "dst").distinct()
     known = stored(seeds.select(F.col("node").alias("seed"), "node").distinct().withColumn("hop", F.lit(0)), "reach")
-    frontier = known
-    for hop in range(1, hops + 1):
+    frontier, hop = known, 0
+    while hops is None or hop < hops:
+        hop += 1
         new = frontier.select("seed", F.col("node").alias("src")).join(edges, "src").select("seed", F.col("dst").alias("node")).distinct()
         frontier = stored(new.join(known.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("hop", F.lit(hop)), "reach")
         if frontier.isEmpty():

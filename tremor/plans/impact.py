@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tremor.functions import paths
 from tremor.operators import binding, closures, routes, scoring
+from tremor.session import stored
 
 ROW = ("seq", "path", "module", "category", "ref", "line", "entity", "deleted", "tier", "confidence", "ctx_qname")
 
@@ -52,10 +53,12 @@ def compose(rows: DataFrame, changed: DataFrame, files: DataFrame, rules: DataFr
 
 
 def template_chain(changed_templates: DataFrame, graph: DataFrame, usages: DataFrame) -> DataFrame:
-    """template, child, kind: direct children, transitive ones, and render sites of changed templates (template)."""
+    """template, child, kind: direct children, transitive ones (none of a template on a cycle), and render sites of changed templates (template)."""
     edges = graph.select(F.explode("extends").alias("src"), F.col("template_name").alias("dst"))
     direct = edges.join(changed_templates.select(F.col("template").alias("src")), "src").select(F.col("src").alias("template"), F.col("dst").alias("child"), F.lit("extends").alias("kind"))
-    far = closures.reach_from_each(edges, changed_templates.select(F.col("template").alias("node")), hops=20).filter("hop > 1").select(F.col("seed").alias("template"), F.col("node").alias("child"), F.lit("transitive").alias("kind"))
+    reached = stored(closures.reach_from_each(edges, changed_templates.select(F.col("template").alias("node"))), "templates")
+    cyclic = reached.join(edges, (F.col("node") == F.col("src")) & (F.col("seed") == F.col("dst"))).select("seed").distinct()
+    far = reached.filter("hop > 1").join(cyclic, "seed", "left_anti").select(F.col("seed").alias("template"), F.col("node").alias("child"), F.lit("transitive").alias("kind"))
     far = far.join(direct.select("template", "child"), ["template", "child"], "left_anti")
     sites = binding.render_sites(usages, changed_templates).select("template", F.col("path").alias("child"), F.when(F.col("certain"), "render").otherwise("literal").alias("kind"))
     return direct.unionByName(far).unionByName(sites)
