@@ -94,3 +94,18 @@ def test_little_padding_and_blocks(monkeypatch):
         used[r["sequence_id"]] += r["length"]
     padding = sum(0 if n & (n - 1) == 0 else 2048 - n for n in used.values())
     assert padding < 0.005 * total
+
+
+def test_every_sentence_end_is_a_cut_point(tokenizer):
+    encode = op.Encoder(op.default_tokenizer())
+    latin = "One. Two three? Four five six! Seven.\n" * 20
+    ids = np.array(tokenizer.encode(latin, add_special_tokens=False).ids, dtype="<u4")
+    pos, penalty = op.cut_points(ids, np.array([len(ids)]), encode.sentence_end, encode.tails)
+    ends = {k + 1 for k, i in enumerate(ids) if tokenizer.id_to_token(int(i))[-1] in ".?!Ċ"}
+    assert len(ends) >= 80 and ends <= set(pos[penalty <= op.SENTENCE].tolist())
+    for stop in op.STOPS:
+        text = f"漢字{stop}कखग {stop}é字 " * 8
+        ids = np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        pos, penalty = op.cut_points(ids, np.array([len(ids)]), encode.sentence_end, encode.tails)
+        want = {k + 1 for k in range(len(ids)) if tokenizer.decode(ids[: k + 1].tolist()).endswith(stop)} | {len(ids)}
+        assert len(want) == 17 and set(pos[penalty <= op.SENTENCE].tolist()) == want

@@ -1,7 +1,7 @@
 """Order-preserving packing by dynamic programming over cut points.
 
 Documents of a partition follow each other in order as one stream of token ids. Cut points are document ends (free),
-sentence ends (a small penalty) and, where neither is near, single forced points (a larger one); besides, a window may
+sentence ends (a small penalty; every one is a cut point, in any script) and, where neither is near, single forced points (a larger one); besides, a window may
 run full and be cut anywhere at that larger penalty, up to RUNS times before the next cut point. With f(i) the least
 padding plus penalties of all windows up to cut point i,
 
@@ -34,8 +34,10 @@ from pyspark.sql import functions as F
 from tremor.session import ship, table
 
 LENGTH, END_ID = 2048, 1
-#: Penalties in padding tokens, full windows in a row, tokens between sentence cut points at least, between forced ones, and the stream's block.
-SENTENCE, HARD, RUNS, GAP, FORCED, BLOCK_TOKENS = 1, 6, 2, 32, 64, 1 << 19
+#: Penalties in padding tokens, full windows in a row, tokens between forced cut points, and the stream's block.
+SENTENCE, HARD, RUNS, FORCED, BLOCK_TOKENS = 1, 6, 2, 64, 1 << 19
+#: Sentence ends beyond ASCII. Their bytes may lie in more than one token.
+STOPS = "。．！？｡։؟۔܀।॥།༎။።፧፨។៕᠃᠉‼⁇⁈⁉"
 #: Windows of these lengths are not padded, inside a stream; its end may use every power of two.
 POWERS = (128, 256, 512, 1024)
 #: Chunks of text whose ids a worker remembers, and characters encoded at a time.
@@ -75,6 +77,32 @@ def _direct(spec: dict):
     return tiktoken.Encoding("plain", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
 
 
+def _tails(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(last bytes as a number, how many they are: 3 at most) of each byte-level token."""
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # bytes that stand for themselves
+    byte_of = {chr(b): b for b in kept} | {chr(0x100 + k): b for k, b in enumerate(b for b in range(256) if b not in kept)}
+    assert byte_of.keys() == set(ByteLevel.alphabet())
+    last = [bytes(byte_of.get(c, 0) for c in t[-3:]) for t in tokens]
+    return np.array([int.from_bytes(b, "big") for b in last], np.uint32), np.array([len(b) for b in last], np.uint32)
+
+
+def stop_ends(ids: np.ndarray, tails: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Whether each token ends with one of STOPS, whose first bytes may stand in the tokens before."""
+    at = np.minimum(ids, len(tails[0]) - 1)
+    own, size = tails[0][at], tails[1][at]
+    value, have = own.copy(), size.copy()
+    for k in (1, 2):
+        value[k:] |= np.where(have[k:] < 3, own[:-k] << (8 * np.minimum(have[k:], 3)), 0)
+        have[k:] += size[:-k]
+    stops = [s.encode() for s in STOPS]
+    found = np.zeros(len(ids), bool)
+    for n in (2, 3):
+        found |= np.isin(value & np.uint32((1 << 8 * n) - 1), np.array([int.from_bytes(s, "big") for s in stops if len(s) == n], np.uint32))
+    return found
+
+
 class Encoder:
     """Ids of whole texts. A byte-level tokenizer never joins a space to what stands before it, so texts are cut
     before single spaces and the ids of each chunk are remembered; texts and chunks of plain characters take the quicker way."""
@@ -98,6 +126,7 @@ class Encoder:
         size = self.tokenizer.get_vocab_size()
         ends = re.compile(r"[.!?Ċ][\"')\]]*$")
         self.sentence_end = np.array([bool(ends.search(self.tokenizer.id_to_token(i) or "")) for i in range(size)])
+        self.tails = _tails([self.tokenizer.id_to_token(i) or "" for i in range(size)]) if pre.get("type") == "ByteLevel" else None
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -172,12 +201,11 @@ def encoder(path: str | None) -> Encoder:
     return _ENCODERS[path]
 
 
-def cut_points(ids: np.ndarray, doc_ends: np.ndarray, sentence_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def cut_points(ids: np.ndarray, doc_ends: np.ndarray, sentence_end: np.ndarray, tails: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Positions (ascending, without 0, the last is the end) and the penalty of a cut at each."""
     n = len(ids)
-    at = np.flatnonzero(sentence_end[np.minimum(ids, len(sentence_end) - 1)]) + 1
-    if len(at):
-        at = at[np.concatenate(([True], np.diff(at // GAP) > 0))]
+    ends = sentence_end[np.minimum(ids, len(sentence_end) - 1)]
+    at = np.flatnonzero(ends if tails is None else ends | stop_ends(ids, tails)) + 1
     pos = np.union1d(at, np.append(doc_ends, n))
     pos = pos[pos > 0]
     gaps = np.diff(np.concatenate(([0], pos)))
@@ -243,8 +271,8 @@ def best_cuts(pos: np.ndarray, penalty: np.ndarray, length: int = LENGTH, whole:
 class Packer:
     """Takes documents in order and gives pieces; sequence numbers begin at first."""
 
-    def __init__(self, sentence_end: np.ndarray, first: int):
-        self.sentence_end, self.sequence = sentence_end, first
+    def __init__(self, sentence_end: np.ndarray, first: int, tails: tuple[np.ndarray, np.ndarray] | None = None):
+        self.sentence_end, self.sequence, self.tails = sentence_end, first, tails
         self.docs: list[tuple] = []  # doc_id, tokens of the whole document, start of what is here, ids as bytes
         self.tokens = 0
 
@@ -259,7 +287,7 @@ class Packer:
         ids = np.frombuffer(data, dtype="<u4")
         sizes = np.array([len(d[3]) // 4 for d in self.docs], dtype=np.int64)
         ends = np.cumsum(sizes)
-        cuts, _ = best_cuts(*cut_points(ids, ends, self.sentence_end), whole=last) if len(ids) else ([], 0)
+        cuts, _ = best_cuts(*cut_points(ids, ends, self.sentence_end, self.tails), whole=last) if len(ids) else ([], 0)
         if last and cuts:
             rest = cuts[-1] - (begin := cuts[-2] if len(cuts) > 1 else 0)
             bits = [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
@@ -296,7 +324,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
-        packer = Packer(encode.sentence_end, TaskContext.get().partitionId() << 36)
+        packer = Packer(encode.sentence_end, TaskContext.get().partitionId() << 36, encode.tails)
         end = np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
             doc_ids, texts, k = batch.column(0).to_pylist(), batch.column(1), 0
