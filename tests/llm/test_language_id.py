@@ -43,3 +43,14 @@ def test_empty_and_long(spark, monkeypatch):
     whole = np.sort(np.concatenate(list(op.buckets(text))))
     monkeypatch.setattr(op, "SLICE", 100)
     assert (np.sort(np.concatenate(list(op.buckets(text)))) == whole).all()
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    rows = [(4 * k + j, f"{chr(0x4E00 + k) * 3} {chr(0x5E00 + k) * 2}", f"l{k:03}", "s", 0, 5, 0.5, 9, 3) for k in range(300) for j in range(4)]
+    docs = data.documents(spark, rows)
+    model = op.train(docs.select("doc_id", "text", "lang"))
+    assert model[0] == [f"l{k:03}" for k in range(300)] and np.allclose(np.exp(model[1][:, :-1].astype(float)).sum(axis=1), 1, atol=1e-3)
+    got = op.predict(docs, model, "lang").collect()
+    assert sum(r.lang == r.lang_pred for r in got) >= 0.98 * len(got)
+    monkeypatch.setattr(op, "SAMPLE_DOCS", 3)  # rows of a language stay the one bound
+    assert op.train(docs.select("doc_id", "text", "lang"))[0] == model[0]

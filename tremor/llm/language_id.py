@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from tremor.session import ship, table
 
 ORDERS, BUCKET_BITS, SMOOTHING = (2, 3), 16, 0.5
-#: Labelled documents of a language that are learned from (about), and languages at most (those with most documents).
-SAMPLE_DOCS, LANGUAGES = 3_000, 256
+#: Labelled documents of a language that are learned from (about).
+SAMPLE_DOCS = 3_000
 UNKNOWN = "und"
 #: Characters that are scored at a time.
 SLICE = 1 << 20
@@ -86,16 +86,17 @@ def held_out(doc_id: Column) -> Column:
 def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     """(languages, log probabilities: a row per language, a column per bucket and last the log prior).
 
-    labelled: doc_id, text, lang. Only language x bucket sums come to the driver: at most LANGUAGES x 2**BUCKET_BITS.
+    labelled: doc_id, text, lang. Every language is learned; only language x bucket sums come to the driver, and the matrix has 256 KB a language.
     """
     ship(labelled.sparkSession)
     labelled = labelled.filter("lang IS NOT NULL AND doc_id IS NOT NULL")
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     names = sorted(sizes)
     if not names:
         return [], np.zeros((0, (1 << BUCKET_BITS) + 1), np.float32)
     draw = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30))
-    keep = F.coalesce(*[F.when(F.col("lang") == n, draw < int(min(1.0, SAMPLE_DOCS / sizes[n]) * (1 << 30))) for n in names], F.lit(False))
+    below = F.create_map(*[F.lit(x) for n in names if sizes[n] > SAMPLE_DOCS for x in (n, int(SAMPLE_DOCS / sizes[n] * (1 << 30)))]) if max(sizes.values()) > SAMPLE_DOCS else None
+    keep = F.lit(True) if below is None else F.coalesce(draw < below[F.col("lang")], F.lit(True))
     number = {n: k for k, n in enumerate(names)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,12 +111,16 @@ def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(at.astype(np.int32)), pa.array(s[at])], names=["k", "bucket", "n"])
 
     gathered = labelled.filter(keep).select("lang", "text").mapInArrow(count, "k int, bucket int, n long").groupBy("k", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros((len(names), 1 << BUCKET_BITS), np.float64)
-    counts[np.asarray(gathered["k"]), np.asarray(gathered["bucket"])] = np.asarray(gathered["n"])
-    counts += SMOOTHING
-    log = np.log(counts) - np.log(counts.sum(axis=1, keepdims=True))
-    prior = np.log(np.array([sizes[n] for n in names], np.float64) / sum(sizes.values()))
-    return names, np.concatenate((log, prior[:, None]), axis=1).astype(np.float32)
+    k, bucket, n = (np.asarray(gathered[c]) for c in ("k", "bucket", "n"))
+    order = np.argsort(k, kind="stable")
+    ends = np.searchsorted(k[order], np.arange(len(names) + 1))
+    matrix = np.empty((len(names), (1 << BUCKET_BITS) + 1), np.float32)
+    for row, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+        counts = np.full(1 << BUCKET_BITS, SMOOTHING)
+        counts[bucket[order[a:b]]] += n[order[a:b]]
+        matrix[row, :-1] = np.log(counts) - np.log(counts.sum())
+    matrix[:, -1] = np.log(np.array([sizes[x] for x in names], np.float64) / sum(sizes.values()))
+    return names, matrix
 
 
 def posterior(text: str | None, matrix: np.ndarray) -> np.ndarray | None:
