@@ -56,3 +56,17 @@ def test_index_gives_every_code_within_the_radius():
     for radius in (0, 3, 40, 55, 128):
         want = np.bitwise_count(code[None] ^ query[:, None]).sum(axis=2) <= radius
         assert (op.Index(code).within(query, radius) == want).all()
+
+
+def test_every_length_is_searched(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, rng.normal(size=24 if k % 3 else 10 if k % 2 else 3).tolist()) for k in range(400)]
+    found = {}
+    for r in op.nearest(table(spark, rows), "vec_id % 50 = 0", 5).collect():
+        found.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert found.keys() == {0, 50, 100, 150, 200, 250, 300, 350}
+    hits = 0
+    for q, got in found.items():
+        assert len(got) == 5 and all(len(rows[v][1]) == len(rows[q][1]) for _, v, _ in got)
+        hits += len({v for _, v, _ in got} & {v for v, _ in brute([r for r in rows if len(r[1]) == len(rows[q][1])], 5)[q][0]})
+    assert hits >= 0.95 * 5 * len(found)

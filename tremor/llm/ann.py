@@ -5,10 +5,10 @@ of them give 128-bit codes. A code is split into 8 substrings, each indexed; of
 one substring pair lies within the radius over 8, so probing every indexed value within that retrieves every code in
 the radius. Retrieved codes are checked in full and their vectors reranked by cosine in double precision. The radius is
 the code distance that holds nearly all true neighbours in the sample, whose neighbours are farther than those of the
-whole table. Every vector is indexed: the table is cut into blocks with an index each, and blocks of queries visit them.
+whole table. Vectors of each length have a model and a search of their own. Every vector is indexed: the table is cut into blocks with an index each, and blocks of queries visit them.
 
-Defined results: vectors that are null, empty, zero, of another length than most, or that hold null or non-finite
-components take no part, as queries or candidates; a block that holds fewer than k codes within the radius gives its
+Defined results: vectors that are null, empty, zero, or that hold null or non-finite components take no part, as queries
+or candidates; vectors are neighbours of those of their own length only; a block that holds fewer than k codes within the radius gives its
 nearest by code and cosine all the same, so a query gets k neighbours if there are as many; equal scores go to the smaller vec_id,
 null last; repeated rows are separate candidates; an empty table gives an empty result; extra columns are not read.
 """
@@ -67,13 +67,9 @@ def encode(vectors: np.ndarray, model: list[tuple[np.ndarray, np.ndarray]]) -> n
     return np.concatenate([np.packbits((unit - m) @ p > 0, axis=1, bitorder="little").view("<u8") for m, p in model], axis=1)
 
 
-def fit(vectors: DataFrame, k: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], int, int] | None:
-    """(model, radius, length of a vector), from about SAMPLE vectors; None if there is none."""
-    sizes = vectors.groupBy(F.size("embedding").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
-    if not sizes:
-        return None
-    d, n = sizes[0]["d"], sizes[0]["n"]
-    drawn = vectors.filter(F.size("embedding") == d)
+def fit(vectors: DataFrame, n: int, k: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
+    """(model, radius) of n vectors of one length, from about SAMPLE of them."""
+    drawn = vectors
     if n > SAMPLE:
         drawn = drawn.filter(F.pmod(F.xxhash64(F.lit("sample"), "vec_id", "uid"), F.lit(1 << 30)) < int(SAMPLE / n * (1 << 30)))
     x = _matrix(drawn.orderBy("vec_id", "uid").select("embedding").toArrow()["embedding"])
@@ -88,7 +84,7 @@ def fit(vectors: DataFrame, k: int) -> tuple[list[tuple[np.ndarray, np.ndarray]]
         top = np.argpartition(-s, min(k, len(s) - 1))[: min(k, len(s) - 1)]
         near.append(np.bitwise_count(code[top] ^ code[q]).sum(axis=1))
     near = np.concatenate(near) if near else np.zeros(0)
-    return model, int(np.quantile(near, HOLD)) if len(near) else 64 * CODES, d
+    return model, int(np.quantile(near, HOLD)) if len(near) else 64 * CODES
 
 
 class Index:
@@ -152,14 +148,21 @@ def nearest(vectors: DataFrame, queries: str, k: int) -> DataFrame:
     spark = vectors.sparkSession
     ship(spark)
     rows = stored(usable(vectors), "vectors")
-    fitted = fit(rows, k)
-    schema = "query_id long, rank int, vec_id long, score double"
-    if fitted is None:
-        return spark.createDataFrame([], schema)
-    model, radius, d = fitted
-    rows = rows.filter(F.size("embedding") == d)
     asked = rows.filter(F.col("vec_id") != _NULL_ID).filter(queries)
-    blocks, query_blocks = max(1, math.ceil(rows.count() / BLOCK)), max(1, math.ceil(asked.count() / QUERIES))
+    number = {r["d"]: r["n"] for r in asked.groupBy(F.size("embedding").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    out = None
+    for d, n in sorted((r["d"], r["n"]) for r in rows.groupBy(F.size("embedding").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()):
+        if n > 1 and d in number:  # a vector that is alone, or that nothing asks for, has no result
+            same = F.size("embedding") == d
+            found = _nearest_of_length(rows.filter(same), n, asked.filter(same), number[d], k)
+            out = found if out is None else out.unionByName(found)
+    return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double") if out is None else out
+
+
+def _nearest_of_length(rows: DataFrame, n_rows: int, asked: DataFrame, n_asked: int, k: int) -> DataFrame:
+    """nearest() for n_rows vectors of one length and n_asked queries among them."""
+    model, radius = fit(rows, n_rows, k)
+    blocks, query_blocks = max(1, math.ceil(n_rows / BLOCK)), max(1, math.ceil(n_asked / QUERIES))
     draw = lambda n: F.pmod(F.xxhash64("uid"), F.lit(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     indexed = rows.select(draw(blocks).alias("block"), all_of(query_blocks).alias("asked"), "uid", "vec_id", "embedding")
