@@ -43,3 +43,22 @@ def test_lattice_and_schedule(spark):
         share = n / 22
         for k in range(1, 23):  # low discrepancy
             assert abs(sum(r[0] < k for r in own) - k * share) < 2
+
+
+def test_pipeline_emits_the_mix_in_the_order_of_the_schedule(spark, tmp_path):
+    import corpus_pipeline
+
+    # one block a document, so that slots and documents agree: 3 sources by weights 5, 2, 1
+    rows = [(k, "w " * 1024, None, "abc"[k % 3], 2048, 1, 0.0, 1, 1) for k in range(240)]
+    data.documents(spark, rows).repartition(3).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    mixed = op.mix(docs).collect()
+    assert all(len(r["slots"]) >= r["taken"] // 1024 for r in mixed)
+    slots = sorted(s for r in mixed for s in r["slots"])
+    assert slots == list(range(len(slots)))
+    order = {s: r["doc_id"] for r in mixed for s in r["slots"]}
+    got = [r.doc_id for r in corpus_pipeline.mixture(spark, docs, "").collect()]
+    assert got == [order[s] for s in slots]
+    for n in range(1, len(got) + 1):  # every prefix is near the targets
+        for j, w in enumerate((5, 2, 1)):
+            assert abs(sum(d % 3 == j for d in got[:n]) - n * w / 8) < 3

@@ -119,19 +119,20 @@ def laid_out(sizes: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, block: int = BLOCK) -> DataFrame:
-    """uid, doc_id, size, source_size, target, taken, partial: words the mix takes of each document.
+    """uid, doc_id, size, source_size, target, taken, partial, start, slots: words the mix takes of each document.
 
-    taken counts repeats; partial is what remains of it after whole uses, always the document's first words.
+    taken counts repeats; partial is what remains of it after whole uses, always the document's first words. Use k of a
+    document begins in slot slots[k] of the schedule, behind documents of smaller start.
     """
     sizes = stored(sized(docs), "sizes")
     sources = stored(targets(sizes, weights, epochs), "sources")
     placed = stored(laid_out(sizes, sources), "placed")
-    uses = schedule(sources, block).groupBy("ord", "block").agg(F.count(F.when(F.col("limit").isNull(), 1)).alias("whole"), F.coalesce(F.max("limit"), F.lit(0)).alias("cut"))
+    uses = schedule(sources, block).groupBy("ord", "block").agg(F.count(F.when(F.col("limit").isNull(), 1)).alias("whole"), F.coalesce(F.max("limit"), F.lit(0)).alias("cut"), F.sort_array(F.collect_list("slot")).alias("slots"))
     pieces = placed.filter("size > 0").select("uid", "ord", "start", "size", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))).alias("block"))
     pieces = pieces.selectExpr("uid", "ord", "block", f"greatest(start, block * {block}) - block * {block} AS a", f"least(start + size, (block + 1) * {block}) - block * {block} AS b")
-    taken = pieces.join(uses.hint("merge"), ["ord", "block"]).groupBy("uid").agg(F.sum(F.expr("whole * (b - a) + greatest(0, least(b, cut) - a)")).alias("taken"))
+    taken = pieces.join(uses.hint("merge"), ["ord", "block"]).groupBy("uid").agg(F.sum(F.expr("whole * (b - a) + greatest(0, least(b, cut) - a)")).alias("taken"), F.min(F.struct("block", "slots")).alias("first"))
     out = placed.join(taken, "uid", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
-    return out.select("uid", "doc_id", "size", "source_size", "target", "taken", F.when(F.col("size") > 0, F.expr("taken % size")).otherwise(0).alias("partial"))
+    return out.select("uid", "doc_id", "size", "source_size", "target", "taken", F.when(F.col("size") > 0, F.expr("taken % size")).otherwise(0).alias("partial"), "start", F.coalesce("first.slots", F.array().cast("array<long>")).alias("slots"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
