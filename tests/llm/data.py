@@ -21,9 +21,9 @@ def rows(seed: int = 7, n: int = 60) -> list[tuple]:
         out.append((k, text, lang, rng.choice(("s0", "s0", "s1", "ß2")), len(text)))
     base = words(rng, "aa", 120)
     extra = [
-        (100, None, "aa", "s0", None), (101, "", "bb", None, 0), (102, " \t\n", None, None, 3), (103, base, "aa", "s1", 0), (104, base, "aa", "s1", 0), (104, base, "aa", "s1", 0),
-        (105, base.replace(" ", "  \n", 5), "aa", "s0", 0), (106, base + " zz", "aa", "s0", 0), (None, base, "aa", None, 0), (None, None, None, None, None), (107, "12345 !!", "bb", "s1", 8),
-        (108, words(rng, "bb", 6000), "bb", "s0", 0), (109, "Ünï cödé ☃ " * 4, "cc", "s1", 0), (110, "x" * 9000, "cc", "late", 0), (111, "<|endoftext|> a  b   c d", "aa", "s1", 0),
+        (10000, None, "aa", "s0", None), (10001, "", "bb", None, 0), (10002, " \t\n", None, None, 3), (10003, base, "aa", "s1", 0), (10004, base, "aa", "s1", 0), (10004, base, "aa", "s1", 0),
+        (10005, base.replace(" ", "  \n", 5), "aa", "s0", 0), (10006, base + " zz", "aa", "s0", 0), (None, base, "aa", None, 0), (None, None, None, None, None), (10007, "12345 !!", "bb", "s1", 8),
+        (10008, words(rng, "bb", 6000), "bb", "s0", 0), (10009, "Ünï cödé ☃ " * 4, "cc", "s1", 0), (10010, "x" * 9000, "cc", "late", 0), (10011, "<|endoftext|> a  b   c d", "aa", "s1", 0),
     ]
     return [(*r, 5, 0.5, 9, 3) for r in out + extra]
 
