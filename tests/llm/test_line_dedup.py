@@ -2,9 +2,12 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 from tests.llm import data
 from tremor.llm import line_dedup as op
+from tremor.session import ship, stored
 
 
 def rows():
@@ -66,10 +69,79 @@ def test_against_brute_force(spark):
     assert op.dedup_lines(data.documents(spark, [])).count() == 0
 
 
-def test_blocks_of_a_large_bucket(spark, monkeypatch):
-    want = sorted(map(repr, op.dedup_lines(data.documents(spark, rows())).collect()))
-    monkeypatch.setattr(op, "BUCKET", 2)
-    assert sorted(map(repr, op.dedup_lines(data.documents(spark, rows())).collect())) == want
+def hot_rows():
+    """Many lines that are mostly alike, with some on the verge of it, in one hot bucket and across others."""
+    rng = random.Random(3)
+    base = data.words(rng, "aa", 40)
+    out = []
+    for k in range(90):
+        line = list(base)
+        for at in rng.sample(range(len(line)), rng.choice((0, 1, 2, 3, 3, 4))):
+            line[at] = rng.choice("xyz")
+        out.append((k, "".join(line) + "\n" + data.words(rng, "bb", 9), None, None, None, 1, 0.0, 1, 1))
+    return out
+
+
+def test_hot_buckets_lose_no_link(spark, monkeypatch):
+    """With tiny limits every bucket is divided, compared with a head, then block by block."""
+    all_rows = hot_rows()
+    want = sorted((r[0], sorted(brute(all_rows)[n])) for n, r in enumerate(all_rows))
+    for limits in ({}, {"FEW": 2, "BUCKET": 4, "OFTEN": 3}, {"FEW": 1, "BUCKET": 1, "OFTEN": 2}, {"FEW": 2, "BUCKET": 8, "OFTEN": 1 << 40}):
+        for name, value in limits.items():
+            monkeypatch.setattr(op, name, value)
+        got = sorted((r.doc_id, list(r.dropped)) for r in op.dedup_lines(data.documents(spark, all_rows)).collect())
+        assert got == want, limits
+
+
+def test_rows_of_a_hot_bucket_grow_with_it(spark, monkeypatch):
+    """All lines share a bucket and are alike: as many rows are compared as there are lines, but for a head a block."""
+    ship(spark)
+    monkeypatch.setattr(op, "BUCKET", 16)
+    monkeypatch.setattr(op, "FEW", 4)
+    line, seen = "the quick brown fox jumps over the lazy dog and does so again and again until it is tired ", []
+    for n in (200, 800):
+        lines = spark.createDataFrame([(k, line + str(k)) for k in range(n)], "node long, line string")
+        read = spark.sparkContext.accumulator(0)
+        keep = op._verify
+
+        def counted(similarity, shingle_set, known, read=read, keep=keep):
+            run = keep(similarity, shingle_set, known)
+
+            def counting(batches):
+                for b in batches:
+                    read.add(len(b))
+                    yield b
+
+            return lambda batches: run(counting(batches))
+
+        monkeypatch.setattr(op, "_verify", counted)
+        keys = stored(lines.select("node", F.array(F.lit(7).cast("long")).alias("keys")), "t")
+        links = op.linked(keys, lines, 0.8).collect()
+        monkeypatch.setattr(op, "_verify", keep)
+        assert len({x for r in links for x in r}) == n
+        seen.append(read.value / n)
+    assert seen[1] < 1.2 * seen[0] and seen[1] < 40
+
+
+def test_runs_over_batches():
+    """Runs that cross batches come out whole, whatever the batch length."""
+    rng = random.Random(4)
+    pairs = sorted((rng.choice((1, 1, 1, rng.randint(2, 400))), k) for k in range(900))
+    want = defaultdict(list)
+    for bucket, node in pairs:
+        want[bucket].append(node)
+    for size in (1, 2, 7, 64, 65, 900):
+        table = pa.table({"bucket": [p[0] for p in pairs], "node": [p[1] for p in pairs]})
+        lists, long = [], defaultdict(list)
+        for batch in op._runs(iter(table.to_batches(size))):
+            for r in batch.to_pylist():
+                if r["members"] is None:
+                    assert r["at"] == len(long[r["bucket"]])
+                    long[r["bucket"]].append(r["node"])
+                else:
+                    lists.append(r["members"])
+        assert sorted(lists) == sorted(x for x in want.values() if 1 < len(x) <= op.FEW)
+        assert long == {k: x for k, x in want.items() if len(x) > op.FEW}
 
 
 def test_band_keys_of_a_batch_are_those_of_each_line():

@@ -3,9 +3,9 @@
 Equal lines (after trimming ASCII white space) are one node. Every distinct line gets BANDS keys of ROWS minima each;
 lines that share a key meet in a bucket, where pairs that are not yet connected are compared by the exact Jaccard
 similarity of their shingle sets. A bucket gives a spanning forest of its links, so a bucket of alike lines costs about
-one comparison a line; buckets beyond BUCKET lines are cut into blocks that are compared pair by pair of blocks. At the
-least similarity 0.8 a pair shares a key with probability 1 - (1 - 0.8**5)**16 = 0.998. Of each component the first
-line (smallest doc_id, null last, then row and place) stays.
+one comparison a line; linked() tells how buckets beyond BUCKET lines are divided, so that a hot one is never sorted,
+held or paired off in one task. At the least similarity 0.8 a pair shares a key with probability
+1 - (1 - 0.8**5)**16 = 0.998. Of each component the first line (smallest doc_id, null last, then row and place) stays.
 
 Defined results: null text has no lines and stays null; blank lines stay and are never linked; lines shorter than a
 shingle are one shingle; repeated rows are separate documents, of which the first keeps its lines; null doc_ids come
@@ -22,17 +22,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremor.llm import graph
-from tremor.session import ship, stored, table
+from tremor.session import fixed, ship, stored, table
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 8, 0.8, 16, 5
-#: Lines of a bucket that are compared in one task, of one whose list of members is compared with other lists, and characters whose minima are taken at a time.
-BUCKET, FEW, SLICE = 1024, 64, 1 << 18
+#: Lines of a bucket that are compared in one go, of one whose list of members is compared with other lists, rows in a batch that make a bucket hot beforehand, and characters whose minima are taken at a time.
+BUCKET, FEW, OFTEN, SLICE = 1024, 64, 32, 1 << 16
 #: Bytes of shingle sets that a task remembers.
 SETS = 64 << 20
 WHITE = " \t\n\x0b\x0c\r"
 _rng = np.random.default_rng(20_240)
 _MULTIPLY = _rng.integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _FLIP = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
+_FURTHER = _rng.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64)
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -44,21 +45,35 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 def _shingles(points: np.ndarray) -> np.ndarray:
     """64-bit hash of the shingle at each position of a run of code points (positions near its end are cut off)."""
-    m = max(1, len(points) - SHINGLE + 1)
-    h = np.full(m, 0x9E3779B97F4A7C15, np.uint64)
+    if len(points) < SHINGLE:
+        points = np.concatenate((points, np.full(SHINGLE - len(points), 0xFFFFFFFF, np.uint64)))
+    h, width = points, 1
     with np.errstate(over="ignore"):
-        for k in range(min(SHINGLE, len(points))):
-            h = (h ^ points[k : k + m]) * np.uint64(0xBF58476D1CE4E5B9)
+        while width < SHINGLE:  # the hash of a run of 2n from those of its halves
+            h = (h[:-width] * np.uint64(0xBF58476D1CE4E5B9)) ^ h[width:]
+            h *= np.uint64(0x94D049BB133111EB)
             h ^= h >> np.uint64(29)
+            width *= 2
     return h
 
 
+def distinct(h: np.ndarray) -> np.ndarray:
+    """The distinct values, sorted."""
+    h = np.sort(h)
+    new = np.empty(len(h), bool)
+    new[:1] = True
+    np.not_equal(h[1:], h[:-1], out=new[1:])
+    return h[new]
+
+
 def shingle_set(line: str) -> np.ndarray:
-    return np.unique(_shingles(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)))
+    return distinct(_shingles(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)))
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    both = len(np.intersect1d(a, b, assume_unique=True))
+    both = np.concatenate((a, b))
+    both.sort()
+    both = np.count_nonzero(both[1:] == both[:-1])
     return both / (len(a) + len(b) - both)
 
 
@@ -100,17 +115,92 @@ def band_keys(lines: list[str]) -> np.ndarray:
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys = band_keys(batch.column(1).to_pylist()).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(np.asarray(batch.column(0)), BANDS))], names=["bucket", "node"])
+        keys = band_keys(batch.column(1).to_pylist()).view(np.int64).ravel()
+        keys = pa.ListArray.from_arrays(np.arange(0, len(keys) + 1, BANDS, dtype=np.int32), keys)
+        yield pa.RecordBatch.from_arrays([batch.column(0), keys], names=["node", "keys"])
+
+
+def _further(shingle_set):
+    """(bucket, node, line) to keys of a hot bucket's members: bands of further minima, which belong to that bucket alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.empty((len(batch), BANDS), np.uint64)
+            for i, (bucket, line) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                h = shingle_set(line)
+                with np.errstate(over="ignore"):
+                    for b in range(BANDS):
+                        key = np.uint64(bucket & 0xFFFFFFFFFFFFFFFF) ^ np.uint64(b + 1)
+                        for r in range(ROWS):
+                            mixed = (h ^ _FURTHER[b * ROWS + r]) * np.uint64(0xD6E8FEB86659FD93)
+                            key = (key ^ (mixed ^ (mixed >> np.uint64(32))).min()) * np.uint64(0x94D049BB133111EB)
+                            key ^= key >> np.uint64(31)
+                        out[i, b] = key
+            keys = pa.ListArray.from_arrays(np.arange(0, out.size + 1, BANDS, dtype=np.int32), out.view(np.int64).ravel())
+            yield pa.RecordBatch.from_arrays([batch.column(1), keys], names=["node", "keys"])
+
+    return run
+
+
+def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, n) of buckets with OFTEN rows at least in a batch."""
+    for batch in batches:
+        keys, n = np.unique(batch.column(0).flatten().to_numpy(zero_copy_only=False), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(keys[n >= OFTEN], pa.int64()), pa.array(n[n >= OFTEN], pa.int64())], names=["bucket", "n"])
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted (bucket, node) to buckets of two members at least: a row with the list of FEW members or less, or rows (node, its place) of more.
+
+    Only the members of an open bucket are held, and no more than FEW of them.
+    """
+    types = [pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
+    held, now, at = np.zeros(0, np.int64), None, 0
+
+    def rows(bucket, lists, nodes, first):
+        n, m = len(lists), len(nodes)
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(([bucket] * (n + m), lists + [None] * m, [None] * n + nodes, [None] * n + list(range(first, first + m))), types, strict=True)], names=["bucket", "members", "node", "at"])
+
+    for batch in batches:
+        buckets, nodes = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        if not len(buckets):
+            continue
+        edges = np.concatenate(([0], np.flatnonzero(buckets[1:] != buckets[:-1]) + 1, [len(buckets)]))
+        small, offsets = [], [0]
+        for k in np.flatnonzero((np.diff(edges) > 1) | (np.arange(len(edges) - 1) == 0) | (np.arange(len(edges) - 1) == len(edges) - 2)).tolist():
+            bucket, new, last = int(buckets[edges[k]]), nodes[edges[k] : edges[k + 1]], k == len(edges) - 2
+            if bucket != now:  # the open bucket is complete
+                if 1 < len(held) and not at:
+                    small.append(held)
+                    offsets.append(offsets[-1] + len(held))
+                held, now, at = np.zeros(0, np.int64), bucket, 0
+            if not at:
+                held = np.concatenate((held, new))
+            if at or len(held) > FEW:
+                yield rows(bucket, [], (new if at else held).tolist(), at)
+                at += len(new) if at else len(held)
+                held = held[:0]
+            elif not last and len(held) > 1:
+                small.append(held)
+                offsets.append(offsets[-1] + len(held))
+                held = held[:0]
+        if small:
+            lists = pa.ListArray.from_arrays(np.array(offsets, np.int32), np.concatenate(small))
+            none = pa.nulls(len(small), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, lists, none, none], names=["bucket", "members", "node", "at"])
+    if 1 < len(held) and not at:
+        yield rows(now, [held.tolist()], [], 0)
 
 
 class _Links:
-    """Links of a spanning forest, over the buckets of one task: what earlier ones connected is not compared again."""
+    """Links of a spanning forest, over the buckets of one task: what earlier ones connected, or told apart, is not compared again."""
 
-    def __init__(self, similarity: float, shingle_set=shingle_set):
-        self.similarity, self.shingle_set = similarity, shingle_set
+    def __init__(self, similarity: float, shingle_set=shingle_set, known: bool = False):
+        """With known, a link is also given where earlier ones connect the two."""
+        self.similarity, self.shingle_set, self.known = similarity, shingle_set, known
         self.root: dict[int, int] = {}
         self.sets: dict[int, np.ndarray] = {}
+        self.unlike: set[tuple[int, int]] = set()
         self.size = 0
 
     def find(self, x: int) -> int:
@@ -128,42 +218,54 @@ class _Links:
 
     def add(self, base: list[tuple[int, str]], query: list[tuple[int, str]], within: bool) -> list[tuple[int, int]]:
         """New links among the pairs (query, base), and with within among those inside base, that are alike."""
-        if self.size > SETS or len(self.root) > SETS >> 6:  # forgetting costs comparisons, no links
+        if self.size > SETS or len(self.root) + len(self.unlike) > SETS >> 6:  # forgetting costs comparisons, no links
             self.sets.clear()
             self.root.clear()
+            self.unlike.clear()
             self.size = 0
         out, every = [], base + query
         for k in range(0 if within else len(base), len(every)):
+            a = every[k]
+            root = self.find(a[0])
             for j in range(min(k, len(base))):
-                a, b = every[k], every[j]
-                if self.find(a[0]) == self.find(b[0]):
+                b = every[j]
+                if (other := self.find(b[0])) == root:
+                    if self.known:
+                        out.append((a[0], b[0]))
+                    continue
+                pair = (a[0], b[0]) if a[0] < b[0] else (b[0], a[0])
+                if pair in self.unlike:
                     continue
                 x, y = self.shingles(*a), self.shingles(*b)
                 if min(len(x), len(y)) >= self.similarity * max(len(x), len(y)) and jaccard(x, y) >= self.similarity:
-                    self.root[self.find(a[0])] = self.find(b[0])
+                    self.root[root] = other
+                    root = self.find(a[0])
                     out.append((a[0], b[0]))
+                else:
+                    self.unlike.add(pair)
         return out
 
 
-def _verify(similarity: float, shingle_set=shingle_set):
+def _verify(similarity: float, shingle_set=shingle_set, known: bool = False):
     """Buckets in sorted batches, to links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        links, now, base, query = _Links(similarity, shingle_set), None, [], []
+        links, now, base, query = _Links(similarity, shingle_set, known), None, [], []
 
-        def found() -> pa.RecordBatch:
-            new = links.add(base, query, now[1] == now[2])
+        def written(new: list[tuple[int, int]]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in new], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
+            new = []
             for bucket, i, j, is_base, node, line in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if (bucket, i, j) != now:
                     if now is not None:
-                        yield found()
+                        new += links.add(base, query, now[1] == now[2])
                     now, base, query = (bucket, i, j), [], []
                 (base if is_base else query).append((node, line))
+            yield written(new)
         if now is not None:
-            yield found()
+            yield written(links.add(base, query, now[1] == now[2]))
 
     return run
 
@@ -171,54 +273,101 @@ def _verify(similarity: float, shingle_set=shingle_set):
 def alike(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Links (a, b) between the nodes of lines (node, line): enough to connect all lines that are alike."""
     ship(lines.sparkSession)
-    return linked(lines.select("node", "line").mapInArrow(_keys, "bucket long, node long"), lines, similarity)
+    return linked(stored(lines.select("node", "line").mapInArrow(_keys, "node long, keys array<long>"), "bands"), lines, similarity)
 
 
-def linked(buckets: DataFrame, lines: DataFrame, similarity: float, shingle_set=shingle_set) -> DataFrame:
-    """Links (a, b) between the nodes of lines (node, line) that share a bucket of buckets (bucket, node) and are alike."""
-    buckets = stored(buckets.selectExpr("*", "count(*) OVER (PARTITION BY bucket) AS n").filter("n > 1"), "buckets")
-    # alike lines share most of their buckets: equal lists of members are compared once
-    few = buckets.filter(F.col("n") <= FEW).groupBy("bucket").agg(F.sort_array(F.collect_list("node")).alias("members")).select("members").distinct()
-    # lists with the same first member go to one task
+def _divided(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(buckets, hot) of stored keys (node, keys): hot (bucket, node) are members of buckets that no task should sort."""
+    hot = stored(keys.select("keys").mapInArrow(_often, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") > BUCKET).select("bucket"), "hot")
+    every = keys.select(F.explode("keys").alias("bucket"), "node")
+    some = not hot.isEmpty()
+    cold = every.join(hot, "bucket", "left_anti") if some else every
+    buckets = stored(cold.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_runs, "bucket long, members array<long>, node long, at long"), "buckets")
+    past = buckets.filter(F.col("at") == BUCKET).select("bucket")
+    hot = every.join(hot, "bucket", "left_semi") if some else every.limit(0)
+    return buckets.join(past, "bucket", "left_anti"), hot.unionByName(buckets.join(past, "bucket", "left_semi").select("bucket", "node"))
+
+
+def _tasks(buckets: DataFrame) -> DataFrame:
+    """bucket, node, i, j, base, deal of buckets that are compared in one go."""
+    # alike lines share most of their buckets: equal lists of members are compared once; lists with the same first member go to one task
+    few = buckets.filter("members IS NOT NULL").select("members").distinct()
     number = F.pmod(F.xxhash64("members"), F.lit((1 << 31) - 1)).cast("int")
-    few = few.select(F.element_at("members", 1).alias("bucket"), number.alias("i"), F.explode("members").alias("node")).select("bucket", "node", "i", F.col("i").alias("j"), F.lit(True).alias("base"), F.lit(0).cast("long").alias("deal"))
-    buckets = buckets.filter(F.col("n") > FEW)
-    blocks = F.ceil(F.col("n") / BUCKET).cast("int")
-    buckets = buckets.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-    base = F.transform(F.sequence("own", F.col("blocks") - 1), lambda j: F.struct(F.col("own").alias("i"), j.alias("j"), F.lit(True).alias("base")))
-    query = F.transform(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: i < F.col("own")), lambda i: F.struct(i.alias("i"), F.col("own").alias("j"), F.lit(False).alias("base")))
-    tasks = buckets.select("bucket", "node", F.explode(F.concat(base, query)).alias("t")).select("bucket", "node", "t.i", "t.j", "t.base", F.xxhash64("t.i", "t.j").alias("deal")).unionByName(few)
-    tasks = tasks.join(lines.select("node", "line"), "node").select("bucket", "i", "j", "base", "node", "line", "deal")
-    return tasks.repartition("bucket", "deal").sortWithinPartitions("bucket", "i", "j", "node").drop("deal").mapInArrow(_verify(similarity, shingle_set), "a long, b long")
+    few = few.select(F.element_at("members", 1).alias("bucket"), number.alias("i"), F.explode("members").alias("node"))
+    rest = buckets.filter("members IS NULL").select("bucket", F.lit(-1).alias("i"), "node")
+    return few.unionByName(rest).select("bucket", "node", "i", F.col("i").alias("j"), F.lit(True).alias("base"), F.lit(0).cast("long").alias("deal"))
+
+
+def linked(keys: DataFrame, lines: DataFrame, similarity: float, shingle_set=shingle_set) -> DataFrame:
+    """Links (a, b) between the nodes of lines (node, line) that share one of their stored keys (node, keys array) and are alike.
+
+    Members of a bucket beyond BUCKET get bands of further minima, by which they meet in smaller buckets. What is still
+    beyond BUCKET are mostly copies of one line: all are compared with one member, in blocks, and only those that are not
+    like it with all members, block by block. No link within those buckets is lost.
+    """
+    lines = lines.select("node", "line")
+
+    def compared(tasks: DataFrame, known: bool = False) -> DataFrame:
+        joined = tasks.join(lines, "node").select("bucket", "i", "j", "base", "node", "line", "deal")
+        return joined.repartition("bucket", "deal").sortWithinPartitions("bucket", "i", "j", "node").drop("deal").mapInArrow(_verify(similarity, shingle_set, known), "a long, b long")
+
+    buckets, hot = _divided(keys)
+    found = compared(_tasks(buckets))
+    hot = stored(hot, "hot-members")
+    if hot.isEmpty():
+        return found
+    again = stored(hot.join(lines, "node").select("bucket", "node", "line").mapInArrow(_further(shingle_set), "node long, keys array<long>"), "further")
+    buckets, hot = _divided(again)
+    found = found.unionByName(compared(_tasks(buckets)))
+    hot = stored(hot, "hot-again")
+    if hot.isEmpty():
+        return found
+    blocks = hot.groupBy("bucket").agg(F.min("node").alias("head"), F.ceil(F.count(F.lit(1)) / BUCKET).cast("int").alias("blocks"))
+    hot = stored(hot.join(blocks, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "hot-blocks")
+    heads = hot.filter("node = head").select("bucket", "node", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.lit(True).alias("base"))
+    star = heads.unionByName(hot.filter("node <> head").select("bucket", "node", F.col("own").alias("i"), F.lit(False).alias("base")))
+    star = stored(compared(star.select("bucket", "node", "i", F.lit(-1).alias("j"), "base", F.col("i").cast("long").alias("deal")), known=True), "star")
+    apart = hot.filter("node <> head").join(star.select(F.col("a").alias("node"), F.col("b").alias("head")), ["node", "head"], "left_anti")
+    apart = stored(apart, "apart")
+    if apart.isEmpty():
+        return found.unionByName(star)
+    own = apart.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BUCKET).cast("int").alias("rows"))
+    base = apart.join(own, "bucket").select("bucket", "node", F.pmod(F.xxhash64("node"), F.col("rows")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(True).alias("base"))
+    query = hot.join(own, "bucket").select("bucket", "node", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), F.col("own").alias("j"), F.lit(False).alias("base"))
+    both = base.withColumn("j", -2 - F.col("j")).unionByName(query.withColumn("j", -2 - F.col("j")))
+    return found.unionByName(star).unionByName(compared(both.withColumn("deal", F.xxhash64("i", "j"))))
 
 
 def decide(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """uid, doc_id, place and whether it stays, of every line that is not blank."""
+    """uid, place of every line that goes."""
     key = F.unhex(F.md5(F.col("line").cast("binary"))).alias("key")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "uid", "place")).alias("first")
     lines = stored(numbered(docs).groupBy(key).agg(F.max("line").alias("line"), first, F.count(F.lit(1)).alias("n")).withColumn("node", F.monotonically_increasing_id()), "lines")
     found = graph.components(alike(lines, similarity), "line-links")
-    nodes = lines.select("node", "key", "first", "n").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    nodes = stored(nodes, "line-nodes")
-    heads = nodes.filter("root <> node").select("root").distinct()
-    heads = nodes.join(heads, "root", "left_semi").groupBy("root").agg(F.min("first").alias("stays"))
-    many = nodes.join(heads, "root", "left").withColumn("stays", F.coalesce("stays", "first")).filter("n > 1 OR stays <> first").select("key", "stays")
-    places = numbered(docs).select("uid", "doc_id", "place", key).join(many, "key", "left")
-    return places.select("uid", "doc_id", "place", (F.col("stays").isNull() | ((F.col("stays.uid") == F.col("uid")) & (F.col("stays.place") == F.col("place")))).alias("stays"))
+    # a line without links is a component of its own, and its first occurrence stays
+    nodes = stored(lines.select("node", "key", "first", "n").join(found, "node", "left"), "line-nodes")
+    heads = nodes.filter("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("stays"))
+    many = nodes.filter("root IS NOT NULL").join(heads, "root").select("key", "n", "first", "stays").unionByName(nodes.filter("root IS NULL").select("key", "n", "first", F.col("first").alias("stays")))
+    many = many.filter("n > 1 OR stays <> first").select("key", F.col("stays.uid").alias("at"), F.col("stays.place").alias("at_place"))
+    places = numbered(docs).select("uid", "place", key).join(many, "key")
+    return places.filter("at <> uid OR at_place <> place").select("uid", "place")
 
 
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, n_lines (not blank), n_kept, dropped (places of dropped lines, from 0) and the text that remains.
-
-    docs is read twice and must give its rows in the same order, as files do.
-    """
-    dropped = decide(docs, similarity).groupBy("uid").agg(
-        F.count(F.lit(1)).alias("n_lines"), F.count(F.when(F.col("stays"), 1)).alias("n_kept"), F.array_sort(F.collect_list(F.when(~F.col("stays"), F.col("place")))).alias("dropped"))
+    """doc_id, n_lines (not blank), n_kept, dropped (places of dropped lines, from 0) and the text that remains."""
+    docs = fixed(docs.select("doc_id", "text"))
+    places = F.array_sort(F.collect_list("place"))
+    gone = decide(docs, similarity).groupBy("uid").agg(places.alias("dropped"))
+    # whether each line up to the last dropped one goes
+    gaps = F.zip_with("dropped", F.concat(F.array(F.lit(-1)), F.slice("dropped", F.lit(1), F.size("dropped") - 1)), lambda x, before: x - before - 1)
+    gone = gone.withColumn("goes", F.flatten(F.transform(gaps, lambda n: F.concat(F.array_repeat(F.lit(False), n), F.array(F.lit(True))))))
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = rows.join(dropped, "uid", "left").withColumn("dropped", F.coalesce("dropped", F.array().cast("array<int>")))
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("dropped"), i)), "\n")
+    solid = F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x, F.lit(WHITE)) != ""))
+    rows = rows.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(solid).cast("long"))
+    out = rows.join(gone, "uid", "left").withColumn("dropped", F.coalesce("dropped", F.array().cast("array<int>")))
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.coalesce(F.get("goes", i), F.lit(False))), "\n")
     text = F.when(F.size("dropped") == 0, F.col("text")).otherwise(kept)
-    return out.select("doc_id", F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.coalesce("n_kept", F.lit(0)).cast("long").alias("n_kept"), "dropped", text.alias("text"))
+    return out.select("doc_id", "n_lines", (F.col("n_lines") - F.size("dropped")).alias("n_kept"), "dropped", text.alias("text"))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
