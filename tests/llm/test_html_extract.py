@@ -1,6 +1,8 @@
 import html
 import itertools
+import random
 import re
+import time
 
 from tremor.llm import html_extract as op
 
@@ -36,7 +38,7 @@ def test_marginals_against_enumeration():
             if y[i]:
                 w *= 2.718281828459045 ** (sum(MODEL.odds.get(f, 0.0) for f in page.features[i]))
             if i:
-                w *= MODEL.step[page.text[i] is not None][y[page.parent[i]]][y[i]]
+                w *= MODEL.table(page.kind[i])[y[page.parent[i]]][y[i]]
         weight[y] = w
     total = sum(weight.values())
     want = [sum(w for y, w in weight.items() if y[i]) / total for i in range(n)]
@@ -55,10 +57,27 @@ def test_held_out_labelled_pages():
     assert right / (right + wrong + missed) > 0.9 and wrong / right < 0.03
 
 
+def test_broken_markup_is_read_in_one_pass():
+    """Tags and quotes that never close, at a length at which reading on from each of them would take hours."""
+    n = 60_000
+    for source in ("<a " * n, "<p>x" + "<a b='" * (n + 1), '<p title="x>' * (n + 1), "<a <b " * n + '"', "<section>" * 3000 + "</div>" * n, "<p>" + "</b>" * n, "<" * n, "<!-- " * n, "<p><i '" + "<b>x</b> " * n):
+        began = time.time()
+        op.Page(source)
+        assert time.time() - began < 20, source[:20]
+    assert op.extract("<article><p>One two, three. <a 'x </p><p>Four five, six.</p></article>", MODEL) == "One two, three. <a 'x\nFour five, six."
+
+
+def test_tag_ends_against_the_pattern():
+    rng = random.Random(3)
+    for _ in range(300):
+        source = "<a" + "".join(rng.choice(" b>'\"<") for _ in range(rng.randint(0, 14)))
+        assert op._Ends(source).closed(op._HEAD.match(source).end()) == (op._TOKEN.match(source).group(2) is not None)
+
+
 def test_articles_of_the_test_data():
     import pyarrow.parquet as pq
 
-    for row in pq.read_table("/root/testdata/sf0.001/pages.parquet").to_pylist():
+    for row in pq.read_table("/root/testdata/sf0.1/pages.parquet").to_pylist():
         inside = row["html"][row["html"].index("<article>") + 9 : row["html"].index("</article>")]
         blocks = [" ".join(html.unescape(re.sub("<[^>]*>", "", b)).split()) for b in re.split("</?(?:p|h1)>", inside)]
         assert op.extract(row["html"], MODEL) == "\n".join(b for b in blocks if b)

@@ -86,7 +86,7 @@ def test_hot_buckets_lose_no_link(spark, monkeypatch):
     """With tiny limits every bucket is divided, compared with a head, then block by block."""
     all_rows = hot_rows()
     want = sorted((r[0], sorted(brute(all_rows)[n])) for n, r in enumerate(all_rows))
-    for limits in ({}, {"FEW": 2, "BUCKET": 4, "OFTEN": 3}, {"FEW": 1, "BUCKET": 1, "OFTEN": 2}, {"FEW": 2, "BUCKET": 8, "OFTEN": 1 << 40}):
+    for limits in ({}, {"FEW": 2, "BUCKET": 4, "OFTEN": 3, "LOOK": 2}, {"FEW": 1, "BUCKET": 1, "OFTEN": 2, "LOOK": 1}, {"FEW": 2, "BUCKET": 8, "OFTEN": 1 << 40}):
         for name, value in limits.items():
             monkeypatch.setattr(op, name, value)
         got = sorted((r.doc_id, list(r.dropped)) for r in op.dedup_lines(data.documents(spark, all_rows)).collect())
@@ -116,7 +116,7 @@ def test_rows_of_a_hot_bucket_grow_with_it(spark, monkeypatch):
 
         monkeypatch.setattr(op, "_verify", counted)
         keys = stored(lines.select("node", F.array(F.lit(7).cast("long")).alias("keys")), "t")
-        links = op.linked(keys, lines, 0.8).collect()
+        links = op.linked(keys, keys.filter(op.looked_at()), lines, 0.8).collect()
         monkeypatch.setattr(op, "_verify", keep)
         assert len({x for r in links for x in r}) == n
         seen.append(read.value / n)
@@ -126,28 +126,36 @@ def test_rows_of_a_hot_bucket_grow_with_it(spark, monkeypatch):
 def test_runs_over_batches():
     """Runs that cross batches come out whole, whatever the batch length."""
     rng = random.Random(4)
-    pairs = sorted((rng.choice((1, 1, 1, rng.randint(2, 400))), k) for k in range(900))
+    pairs = sorted((rng.choice((1, 1, 1, rng.randint(2, 400))), k) for k in range(900)) + [(1000, k) for k in range(5)]
     want = defaultdict(list)
-    for bucket, node in pairs:
+    for bucket, node in pairs[:-5]:
         want[bucket].append(node)
     for size in (1, 2, 7, 64, 65, 900):
-        table = pa.table({"bucket": [p[0] for p in pairs], "node": [p[1] for p in pairs]})
-        lists, long = [], defaultdict(list)
+        table = pa.table({"bucket": [p[0] for p in pairs], "node": [p[1] for p in pairs], "hot": [p[0] == 1000 for p in pairs]})
+        lists, long, hot = [], defaultdict(list), 0
         for batch in op._runs(iter(table.to_batches(size))):
             for r in batch.to_pylist():
-                if r["members"] is None:
+                if r["bucket"] == 1000:
+                    assert r["members"] is None and r["at"] == -1
+                    hot += 1
+                elif r["members"] is None:
                     assert r["at"] == len(long[r["bucket"]])
                     long[r["bucket"]].append(r["node"])
                 else:
                     lists.append(r["members"])
+        assert hot == 5
         assert sorted(lists) == sorted(x for x in want.values() if 1 < len(x) <= op.FEW)
         assert long == {k: x for k, x in want.items() if len(x) > op.FEW}
 
 
-def test_band_keys_of_a_batch_are_those_of_each_line():
+def test_band_keys_of_a_batch_are_those_of_each_line(monkeypatch):
     rng = random.Random(2)
     lines = ["".join(rng.choice("ab cé漢") for _ in range(rng.randint(1, 40))) for _ in range(300)]
     every = op.band_keys(lines)
     assert all((op.band_keys([x])[0] == k).all() for x, k in zip(lines, every, strict=True))
+    long = "".join(rng.choice("ab cé漢") for _ in range(5000))
+    whole = op.band_keys([long, "ab"])
+    monkeypatch.setattr(op, "SLICE", 300)
+    assert (op.band_keys([long, "ab"]) == whole).all() and (op.band_keys(lines) == every).all()
     assert len(op.shingle_set("abcdefghij")) == 3 and len(op.shingle_set("ab")) == 1
     assert np.unique(op.band_keys(["same line"] * 3), axis=0).shape[0] == 1

@@ -48,6 +48,7 @@ def test_against_brute_force(spark):
 def test_trees_lose_no_pair(spark, monkeypatch):
     monkeypatch.setattr(op, "LEAF", 16)
     monkeypatch.setattr(op, "BLOCK", 24)
+    monkeypatch.setattr(op, "BALL", 32)
     rng = random.Random(1)
     fps = {rng.getrandbits(64) for _ in range(800)}
     for f in list(fps)[:250]:
@@ -69,6 +70,35 @@ def test_trees_lose_no_pair(spark, monkeypatch):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, mine.values()))
 
 
+def test_shards_hold_every_pair_and_four_rows_a_fingerprint():
+    rng = random.Random(6)
+    base = [rng.getrandbits(64) for _ in range(400)]
+    near = [f ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 3))) for f in base]
+    a, b = np.array(base, np.uint64), np.array(near, np.uint64)
+    for depth in (0, 5, 16):
+        x, y = op.first_shards(a, depth), op.first_shards(b, depth)
+        assert x.shape == (400, 4)
+        agrees = np.stack([op._quarter(a, k) == op._quarter(b, k) for k in range(4)], axis=1)
+        assert agrees.any(axis=1).all() and (x == y)[agrees].all()
+        k = agrees.argmax(axis=1)
+        u, v = (op.second_shards(z, s[np.arange(400), k], 12) for z, s in ((a, x), (b, y)))
+        assert (u == v).any(axis=1).all()
+    assert len(np.unique(op.first_shards(a, 7)[:, 0])) > 60
+
+
+def test_forest_prunes_no_pair(monkeypatch):
+    monkeypatch.setattr(op, "BALL", 16)
+    rng = random.Random(8)
+    fps = [rng.getrandbits(64) for _ in range(60)]
+    for _ in range(500):
+        fps.append(rng.choice(fps) ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 6))))
+    fp = np.unique(np.array(fps, np.uint64))
+    a, b = op.forest(fp, 3)
+    label = graph.union(np.arange(len(fp)), np.searchsorted(fp, a), np.searchsorted(fp, b))
+    roots = brute_components(fp.tolist())
+    assert len({(x, y) for x, y in zip(label.tolist(), roots, strict=True)}) == len(set(label.tolist())) == len(set(roots))
+
+
 def test_slices(monkeypatch):
     text = (" ".join(f"w{k % 50} " for k in range(900)) + "y" * 400).encode()
     whole = op.fingerprint(text)

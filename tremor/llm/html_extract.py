@@ -1,8 +1,9 @@
 """Main text of web pages by a tree-structured graphical model over the DOM.
 
 Every block element and every text block of a page is a node that is content or not. A node's features are drawn given
-its label, and a child's label given its parent's (a table for elements and one for text blocks); sum-product messages
-go up from the leaves and down from the root, once each, and give every text block's exact marginal. The tables are
+its label, and a child's label given its parent's by a table for its kind (text block, or element by tag and whether it
+is named); sum-product messages go up from the leaves and down from the root, once each, and give every text block's
+exact marginal. The tables are
 trained by counting over labelled pages, which a seeded generator lays out in many styles of site; no page of the
 corpus is trained on.
 
@@ -21,6 +22,7 @@ import html
 import math
 import random
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -38,24 +40,45 @@ RAW = frozenset("script style textarea title xmp".split())
 SILENT = frozenset("script style template noscript head title textarea select option button svg math iframe object audio video canvas map datalist".split())
 #: An opening tag ends these open elements, up to the bounds given.
 _CLOSES = {"li": (frozenset(["li"]), frozenset(["ul", "ol", "menu", "dir"])), "dt": (frozenset(["dt", "dd"]), frozenset(["dl"])), "dd": (frozenset(["dt", "dd"]), frozenset(["dl"])), "tr": (frozenset(["tr", "td", "th"]), frozenset(["table"])), "td": (frozenset(["td", "th"]), frozenset(["tr", "table"])), "th": (frozenset(["td", "th"]), frozenset(["tr", "table"])), "option": (frozenset(["option"]), frozenset(["select"]))}
-_TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+_TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/><]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|[^<]+|<", re.S)
+_HEAD = re.compile(r"</?[a-zA-Z][^\s/><]*+")
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 TRAIN_PAGES, SEED = 800, 20_240
+#: Kinds of node: text blocks, and elements that no labelled page holds; other elements by tag, and by whether class or id name them.
+LEAF, ANY = "#text", "#any"
+
+
+class _Ends:
+    """Whether a tag that is open at a place of a page ends: from there, quotes are passed over to a closing bracket."""
+
+    def __init__(self, source: str):
+        self.at = [m.start() for m in re.finditer("[>\"']", source)]
+        self.ok = [False] * (len(self.at) + 1)
+        after: dict[str, int] = {}
+        for k in range(len(self.at) - 1, -1, -1):
+            c = source[self.at[k]]
+            self.ok[k] = c == ">" or (c in after and self.ok[after[c] + 1])
+            after[c] = k
+
+    def closed(self, place: int) -> bool:
+        return self.ok[bisect_left(self.at, place)]
 
 
 class Page:
-    """Nodes in page order: parent of each, features of each, and the text of text blocks."""
+    """Nodes in page order: parent, features and kind of each, and the text of text blocks."""
 
     def __init__(self, source: str):
         self.parent: list[int] = [-1]
-        self.features: list[list[str]] = [["tag:#root"]]
+        self.features: list[list[str]] = [[]]
+        self.kind: list[str] = ["#root"]
         self.text: list[str | None] = [None]
         self.marks: list[str | None] = [None]
         self._read(source)
 
-    def _node(self, parent: int, features: list[str], text: str | None, mark: str | None) -> int:
+    def _node(self, parent: int, kind: str, features: list[str], text: str | None, mark: str | None) -> int:
         self.parent.append(parent)
+        self.kind.append(kind)
         self.features.append(features)
         self.text.append(text)
         self.marks.append(mark)
@@ -72,7 +95,7 @@ class Page:
                 text = " ".join("".join(pieces).split())
                 pieces.clear()
                 if text:
-                    self._node(stack_node(), leaf_features(text, linked / max(1, total)), text, None)
+                    self._node(stack_node(), LEAF, leaf_features(text, linked / max(1, total)), text, None)
                 linked = total = 0
 
         def stack_node() -> int:
@@ -83,13 +106,19 @@ class Page:
             if any(s[0] in BLOCKS for s in stack[k:]):
                 end_block()
             links -= sum(s[0] == "a" for s in stack[k:])
+            opened.subtract(s[0] for s in stack[k:])
             del stack[k:]
 
-        at, size = 0, len(source)
+        at, size, opened, ends = 0, len(source), Counter(), None
         while at < size:
-            m = _TOKEN.match(source, at)
-            at = m.end()
+            if ends is not None and (head := _HEAD.match(source, at)) and not ends.closed(head.end()):
+                m, at = _TOKEN.match("<"), at + 1
+            else:
+                m = _TOKEN.match(source, at)
+                at = m.end()
             name = m.group(2)
+            if m.group() == "<" and ends is None:
+                ends = _Ends(source)  # a tag that never ends was read to the end of the page once, and no other is
             if name is None:
                 piece = m.group()
                 if piece[0] == "<" and len(piece) > 1 and piece[1] in "!?":
@@ -106,9 +135,9 @@ class Page:
             if m.group(1):
                 if name == "br":
                     pieces.append(" ")
-                elif name in ("p",) and not any(s[0] == "p" for s in stack):
+                elif name == "p" and not opened["p"]:
                     end_block()
-                else:
+                elif opened[name]:
                     for k in range(len(stack) - 1, 0, -1):
                         if stack[k][0] == name:
                             pop_to(k)
@@ -149,15 +178,16 @@ class Page:
                 continue
             node = stack[-1][1]
             if block:
-                found, mark = element_features(name, m.group(3) or "")
-                node = self._node(node, found, None, mark)
+                found, mark = element_features(m.group(3) or "")
+                node = self._node(node, f"{name} named" if found else name, found, None, mark)
             links += name == "a"
+            opened[name] += 1
             stack.append((name, node, silent))
         end_block()
 
 
-def element_features(name: str, attributes: str) -> tuple[list[str], str | None]:
-    out, mark = [f"tag:{name}"], None
+def element_features(attributes: str) -> tuple[list[str], str | None]:
+    out, mark = [], None
     if attributes and ("=" in attributes):
         words: set[str] = set()
         for m in _ATTRIBUTE.finditer(attributes):
@@ -170,25 +200,31 @@ def element_features(name: str, attributes: str) -> tuple[list[str], str | None]
 
 
 def leaf_features(text: str, linked: float) -> list[str]:
+    # length, end marks and links go together in titles, menus and sentences alike, so they are one feature
     words = text.count(" ") + 1
     stops = sum(map(text.count, ".,;:!?"))
-    return [f"words:{min(6, words.bit_length())}", f"links:{0 if linked < 0.1 else 1 if linked < 0.5 else 2}", f"stops:{min(3, stops)}", "sign:1" if text[0] == "©" else "sign:0"]
+    shape = f"text:{min(5, words.bit_length())}:{min(2, stops)}:{0 if linked < 0.1 else 1 if linked < 0.5 else 2}"
+    return [shape, "sign:1" if text[0] == "©" else "sign:0"]
 
 
 class Model:
-    """log odds of each feature, and child-given-parent tables for elements (0) and text blocks (1)."""
+    """log odds of each feature, and the child-given-parent table of each kind of child."""
 
-    def __init__(self, odds: dict[str, float], step: list[list[list[float]]], prior: float):
+    def __init__(self, odds: dict[str, float], step: dict[str, list[list[float]]], prior: float):
         self.odds, self.step, self.prior = odds, step, prior
 
+    def table(self, kind: str) -> list[list[float]]:
+        return self.step.get(kind) or self.step[ANY]
+
     def marginals(self, page: Page) -> list[float]:
         """Probability that each node is content: messages up, then down, in page order (parents come first)."""
         n, get = len(page.parent), self.odds.get
         one = [math.exp(max(-30.0, min(30.0, sum(get(f, 0.0) for f in fs)))) for fs in page.features]  # potential of 1 against 0
+        tables = [self.table(k) for k in page.kind]
         up = [1.0] * n
         below = one[:]
         for i in range(n - 1, 0, -1):
-            t = self.step[page.text[i] is not None]
+            t = tables[i]
             b = below[i]
             up[i] = (t[1][0] + t[1][1] * b) / (t[0][0] + t[0][1] * b)
             p = page.parent[i]
@@ -197,7 +233,7 @@ class Model:
         odds = below[0] * self.prior / (1 - self.prior)
         out[0] = odds / (1 + odds)
         for i in range(1, n):
-            t, p = self.step[page.text[i] is not None], out[page.parent[i]]
+            t, p = tables[i], out[page.parent[i]]
             # the parent's belief without what this child said of it
             q1, q0 = p / up[i], 1 - p
             a1, a0 = q1 * t[1][1] + q0 * t[0][1], q1 * t[1][0] + q0 * t[0][0]
@@ -357,28 +393,29 @@ def labels_of(page: Page) -> list[int]:
 
 
 def train(pages: list[str]) -> Model:
-    """Counts over labelled pages, smoothed by one."""
+    """Counts over labelled pages; features are smoothed by one, tables by those of all elements."""
     seen: tuple[Counter, Counter] = (Counter(), Counter())
-    kinds: tuple[Counter, Counter] = (Counter(), Counter())
-    step = [[[1.0, 1.0], [1.0, 1.0]] for _ in range(2)]
+    total: tuple[Counter, Counter] = (Counter(), Counter())
+    steps: Counter = Counter()
     for source in pages:
         page = Page(source)
         y = labels_of(page)
         for i in range(1, len(y)):
-            leaf = page.text[i] is not None
-            step[leaf][y[page.parent[i]]][y[i]] += 1
-            kinds[leaf][y[i]] += 1
+            leaf = page.kind[i] == LEAF
+            steps[page.kind[i], y[page.parent[i]], y[i]] += 1
+            if not leaf:
+                steps[ANY, y[page.parent[i]], y[i]] += 1
+            total[y[i]][leaf] += 1
             for f in page.features[i]:
                 seen[y[i]][f] += 1
     odds = {}
     for f in sorted(seen[0].keys() | seen[1].keys()):
-        n = kinds[f.split(":")[0] not in ("tag", "name")]
-        odds[f] = math.log((seen[1][f] + 1) / (n[1] + 2)) - math.log((seen[0][f] + 1) / (n[0] + 2))
-    for t in step:
-        for row in t:
-            total = sum(row)
-            row[:] = [x / total for x in row]
-    return Model(odds, step, 0.9)
+        leaf = not f.startswith("name:")
+        odds[f] = math.log((seen[1][f] + 1) / (total[1][leaf] + 2)) - math.log((seen[0][f] + 1) / (total[0][leaf] + 2))
+    share = lambda kind, x, weight, of: [(steps[kind, x, k] + weight * of[k]) / (steps[kind, x, 0] + steps[kind, x, 1] + weight) for k in (0, 1)]
+    every = [share(ANY, x, 2, (0.5, 0.5)) for x in (0, 1)]
+    step = {kind: [share(kind, x, 2, every[x]) for x in (0, 1)] for kind in sorted({k for k, _, _ in steps})}
+    return Model(odds, step | {ANY: every}, 0.9)
 
 
 @lru_cache(maxsize=1)

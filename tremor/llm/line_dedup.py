@@ -14,6 +14,7 @@ last; lines of any length are read whole; an empty table gives an empty result;
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,22 +26,42 @@ from tremor.llm import graph
 from tremor.session import fixed, ship, stored, table
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 8, 0.8, 16, 5
-#: Lines of a bucket that are compared in one go, of one whose list of members is compared with other lists, rows in a batch that make a bucket hot beforehand, and characters whose minima are taken at a time.
-BUCKET, FEW, OFTEN, SLICE = 1024, 64, 32, 1 << 16
-#: Bytes of shingle sets that a task remembers.
-SETS = 64 << 20
+#: Lines of a bucket that are compared in one go, of one whose list of members is compared with other lists, and characters whose minima are taken at a time.
+BUCKET, FEW, SLICE = 1024, 64, 1 << 16
+#: One node in so many is looked at for hot buckets, and rows among those that make a bucket hot.
+LOOK, OFTEN = 64, 32
+#: Bytes of shingle sets, and lines and pairs, that a task remembers.
+SETS, KNOWN = 48 << 20, 200_000
+#: Documents that are split into lines at a time.
+ROWS_AT_ONCE = 256
 WHITE = " \t\n\x0b\x0c\r"
 _rng = np.random.default_rng(20_240)
 _MULTIPLY = _rng.integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_FLIP = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
 _FURTHER = _rng.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64)
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """uid, doc_id, place, line: every line that is not blank, trimmed."""
-    lines = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    lines = lines.select("uid", "doc_id", F.posexplode(F.split("text", "\n")).alias("place", "line"))
-    return lines.withColumn("line", F.trim(F.col("line"), F.lit(WHITE))).filter("line <> ''")
+def numbered(docs: DataFrame, *keep: str) -> DataFrame:
+    """Of uid, doc_id, place, key and line those in keep, of every line that is not blank; lines are trimmed, keys are their MD5."""
+    ship(docs.sparkSession)
+    schema = ", ".join(f for f in ("uid long", "doc_id long", "place int", "key binary", "line string") if f.split()[0] in keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, len(batch), ROWS_AT_ONCE):
+                some = batch.slice(k, ROWS_AT_ONCE)
+                lines, place, at = [], [], []
+                for row, text in enumerate(some.column(2)):
+                    for n, line in enumerate((text.as_py() or b"").split(b"\n")):
+                        if line := line.strip():
+                            lines.append(line)
+                            place.append(n)
+                            at.append(row)
+                at = pa.array(at, pa.int64())
+                made = {"uid": lambda at=at, some=some: some.column(0).take(at), "doc_id": lambda at=at, some=some: some.column(1).take(at), "place": lambda place=place: pa.array(place, pa.int32()), "key": lambda lines=lines: pa.array([hashlib.md5(x).digest() for x in lines], pa.binary()), "line": lambda lines=lines: pa.array(lines, pa.binary()).cast(pa.string())}
+                yield pa.RecordBatch.from_arrays([make() for name, make in made.items() if name in keep], names=[name for name in made if name in keep])
+
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
+    return rows.mapInArrow(run, schema)
 
 
 def _shingles(points: np.ndarray) -> np.ndarray:
@@ -77,40 +98,43 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
+def _minima(lines: list[str], width: int) -> np.ndarray:
+    """The BANDS * ROWS minima (columns) of lines of about width characters, longest last; each is one row of a matrix, filled up with its own first shingle."""
+    points = np.frombuffer("".join(x.ljust(width, "\0") for x in lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    h = (_shingles(points) >> np.uint64(32)).astype(np.uint32)
+    h = np.concatenate((h, np.zeros(SHINGLE - 1, np.uint32))).reshape(len(lines), width)[:, : width - SHINGLE + 1]
+    sizes = np.fromiter(map(len, lines), np.int64, len(lines)) - SHINGLE + 1
+    h = np.where(np.arange(h.shape[1]) < np.maximum(sizes, 1)[:, None], h, h[:, :1])
+    turned, out = np.empty_like(h), np.empty((BANDS * ROWS, len(lines)), np.uint32)
+    with np.errstate(over="ignore"):
+        for k in range(BANDS * ROWS):
+            np.multiply(h, _MULTIPLY[k], out=turned)
+            turned.min(axis=1, out=out[k])
+    return out.T
+
+
 def band_keys(lines: list[str]) -> np.ndarray:
     """A row of BANDS keys for each line."""
-    out = np.empty((len(lines), BANDS), np.uint64)
+    least = np.empty((len(lines), BANDS * ROWS), np.uint32)
+    order = sorted(range(len(lines)), key=lambda i: len(lines[i]))
     first = 0
-    while first < len(lines):
-        last, chars = first, 0
-        while last < len(lines) and (last == first or chars + len(lines[last]) <= SLICE):
-            chars += len(lines[last])
+    while first < len(order):
+        short, last = len(lines[order[first]]), first + 1
+        while last < len(order) and (width := len(lines[order[last]])) <= 1.1 * short + 16 and (last - first + 1) * width <= SLICE:
             last += 1
-        sizes = np.array([len(x) for x in lines[first:last]])
-        points = np.frombuffer("".join(lines[first:last]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        ends = np.cumsum(sizes)
-        h = _shingles(np.concatenate((points, np.zeros(SHINGLE - 1, np.uint64))))
-        # only shingles inside a line; a shorter line has the one that its own code points give
-        tail = np.minimum(sizes - 1, SHINGLE - 1)
-        inside = np.ones(len(points), bool)
-        for k in range(1, SHINGLE):
-            inside[ends[tail >= k] - k] = False
-        for i in np.flatnonzero(sizes < SHINGLE).tolist():
-            at = int(ends[i] - sizes[i])
-            inside[at] = True
-            h[at] = _shingles(points[at : at + sizes[i]])[0]
-        h = (h[: len(points)][inside] >> np.uint64(32)).astype(np.uint32)
-        starts = np.concatenate(([0], np.cumsum(np.add.reduceat(inside, ends - sizes, dtype=np.int64))[:-1]))
-        with np.errstate(over="ignore"):
-            for b in range(BANDS):
-                key = np.full(last - first, b + 1, np.uint64)
-                for r in range(ROWS):
-                    least = np.minimum.reduceat((h ^ _FLIP[b * ROWS + r]) * _MULTIPLY[b * ROWS + r], starts)
-                    key = (key ^ least) * np.uint64(0x94D049BB133111EB)
-                    key ^= key >> np.uint64(31)
-                out[first:last, b] = key
+        group = [lines[i] for i in order[first:last]]
+        if len(group[-1]) <= SLICE:
+            least[order[first:last]] = _minima(group, max(SHINGLE, len(group[-1])))
+        else:  # one line, in pieces that overlap by all but a character of a shingle
+            pieces = (group[0][k : k + SLICE] for k in range(0, len(group[0]) - SHINGLE + 1, SLICE - SHINGLE + 1))
+            least[order[first]] = np.min([_minima([x], len(x))[0] for x in pieces], axis=0)
         first = last
-    return out
+    key = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(lines), 1))
+    with np.errstate(over="ignore"):
+        for r in range(ROWS):
+            key = (key ^ least[:, r::ROWS]) * np.uint64(0x94D049BB133111EB)
+            key ^= key >> np.uint64(31)
+    return key
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,17 +166,10 @@ def _further(shingle_set):
     return run
 
 
-def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, n) of buckets with OFTEN rows at least in a batch."""
-    for batch in batches:
-        keys, n = np.unique(batch.column(0).flatten().to_numpy(zero_copy_only=False), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(keys[n >= OFTEN], pa.int64()), pa.array(n[n >= OFTEN], pa.int64())], names=["bucket", "n"])
-
-
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (bucket, node) to buckets of two members at least: a row with the list of FEW members or less, or rows (node, its place) of more.
+    """Sorted (bucket, node, hot) to buckets of two members at least: a row with the list of FEW members or less, or rows (node, its place) of more.
 
-    Only the members of an open bucket are held, and no more than FEW of them.
+    Only the members of an open bucket are held, and no more than FEW of them. Rows of hot buckets pass, with place -1.
     """
     types = [pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
     held, now, at = np.zeros(0, np.int64), None, 0
@@ -162,7 +179,10 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(([bucket] * (n + m), lists + [None] * m, [None] * n + nodes, [None] * n + list(range(first, first + m))), types, strict=True)], names=["bucket", "members", "node", "at"])
 
     for batch in batches:
-        buckets, nodes = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        buckets, nodes, hot = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        if hot.any():
+            yield pa.RecordBatch.from_arrays([pa.array(buckets[hot]), pa.nulls(int(hot.sum()), types[1]), pa.array(nodes[hot]), pa.array(np.full(int(hot.sum()), -1))], names=["bucket", "members", "node", "at"])
+            buckets, nodes = buckets[~hot], nodes[~hot]
         if not len(buckets):
             continue
         edges = np.concatenate(([0], np.flatnonzero(buckets[1:] != buckets[:-1]) + 1, [len(buckets)]))
@@ -218,7 +238,7 @@ class _Links:
 
     def add(self, base: list[tuple[int, str]], query: list[tuple[int, str]], within: bool) -> list[tuple[int, int]]:
         """New links among the pairs (query, base), and with within among those inside base, that are alike."""
-        if self.size > SETS or len(self.root) + len(self.unlike) > SETS >> 6:  # forgetting costs comparisons, no links
+        if self.size > SETS or len(self.root) + len(self.unlike) > KNOWN:  # forgetting costs comparisons, no links
             self.sets.clear()
             self.root.clear()
             self.unlike.clear()
@@ -273,19 +293,32 @@ def _verify(similarity: float, shingle_set=shingle_set, known: bool = False):
 def alike(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Links (a, b) between the nodes of lines (node, line): enough to connect all lines that are alike."""
     ship(lines.sparkSession)
-    return linked(stored(lines.select("node", "line").mapInArrow(_keys, "node long, keys array<long>"), "bands"), lines, similarity)
+    signed = lambda some: some.select("node", "line").mapInArrow(_keys, "node long, keys array<long>")
+    return linked(signed(lines), signed(lines.filter(looked_at())), lines, similarity)
+
+
+def looked_at() -> F.Column:
+    """The share of nodes by which hot buckets are found before they are sorted; others are found in their task."""
+    return F.pmod(F.xxhash64(F.lit("hot"), "node"), F.lit(LOOK)) == 0
 
 
-def _divided(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(buckets, hot) of stored keys (node, keys): hot (bucket, node) are members of buckets that no task should sort."""
-    hot = stored(keys.select("keys").mapInArrow(_often, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") > BUCKET).select("bucket"), "hot")
-    every = keys.select(F.explode("keys").alias("bucket"), "node")
-    some = not hot.isEmpty()
-    cold = every.join(hot, "bucket", "left_anti") if some else every
-    buckets = stored(cold.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_runs, "bucket long, members array<long>, node long, at long"), "buckets")
-    past = buckets.filter(F.col("at") == BUCKET).select("bucket")
-    hot = every.join(hot, "bucket", "left_semi") if some else every.limit(0)
-    return buckets.join(past, "bucket", "left_anti"), hot.unionByName(buckets.join(past, "bucket", "left_semi").select("bucket", "node"))
+def _divided(keys: DataFrame, some: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(buckets, hot) of (node, keys); some are the keys of the nodes that looked_at() takes.
+
+    hot (bucket, node) are the members of buckets beyond BUCKET. Those that show among some are dealt to many tasks.
+    """
+    hot = some.select(F.explode("keys").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    hot = stored(hot.filter(F.col("n") >= OFTEN).select("bucket", F.lit(True).alias("hot")), "hot")
+    every, deal = keys.select(F.explode("keys").alias("bucket"), "node"), ["bucket"]
+    if hot.isEmpty():
+        every = every.withColumn("hot", F.lit(False))
+    else:
+        every = every.join(hot, "bucket", "left").withColumn("hot", F.coalesce("hot", F.lit(False))).withColumn("deal", F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.lit(1024))).otherwise(0))
+        deal = ["bucket", "deal"]
+    runs = every.repartition(*deal).sortWithinPartitions("bucket", "node").select("bucket", "node", "hot")
+    buckets = stored(runs.mapInArrow(_runs, "bucket long, members array<long>, node long, at long"), "buckets")
+    hot = buckets.filter((F.col("at") == BUCKET) | (F.col("at") == -1)).select("bucket").distinct()
+    return buckets.join(hot, "bucket", "left_anti"), buckets.filter("members IS NULL").join(hot, "bucket", "left_semi").select("bucket", "node")
 
 
 def _tasks(buckets: DataFrame) -> DataFrame:
@@ -298,8 +331,10 @@ def _tasks(buckets: DataFrame) -> DataFrame:
     return few.unionByName(rest).select("bucket", "node", "i", F.col("i").alias("j"), F.lit(True).alias("base"), F.lit(0).cast("long").alias("deal"))
 
 
-def linked(keys: DataFrame, lines: DataFrame, similarity: float, shingle_set=shingle_set) -> DataFrame:
-    """Links (a, b) between the nodes of lines (node, line) that share one of their stored keys (node, keys array) and are alike.
+def linked(keys: DataFrame, some: DataFrame, lines: DataFrame, similarity: float, shingle_set=shingle_set) -> DataFrame:
+    """Links (a, b) between the nodes of lines (node, line) that share one of their keys (node, keys array) and are alike.
+
+    some are the keys of those nodes that looked_at() takes.
 
     Members of a bucket beyond BUCKET get bands of further minima, by which they meet in smaller buckets. What is still
     beyond BUCKET are mostly copies of one line: all are compared with one member, in blocks, and only those that are not
@@ -311,13 +346,13 @@ def linked(keys: DataFrame, lines: DataFrame, similarity: float, shingle_set=shi
         joined = tasks.join(lines, "node").select("bucket", "i", "j", "base", "node", "line", "deal")
         return joined.repartition("bucket", "deal").sortWithinPartitions("bucket", "i", "j", "node").drop("deal").mapInArrow(_verify(similarity, shingle_set, known), "a long, b long")
 
-    buckets, hot = _divided(keys)
+    buckets, hot = _divided(keys, some)
     found = compared(_tasks(buckets))
     hot = stored(hot, "hot-members")
     if hot.isEmpty():
         return found
     again = stored(hot.join(lines, "node").select("bucket", "node", "line").mapInArrow(_further(shingle_set), "node long, keys array<long>"), "further")
-    buckets, hot = _divided(again)
+    buckets, hot = _divided(again, again.filter(looked_at()))
     found = found.unionByName(compared(_tasks(buckets)))
     hot = stored(hot, "hot-again")
     if hot.isEmpty():
@@ -339,32 +374,30 @@ def linked(keys: DataFrame, lines: DataFrame, similarity: float, shingle_set=shi
 
 
 def decide(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """uid, place of every line that goes."""
-    key = F.unhex(F.md5(F.col("line").cast("binary"))).alias("key")
+    """uid, place of every line that is not blank, and whether it goes."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "uid", "place")).alias("first")
-    lines = stored(numbered(docs).groupBy(key).agg(F.max("line").alias("line"), first, F.count(F.lit(1)).alias("n")).withColumn("node", F.monotonically_increasing_id()), "lines")
+    lines = numbered(docs, "uid", "doc_id", "place", "key", "line").groupBy("key").agg(F.max("line").alias("line"), first, F.count(F.lit(1)).alias("n"))
+    lines = stored(lines.withColumn("node", F.monotonically_increasing_id()), "lines")
     found = graph.components(alike(lines, similarity), "line-links")
     # a line without links is a component of its own, and its first occurrence stays
-    nodes = stored(lines.select("node", "key", "first", "n").join(found, "node", "left"), "line-nodes")
+    nodes = stored(lines.select("node", "key", "first", "n").join(found, "node", "left").filter("n > 1 OR root IS NOT NULL"), "line-nodes")
     heads = nodes.filter("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("stays"))
     many = nodes.filter("root IS NOT NULL").join(heads, "root").select("key", "n", "first", "stays").unionByName(nodes.filter("root IS NULL").select("key", "n", "first", F.col("first").alias("stays")))
     many = many.filter("n > 1 OR stays <> first").select("key", F.col("stays.uid").alias("at"), F.col("stays.place").alias("at_place"))
-    places = numbered(docs).select("uid", "place", key).join(many, "key")
-    return places.filter("at <> uid OR at_place <> place").select("uid", "place")
+    places = numbered(docs, "uid", "place", "key").join(many, "key", "left")
+    return places.select("uid", "place", F.coalesce((F.col("at") != F.col("uid")) | (F.col("at_place") != F.col("place")), F.lit(False)).alias("goes"))
 
 
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, n_lines (not blank), n_kept, dropped (places of dropped lines, from 0) and the text that remains."""
     docs = fixed(docs.select("doc_id", "text"))
-    places = F.array_sort(F.collect_list("place"))
-    gone = decide(docs, similarity).groupBy("uid").agg(places.alias("dropped"))
+    lines = decide(docs, similarity).groupBy("uid").agg(F.count(F.lit(1)).alias("n_lines"), F.array_sort(F.collect_list(F.when(F.col("goes"), F.col("place")))).alias("dropped"))
     # whether each line up to the last dropped one goes
-    gaps = F.zip_with("dropped", F.concat(F.array(F.lit(-1)), F.slice("dropped", F.lit(1), F.size("dropped") - 1)), lambda x, before: x - before - 1)
-    gone = gone.withColumn("goes", F.flatten(F.transform(gaps, lambda n: F.concat(F.array_repeat(F.lit(False), n), F.array(F.lit(True))))))
+    gaps = F.zip_with("dropped", F.concat(F.array(F.lit(-1)), F.slice("dropped", F.lit(1), F.greatest(F.size("dropped") - 1, F.lit(0)))), lambda x, before: x - before - 1)
+    goes = F.flatten(F.transform(gaps, lambda n: F.concat(F.array_repeat(F.lit(False), n), F.array(F.lit(True)))))
+    lines = lines.withColumn("goes", F.when(F.size("dropped") > 0, goes))
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    solid = F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x, F.lit(WHITE)) != ""))
-    rows = rows.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(solid).cast("long"))
-    out = rows.join(gone, "uid", "left").withColumn("dropped", F.coalesce("dropped", F.array().cast("array<int>")))
+    out = rows.join(lines, "uid", "left").withColumn("n_lines", F.coalesce("n_lines", F.lit(0)).cast("long")).withColumn("dropped", F.coalesce("dropped", F.array().cast("array<int>")))
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.coalesce(F.get("goes", i), F.lit(False))), "\n")
     text = F.when(F.size("dropped") == 0, F.col("text")).otherwise(kept)
     return out.select("doc_id", "n_lines", (F.col("n_lines") - F.size("dropped")).alias("n_kept"), "dropped", text.alias("text"))

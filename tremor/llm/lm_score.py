@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremor.session import ship, shuffle_partitions, stored, table
+from tremor.session import fixed, ship, shuffle_partitions, stored, table
 
 BACKOFF, MIN_COUNT = 0.4, 2
 #: Bytes of text of a chunk, text that one hash partition counts the n-grams of, and of a piece that is split at once.
@@ -182,9 +182,13 @@ def _count(t: pa.Table) -> pa.Table:
 
 
 def score(docs: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, log_micro (sum of log scores in millionths) and mean_log of every document."""
+    """doc_id, n_tokens, log_micro (sum of log scores in millionths) and mean_log of every document.
+
+    docs is read twice and its documents are dealt alike both times, so what is not a table of files is written first.
+    """
     spark = docs.sparkSession
     ship(spark)
+    docs = fixed(docs.select("doc_id", "text"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(shuffle_partitions(spark), math.ceil(size / PARTITION))
@@ -196,7 +200,7 @@ def score(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(found), pa.int64()), *(pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.int64(), pa.binary(), pa.binary())))], names=["chunk", "part", "keys", "counts"])
 
     sent = rows.mapInArrow(send, "chunk long, part long, keys binary, counts binary")
-    back = stored(sent.groupBy("part").applyInArrow(_count, "chunk long, part long, counts binary"), "ngram-counts")
+    back = stored(sent.repartition(parts, "part").groupBy("part").applyInArrow(_count, "chunk long, part long, counts binary"), "ngram-counts")
     total = rows.mapInArrow(_word_counts, "words long").agg(F.sum("words")).first()[0] or 0
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

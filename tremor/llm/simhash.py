@@ -1,13 +1,18 @@
 """SimHash near-duplicates: fingerprints of word shingles, and every pair within a Hamming radius by vantage-point trees.
 
 Fingerprints of 64 bits concentrate at distance 32 of any vantage point, where a ball of radius 3 reaches over nearly
-every boundary; so there are two trees, one on each 32-bit half. Two fingerprints that differ in at most 3 bits differ
-in at most one bit of one half, and in that half's tree the radius is 1. A node of a tree has a vantage point (from a
-seed, the same on every machine) and deals its fingerprints by their distance to it: near (<= 16) or far. By the
-triangle inequality two fingerprints at distance 1 have distances to the vantage point that differ by at most 1, so a
-near fingerprint at 16 also visits the far shard, and a visitor at 16 or 17 goes on into both: no pair is lost. Shards
-compare members with members and visitors on all 64 bits, and give a spanning forest of the links they find; a dense
-shard is cut into blocks that are compared pair by pair of blocks in tasks of their own.
+every boundary, and a tree on whole fingerprints would send most of them into most shards. Two fingerprints that differ
+in at most 3 bits agree in one of their four 16-bit quarters; so there are four trees, one on each quarter, in which
+the radius is 0: a node has a vantage point (from a seed, the same on every machine) and deals its fingerprints by their
+distance to it, near or far, and no ball crosses the boundary. Every fingerprint goes to four shards, whatever the
+depth. Shards that are dense (those of full trees, or of many alike fingerprints) are dealt again by trees on the four
+12-bit quarters of the other 48 bits, one of which agrees too.
+
+Inside a shard a vantage-point tree on whole fingerprints gives the pairs: a ball is split at the median distance,
+near and far side go on by themselves, and fingerprints whose balls overlap the boundary by the triangle inequality are
+compared with those on the other side that they can reach; all other branches are pruned. A shard gives a spanning
+forest of the links it finds. A shard that is still dense is cut into blocks that are compared pair by pair of blocks
+in tasks of their own.
 
 Defined results: null text, and text without words, has fingerprint zero and links like any other; equal fingerprints
 are one node; null doc_ids are ignored in component_id, which is null if a component has no other; repeated rows are
@@ -28,8 +33,10 @@ from tremor.llm import graph
 from tremor.session import ship, stored, table
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
-#: Fingerprints of a shard on average, and of one block of a dense shard.
-LEAF, BLOCK = 1024, 4096
+#: Fingerprints of a shard on average, of one block of a dense shard, and of a ball that is compared without splitting it.
+LEAF, BLOCK, BALL = 1024, 4096, 512
+#: Bits of a fingerprint that a tree looks at: quarters of the whole, and quarters of what is left.
+QUARTER, REST = 16, 12
 #: Bytes of text that are split into words at a time.
 SLICE = 4 << 20
 
@@ -97,69 +104,127 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _vantage(tree: int, level: int, path: np.ndarray) -> np.ndarray:
-    """32-bit vantage point of each node."""
-    return _mix(path.astype(np.uint64) + np.uint64(1 + (tree << 60) + (level << 52))) >> np.uint64(32)
-
-
-def descend(fp: np.ndarray, tree: int, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, shard, whether it is a member there) for every shard of a tree that a fingerprint belongs to or visits."""
-    half = (fp >> np.uint64(32)) if tree else (fp & np.uint64(0xFFFFFFFF))
-    row, path, member = np.arange(len(fp)), np.zeros(len(fp), np.int64), np.ones(len(fp), bool)
+def _shards(bits: np.ndarray, width: int, depth: int, seed: int) -> np.ndarray:
+    """Leaf of each value of so many bits in a vantage-point tree for radius 0: equal values meet in one."""
+    path = np.zeros(len(bits), np.uint64)
     for level in range(depth):
-        d = np.bitwise_count(half[row] ^ _vantage(tree, level, path)).astype(np.int64)
-        near = np.where(member, d <= 16, d <= 17)
-        far = np.where(member, d >= 17, d >= 16)
-        visit = member & (d == 16)
-        row, path, member = (np.concatenate(x) for x in ((row[near], row[far], row[visit]), (2 * path[near], 2 * path[far] + 1, 2 * path[visit] + 1), (member[near], member[far], np.zeros(int(visit.sum()), bool))))
-    return row, path, member
-
-
-def _forest(base: np.ndarray, query: np.ndarray, radius: int, within: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Links that span the components of all pairs (base, query) within the radius, and with within of (base, base)."""
+        vantage = _mix(path + np.uint64(1 + (seed << 56) + (level << 48))) >> np.uint64(64 - width)
+        far = np.bitwise_count(bits ^ vantage) > width // 2 - level % 2
+        path = (path << np.uint64(1)) | far.astype(np.uint64)
+    return path
+
+
+def _quarter(fp: np.ndarray, k: int) -> np.ndarray:
+    return (fp >> np.uint64(QUARTER * k)) & np.uint64((1 << QUARTER) - 1)
+
+
+def first_shards(fp: np.ndarray, depth: int) -> np.ndarray:
+    """The four shards (columns) of each fingerprint; two low bits tell the tree."""
+    return np.stack([(_shards(_quarter(fp, k), QUARTER, depth, k) << np.uint64(2)) | np.uint64(k) for k in range(4)], axis=1)
+
+
+def second_shards(fp: np.ndarray, shard: np.ndarray, depth: int) -> np.ndarray:
+    """The four shards of each fingerprint inside the one that it is in; 2 bits more, and as many as depth."""
+    k = shard & np.uint64(3)
+    low = (np.uint64(1) << (k * np.uint64(QUARTER))) - np.uint64(1)
+    high = np.where(k == np.uint64(3), np.uint64(0), fp >> np.minimum((k + np.uint64(1)) * np.uint64(QUARTER), np.uint64(63)))
+    rest = (fp & low) | (high << (k * np.uint64(QUARTER)))
+    parts = [(rest >> np.uint64(REST * j)) & np.uint64((1 << REST) - 1) for j in range(4)]
+    return np.stack([(((shard << np.uint64(REST)) | _shards(p, REST, depth, 8 + j)) << np.uint64(2)) | np.uint64(j) for j, p in enumerate(parts)], axis=1)
+
+
+def _across(fp: np.ndarray, label: np.ndarray, a: np.ndarray, b: np.ndarray | None, radius: int) -> np.ndarray:
+    """label after linking all pairs within the radius of rows a with rows b, or among rows a."""
+    for k in range(0, len(a), BALL):
+        rows = a[k : k + BALL]
+        other = a[: k + BALL] if b is None else b
+        for j in range(0, len(other), 16 * BALL):
+            some = other[j : j + 16 * BALL]
+            x, y = np.nonzero(np.bitwise_count(fp[rows, None] ^ fp[None, some]) <= radius)
+            label = graph.union(label, rows[x], some[y])
+    return label
+
+
+def forest(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that span the components of all pairs within the radius: a vantage-point tree over the fingerprints."""
+    label, todo = np.arange(len(fp)), [np.arange(len(fp))]
+    while todo:
+        rows = todo.pop()
+        if len(rows) > BALL:
+            d = np.bitwise_count(fp[rows] ^ fp[rows[len(rows) // 2]])
+            edge = int(np.median(d))
+            near = d <= edge
+            if 0 < near.sum() < len(rows):
+                todo += [rows[near], rows[~near]]
+                label = _across(fp, label, rows[near & (d > edge - radius)], rows[~near & (d <= edge + radius)], radius)
+                continue
+        label = _across(fp, label, rows, None, radius)
+    linked = np.flatnonzero(label != np.arange(len(fp)))
+    return fp[linked], fp[label[linked]]
+
+
+def _halves(base: np.ndarray, query: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that span the components of all pairs (base, query) within the radius."""
     every = np.concatenate((base, query))
-    label = np.arange(len(every))
-    first = 0 if within else len(base)
-    for k in range(first, len(every), 512):
-        b = base if k >= len(base) else base[: k + 512]
-        q, a = np.nonzero(np.bitwise_count(every[k : k + 512, None] ^ b[None, :]) <= radius)
-        label = graph.union(label, q + k, a)
+    label = _across(every, np.arange(len(every)), np.arange(len(base)), len(base) + np.arange(len(query)), radius)
     linked = np.flatnonzero(label != np.arange(len(every)))
     return every[linked], every[label[linked]]
 
 
+def _links(a: np.ndarray, b: np.ndarray) -> pa.Table:
+    return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
+
+
+def _dense(dealt: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """(rows of other shards, rows of dense ones with their number of blocks) of (shard, fp)."""
+    dense = dealt.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 4 * BLOCK)
+    dense = stored(dense.select("shard", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), name)
+    if dense.isEmpty():
+        return dealt, dealt.withColumn("blocks", F.lit(1)).limit(0)
+    return dealt.join(dense, "shard", "left_anti"), dealt.join(dense, "shard")
+
+
 def links(nodes: DataFrame, count: int, radius: int = RADIUS) -> DataFrame:
     """Links (a, b) between the distinct fingerprints fp of nodes that leave no pair within the radius unconnected."""
     if radius > 3:
-        raise ValueError("two halves with radius 1 each find pairs that differ in 3 bits at most")
+        raise ValueError("of four quarters one agrees only in pairs that differ in 3 bits at most")
     ship(nodes.sparkSession)
-    depth = max(0, math.ceil(math.log2(max(1, count) / LEAF)))
+    depth = min(QUARTER, max(0, math.ceil(math.log2(max(1, count) / LEAF))))
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def dealt_by(shards, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.asarray(batch.column(0)).view(np.uint64)
-            for tree in (0, 1):
-                for k in range(0, len(fp), 4096):
-                    row, path, member = descend(fp[k : k + 4096], tree, depth)
-                    yield pa.RecordBatch.from_arrays([pa.array(path * 2 + tree), pa.array(member), pa.array(fp[k : k + 4096][row].view(np.int64))], names=["shard", "member", "fp"])
+            shard = shards(fp, batch)
+            yield pa.RecordBatch.from_arrays([pa.array(shard.view(np.int64).ravel()), pa.array(np.repeat(fp, 4).view(np.int64))], names=["shard", "fp"])
 
-    dealt = nodes.select("fp").mapInArrow(deal, "shard long, member boolean, fp long")
-    dense = dealt.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 4 * BLOCK)
-    dense = stored(dense.select("shard", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "dense")
-    dealt = dealt.join(dense, "shard", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    # a task (i, j) holds members of block i as base, and members (j >= i) and visitors of block j as queries
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    base = F.transform(F.filter(every, lambda j: F.col("member") & (j >= 0)), lambda j: F.struct(F.col("own").alias("i"), j.alias("j"), F.lit(True).alias("base")))
-    query = F.transform(F.filter(every, lambda i: ~F.col("member") | (i < F.col("own"))), lambda i: F.struct(i.alias("i"), F.col("own").alias("j"), F.lit(False).alias("base")))
-    dealt = dealt.select("shard", "fp", F.explode(F.concat(base, query)).alias("t")).select("shard", "t.i", "t.j", "t.base", "fp")
-
-    def pairs(t: pa.Table) -> pa.Table:
-        fp, is_base = np.asarray(t["fp"]).view(np.uint64), np.asarray(t["base"])
-        a, b = _forest(fp[is_base], fp[~is_base], radius, t["i"][0].as_py() == t["j"][0].as_py())
-        return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return dealt_by(lambda fp, batch: first_shards(fp, depth), batches)
 
-    return dealt.groupBy("shard", "i", "j").applyInArrow(pairs, "a long, b long").filter("a <> b")
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return dealt_by(lambda fp, batch: second_shards(fp, np.asarray(batch.column(1)).view(np.uint64), REST), batches)
+
+    def inside(t: pa.Table) -> pa.Table:
+        return _links(*forest(np.asarray(t["fp"]).view(np.uint64), radius))
+
+    def blocks(t: pa.Table) -> pa.Table:
+        fp, is_base = np.asarray(t["fp"]).view(np.uint64), np.asarray(t["base"])
+        return _links(*(forest(fp, radius) if is_base.all() else _halves(fp[is_base], fp[~is_base], radius)))
+
+    schema = "a long, b long"
+    few, dense = _dense(nodes.select("fp").mapInArrow(first, "shard long, fp long"), "dense")
+    found = few.groupBy("shard").applyInArrow(inside, schema)
+    dense = stored(dense.select("fp", "shard"), "dense-rows")
+    if dense.isEmpty():
+        return found.filter("a <> b")
+    few, dense = _dense(dense.mapInArrow(second, "shard long, fp long"), "dense-again")
+    found = found.unionByName(few.groupBy("shard").applyInArrow(inside, schema))
+    dense = stored(dense, "dense-blocks").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    if not dense.isEmpty():
+        # a task (i, j) holds block i as base and, where j differs, block j as queries
+        pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j"), (F.col("own") <= k).alias("base")))
+        tasks = dense.select("shard", "fp", F.explode(pair).alias("t")).select("shard", "t.i", "t.j", "t.base", "fp")
+        found = found.unionByName(tasks.groupBy("shard", "i", "j").applyInArrow(blocks, schema))
+    return found.filter("a <> b")
 
 
 def components_of(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
