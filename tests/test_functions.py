@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tremor.functions import paths, text, urls
+from tremor.sources import scripts
 
 
 def values(spark, rows, column, schema="v string"):
@@ -53,7 +54,8 @@ def test_hygiene_and_reasons(spark):
     v = F.col("v")
     assert values(spark, ["a\r\nb\rc\n", "a\n"], text.line_feeds(v)) == ["a\nb\nc\n", "a\n"]
     assert values(spark, ["a  \nb\t\n\n\n", "a\n", " \n \n", "a", "a  b "], text.no_trailing_white(v)) == ["a\nb\n", "a\n", "", "a", "a  b\n"]
-    assert values(spark, ["a", "a\n\n\n", "\n\n", "", "a\r\n"], text.one_final_line_feed(v)) == ["a\n", "a\n", "", "", "a\n"]
+    assert values(spark, ["a \r\n", "\n", "a\n \n\t", "\ta"], text.no_trailing_white(v)) == ["a \r\n", "", "a\n", "\ta"]
+    assert values(spark, ["a", "a\n\n\n", "\n\n", "", "a\r\n"], text.one_final_line_feed(v)) == ["a\n", "a\n", "\n", "", "a\r\n"]
     assert values(spark, ["dynamic-ref", "Dynamic x", "unsupported y", "no importer", None, "z"], text.reason_bucket(v)) == ["dynamic-ref", "dynamic-ref", "binary/unsupported", "no-import-chain", "unknown-url", "unknown-url"]
     assert values(spark, ["x (name at 12)", "line 7", "none"], text.line_of(v, F.lit(None))) == [12, 7, 0]
     assert values(spark, ["<a><!-- x\ny --><b>"], text.strip_html_comments(v)) == ["<a><b>"]
@@ -64,11 +66,12 @@ def test_hygiene_and_reasons(spark):
 
 @pytest.mark.parametrize(("source", "want"), [("a /* x\ny */ b // c\nd", "a \n b \nd"), ("u = 'http://x'", "u = 'http://x'")])
 def test_js_comments(source, want):
-    assert text.without_js_comments(source) == want
+    assert scripts.without_comments(source) == want
 
 
 def test_literals_and_json():
-    assert text.blank_literals("import x from './a'; s = 'import'; require(\"b\")") == "import x from './a'; s =         ; require(\"b\")"
-    assert text.blank_literals("s = `a\nb`", keep_operands=False) == "s =   \n  "
+    assert scripts.blank_literals("import x from './a'; s = 'import'; require(\"b\")") == "import x from './a'; s =         ; require(\"b\")"
+    assert scripts.blank_literals("s = `a\nb`", keep_operands=False) == "s =   \n  "
+    assert scripts.blank_literals("export { a as 'b' }; x = { 'c': 1 }", keep_exports=True) == "export { a as 'b' }; x = {    : 1 }"
     assert text.json_error(b'{"a": 1}', False) is None and text.json_error(b'{"a":1} x', False)[0] == 1 and text.json_error(b"\xff\xfe{", False) is not None
     assert text.json_error(b'{"u": "http://x", /* c */ "a": [1,],} // d', True) is None and text.json_error(b'{"a": 1,}', False) is not None

@@ -59,6 +59,9 @@ def test_binding(spark):
     changed = frame(spark, "path string", ("shop/services.py",))
     assert {r.seq for r in binding.references(u, e, changed).collect()} == {1, 2, 5, 8, 10, 13}
     assert {r.seq for r in binding.references(u, e, changed, need_base=True).collect()} == {1, 2, 5, 10, 13}
+    assert {r.seq for r in binding.references(u, e, changed.limit(0)).collect()} == {1, 2, 3, 5, 7, 8, 9, 10, 12, 13}  # nothing changed, nothing is filtered
+    sure = {r.seq: (r.bound, r.own) for r in binding.references(u, e, changed).collect()}
+    assert sure[2] == (True, False) and sure[13] == (False, True) and sure[8] == (False, False)
 
 
 def test_closures(spark):
@@ -70,9 +73,15 @@ def test_closures(spark):
     assert closures.descendants(edges, "a").count() == 0  # on a cycle
     tree = frame(spark, "src string, dst string", ("c", "b"), ("b", "a"))
     assert {tuple(r) for r in closures.descendants(tree, "c").collect()} == {("b", "b"), ("a", "b")}
-    rows = frame(spark, "severity string, module string, ctx_qname string", ("High", "m", "f"), ("High", "x", "g"), ("Low", "x", "g"), ("High", "x", ""))
-    got = closures.downgraded(rows, frame(spark, "node string", ("m",)))
-    assert sorted((r.severity, r.reachability) for r in got.collect()) == [("High", "reachable"), ("High", "reachable"), ("Low", "unreachable"), ("Medium", "unreachable")]
+    rows = frame(
+        spark, "n int, severity string, path string, category string, ctx_qname string", (1, "High", "m.py", "python", "f"), (2, "High", "x.py", "python", "A.g"), (3, "Low", "x.py", "python", "g"),
+        (4, "Medium", "x.py", "python", "m"), (5, "High", "x.py", "python", ""), (6, "High", "x.html", "template", "g"), (7, "High", "x.py", "python", "C.run"))
+    names, modules = frame(spark, "node string", ("run",)), frame(spark, "node string", ("m",))
+    got = closures.downgraded(rows, names, modules)
+    # names and modules are apart: m is a module, and no function; only Python rows are judged
+    assert {(r.n, r.severity, r.reachability[0]) for r in got.collect()} == {(1, "High", "r"), (2, "Medium", "u"), (3, "Low", "u"), (4, "Low", "u"), (5, "High", "r"), (6, "High", "r"), (7, "High", "r")}
+    none = frame(spark, "node string")
+    assert {r.reachability for r in closures.downgraded(rows, none, none).collect()} == {"reachable"}
 
 
 def test_severity_table(spark):
@@ -87,9 +96,11 @@ def test_severity_table(spark):
 def test_owners_last_match_wins(spark):
     from tremor.sources.files import ownership_rules
 
-    rules = ownership_rules(spark, "*.py @all\napps/orders/* @orders\n")
+    rules = ownership_rules(spark, "*.py @all\napps/orders/* @team @orders # last\n")
     got = {r.path: r.owner for r in routes.owners(frame(spark, "path string", ("apps/orders/a.py",), ("b.py",), ("c.md",)), rules).collect()}
-    assert got == {"apps/orders/a.py": "@orders", "b.py": "@all", "c.md": ""}
+    assert got == {"apps/orders/a.py": "orders", "b.py": "all", "c.md": ""}
+    many = frame(spark, "ord int, regex string, owner string", *[(k, f"^f{k}[.]py$", f"o{k}") for k in range(300)])
+    assert {r.path: r.owner for r in routes.owners(frame(spark, "path string", ("f7.py",), ("x",)), many).collect()} == {"f7.py": "o7", "x": ""}
 
 
 def test_url_stages(spark):
@@ -152,13 +163,15 @@ def test_report(spark):
     got = {r.path: r for r in ranked.collect()}
     assert set(got) == {"a.py", "b.py", "c.py", "z.py"} and hidden.count() == 1
     assert (got["a.py"].severity, got["a.py"].missing_test, got["a.py"].section, got["a.py"].key) == ("High", 0, "Breaking", "a.py:3")
-    assert (got["z.py"].severity, got["z.py"].badge, got["z.py"].action) == ("Low", "Changed", "ok")
-    assert [r.path for r in ranked.orderBy("rank").collect()] == ["b.py", "c.py", "a.py", "z.py"]
+    assert (got["z.py"].severity, got["z.py"].badge, got["z.py"].action, got["z.py"].why_matters) == ("Low", "Changed", "ok", None)
+    assert (got["a.py"].action, got["b.py"].action, got["c.py"].action) == ("run tests/test_a.py", "update call site", "remove import") and got["b.py"].missing_test == 0
+    assert got["c.py"].why_matters == "k (attr at 1) uses deleted symbol k (unresolved import)"
+    assert [r.path for r in ranked.orderBy("rank").collect()] == ["c.py", "a.py", "b.py", "z.py"]
     s = scoring.summary(ranked, changed).first()
     assert (s.high, s.medium, s.low, s.impacted, s.summary_risk) == (3, 0, 1, 3, 75)
     unresolved = frame(spark, "file string, ref string, reason string", ("a", "x", "dynamic-ref"))
     shown = report.render(ranked, unresolved, changed, top=2)
-    assert "75/100" in shown and "dynamic-ref 1" in shown and "1 more in z" in shown
+    assert "75/100" in shown and "dynamic-ref 1" in shown and "1 more in b" in shown
     assert "| # |" in report.render(ranked, unresolved, changed, markdown=True)
     doc = json.loads(report.sarif(ranked))
     assert report.sarif_problems(doc) == [] and [x["level"] for x in doc["runs"][0]["results"]] == ["error", "error", "error", "note"]

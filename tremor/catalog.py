@@ -33,11 +33,11 @@ SELECT 'app/m' || l_suppkey || '.py' AS path, 'app.m' || l_suppkey AS own_module
 FROM {t}"""
 ENTITIES = """
 SELECT 'sym_' || p_partkey AS name, CASE p_size % 5 WHEN 0 THEN 'class_field' WHEN 1 THEN 'method' WHEN 2 THEN 'class' WHEN 3 THEN 'function' ELSE 'module_field' END AS kind,
-       p_partkey % 21 = 0 AS deleted, 'pkg.b' || (p_partkey % 25) AS module, 'app/p' || (p_partkey % 40) || '.py' AS path, p_size AS line, p_size + p_partkey % 7 AS end_line
-FROM {t} WHERE p_partkey % 7 = 0"""
-CHANGED = "SELECT DISTINCT 'app/m' || (o_custkey % 200) || '.py' AS path FROM {t} WHERE o_orderkey % 50 = 0"
-HUNKS = "SELECT 'app/p' || (o_custkey % 40) || '.py' AS path, CAST(o_custkey % 100 + 1 AS INT) AS new_start, CAST(o_custkey % 4 AS INT) AS new_count, CAST(o_custkey % 90 + 1 AS INT) AS old_start, CAST(o_custkey % 3 AS INT) AS old_count FROM {t} WHERE o_orderkey % 100 = 0"
-EDGES = "SELECT DISTINCT l_suppkey AS src, (l_suppkey * 7 + l_linenumber) % 97 + 1 AS dst FROM {t} WHERE l_partkey % 3 = 0"
+       p_partkey % 21 = 0 AS deleted, CASE WHEN p_partkey % 4 = 0 THEN 'app.m' || (p_partkey % 90 + 1) ELSE 'pkg.b' || (p_partkey % 25) END AS module, 'app/p' || (p_partkey % 40) || '.py' AS path, p_size AS line, p_size + p_partkey % 7 AS end_line
+FROM {t}"""
+CHANGED = "SELECT DISTINCT 'app/m' || (o_custkey % 40) * 5 || '.py' AS path FROM {t}"
+HUNKS = "SELECT 'app/p' || (o_custkey % 40) || '.py' AS path, CAST(o_custkey % 100 + 1 AS INT) AS new_start, CAST(o_custkey % 4 AS INT) AS new_count, CAST(o_custkey % 90 + 1 AS INT) AS old_start, CAST(o_custkey % 3 AS INT) AS old_count FROM {t}"
+EDGES = "SELECT DISTINCT l_suppkey AS src, (l_suppkey * 7 + l_linenumber) % 97 + 1 AS dst FROM {t}"
 
 
 def _view(spark: SparkSession, sf_dir: str, sql: str, name: str) -> DataFrame:
@@ -69,7 +69,7 @@ h0 AS (
   FROM u JOIN e ON u.name = e.name
   WHERE CASE e.kind WHEN 'class_field' THEN u.kind = 'attr' WHEN 'method' THEN u.kind IN ('name', 'attr') ELSE u.kind IN ('name', 'attr', 'import') END),
 h1 AS (
-  SELECT h0.*, EXISTS (SELECT 1 FROM targets t WHERE t.path = h0.path AND t.bound = h0.head AND t.target = h0.entity_module) AS fine,
+  SELECT h0.*, own_module = entity_module AS own, EXISTS (SELECT 1 FROM targets t WHERE t.path = h0.path AND t.bound = h0.head AND t.target = h0.entity_module) AS fine,
          EXISTS (SELECT 1 FROM targets t WHERE t.path = h0.path AND t.bound = h0.head) AS other FROM h0),
 hits AS (
   SELECT * FROM h1 WHERE (is_changed AND NOT deleted) OR CASE
@@ -91,8 +91,8 @@ def references(spark, sf_dir):
 
 _REPORT = f"""{_HITS},
 r0 AS (
-  SELECT seq, path, own_module AS module, CASE WHEN seq % 5 = 0 THEN 'template' ELSE 'python' END AS category, name || ' (' || kind || ' at ' || line || ')' AS ref, line, name AS entity, deleted,
-         CASE WHEN fine THEN 'high' WHEN kind = 'attr' AND NOT other THEN 'low' ELSE 'medium' END AS confidence, ctx_qname FROM hits),
+  SELECT seq, path, ctx_qname AS module, CASE WHEN seq % 5 = 0 THEN 'template' ELSE 'python' END AS category, name || ' (' || kind || ' at ' || line || ')' AS ref, line, name AS entity, deleted,
+         CASE WHEN fine THEN 'high' WHEN own THEN 'medium' ELSE 'low' END AS confidence, ctx_qname FROM hits),
 r1 AS (SELECT * FROM r0 QUALIFY row_number() OVER (PARTITION BY path, category, ref ORDER BY seq) = 1),
 la AS (SELECT entity, string_agg(DISTINCT category, '+' ORDER BY category) AS layers, count(DISTINCT category) AS n_layers FROM r1 GROUP BY entity),
 v AS (SELECT * FROM r1 WHERE confidence <> 'low'),
@@ -100,7 +100,7 @@ fan AS (SELECT entity, count(DISTINCT path) AS fan_in FROM v GROUP BY entity),
 r2 AS (
   SELECT v.*, la.layers, fan.fan_in, v.path IN (SELECT path FROM c) AS inside,
          CASE WHEN deleted OR n_layers >= 2 THEN 'High' WHEN v.path IN (SELECT path FROM c) THEN 'Low' ELSE 'Medium' END AS severity,
-         CASE WHEN CAST(substr(v.path, 6, length(v.path) - 8) AS INT) % 3 = 0 AND v.path LIKE 'app/m%' THEN 0 ELSE 1 END AS missing_test
+         CASE WHEN category <> 'python' THEN 0 WHEN CAST(substr(v.path, 6, length(v.path) - 8) AS INT) % 3 = 0 AND v.path LIKE 'app/m%' THEN 0 ELSE 1 END AS missing_test
   FROM v JOIN la USING (entity) JOIN fan USING (entity)),
 r3 AS (
   SELECT *, CASE WHEN deleted OR severity = 'High' THEN 'Breaking' ELSE 'Direct' END AS section, CASE WHEN inside THEN 'Changed' ELSE 'Impacted' END AS badge, path || ':' || line AS key,
@@ -111,17 +111,15 @@ r3 AS (
 def _report(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     hits, changed = _hits(spark, sf_dir)
     rows = impact.python_rows(hits).withColumn("category", F.when(F.col("seq") % 5 == 0, "template").otherwise("python"))
-    suppliers = table(spark, sf_dir, "supplier").filter("s_suppkey % 3 = 0")
-    files = suppliers.select(F.concat(F.lit("tests/test_m"), F.col("s_suppkey").cast("string"), F.lit(".py")).alias("path"))
+    files = table(spark, sf_dir, "supplier").select(F.concat(F.lit("tests/test_m"), (F.col("s_suppkey") * 3).cast("string"), F.lit(".py")).alias("path"))
     ranked, hidden = impact.compose(rows, changed, files)
     return ranked, hidden, changed
 
 
-@query(f"""WITH {_REPORT} SELECT row_number() OVER (ORDER BY round(risk, 9) DESC, path, seq) AS rank, path, module, category, ref, entity, severity, section, badge, key, fan_in, missing_test, layers, round(risk, 9) AS risk FROM r3""")
+@query(f"""WITH {_REPORT} SELECT row_number() OVER (ORDER BY round(risk, 9) DESC, path, seq, ref) AS rank, path, module, category, ref, entity, severity, section, badge, key, fan_in, missing_test, layers, round(risk, 9) AS risk FROM r3""")
 def impact_report(spark, sf_dir):
     ranked, _, _ = _report(spark, sf_dir)
-    ranked = scoring.ranked(ranked.drop("rank").withColumn("risk", F.round("risk", 9)))
-    return ranked.select("rank", "path", "module", "category", "ref", "entity", "severity", "section", "badge", "key", "fan_in", "missing_test", F.array_join("layers", "+").alias("layers"), "risk")
+    return ranked.withColumn("risk", F.round("risk", 9)).select("rank", "path", "module", "category", "ref", "entity", "severity", "section", "badge", "key", "fan_in", "missing_test", F.array_join("layers", "+").alias("layers"), "risk")
 
 
 @query(f"""WITH {_REPORT}, s AS (SELECT count(*) FILTER (severity = 'High') AS high, count(*) FILTER (severity = 'Medium') AS medium, count(*) FILTER (severity = 'Low') AS low, count(DISTINCT CASE WHEN NOT inside THEN path END) AS impacted FROM r3)
@@ -135,7 +133,6 @@ def report_summary(spark, sf_dir):
 SELECT module, count(*) AS hidden, count(*) FILTER (severity = 'High') AS high FROM n WHERE number > 20 GROUP BY module""")
 def report_overflow(spark, sf_dir):
     ranked, _, _ = _report(spark, sf_dir)
-    ranked = scoring.ranked(ranked.drop("rank").withColumn("risk", F.round("risk", 9)))
     return scoring.overflow(scoring.displayed(ranked)[1])
 
 
@@ -146,20 +143,20 @@ def top_impacted_paths(spark, sf_dir):
     return scoring.top_paths(ranked.withColumn("risk", F.round("risk", 9)), changed).select("path", "risk")
 
 
-@query(f"""WITH {_REPORT} SELECT row_number() OVER (ORDER BY round(risk, 9) DESC, path, seq) AS rank, 'impact/' || lower(severity) AS rule, CASE severity WHEN 'High' THEN 'error' WHEN 'Medium' THEN 'warning' ELSE 'note' END AS level, ref AS text, path AS uri, greatest(line, 1) AS line FROM r3""")
+@query(f"""WITH {_REPORT} SELECT row_number() OVER (ORDER BY round(risk, 9) DESC, path, seq, ref) AS rank, 'impact/' || lower(severity) AS rule, CASE severity WHEN 'High' THEN 'error' WHEN 'Medium' THEN 'warning' ELSE 'note' END AS level, ref AS text, path AS uri, greatest(line, 1) AS line FROM r3""")
 def sarif_results(spark, sf_dir):
     ranked, _, _ = _report(spark, sf_dir)
-    return report.sarif_results(scoring.ranked(ranked.drop("rank").withColumn("risk", F.round("risk", 9))))
+    return report.sarif_results(ranked)
 
 
-@query(f"""WITH {_REPORT}, reached AS (SELECT 'app.m' || s_suppkey AS node FROM supplier WHERE s_suppkey % 2 = 0 UNION SELECT 'N')
-SELECT seq, CASE WHEN module IN (SELECT node FROM reached) OR split_part(ctx_qname, '.', 1) IN (SELECT node FROM reached) THEN 'reachable' ELSE 'unreachable' END AS reachability,
-       CASE WHEN module IN (SELECT node FROM reached) OR split_part(ctx_qname, '.', 1) IN (SELECT node FROM reached) THEN severity WHEN severity = 'High' THEN 'Medium' ELSE 'Low' END AS severity FROM r3""")
+@query(f"""WITH {_REPORT}, mods AS (SELECT 'app.m' || s_suppkey * 2 AS node FROM supplier),
+j AS (SELECT *, category <> 'python' OR replace(replace(path, '.py', ''), '/', '.') IN (SELECT node FROM mods) OR split_part(ctx_qname, '.', 1) = 'N' AS hit FROM r3)
+SELECT seq, CASE WHEN hit THEN 'reachable' ELSE 'unreachable' END AS reachability, CASE WHEN hit THEN severity WHEN severity = 'High' THEN 'Medium' ELSE 'Low' END AS severity FROM j""")
 def reachability_downgrade(spark, sf_dir):
     ranked, _, _ = _report(spark, sf_dir)
-    nodes = table(spark, sf_dir, "supplier").filter("s_suppkey % 2 = 0").selectExpr("'app.m' || s_suppkey AS node")
+    modules = table(spark, sf_dir, "supplier").selectExpr("'app.m' || s_suppkey * 2 AS node")
     rows = ranked.withColumn("ctx_qname", F.substring_index("ctx_qname", ".", 1))
-    return closures.downgraded(rows, nodes.union(spark.sql("SELECT 'N' AS node"))).select("seq", "reachability", "severity")
+    return closures.downgraded(rows, spark.sql("SELECT 'N' AS node"), modules).select("seq", "reachability", "severity")
 
 
 @query(f"""WITH {_HITS} SELECT name AS entity, string_agg(DISTINCT CASE WHEN seq % 5 = 0 THEN 'template' ELSE 'python' END, '+' ORDER BY CASE WHEN seq % 5 = 0 THEN 'template' ELSE 'python' END) AS layers FROM hits GROUP BY name""")
@@ -169,20 +166,20 @@ def entity_layers(spark, sf_dir):
     return scoring.layers(rows).select("entity", F.array_join("layers", "+").alias("layers"))
 
 
-@query(f"""WITH u AS ({U}), t AS (SELECT DISTINCT 'sym_' || p_partkey AS template FROM part WHERE p_partkey % 11 = 0)
+@query(f"""WITH u AS ({U}), t AS (SELECT DISTINCT 'sym_' || p_partkey * 11 AS template FROM part)
 SELECT path, line, name AS template, split_part(ctx_qname, '.', 2) AS ctx_leaf, callee IN ('render', 'render_to_string', 'get_template', 'select_template', 'TemplateResponse') OR coalesce(kwarg = 'template_name', false) AS certain
 FROM u JOIN t ON u.name = t.template WHERE kind = 'str'""")
 def render_sites(spark, sf_dir):
-    templates = table(spark, sf_dir, "part").filter("p_partkey % 11 = 0").selectExpr("'sym_' || p_partkey AS template")
+    templates = table(spark, sf_dir, "part").selectExpr("'sym_' || p_partkey * 11 AS template")
     return binding.render_sites(_view(spark, sf_dir, USAGES, "lineitem"), templates).select("path", "line", "template", "ctx_leaf", "certain")
 
 
-@query(f"""WITH u AS ({U}), c AS ({C}), s AS (SELECT 'sym_' || p_partkey AS name FROM part WHERE p_partkey % 97 = 0),
+@query(f"""WITH u AS ({U}), c AS ({C}), s AS (SELECT 'sym_' || p_partkey * 97 AS name FROM part),
 i AS (SELECT path FROM u WHERE kind = 'import' AND (name IN (SELECT name FROM s) OR alias IN (SELECT name FROM s) OR split_part(module, '.', 1) IN (SELECT name FROM s) OR split_part(module, '.', 2) IN (SELECT name FROM s)))
 SELECT DISTINCT path FROM u WHERE path IN (SELECT path FROM i) OR path IN (SELECT path FROM c)""")
 def fast_subset(spark, sf_dir):
     u = _view(spark, sf_dir, USAGES, "lineitem")
-    seeds = table(spark, sf_dir, "part").filter("p_partkey % 97 = 0").selectExpr("'sym_' || p_partkey AS name")
+    seeds = table(spark, sf_dir, "part").selectExpr("'sym_' || p_partkey * 97 AS name")
     return binding.fast_subset(u, u, seeds, _view(spark, sf_dir, CHANGED, "orders"))
 
 
@@ -190,14 +187,15 @@ _DEFS = "SELECT 'app/p' || (p_partkey % 40) || '.py' AS path, 'sym_' || (p_partk
 _D = _DEFS.format(t="part")
 
 
-@query(f"""WITH d AS ({_D}), o AS (SELECT * FROM d WHERE p_partkey % 5 <> 0), n AS (SELECT * FROM d WHERE p_partkey % 3 <> 0), h AS ({HUNKS.format(t="orders")}),
+@query(f"""WITH d AS ({_D}), o AS (SELECT * REPLACE (CASE WHEN p_partkey % 5 = 0 THEN 'was_' || name ELSE name END AS name) FROM d), n AS (SELECT * REPLACE (CASE WHEN p_partkey % 3 = 0 THEN 'now_' || name ELSE name END AS name) FROM d), h AS ({HUNKS.format(t="orders")}),
 ol AS (SELECT DISTINCT path, unnest(range(old_start, old_start + old_count)) AS line FROM h), nl AS (SELECT DISTINCT path, unnest(range(new_start, new_start + new_count)) AS line FROM h),
 t_old AS (SELECT DISTINCT o.* FROM o JOIN ol ON o.path = ol.path AND ol.line BETWEEN o.line AND o.end_line), tn AS (SELECT DISTINCT n.* FROM n JOIN nl ON n.path = nl.path AND nl.line BETWEEN n.line AND n.end_line),
 x AS (SELECT path, name, kind, line, NOT EXISTS (SELECT 1 FROM n WHERE n.path = t.path AND n.name = t.name) AS deleted FROM t_old t UNION ALL SELECT path, name, kind, line, false FROM tn)
 SELECT name, arg_min(kind, struct_pack(a := deleted, b := path, c := line, d := kind)) AS kind, bool_and(deleted) AS deleted, string_agg(DISTINCT replace(replace(path, '.py', ''), '/', '.'), ',' ORDER BY replace(replace(path, '.py', ''), '/', '.')) AS modules FROM x GROUP BY name""")
 def changed_entities(spark, sf_dir):
     d = _view(spark, sf_dir, _DEFS, "part")
-    old, new = d.filter("p_partkey % 5 <> 0"), d.filter("p_partkey % 3 <> 0")
+    named = lambda k, lead: d.withColumn("name", F.when(F.col("p_partkey") % k == 0, F.concat(F.lit(lead), "name")).otherwise(F.col("name")))
+    old, new = named(5, "was_"), named(3, "now_")
     h = _view(spark, sf_dir, HUNKS, "orders")
     touched = lambda x, side: changes.overlapping(x, changes.hunk_lines(h, side)).drop("p_partkey")
     modules = d.select("path", paths.module_of(F.col("path")).alias("module")).distinct()
@@ -218,20 +216,21 @@ def parsed_hunks(spark, sf_dir):
     return changes.parse_hunks(diffs)
 
 
-@query("""WITH a AS (SELECT 'app/m' || (o_custkey % 200) || '.py' AS path, max(CASE o_orderstatus WHEN 'F' THEN 'D' WHEN 'O' THEN 'M' ELSE 'A' END) AS status, 0 AS k FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1),
-b AS (SELECT 'app/m' || (o_custkey % 260) || '.PY' AS path, max(CASE o_orderstatus WHEN 'F' THEN 'D' WHEN 'O' THEN 'M' ELSE 'A' END) AS status, 1 AS k FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1),
+@query("""WITH a AS (SELECT 'app/m' || (o_custkey % 70) * 3 || '.py' AS path, max(CASE o_orderstatus WHEN 'F' THEN 'D' WHEN 'O' THEN 'M' ELSE 'A' END) AS status, 0 AS k FROM orders GROUP BY 1),
+b AS (SELECT 'app/m' || (o_custkey % 130) * 2 || '.PY' AS path, max(CASE o_orderstatus WHEN 'F' THEN 'D' WHEN 'O' THEN 'M' ELSE 'A' END) AS status, 1 AS k FROM orders GROUP BY 1),
 c AS (SELECT 'app/m' || (o_custkey % 200) || '.py' AS path, 'M' AS status, 2 AS k FROM orders GROUP BY 1)
 SELECT path, status, 'py' AS ext FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c) QUALIFY row_number() OVER (PARTITION BY path ORDER BY k, status) = 1""")
 def merged_change_lists(spark, sf_dir):
     o = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_custkey", "CASE o_orderstatus WHEN 'F' THEN 'D' WHEN 'O' THEN 'M' ELSE 'A' END AS s")
     none = F.lit(None).cast("string").alias("old_path")
-    a = o.filter("o_orderkey % 3 = 0").groupBy(F.expr("'app/m' || (o_custkey % 200) || '.py'").alias("path")).agg(F.max("s").alias("status")).select("path", "status", none)
-    b = o.filter("o_orderkey % 2 = 0").groupBy(F.expr("'app/m' || (o_custkey % 260) || '.PY'").alias("path")).agg(F.max("s").alias("status")).select("path", "status", none)
+    a = o.groupBy(F.expr("'app/m' || (o_custkey % 70) * 3 || '.py'").alias("path")).agg(F.max("s").alias("status")).select("path", "status", none)
+    b = o.groupBy(F.expr("'app/m' || (o_custkey % 130) * 2 || '.PY'").alias("path")).agg(F.max("s").alias("status")).select("path", "status", none)
     c = o.select(F.expr("'app/m' || (o_custkey % 200) || '.py'").alias("path"), F.lit("M").alias("status"), none).distinct()
     return changes.merge_change_lists(a, b, c).select("path", "status", "ext")
 
 
-_OLD, _NEW = "SELECT 'd/' || doc_id || '.txt' AS path, coalesce(text, '') || ' #' || doc_id AS content FROM {t} WHERE doc_id % 11 <> 0", "SELECT CASE WHEN doc_id % 17 = 0 THEN 'e/' ELSE 'd/' END || doc_id || '.txt' AS path, coalesce(text, '') || CASE WHEN doc_id % 7 = 0 AND doc_id % 17 <> 0 THEN ' edited' ELSE ' #' || doc_id END AS content FROM {t} WHERE doc_id % 13 <> 0"
+_OLD = "SELECT CASE WHEN doc_id % 11 = 0 THEN 'g/' ELSE 'd/' END || doc_id || '.txt' AS path, coalesce(text, '') || CASE WHEN doc_id % 11 = 0 THEN ' gone ' ELSE ' #' END || doc_id AS content FROM {t}"
+_NEW = "SELECT CASE WHEN doc_id % 17 = 0 THEN 'e/' WHEN doc_id % 13 = 0 THEN 'n/' ELSE 'd/' END || doc_id || '.txt' AS path, coalesce(text, '') || CASE WHEN doc_id % 17 = 0 THEN ' #' WHEN doc_id % 13 = 0 THEN ' fresh ' WHEN doc_id % 7 = 0 THEN ' edited ' ELSE ' #' END || doc_id AS content FROM {t}"
 
 
 @query(f"""WITH o AS ({_OLD.format(t='documents')}), n AS ({_NEW.format(t='documents')}),
@@ -271,21 +270,21 @@ def owners(spark, sf_dir):
     return routes.owners(rows, rules).select("path", "owner")
 
 
-@query(f"""WITH RECURSIVE e AS ({EDGES.format(t='lineitem')}), r(node, hop) AS (SELECT s_suppkey, 0 FROM supplier WHERE s_suppkey % 40 = 1 UNION SELECT e.dst, r.hop + 1 FROM r JOIN e ON e.src = r.node WHERE r.hop < 3)
+@query(f"""WITH RECURSIVE e AS ({EDGES.format(t='lineitem')}), r(node, hop) AS (SELECT DISTINCT s_suppkey // 40 * 40 + 1, 0 FROM supplier UNION SELECT e.dst, r.hop + 1 FROM r JOIN e ON e.src = r.node WHERE r.hop < 3)
 SELECT node, min(hop) AS hop FROM r GROUP BY node""")
 def reach_three_hops(spark, sf_dir):
-    seeds = table(spark, sf_dir, "supplier").filter("s_suppkey % 40 = 1").selectExpr("s_suppkey AS node")
+    seeds = table(spark, sf_dir, "supplier").selectExpr("s_suppkey div 40 * 40 + 1 AS node")
     return closures.reach(_view(spark, sf_dir, EDGES, "lineitem"), seeds, hops=3)
 
 
-@query(f"""WITH RECURSIVE e AS ({EDGES.format(t='lineitem')}), r(seed, node, hop) AS (SELECT s_suppkey, s_suppkey, 0 FROM supplier WHERE s_suppkey % 10 = 1 UNION SELECT r.seed, e.dst, r.hop + 1 FROM r JOIN e ON e.src = r.node WHERE r.hop < 2)
+@query(f"""WITH RECURSIVE e AS ({EDGES.format(t='lineitem')}), r(seed, node, hop) AS (SELECT DISTINCT s_suppkey // 10 * 10 + 1, s_suppkey // 10 * 10 + 1, 0 FROM supplier UNION SELECT r.seed, e.dst, r.hop + 1 FROM r JOIN e ON e.src = r.node WHERE r.hop < 2)
 SELECT seed, node, min(hop) AS hop FROM r GROUP BY seed, node""")
 def reach_from_each_entry(spark, sf_dir):
-    seeds = table(spark, sf_dir, "supplier").filter("s_suppkey % 10 = 1").selectExpr("s_suppkey AS node")
+    seeds = table(spark, sf_dir, "supplier").selectExpr("s_suppkey div 10 * 10 + 1 AS node")
     return closures.reach_from_each(_view(spark, sf_dir, EDGES, "lineitem"), seeds, hops=2)
 
 
-_TEMPLATES = "SELECT DISTINCT 't' || (l_suppkey % 60) AS src, 't' || (l_suppkey % 60 + 1 + l_linenumber % 5) AS dst FROM {t} WHERE l_partkey % 20 = 0"
+_TEMPLATES = "SELECT DISTINCT 't' || (l_suppkey % 60) AS src, 't' || (l_suppkey % 60 + 1 + l_linenumber % 5) AS dst FROM {t}"
 
 
 @query(f"""WITH RECURSIVE e AS ({_TEMPLATES.format(t='lineitem')}), r(node) AS (SELECT dst FROM e WHERE src = 't40' UNION SELECT e.dst FROM r JOIN e ON e.src = r.node) SELECT node FROM r""")
@@ -293,13 +292,13 @@ def template_descendants(spark, sf_dir):
     return closures.descendants(_view(spark, sf_dir, _TEMPLATES, "lineitem"), "t40").select("node")
 
 
-_INCLUDES = "SELECT DISTINCT 'u' || (n_nationkey // 3) AS parent, 'u' || n_nationkey AS child, n_name || '/' AS prefix, n_nationkey AS ord FROM nation WHERE n_nationkey > 0"
+_INCLUDES = "SELECT DISTINCT CASE WHEN n_nationkey = 0 THEN 'root' ELSE 'u' || (n_nationkey // 3) END AS parent, 'u' || n_nationkey AS child, n_name || '/' AS prefix, n_nationkey AS ord FROM nation"
 
 
-@query(f"""WITH RECURSIVE i AS ({_INCLUDES}), r(module, prefix) AS (SELECT 'u0', '' UNION ALL SELECT i.child, r.prefix || i.prefix FROM r JOIN i ON i.parent = r.module) SELECT module, prefix FROM r""")
+@query(f"""WITH RECURSIVE i AS ({_INCLUDES}), r(module, prefix) AS (SELECT 'root', '' UNION ALL SELECT i.child, r.prefix || i.prefix FROM r JOIN i ON i.parent = r.module) SELECT module, prefix FROM r""")
 def url_prefixes(spark, sf_dir):
-    i = table(spark, sf_dir, "nation").filter("n_nationkey > 0").selectExpr("'u' || (n_nationkey div 3) AS parent", "'u' || n_nationkey AS child", "n_name || '/' AS prefix", "n_nationkey AS ord")
-    return closures.composed_prefixes(i)
+    i = table(spark, sf_dir, "nation").selectExpr("CASE WHEN n_nationkey = 0 THEN 'root' ELSE 'u' || (n_nationkey div 3) END AS parent", "'u' || n_nationkey AS child", "n_name || '/' AS prefix", "n_nationkey AS ord")
+    return closures.composed_prefixes(i).select("module", "prefix")
 
 
 _REFS = "SELECT 'p' || page_id AS file, CAST(page_id AS INT) AS line, '/' || split_part(split_part(url, '://', 2), '/', 2) || '/' || split_part(split_part(split_part(url, '://', 2), '/', 3), '#', 1) AS ref FROM {t}"
@@ -351,11 +350,11 @@ def import_edges(spark, sf_dir):
     return routes.import_edges(g, g.select("path"))
 
 
-@query("""WITH c AS (SELECT 'f' || (p_partkey % 60) AS file, 'N' || (p_partkey % 37) AS name, CASE WHEN p_partkey % 3 = 0 THEN 'N' || (p_partkey % 5) END AS prefix, p_brand AS literal FROM part WHERE p_partkey < 700),
+@query("""WITH c AS (SELECT 'f' || (p_partkey // 12) AS file, 'N' || CASE WHEN p_partkey % 12 < 10 THEN p_partkey % 12 ELSE 3 END AS name, CASE WHEN p_partkey % 3 = 0 THEN 'N' || (p_partkey % 5) END AS prefix, p_brand AS literal FROM part),
 o AS (SELECT * FROM c QUALIFY count(*) OVER (PARTITION BY file, name) = 1), p AS (SELECT file, name, literal AS value FROM o WHERE prefix IS NULL)
 SELECT * FROM p UNION ALL SELECT o.file, o.name, p.value || o.literal FROM o JOIN p ON o.file = p.file AND o.prefix = p.name""")
 def constants(spark, sf_dir):
-    c = table(spark, sf_dir, "part").filter("p_partkey < 700").selectExpr("'f' || (p_partkey % 60) AS file", "'N' || (p_partkey % 37) AS name", "CASE WHEN p_partkey % 3 = 0 THEN 'N' || (p_partkey % 5) END AS prefix", "p_brand AS literal")
+    c = table(spark, sf_dir, "part").selectExpr("'f' || (p_partkey div 12) AS file", "'N' || CASE WHEN p_partkey % 12 < 10 THEN p_partkey % 12 ELSE 3 END AS name", "CASE WHEN p_partkey % 3 = 0 THEN 'N' || (p_partkey % 5) END AS prefix", "p_brand AS literal")
     return routes.resolve_constants(c)
 
 
@@ -404,8 +403,8 @@ def path_functions(spark, sf_dir):
 
 
 # --- file contents: documents with faults by doc_id ---
-_FILES = """SELECT 'd/' || doc_id || '.txt' AS path, CASE doc_id % 6 WHEN 0 THEN replace(text, ' ', chr(13) || chr(10)) WHEN 1 THEN replace(text, chr(10), '  ' || chr(10)) || chr(10) || chr(10) WHEN 2 THEN text || chr(10)
- WHEN 3 THEN '<<<<<<< a' || chr(10) || text || chr(10) || '=======' || chr(10) || '========' WHEN 4 THEN text || '-----BEGIN RSA PRIVATE KEY-----' ELSE text END AS body, doc_id FROM {t} WHERE text IS NOT NULL"""
+_FILES = """SELECT 'd/' || doc_id || '.txt' AS path, CASE doc_id % 6 WHEN 0 THEN replace(t, ' ', chr(13) || chr(10)) WHEN 1 THEN replace(t, chr(10), '  ' || chr(10)) || chr(10) || chr(10) WHEN 2 THEN t || chr(10)
+ WHEN 3 THEN '<<<<<<< a' || chr(10) || t || chr(10) || '=======' || chr(10) || '========' WHEN 4 THEN t || '-----BEGIN RSA PRIVATE KEY-----' ELSE t END AS body, doc_id FROM (SELECT doc_id, coalesce(text, '') AS t FROM {t})"""
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -413,12 +412,13 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("path", F.encode("body", "UTF-8").alias("content"), F.octet_length("body").cast("long").alias("length"), F.lit(True).alias("tracked"))
 
 
-@query(f"""WITH f AS ({_FILES.format(t='documents')})
-SELECT 'hygiene/mixed-line-ending' AS check_id, path, md5(replace(replace(body, chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS content FROM f WHERE instr(body, chr(13)) > 0
-UNION ALL SELECT 'hygiene/end-of-file-fixer', path, md5(CASE WHEN rtrim(body, chr(10) || chr(13)) = '' THEN '' ELSE rtrim(body, chr(10) || chr(13)) || chr(10) END) FROM f WHERE body <> CASE WHEN rtrim(body, chr(10) || chr(13)) = '' THEN '' ELSE rtrim(body, chr(10) || chr(13)) || chr(10) END""")
+@query(f"""WITH f AS ({_FILES.format(t='documents')}), b AS (SELECT path, body, rtrim(body, chr(10)) AS strip, rtrim(array_to_string([rtrim(x, ' ' || chr(9)) FOR x IN string_split(body, chr(10))], chr(10)), chr(10)) AS clean FROM f)
+SELECT 'hygiene/mixed-line-ending' AS check_id, path, md5(replace(replace(body, chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS content FROM b WHERE instr(body, chr(13)) > 0
+UNION ALL SELECT 'hygiene/end-of-file-fixer', path, md5(strip || chr(10)) FROM b WHERE body <> '' AND length(body) - length(strip) <> 1
+UNION ALL SELECT 'hygiene/trailing-whitespace', path, md5(CASE WHEN clean = '' THEN '' ELSE clean || chr(10) END) FROM b WHERE clean <> body AND body <> CASE WHEN clean = '' THEN '' ELSE clean || chr(10) END""")
 def hygiene_fixes(spark, sf_dir):
     f = _files(spark, sf_dir)
-    out = checks.fixed(f, "hygiene/mixed-line-ending").unionByName(checks.fixed(f, "hygiene/end-of-file-fixer"))
+    out = checks.fixed(f, "hygiene/mixed-line-ending").unionByName(checks.fixed(f, "hygiene/end-of-file-fixer")).unionByName(checks.fixed(f, "hygiene/trailing-whitespace"))
     return out.select("check_id", "path", F.md5("content").alias("content"))
 
 
@@ -444,16 +444,16 @@ def case_conflicts(spark, sf_dir):
     return checks.case_conflicts(p, p).select("path", "message")
 
 
-_JSON = "SELECT 'e/' || event_id || '.json' AS path, CASE WHEN event_id % 3 = 0 THEN substr(props, 1, 5) ELSE props END AS body FROM {t}"
+_JSON = "SELECT 'e/' || event_id || '.json' AS path, coalesce(CASE WHEN event_id % 3 = 0 THEN substr(props, 1, 5) ELSE props END, '') AS body FROM {t}"
 
 
-@query(f"WITH f AS ({_JSON.format(t='events')}) SELECT path FROM f WHERE body IS NOT NULL AND trim(body) <> '' AND NOT json_valid(body)")
+@query(f"WITH f AS ({_JSON.format(t='events')}) SELECT path FROM f WHERE trim(body) <> '' AND NOT json_valid(body)")
 def json_syntax(spark, sf_dir):
-    f = _view(spark, sf_dir, _JSON, "events").filter("body IS NOT NULL").select("path", F.encode("body", "UTF-8").alias("content"))
+    f = _view(spark, sf_dir, _JSON, "events").select("path", F.encode("body", "UTF-8").alias("content"))
     return checks.json_syntax(f).select("path")
 
 
-_MESSAGES = "SELECT 'app/m' || l_suppkey || '.py' AS path, CAST(l_linenumber AS INT) AS line, CAST(l_partkey % 50 AS INT) AS `column`, 'E' || (l_orderkey % 20) AS code, l_orderkey FROM {t} WHERE l_linenumber <= 4"
+_MESSAGES = "SELECT 'app/m' || l_suppkey || '.py' AS path, CAST(l_linenumber AS INT) AS line, CAST(l_partkey % 50 AS INT) AS `column`, 'E' || (l_orderkey % 20) AS code, l_orderkey FROM {t}"
 _M = _MESSAGES.format(t="lineitem").replace("`column`", '"column"')
 
 
@@ -470,16 +470,18 @@ def linter_findings(spark, sf_dir):
     return checks.not_in_baseline(checks.on_changed_lines(m, scope, lines), baseline).groupBy("path", "line", "column", "code").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH c AS (SELECT CASE o_orderkey % 4 WHEN 0 THEN 'tests/test_x' || o_custkey || '.py' WHEN 1 THEN 'app/migrations/' || o_custkey || '.py' ELSE 'app/m' || o_custkey || '.py' END AS path, CASE o_orderstatus WHEN 'F' THEN 'D' WHEN 'O' THEN 'M' ELSE 'A' END AS status, 'pkg.b' || (o_custkey % 60) AS module FROM orders WHERE o_orderkey % 9 = 0),
-d AS (SELECT 'pkg.b' || (p_partkey % 25) AS module, min('sym_' || p_partkey) AS symbol FROM part GROUP BY 1)
-SELECT path, CASE WHEN path LIKE 'tests/%' AND status = 'D' THEN 'deleted-test' WHEN symbol IS NOT NULL THEN 'removed-export' ELSE 'migration-infra' END AS rule, symbol FROM c LEFT JOIN d USING (module)
-WHERE status <> 'A' AND ((path LIKE 'tests/%' AND status = 'D') OR symbol IS NOT NULL OR path LIKE '%migrations/%')""")
+_CHANGES = "SELECT CASE o_orderkey % 4 WHEN 0 THEN 'tests/test_x' || o_custkey || '.py' WHEN 1 THEN 'app/migrations/' || o_custkey || '.py' ELSE 'app/m' || o_custkey || '.py' END AS path, CASE o_orderstatus WHEN 'F' THEN 'D' WHEN 'O' THEN 'M' ELSE 'A' END AS status, 'pkg.b' || (o_custkey % 60) AS module, o_orderkey % 7 = 0 AS signature_changed FROM {t}"
+_RATIOS = "SELECT 'tests/test_x' || c_custkey || '.py' AS path, (c_custkey % 5) / 4.0 AS removed_ratio FROM {t}"
+
+
+@query(f"""WITH c AS ({_CHANGES.format(t='orders')}), q AS ({_RATIOS.format(t='customer')}), d AS (SELECT 'pkg.b' || (p_partkey % 25) AS module, min('sym_' || p_partkey) AS symbol FROM part GROUP BY 1),
+j AS (SELECT path, status, symbol, path LIKE 'tests/%' AND (status = 'D' OR coalesce(removed_ratio, 0) > 0.5) AS lost, signature_changed FROM c LEFT JOIN d USING (module) LEFT JOIN q USING (path))
+SELECT path, CASE WHEN lost THEN 'deleted-test' WHEN symbol IS NOT NULL THEN 'removed-export' WHEN signature_changed THEN 'signature-changed' ELSE 'migration-infra' END AS rule, symbol FROM j
+WHERE status <> 'A' AND (lost OR symbol IS NOT NULL OR signature_changed OR path LIKE '%migrations/%')""")
 def breaking_changes(spark, sf_dir):
-    c = table(spark, sf_dir, "orders").filter("o_orderkey % 9 = 0").selectExpr(
-        "CASE o_orderkey % 4 WHEN 0 THEN 'tests/test_x' || o_custkey || '.py' WHEN 1 THEN 'app/migrations/' || o_custkey || '.py' ELSE 'app/m' || o_custkey || '.py' END AS path", "CASE o_orderstatus WHEN 'F' THEN 'D' WHEN 'O' THEN 'M' ELSE 'A' END AS status",
-        "CAST(NULL AS STRING) AS old_path", "'pkg.b' || (o_custkey % 60) AS module", "CAST(NULL AS STRING) AS old_module")
-    none = c.select("path", F.lit(0.0).alias("removed_ratio")).limit(0)
-    return scoring.breaking(c, none, table(spark, sf_dir, "part").selectExpr("'pkg.b' || (p_partkey % 25) AS module", "'sym_' || p_partkey AS name"))
+    none = F.lit(None).cast("string")
+    c = _view(spark, sf_dir, _CHANGES, "orders").withColumn("old_path", none).withColumn("old_module", none)
+    return scoring.breaking(c, _view(spark, sf_dir, _RATIOS, "customer"), table(spark, sf_dir, "part").selectExpr("'pkg.b' || (p_partkey % 25) AS module", "'sym_' || p_partkey AS name"))
 
 
 @query(f"""WITH r AS ({_REFS.format(t='pages')}), n AS (SELECT unnest(['en', 'de']) AS needle) SELECT DISTINCT file FROM r WHERE EXISTS (SELECT 1 FROM n WHERE instr(ref, needle) > 0)""")
@@ -495,15 +497,224 @@ def first_bases(spark, sf_dir):
     return scope.first_bases(u)
 
 
-@query("""WITH f AS (SELECT 'app/m' || s_suppkey || '.py' AS path, s_suppkey % 4 <> 0 AS tracked FROM supplier), l AS (SELECT DISTINCT 'app/m' || (s_suppkey * 3 % 100) || '.py' AS path FROM supplier WHERE s_suppkey % 2 = 0)
+@query("""WITH f AS (SELECT 'app/m' || s_suppkey || '.py' AS path, s_suppkey % 4 <> 0 AS tracked FROM supplier), l AS (SELECT DISTINCT 'app/m' || (s_suppkey * 6 % 100) || '.py' AS path FROM supplier)
 SELECT path, CASE WHEN NOT tracked THEN 'all' WHEN path IN (SELECT path FROM l) THEN 'lines' ELSE 'none' END AS scope_mode FROM f""")
 def scope_modes(spark, sf_dir):
     s = table(spark, sf_dir, "supplier")
     files = s.selectExpr("'app/m' || s_suppkey || '.py' AS path", "s_suppkey % 4 <> 0 AS tracked")
-    return scope.scope_modes(files, s.filter("s_suppkey % 2 = 0").selectExpr("'app/m' || (s_suppkey * 3 % 100) || '.py' AS path"))
+    return scope.scope_modes(files, s.selectExpr("'app/m' || (s_suppkey * 6 % 100) || '.py' AS path"))
 
 
-@query("""SELECT '/' || n_name AS url, arg_min(n_nationkey, n_nationkey) AS handler FROM (SELECT CASE WHEN n_nationkey % 2 = 0 THEN 'a' || (n_nationkey % 6) ELSE 'b' || (n_nationkey % 5) END AS n_name, n_nationkey FROM nation) GROUP BY 1""")
+@query("""SELECT n_name AS url, arg_min(n_nationkey, n_nationkey) AS handler FROM (SELECT CASE WHEN n_nationkey % 2 = 0 THEN 'a' || (n_nationkey % 6) ELSE 'b' || (n_nationkey % 5) END AS n_name, n_nationkey FROM nation) GROUP BY 1""")
 def endpoint_rows(spark, sf_dir):
     r = table(spark, sf_dir, "nation").selectExpr("n_nationkey AS ord", "CASE WHEN n_nationkey % 2 = 0 THEN 'a' || (n_nationkey % 6) ELSE 'b' || (n_nationkey % 5) END AS full", "n_nationkey AS handler", "n_name AS name", "'m' AS module")
     return scope.endpoints(r).select("url", "handler")
+
+
+# --- sources written from table rows: every file of a table is read by the extractors, and SQL states what they must find ---
+_Q, _N = "chr(39)", "chr(10)"
+
+
+def _braced(sql: str) -> str:
+    """SQL whose texts have braces, which both formatting steps would read, in the place of « and »."""
+    return sql.replace("«", "' || chr(123) || '").replace("»", "' || chr(125) || '")
+
+
+def _texts(spark: SparkSession, sf_dir: str, sql: str, name: str) -> DataFrame:
+    return _view(spark, sf_dir, sql, name).select("path", "text")
+
+
+_CALL_FILES = _braced(f"""SELECT 'src/c' || c_custkey || '.ts' AS path, 'const API = ' || {_Q} || '/api/' || c_nationkey || '/' || {_Q} || ';' || {_N} || '// http.get(' || {_Q} || '/no/' || {_Q} || ')' || {_N}
+ || 'this.http.' || CASE WHEN c_custkey % 2 = 0 THEN 'get' ELSE 'put' END || '(' || {_Q} || '/c/' || c_custkey || '/' || {_Q} || ');' || {_N} || 'fetch(base + ' || {_Q} || '/n/' || c_nationkey || '/' || {_Q} || ', « method: ' || {_Q} || 'DELETE' || {_Q} || ' »);' || {_N} || 'axios.post(API);' AS text, c_custkey, c_nationkey FROM {{t}}""")
+
+
+@query("""SELECT 'src/c' || c_custkey || '.ts' AS file, line, method, ref FROM customer, LATERAL (VALUES (3, CASE WHEN c_custkey % 2 = 0 THEN 'get' ELSE 'put' END, '/c/' || c_custkey || '/'), (4, 'delete', '/n/' || c_nationkey || '/'), (5, 'post', '/api/' || c_nationkey || '/')) AS v(line, method, ref)""")
+def frontend_calls(spark, sf_dir):
+    return extract.frontend_calls(_texts(spark, sf_dir, _CALL_FILES, "customer"))
+
+
+@query("""WITH v AS (SELECT 'src/c' || c_custkey || '.ts' AS file, line, method, ref FROM customer, LATERAL (VALUES (3, CASE WHEN c_custkey % 2 = 0 THEN 'get' ELSE 'put' END, '/c/' || c_custkey || '/'), (4, 'delete', '/n/' || c_nationkey || '/'), (5, 'post', '/api/' || c_nationkey || '/')) AS v(line, method, ref))
+SELECT row_number() OVER (ORDER BY first, method, ref) AS ord, method, ref FROM (SELECT method, ref, min(file || ' ' || line) AS first FROM v GROUP BY method, ref)""")
+def call_pairs(spark, sf_dir):
+    return extract.call_pairs(_texts(spark, sf_dir, _CALL_FILES, "customer"))
+
+
+_SCRIPT_FILES = _braced(f"""SELECT 'src/s' || p_partkey || CASE WHEN p_partkey % 9 = 0 THEN '.min.js' ELSE '.ts' END AS path, 'import « A' || p_size || ', B as b, type T » from ' || {_Q} || './m' || (p_partkey % 7) || {_Q} || ';' || {_N} || 'import ' || {_Q} || 'react' || {_Q} || ';' || {_N}
+ || 'const R' || p_size || ' = require(' || {_Q} || '../r' || {_Q} || ');' || {_N} || 'const s = ' || {_Q} || 'export const no = 1' || {_Q} || ';' || {_N} || 'export const V' || p_partkey || ' = 1;' || {_N} || 'export «' || {_N} || '  x as Y' || p_size || ',' || {_N} || '  b' || {_N} || '»;' AS text, p_partkey, p_size FROM {{t}}""")
+_SCRIPT_PATH = "'src/s' || p_partkey || CASE WHEN p_partkey % 9 = 0 THEN '.min.js' ELSE '.ts' END"
+
+
+@query(f"""SELECT {_SCRIPT_PATH} AS path, seq, specifier FROM part, LATERAL (VALUES (0, './m' || (p_partkey % 7)), (1, '../r')) AS v(seq, specifier) WHERE p_partkey % 9 <> 0""")
+def script_imports(spark, sf_dir):
+    return extract.script_imports(_texts(spark, sf_dir, _SCRIPT_FILES, "part"))
+
+
+@query(f"""SELECT {_SCRIPT_PATH} AS path, name, line FROM part, LATERAL (VALUES ('V' || p_partkey, 5), ('Y' || p_size, 7), ('b', 8)) AS v(name, line)""")
+def script_exports(spark, sf_dir):
+    return extract.script_exports(_texts(spark, sf_dir, _SCRIPT_FILES, "part"))
+
+
+@query(f"""SELECT {_SCRIPT_PATH} AS file, name, line, kind FROM part, LATERAL (VALUES ('A' || p_size, 1, 'import'), ('B', 1, 'import'), ('T', 1, 'import'), ('R' || p_size, 3, 'import'), ('V' || p_partkey, 5, 'export'), ('Y' || p_size, 7, 'export'), ('b', 8, 'export')) AS v(name, line, kind)""")
+def script_symbols(spark, sf_dir):
+    return extract.script_symbols(_texts(spark, sf_dir, _SCRIPT_FILES, "part"))
+
+
+_TEMPLATE_FILES = _braced(f"""SELECT 'web/templates/t' || p_partkey || '.html' AS path, '«% extends ' || {_Q} || 'base' || (p_size % 5) || '.html' || {_Q} || ' %»«% include "nav' || p_size || '.html" %»<!-- «% include "old.html" %» -->' || CASE WHEN p_partkey % 2 = 0 THEN '«% include page.body %»' ELSE '' END
+ || '<script defer src="«« MEDIA_URL »»js/a' || p_partkey || '.js?v=2"></script><link rel=x href=' || {_Q} || '/c.css' || {_Q} || '>«% static ' || {_Q} || 'd.png' || {_Q} || ' %»«% url ' || {_Q} || 'r' || p_size || {_Q} || ' %»«% url ' || {_Q} || 'with' || {_Q} || ' arg %»«% url view_name %»' AS text, p_partkey, p_size FROM {{t}}""")
+
+
+@query("""SELECT 'web/templates/t' || p_partkey || '.html' AS path, 't' || p_partkey || '.html' AS template_name, 'base' || (p_size % 5) || '.html' AS extends, 'nav' || p_size || '.html' AS includes, 'c.css,d.png,js/a' || p_partkey || '.js' AS assets, p_partkey % 2 = 0 AS dynamic_include FROM part""")
+def template_graph(spark, sf_dir):
+    g = extract.template_graph(_texts(spark, sf_dir, _TEMPLATE_FILES, "part"))
+    joined = lambda c: F.array_join(F.array_sort(c), ",").alias(c)
+    return g.select("path", "template_name", joined("extends"), joined("includes"), joined("assets"), "dynamic_include")
+
+
+@query("""SELECT 'web/templates/t' || p_partkey || '.html' AS file, name FROM part, LATERAL (VALUES ('r' || p_size), (NULL)) AS v(name) WHERE name IS NULL OR p_size <= 25""")
+def url_tags(spark, sf_dir):
+    names = spark.range(1, 26).selectExpr("'r' || id AS name")
+    return extract.url_tags(_texts(spark, sf_dir, _TEMPLATE_FILES, "part"), names)
+
+
+_PYTHON_FILES = f"""SELECT 'app/c' || c_custkey || '.py' AS path, 'from pkg.b' || c_nationkey || ' import thing as t' || {_N} || 'LIMIT = 3' || {_N} || 'class C' || c_custkey || ':' || {_N} || '    field = 1' || {_N} || '    def run(self):' || {_N} || '        return t(LIMIT, key="v")' || {_N}
+ || 'try:' || {_N} || '    pass' || {_N} || 'except ValueError:' || {_N} || '    def fallback(): ...' || {_N} || 'def outer():' || {_N} || '    def inner(): ...' || {_N} || '    class Local:' || {_N} || '        def method(self): return helper(' || c_nationkey || ')' || {_N}
+ || CASE WHEN c_custkey % 10 = 0 THEN 'def broken(' ELSE '' END AS text, c_custkey, c_nationkey FROM {{t}}"""
+
+
+@query("""SELECT 'app/c' || c_custkey || '.py' AS path, name, kind, line, end_line, qname FROM customer, LATERAL (VALUES ('LIMIT', 'module_field', 2, 2, 'LIMIT'), ('C' || c_custkey, 'class', 3, 6, 'C' || c_custkey), ('field', 'class_field', 4, 4, 'C' || c_custkey || '.field'), ('run', 'method', 5, 6, 'C' || c_custkey || '.run'),
+ ('fallback', 'function', 10, 10, 'fallback'), ('outer', 'function', 11, 14, 'outer'), ('Local', 'class', 13, 14, 'outer.Local'), ('method', 'method', 14, 14, 'outer.Local.method')) AS v(name, kind, line, end_line, qname) WHERE c_custkey % 10 <> 0""")
+def diff_entities(spark, sf_dir):
+    return extract.diff_entities(_texts(spark, sf_dir, _PYTHON_FILES, "customer"))
+
+
+@query("""SELECT 'app/c' || c_custkey || '.py' AS path, line, name, kind, ctx_qname, base, module FROM customer, LATERAL (VALUES (1, 'thing', 'import', '', NULL, 'pkg.b' || c_nationkey), (6, 't', 'name', 'C' || c_custkey || '.run', NULL, NULL), (6, 'LIMIT', 'name', 'C' || c_custkey || '.run', NULL, NULL), (6, 'v', 'str', 'C' || c_custkey || '.run', NULL, NULL),
+ (9, 'ValueError', 'name', '', NULL, NULL), (14, 'helper', 'name', 'outer.Local.method', NULL, NULL)) AS v(line, name, kind, ctx_qname, base, module) WHERE c_custkey % 10 <> 0""")
+def python_usages(spark, sf_dir):
+    return extract.python_usages(_texts(spark, sf_dir, _PYTHON_FILES, "customer")).select("path", "line", "name", "kind", "ctx_qname", "base", "module")
+
+
+@query("""SELECT 'syntax/ast-syntax' AS check_id, 'app/c' || c_custkey || '.py' AS path FROM customer WHERE c_custkey % 10 = 0""")
+def python_syntax(spark, sf_dir):
+    files = _texts(spark, sf_dir, _PYTHON_FILES, "customer").select("path", F.encode("text", "UTF-8").alias("content"))
+    return checks.python_syntax(files).select("check_id", "path")
+
+
+_URL_FILES = f"""SELECT 'u' || n_nationkey || '.py' AS path, 'urlpatterns = [path(' || {_Q} || 'p' || n_nationkey || '/' || {_Q} || ', include(' || {_Q} || 'u' || (2 * n_nationkey + 1) || {_Q} || ')), re_path(r' || {_Q} || '^q' || n_nationkey || '/' || {_Q} || ', include(' || {_Q} || 'u' || (2 * n_nationkey + 2) || {_Q} || ')),'
+ || ' path(' || {_Q} || '<int:id>/' || {_Q} || ', views.h' || n_nationkey || ', name=' || {_Q} || 'r' || n_nationkey || {_Q} || ')]' AS text FROM {{t}}"""
+
+
+@query("""WITH RECURSIVE t(k, lead) AS (SELECT min(n_nationkey), '' FROM nation UNION ALL SELECT n.n_nationkey, t.lead || CASE WHEN n.n_nationkey % 2 = 1 THEN 'p' ELSE 'q' END || t.k || '/' FROM t JOIN nation n ON n.n_nationkey IN (2 * t.k + 1, 2 * t.k + 2))
+SELECT 'u' || k || '.py' AS module, 'r' || k AS name, 'views.h' || k AS handler, lead || '<int:id>/' AS full FROM t""")
+def composed_routes(spark, sf_dir):
+    return extract.composed_routes(_texts(spark, sf_dir, _URL_FILES, "nation")).select("module", "name", "handler", "full")
+
+
+_API_FILES = f"""SELECT 'api/n' || s_suppkey || '.py' AS path, '@router.get(' || {_Q} || '/s/' || s_suppkey || {_Q} || ')' || {_N} || 'async def read' || s_suppkey || '(): ...' || {_N} || '@other.get(' || {_Q} || '/no' || {_Q} || ')' || {_N} || 'def no(): ...' || {_N} || '@app.options(' || {_Q} || '/o' || {_Q} || ', status_code=1)' || {_N} || 'def o(): ...' AS text FROM {{t}}"""
+
+
+@query("""SELECT 'api/n' || s_suppkey || '.py' AS module, ord, path, handler FROM supplier, LATERAL (VALUES (0, '/s/' || s_suppkey, 'read' || s_suppkey), (1, '/o', 'o')) AS v(ord, path, handler)""")
+def fastapi_routes(spark, sf_dir):
+    return extract.fastapi_routes(_texts(spark, sf_dir, _API_FILES, "supplier")).select("module", "ord", "path", "handler")
+
+
+@query("""SELECT CASE WHEN o_orderstatus = 'P' THEN 'new/' ELSE 'f/' END || o_orderkey AS path, CASE o_orderstatus WHEN 'F' THEN 'D' WHEN 'O' THEN 'M' ELSE 'R100' END AS status, CASE o_orderstatus WHEN 'F' THEN 'f/' || o_orderkey WHEN 'P' THEN 'old/' || o_orderkey END AS old_path FROM orders""")
+def name_status(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS k", "CASE o_orderstatus WHEN 'F' THEN 'D' WHEN 'O' THEN 'M' ELSE 'R100' END AS s", "CASE WHEN o_orderstatus = 'P' THEN array('old/' || o_orderkey, 'new/' || o_orderkey) ELSE array('f/' || o_orderkey) END AS p")
+    tokens = o.select("k", F.posexplode(F.concat(F.array(F.lit("junk")), F.array("s"), F.col("p"))).alias("n", "token"))
+    return changes.parse_name_status(tokens.select((F.col("k") * 8 + F.col("n")).alias("pos"), "token")).select("path", "status", "old_path")
+
+
+_FORMAT = "SELECT 'app/s' || s_suppkey || '.py' AS path, s_suppkey AS k FROM {t}"
+
+
+@query("""WITH h AS (SELECT 'app/s' || s_suppkey || '.py' AS path, s_suppkey AS k FROM supplier), d AS (SELECT path, k, pos, text, old_line, block FROM h, LATERAL (VALUES (1, '-a' || k, k + 1, 1), (2, '+A' || k, k + 2, 1), (4, '-b', k + 3, 2), (5, '+B', k + 4, 2)) AS v(pos, text, old_line, block))
+SELECT path, pos, text FROM d WHERE (block = 1 AND k % 3 IN (0, 2)) OR (block = 2 AND k % 3 = 1)""")
+def format_hunks(spark, sf_dir):
+    h = _view(spark, sf_dir, _FORMAT, "supplier")
+    lines = F.array(F.concat(F.lit("@@ -"), (F.col("k") + 1).cast("string"), F.lit(",3 +"), (F.col("k") + 1).cast("string"), F.lit(",3 @@")), F.concat(F.lit("-a"), F.col("k").cast("string")), F.concat(F.lit("+A"), F.col("k").cast("string")), F.lit(" same"), F.lit("-b"), F.lit("+B"))
+    diff = h.select("path", F.posexplode(lines).alias("pos", "text"))
+    touched = h.select("path", F.when(F.col("k") % 3 == 0, F.col("k") + 1).when(F.col("k") % 3 == 1, F.col("k") + 3).otherwise(F.col("k") + 2).alias("line"))
+    return checks.format_hunks(diff, touched).select("path", "pos", "text")
+
+
+@query("""WITH h AS (SELECT DISTINCT 'm' || (p_size % 4) || '.f' || (p_partkey % 50) AS handler, 'f' || (p_partkey % 50) AS name, 'm' || (p_size % 4) AS lead FROM part), d AS (SELECT DISTINCT 'f' || s_suppkey % 50 AS name, 'x/m' || (s_suppkey % 3) || '.py' AS path, 'm' || (s_suppkey % 3) AS lead FROM supplier)
+SELECT handler, arg_min(path, (CASE WHEN h.lead = d.lead THEN 0 ELSE 1 END) || path) AS path FROM h JOIN d USING (name) GROUP BY handler""")
+def handler_definitions(spark, sf_dir):
+    h = table(spark, sf_dir, "part").selectExpr("'m' || (p_size % 4) || '.f' || (p_partkey % 50) AS handler")
+    return routes.handler_definitions(h, table(spark, sf_dir, "supplier").selectExpr("'f' || s_suppkey % 50 AS name", "'x/m' || (s_suppkey % 3) || '.py' AS path"))
+
+
+@query("""WITH e AS (SELECT DISTINCT 'lib/m' || (p_partkey % 30) || '.ts' AS path, 'X' || (p_size % 9) AS name FROM part), g AS (SELECT DISTINCT 'src/c' || (c_custkey % 200) || '.ts' AS src, 'lib/m' || (c_custkey % 40) || '.ts' AS dst FROM customer), w AS (SELECT DISTINCT 'src/c' || (c_custkey % 200) || '.ts' AS path, 'X' || (c_nationkey % 11) AS word FROM customer)
+SELECT DISTINCT e.name, g.src AS path FROM e JOIN g ON g.dst = e.path JOIN w ON w.path = g.src AND w.word = e.name""")
+def export_users(spark, sf_dir):
+    e = table(spark, sf_dir, "part").selectExpr("'lib/m' || (p_partkey % 30) || '.ts' AS path", "'X' || (p_size % 9) AS name").distinct()
+    c = table(spark, sf_dir, "customer")
+    return routes.export_users(e, c.selectExpr("'src/c' || (c_custkey % 200) || '.ts' AS src", "'lib/m' || (c_custkey % 40) || '.ts' AS dst").distinct(), c.selectExpr("'src/c' || (c_custkey % 200) || '.ts' AS path", "'X' || (c_nationkey % 11) AS word"))
+
+
+@query("""WITH r AS (SELECT DISTINCT 'u' || (p_size % 6) || '.py' AS module, 'v.h' || (p_partkey % 80) || CASE WHEN p_partkey % 2 = 0 THEN '.as_view()' ELSE '' END AS handler, 'h' || (p_partkey % 80) AS name FROM part), b AS (SELECT DISTINCT 'u' || (s_suppkey % 5) || '.py' AS module, 'h' || s_suppkey AS name FROM supplier)
+SELECT module, handler FROM r WHERE EXISTS (SELECT 1 FROM b WHERE b.module = r.module AND b.name = r.name)""")
+def affected_routes(spark, sf_dir):
+    r = table(spark, sf_dir, "part").selectExpr("'u' || (p_size % 6) || '.py' AS module", "'v.h' || (p_partkey % 80) || CASE WHEN p_partkey % 2 = 0 THEN '.as_view()' ELSE '' END AS handler").distinct()
+    s = table(spark, sf_dir, "supplier")
+    return routes.affected_routes(r, s.selectExpr("'h' || s_suppkey AS node"), s.selectExpr("'u' || (s_suppkey % 5) || '.py' AS path", "'h' || s_suppkey AS name")).select("module", "handler")
+
+
+_CODE_OWNERS = "*.py @all\n/lib/s1* @x @ones # the last counts\nlib/s2?/** @twenties\nm.txt @text\n"
+
+
+@query("""SELECT 'lib/s' || s_suppkey || '/m' || CASE WHEN s_suppkey % 2 = 0 THEN '.py' ELSE '.txt' END AS path, CASE WHEN s_suppkey % 2 = 1 THEN 'text' WHEN length(s_suppkey::VARCHAR) = 2 AND s_suppkey::VARCHAR LIKE '2%' THEN 'twenties' WHEN s_suppkey::VARCHAR LIKE '1%' THEN 'ones' ELSE 'all' END AS owner FROM supplier""")
+def code_owners(spark, sf_dir):
+    from tremor.sources import files
+
+    p = table(spark, sf_dir, "supplier").selectExpr("'lib/s' || s_suppkey || '/m' || CASE WHEN s_suppkey % 2 = 0 THEN '.py' ELSE '.txt' END AS path")
+    return routes.owners(p, files.ownership_rules(spark, _CODE_OWNERS))
+
+
+@query("""WITH RECURSIVE r(k, hop) AS (SELECT 1, 0 UNION ALL SELECT s.s_suppkey, hop + 1 FROM r JOIN supplier s ON s.s_suppkey IN (3 * r.k, 3 * r.k + 1, 3 * r.k - 1) AND s.s_suppkey > r.k WHERE hop < 5) SELECT DISTINCT 'f' || k AS name FROM r""")
+def callers(spark, sf_dir):
+    """Function f(k) in module m(k) calls the function of a third of its number, which it imports; f1 changed."""
+    s = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS k", "cast((s_suppkey + 1) div 3 AS long) AS of")
+    null = lambda kind, *names: [F.lit(None).cast(kind).alias(n) for n in names]
+    at = [F.concat(F.lit("m"), F.col("k").cast("string"), F.lit(".py")).alias("path"), F.concat(F.lit("m"), F.col("k").cast("string")).alias("own_module"), F.concat(F.lit("f"), F.col("of").cast("string")).alias("name")]
+    inside = F.concat(F.lit("f"), F.col("k").cast("string")).alias("ctx_qname")
+    imports = s.select(*at, F.lit(0).alias("seq"), F.lit(1).alias("line"), F.lit("import").alias("kind"), F.concat(F.lit("m"), F.col("of").cast("string")).alias("module"), F.lit(0).alias("level"), F.lit("").alias("ctx_qname"), *null("string", "alias", "base"), F.lit("module").alias("ctx_kind"))
+    uses = s.select(*at, F.lit(1).alias("seq"), F.lit(2).alias("line"), F.lit("name").alias("kind"), *null("string", "module"), *null("int", "level"), inside, *null("string", "alias", "base"), F.lit("function").alias("ctx_kind"))
+    return closures.callers(imports.unionByName(uses), spark.sql("SELECT 'f1' AS name, array('m1') AS modules"), nodes=1 << 30).select("name")
+
+
+@query("""SELECT DISTINCT e.e AS entry, 'f' || k AS name FROM (SELECT s_suppkey AS k0, 'f' || s_suppkey AS e FROM supplier) e, LATERAL (SELECT unnest([(k0 + 1) // 3, ((k0 + 1) // 3 + 1) // 3]) AS k) WHERE k < k0""")
+def reachable(spark, sf_dir):
+    """What each function reaches within two hops, of functions that call the one of a third of their number."""
+    s = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS k", "cast((s_suppkey + 1) div 3 AS long) AS of")
+    text = lambda lead, c, end="": F.concat(F.lit(lead), F.col(c).cast("string"), F.lit(end))
+    none = F.lit(None).cast("string")
+    both = s.select(text("m", "k", ".py").alias("path"), text("m", "k").alias("own_module"), text("f", "of").alias("name"), text("m", "of").alias("of_module"), text("f", "k").alias("inside"))
+    imports = both.select("path", "own_module", "name", F.lit(0).alias("seq"), F.lit(1).alias("line"), F.lit("import").alias("kind"), F.col("of_module").alias("module"), F.lit(0).alias("level"), F.lit("").alias("ctx_qname"), none.alias("alias"), none.alias("base"), F.lit("module").alias("ctx_kind"))
+    uses = both.select("path", "own_module", "name", F.lit(1).alias("seq"), F.lit(2).alias("line"), F.lit("name").alias("kind"), none.alias("module"), F.lit(None).cast("int").alias("level"), F.col("inside").alias("ctx_qname"), none.alias("alias"), none.alias("base"), F.lit("function").alias("ctx_kind"))
+    defs = both.select("path", F.col("inside").alias("name"), F.lit("function").alias("kind"), F.col("inside").alias("qname"))
+    return closures.reachable(imports.unionByName(uses), defs, defs.select("path", "name"), hops=2).select("entry", "name").distinct()
+
+
+@query("""WITH m AS (SELECT 'src/app/f' || s_suppkey || CASE s_suppkey % 4 WHEN 0 THEN '.ts' WHEN 1 THEN '.SCSS' WHEN 2 THEN '.py' ELSE '.html' END AS path, s_suppkey AS k FROM supplier) SELECT path FROM m WHERE k % 4 <> 2 AND NOT (k % 5 = 0 AND k % 3 <> 0)""")
+def formatter_scope(spark, sf_dir):
+    m = table(spark, sf_dir, "supplier").selectExpr("'src/app/f' || s_suppkey || CASE s_suppkey % 4 WHEN 0 THEN '.ts' WHEN 1 THEN '.SCSS' WHEN 2 THEN '.py' ELSE '.html' END AS path", "s_suppkey AS k")
+    listed = m.select(F.when(F.col("k") % 5 == 0, F.col("path")).otherwise("-").alias("path"))
+    return checks.formatter_scope(m, listed, m.select(F.when(F.col("k") % 3 == 0, F.col("path")).otherwise("--").alias("path"))).select("path")
+
+
+@query("""SELECT event_id, 'f' || (event_id % 9) || CASE WHEN event_id % 3 = 0 AND event_id % 4 = 0 THEN '' ELSE ':' || CASE WHEN event_id % 3 = 0 THEN '-' ELSE (event_id % 100)::VARCHAR END || ':' || CASE WHEN event_id % 4 = 0 THEN '-' ELSE (event_id % 7)::VARCHAR END END || ': E' || (event_id % 5) || ' ' || event_type AS text,
+ CASE WHEN event_id % 2 = 0 THEN event_id % 1000 ELSE event_id % 77 END AS line FROM events""")
+def issue_texts(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    line = F.when(F.col("event_id") % 3 != 0, F.col("event_id") % 100)
+    column = F.when(F.col("event_id") % 4 != 0, F.col("event_id") % 7)
+    ref = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("x (name at "), (F.col("event_id") % 1000).cast("string"), F.lit(")"))).otherwise("x")
+    said = text.issue_text(F.concat(F.lit("f"), (F.col("event_id") % 9).cast("string")), line, column, F.concat(F.lit("E"), (F.col("event_id") % 5).cast("string")), F.col("event_type"))
+    return e.select("event_id", said.alias("text"), text.line_of(ref, F.col("event_id") % 77).cast("long").alias("line"))
+
+
+@query("""WITH i AS (SELECT 'c' || (l_partkey % 4) AS check_id FROM lineitem UNION ALL SELECT 'repo/private-key' FROM supplier) SELECT check_id, count(*) AS n, check_id IN ('repo/private-key', 'c1') AS blocked FROM i GROUP BY check_id""")
+def verdicts(spark, sf_dir):
+    i = table(spark, sf_dir, "lineitem").selectExpr("'c' || (l_partkey % 4) AS check_id").union(table(spark, sf_dir, "supplier").selectExpr("'repo/private-key'"))
+    return checks.verdict(i, ("c1",), strict=True)

@@ -25,6 +25,7 @@ INFRA_DIRS = ("migrations/", ".github/", ".circleci/")
 JSONC_FILES = ("tsconfig.json", "jsconfig.json", "devcontainer.json")
 ASSET_PREFIXES = ("{{ MEDIA_URL }}", "{{ STATIC_URL }}", "{% static '", "url('")
 SCRIPT_ENDINGS = ("", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js", "/index.jsx")
+COMMANDS = ("**/management/commands/*.py",)
 DEFAULT_IGNORES = (
     "**/node_modules/**", "**/venv/**", "**/.venv/**", "**/migrations/**", "**/staticfiles/**", "**/dist/**", "**/build/**", "**/.git/**", "**/.impact_analysis_cache.json",
 )

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import difflib
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremor.functions import paths
+from tremor.session import ship, stored
 
 #: Lines of a file that a change covers: some of them, all of them, or none on that side.
 LINES, ALL, NONE = "lines", "all", "none"
+_STATUS = re.compile(r"[AMDCTR]\d*")
 
 
 def first_by(df: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
@@ -16,6 +23,14 @@ def first_by(df: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
     return df.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("__rank = 1").drop("__rank")
 
 
+def numbered(rows: DataFrame, column: str, *order: Column | str) -> DataFrame:
+    """Rows with their number from 1 in a global order: sorted by ranges, written in order, and counted on from the parts before."""
+    parts = stored(rows.orderBy(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id() % (1 << 33)), "numbered")
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # over one row a part
+    sizes = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    return parts.join(sizes, "__part").withColumn(column, (F.col("__before") + F.col("__at") + 1).cast("long")).drop("__part", "__at", "__before")
+
+
 def merge_change_lists(*lists: DataFrame) -> DataFrame:
     """Union of change lists (path, status, old_path); of a path that several name, the first list's row."""
     tagged = [d.withColumn("__list", F.lit(k)) for k, d in enumerate(lists)]
@@ -42,26 +57,29 @@ def diff_snapshots(old: DataFrame, new: DataFrame) -> DataFrame:
 def parse_name_status(stream: DataFrame) -> DataFrame:
     """Change list of a stream (pos, token) of status letters and paths: two paths after R and C, one after others.
 
-    A token is a status if it looks like one and is not taken as a path, which depends on all before it, so the stream
-    of one change-set is folded in order inside one row.
+    A token is a status if it looks like one and is not taken as a path, which depends on all before it: one task reads
+    the stream of a change-set in order, batch by batch, and holds no more than an open entry. What is cut off at the
+    end is dropped.
     """
-    tokens = stream.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("t"))
-    empty = F.named_struct(F.lit("status"), F.lit("").cast("string"), F.lit("held"), F.array().cast("array<string>"), F.lit("out"), F.array().cast("array<struct<path:string,status:string,old_path:string>>"))
 
-    def step(acc: Column, token: Column) -> Column:
-        idle = acc["status"] == ""
-        held = F.concat(acc["held"], F.array(token))
-        pair = acc["status"].rlike("^[RC]")
-        full = F.size(held) == F.when(pair, 2).otherwise(1)
-        done = F.struct(F.element_at(held, -1).alias("path"), acc["status"].alias("status"), F.when(pair, held[0]).when(acc["status"].startswith("D"), held[0]).alias("old_path"))
-        state = lambda status, held, out: F.named_struct(F.lit("status"), status, F.lit("held"), held, F.lit("out"), out)
-        none = F.array().cast("array<string>")
-        return (
-            F.when(idle & token.rlike(r"^[AMDCTR]\d*$"), state(token, none, acc["out"])).when(idle, acc)
-            .when(full, state(F.lit("").cast("string"), none, F.concat(acc["out"], F.array(done)))).otherwise(state(acc["status"], held, acc["out"])))
-
-    out = tokens.select(F.explode(F.aggregate("t", empty, step, lambda acc: acc["out"])).alias("c")).select("c.*")
-    return out.withColumn("ext", paths.extension(F.col("path")))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        status, held = None, []
+        for b in batches:
+            rows = []
+            for token in b["token"]:
+                if status is None:
+                    status = token if _STATUS.fullmatch(token) else None
+                    continue
+                held.append(token)
+                pair = status[0] in "RC"
+                if len(held) == 1 + pair:
+                    rows.append((held[-1], status, held[0] if pair or status[0] == "D" else None))
+                    status, held = None, []
+            yield pd.DataFrame(rows, columns=["path", "status", "old_path"])
+
+    ship(stream.sparkSession)
+    ordered = stream.select("pos", "token").repartition(1).sortWithinPartitions("pos")
+    return ordered.mapInPandas(run, "path string, status string, old_path string").withColumn("ext", paths.extension(F.col("path")))
 
 
 def parse_hunks(diffs: DataFrame) -> DataFrame:
@@ -72,6 +90,33 @@ def parse_hunks(diffs: DataFrame) -> DataFrame:
     return lines.filter(m(1) != "").select("path", number(1).alias("old_start"), F.coalesce(number(2), F.lit(1)).alias("old_count"), number(3).alias("new_start"), F.coalesce(number(4), F.lit(1)).alias("new_count"))
 
 
+def _edits(before: str, after: str) -> Iterator[tuple[str, int]]:
+    """(side, line) of every line that differs, both sides cut to what is between their common ends."""
+    a, b = before.splitlines(), after.splitlines()
+    lead = 0
+    while lead < min(len(a), len(b)) and a[lead] == b[lead]:
+        lead += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - lead and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    for op, i1, i2, j1, j2 in difflib.SequenceMatcher(None, a[lead : len(a) - tail], b[lead : len(b) - tail], autojunk=False).get_opcodes():
+        if op != "equal":
+            yield from (("old", lead + i + 1) for i in range(i1, i2))
+            yield from (("new", lead + j + 1) for j in range(j1, j2))
+
+
+def changed_lines(texts: DataFrame) -> DataFrame:
+    """path, side (old, new), line of every line that differs between the texts before and after (path, before, after)."""
+    ship(texts.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(p, *e) for p, x, y in zip(b["path"], b["before"], b["after"], strict=True) for e in _edits(x, y)]
+            yield pd.DataFrame(rows, columns=["path", "side", "line"]).astype({"line": "int32"})
+
+    return texts.select("path", "before", "after").mapInPandas(run, "path string, side string, line int")
+
+
 def hunk_lines(hunks: DataFrame, side: str = "new") -> DataFrame:
     """path, line of every line that hunks cover on one side; a count of 0 covers none."""
     start, count = F.col(f"{side}_start"), F.col(f"{side}_count")

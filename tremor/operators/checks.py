@@ -47,7 +47,7 @@ def fixed(files: DataFrame, check_id: str) -> DataFrame:
     """(check_id, path, content): files that a hygiene check would change, with their content after it."""
     was = as_text(files)
     now = _FIXERS[check_id][0](was)
-    return files.filter(~was.contains("\u0000")).withColumn("__now", now).filter(F.col("__now") != was).select(F.lit(check_id).alias("check_id"), "path", F.encode("__now", "ISO-8859-1").alias("content"))
+    return files.withColumn("__now", now).filter(F.col("__now") != was).select(F.lit(check_id).alias("check_id"), "path", F.encode("__now", "ISO-8859-1").alias("content"))
 
 
 def hygiene(files: DataFrame, check_id: str) -> DataFrame:
@@ -171,6 +171,28 @@ def linter_messages(reports: DataFrame) -> DataFrame:
     return reports.select(F.explode(F.from_json("text", schema)).alias("m")).select(F.col("m.filename").alias("path"), F.col("m.location.row").alias("line"), F.col("m.location.column").alias("column"), "m.code", "m.message")
 
 
+def nested_messages(reports: DataFrame) -> DataFrame:
+    """path, line, column, code, message of JSON reports (text) by file: [{filePath, messages: [{line, column, ruleId, message}]}]."""
+    schema = "array<struct<filePath string, messages array<struct<line int, `column` int, ruleId string, message string>>>>"
+    each = reports.select(F.explode(F.from_json("text", schema)).alias("f")).select(F.col("f.filePath").alias("path"), F.explode("f.messages").alias("m"))
+    return each.select("path", "m.line", F.col("m.column").alias("column"), F.col("m.ruleId").alias("code"), "m.message")
+
+
+def unformatted(reports: DataFrame) -> DataFrame:
+    """path of files that a formatter's text report (text) names in lines that begin with [warn], but for its summary."""
+    lines = reports.select(F.explode(F.split("text", r"\r?\n")).alias("line")).filter(F.col("line").startswith("[warn] "))
+    named = lines.select(F.trim(F.substring("line", 8, 1 << 20)).alias("path"))
+    return named.filter((F.col("path") != "") & ~F.col("path").contains(" ")).distinct()
+
+
+def diff_rows(reports: DataFrame) -> DataFrame:
+    """path, pos, text of the lines of a formatter's unified diffs (name, text), as format_hunks() reads them; a file begins at its old name."""
+    at = reports.select("name", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    head = F.when(F.col("text").startswith("--- "), F.regexp_replace(F.substring("text", 5, 1 << 20), r"^a/|\t.*$", ""))
+    order = Window.partitionBy("name").orderBy("pos")
+    return at.withColumn("path", F.last(head, ignorenulls=True).over(order)).filter("path IS NOT NULL").select("path", "pos", "text")
+
+
 CHECKS: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
     **{k: (lambda files, tracked, k=k: hygiene(files, k)) for k in _FIXERS},
     "syntax/json-syntax": lambda files, tracked: json_syntax(files),

@@ -9,6 +9,10 @@ from tremor.functions import paths, urls
 from tremor.operators.changes import first_by
 
 
+#: Ownership rules that are put into one expression.
+RULES = 100
+
+
 def match_template_refs(refs: DataFrame, routes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(matched, unresolved): refs (file, name) with the route (ord, name, full, handler) of that name, the last of equals."""
     last = first_by(routes.filter("name IS NOT NULL"), ["name"], F.desc("ord"))
@@ -20,16 +24,31 @@ def match_template_refs(refs: DataFrame, routes: DataFrame) -> tuple[DataFrame,
 def match_urls(refs: DataFrame, routes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(matched, unresolved): refs (file, line, ref) with the first route that is equal, else by pattern, else by prefix.
 
-    Equality is a hash join on the normalised path. Patterns are tried only against routes with as many components, and
-    prefixes by exploding a route's own prefixes, so both are hash joins too.
+    Equality is a hash join on the normalised path. Patterns are tried only against routes with as many components and
+    the same first one, or one of the few whose first is a parameter, and prefixes by exploding a route's own prefixes,
+    so both are hash joins too. Routes may carry an expression (regex) of their own; only those whose first component it
+    leaves open are tried on every URL.
     """
     u = refs.withColumn("__url", urls.one_slash(urls.plain_ref(F.col("ref"))))
     distinct = u.select("__url").distinct()
-    r = routes.select("ord", "full", "handler").withColumn("__full", urls.one_slash(F.col("full")))
+    r = routes.select("ord", "full", "handler", F.col("regex") if "regex" in routes.columns else F.lit(None).cast("string").alias("regex")).withColumn("__full", urls.one_slash(F.col("full")))
     depth = lambda c: F.size(F.split(c, "/"))
+    first = lambda c: F.regexp_extract(c, r"^/*([^/]*)", 1)
     equal = distinct.join(r, F.col("__url") == F.col("__full")).select("__url", F.lit(0).alias("stage"), "ord")
-    patterns = r.filter(F.col("__full").rlike(r"[<{]")).withColumn("__pattern", urls.route_regex(F.col("__full"))).withColumn("__depth", depth(F.col("__full")))
-    by_pattern = distinct.withColumn("__d", depth(F.col("__url"))).join(patterns, (F.col("__d") == F.col("__depth")) & F.expr("__url rlike __pattern")).select("__url", F.lit(1).alias("stage"), "ord")
+    # an expression of its own is free to cross components: its first one is known if it is plain
+    given = F.col("regex").isNotNull()
+    plain_first = F.regexp_extract("regex", r"^\^(?:\\Q)?([\w\-]+)/", 1)
+    patterns = r.filter(given | F.col("__full").rlike(r"[<{]"))
+    patterns = patterns.withColumn("__pattern", F.when(given, F.concat(F.lit("^/"), F.regexp_replace("regex", r"^\^", ""))).otherwise(urls.route_regex(F.col("__full"))))
+    patterns = patterns.withColumn("__depth", F.when(~given, depth(F.col("__full")))).withColumn("__first", F.when(given, plain_first).otherwise(first(F.col("__full"))))
+    patterns = patterns.withColumn("__open", F.when(given, F.col("__first") == "").otherwise(F.col("__first").rlike(r"[<{]")))
+    shaped = distinct.withColumn("__d", depth(F.col("__url"))).withColumn("__f", first(F.col("__url")))
+    here = F.expr("__url rlike __pattern")
+    stage = lambda df: df.select("__url", F.lit(1).alias("stage"), "ord")
+    by_pattern = stage(shaped.join(patterns.filter("NOT __open AND __depth IS NOT NULL"), (F.col("__d") == F.col("__depth")) & (F.col("__f") == F.col("__first")) & here))
+    by_pattern = by_pattern.unionByName(stage(shaped.join(patterns.filter("__open AND __depth IS NOT NULL"), (F.col("__d") == F.col("__depth")) & here)))
+    by_pattern = by_pattern.unionByName(stage(shaped.join(patterns.filter("NOT __open AND __depth IS NULL"), (F.col("__f") == F.col("__first")) & here)))
+    by_pattern = by_pattern.unionByName(stage(shaped.join(patterns.filter("__open AND __depth IS NULL"), here)))
     parts = F.split("__full", "/")
     leads = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
     lead = r.select("ord", "__full", F.explode(F.concat(leads, F.transform(leads, lambda x: F.concat(x, F.lit("/"))))).alias("__lead")).distinct()
@@ -53,6 +72,10 @@ def import_edges(graph: DataFrame, tracked: DataFrame) -> DataFrame:
     return found.groupBy("path", "specifier").agg(F.min_by("dst", "ord").alias("dst")).select(F.col("path").alias("src"), "dst").distinct()
 
 
+def leaf(handler: str) -> F.Column:
+    return urls.handler_leaf(F.col(handler))
+
+
 def affected_routes(routes: DataFrame, reached: DataFrame, bindings: DataFrame) -> DataFrame:
     """Routes whose handler's leaf is reached (name) and bound in the route's own module (path, name)."""
     r = routes.withColumn("name_of_handler", urls.handler_leaf(F.col("handler")))
@@ -86,10 +109,16 @@ def export_users(exports: DataFrame, edges: DataFrame, words: DataFrame) -> Data
 def owners(rows: DataFrame, rules: DataFrame) -> DataFrame:
     """Rows with the owner of their path: the last matching rule (ord, regex, owner) decides, empty if none does.
 
-    Distinct paths meet the rules, which are one small file's lines, in a join by condition.
+    Up to RULES rules are one CASE over compiled patterns, without a join; more meet the distinct paths in a join by condition.
     """
-    found = rows.select("path").distinct().join(rules, F.expr("path rlike regex")).groupBy("path").agg(F.max_by("owner", "ord").alias("owner"))
-    return rows.join(found, "path", "left").withColumn("owner", F.coalesce("owner", F.lit("")))
+    few = rules.orderBy(F.desc("ord")).limit(RULES + 1).collect()
+    if len(few) > RULES:
+        found = rows.select("path").distinct().join(rules, F.expr("path rlike regex")).groupBy("path").agg(F.max_by("owner", "ord").alias("owner"))
+        return rows.join(found, "path", "left").withColumn("owner", F.coalesce("owner", F.lit("")))
+    owner = F.lit("")
+    for r in few[::-1]:
+        owner = F.when(F.col("path").rlike(r.regex), F.lit(r.owner)).otherwise(owner)
+    return rows.withColumn("owner", owner)
 
 
 def resolve_constants(consts: DataFrame) -> DataFrame:

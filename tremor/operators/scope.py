@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from tremor.functions import paths, urls
 from tremor.operators.changes import ALL, LINES, NONE
 
+#: Leads that are put into one condition.
+NEEDLES = 200
+
 
 def developer_files(*lists: DataFrame) -> DataFrame:
     """Distinct paths of all lists, in order."""
@@ -46,12 +49,18 @@ def scope_modes(files: DataFrame, lines: DataFrame, whole: DataFrame | None = No
 def with_needles(files: DataFrame, routes: DataFrame) -> DataFrame:
     """Files (path, text) that hold the static lead of a route (full); all files if no route has one.
 
-    Routes are those of one repository's affected handlers, a short list, so the join by condition has a short side.
+    Up to NEEDLES leads are one condition on the text; more meet the text in a join by condition.
     """
     needles = routes.select(urls.needle(F.col("full")).alias("needle")).filter("needle <> ''").distinct()
-    if needles.isEmpty():
+    few = [r.needle for r in needles.limit(NEEDLES + 1).collect()]
+    if not few:
         return files
-    return files.join(needles, F.col("text").contains(F.col("needle")), "left_semi")
+    if len(few) > NEEDLES:
+        return files.join(needles, F.col("text").contains(F.col("needle")), "left_semi")
+    held = F.lit(False)
+    for n in few:
+        held = held | F.col("text").contains(n)
+    return files.filter(held)
 
 
 def pruned_cache(cache: DataFrame, files: DataFrame) -> DataFrame:
@@ -65,5 +74,5 @@ def first_bases(usages: DataFrame) -> DataFrame:
 
 
 def endpoints(routes: DataFrame) -> DataFrame:
-    """url, handler, name, module: the first route (ord) of each URL."""
-    return routes.groupBy(urls.one_slash(F.col("full")).alias("url")).agg(F.min(F.struct("ord", "handler", "name", "module")).alias("r")).select("url", "r.handler", "r.name", "r.module")
+    """url, handler, name, module: the first route (ord) of each URL, as the route states it."""
+    return routes.groupBy(F.col("full").alias("url")).agg(F.min(F.struct("ord", "handler", "name", "module")).alias("r")).select("url", "r.handler", "r.name", "r.module")

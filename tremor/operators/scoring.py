@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tremor.functions import paths, text
-from tremor.operators.changes import first_by
+from tremor.operators.changes import first_by, numbered
 
 # --- fixed values: display order and gates ---
 SECTIONS = ("Breaking", "Direct", "Transitive")
@@ -47,16 +47,49 @@ def severity(n_layers, deleted, is_changed, has_path, any_change, tier=None, ref
     return F.when(tier.isNull(), plain).otherwise(tiered)
 
 
-def severity_reason(layers_, deleted, is_changed, has_path, any_change) -> F.Column:
-    return (
+# --- fixed values: why a row has its severity ---
+def severity_reason(layers_, deleted, is_changed, has_path, any_change, tier=None, ref=None, base=None) -> F.Column:
+    """The reason of a severity; base is what severity() gives without a tier."""
+    plain = (
         F.when(deleted, "symbol was deleted or renamed in this change-set")
         .when(F.size(layers_) >= 2, F.concat(F.lit("referenced from multiple layers ("), F.array_join(layers_, " + "), F.lit(")")))
         .when(is_changed, "reference is inside the changed file itself").when(~has_path | ~any_change, "no external reference beyond the change-set").otherwise("referenced from a file outside the change-set"))
+    if tier is None:
+        return plain
+    tiered = F.when(deleted, plain).when((tier == "frontend") & ref.startswith("changed"), "the file itself is in the change-set").when(tier == "backend", "renders a changed template")
+    return F.when(tier.isNull(), plain).otherwise(tiered.when(base == "High", "reachable through the template/import graph").otherwise(plain))
+
+
+# --- fixed values: what a breaking change says ---
+BREAKING = {
+    "deleted-test": ("deleted test coverage", "restore or justify removal"), "removed-export": ("breaking API change: ", "restore export or justify breaking change"),
+    "signature-changed": ("breaking API change: signature changed", "restore export or justify breaking change"), "migration-infra": ("migration/infra change - needs rollout note", "add rollout note"),
+}
+
+
+def breaking_rows(found: DataFrame) -> DataFrame:
+    """Rows of a report for breaking changes (path, rule, symbol): High, changed, each for itself."""
+    of = lambda k: F.coalesce(*[F.when(F.col("rule") == rule, said[k]) for rule, said in BREAKING.items()])
+    ref = F.concat(of(0), F.when(F.col("rule") == "removed-export", F.coalesce("symbol", F.lit(""))).otherwise(""))
+    return found.select(
+        "path", paths.dir_of(F.col("path")).alias("module"), F.lit("breaking").alias("category"), ref.alias("ref"), F.lit(0).alias("line"), F.col("symbol").alias("entity"), F.lit(True).alias("deleted"),
+        F.lit("high").alias("confidence"), F.lit("High").alias("severity"), F.lit("Breaking").alias("section"), F.lit("Changed").alias("badge"), F.concat("path", F.lit(":0")).alias("key"), of(1).alias("action"),
+        F.concat(F.col("path"), F.lit(" "), ref, F.lit(" in this change-set")).alias("why_matters"), F.lit(0).alias("missing_test"), F.lit(0.0).alias("churn"))
+
+
+def confidence(bound, own) -> F.Column:
+    """How sure a Python reference is: an import binds it, it stands in a defining module, or neither."""
+    return F.when(bound, "high").when(own, "medium").otherwise("low")
+
+
+def evidence(bound, own, modules, own_module) -> F.Column:
+    """What a Python reference goes through: the defining modules, its own module, or null."""
+    return F.when(bound, F.array_sort(modules)).when(own, F.array(own_module))
 
 
-def confidence(bound, imported, how) -> F.Column:
-    """How sure a Python reference is: bound by an import, plain, or an attribute of something unknown."""
-    return F.when(bound, "high").when((how == "attr") & ~imported, "low").otherwise("medium")
+def tier_confidence(tier) -> F.Column:
+    """How sure a row of templates or scripts is, by its tier."""
+    return F.when(tier == "frontend", "high").when(tier == "heuristic", "low").otherwise("medium")
 
 
 def finished(rows: DataFrame, changed: DataFrame) -> DataFrame:
@@ -68,36 +101,39 @@ def finished(rows: DataFrame, changed: DataFrame) -> DataFrame:
     return out.withColumn("badge", F.when(F.col("__c"), "Changed").otherwise("Impacted")).withColumn("section", section).withColumn("key", key).drop("__c")
 
 
+# --- fixed values: what to do, and why ---
 def action(rows: DataFrame) -> DataFrame:
-    """Rows with what to do, and for those above Low why they matter."""
-    todo = F.when(F.col("deleted"), "remove import").when(F.col("severity") == "High", "update and test").when(F.col("severity") == "Medium", "review usage").otherwise("ok")
-    why = F.when(F.col("severity") != "Low", F.concat(F.col("entity"), F.lit(" is used in "), F.col("path")))
-    return rows.withColumn("action", todo).withColumn("why_matters", why)
+    """Rows (ref, entity, severity, deleted, chain, test_path) with what to do, and for those above Low why they matter."""
+    todo = F.when(F.col("severity") == "Low", "ok").when(F.col("deleted"), "remove import").when(F.col("test_path").isNotNull(), F.concat(F.lit("run "), F.col("test_path"))).otherwise("update call site")
+    symbol = F.regexp_replace("entity", "^(?:changed|extends):", "")
+    through = F.when(F.size(F.coalesce("chain", F.array().cast("array<string>"))) > 0, F.concat(F.lit(" via "), F.array_join("chain", "->"))).otherwise(" (unresolved import)")
+    why = F.concat(F.coalesce("ref", F.lit("")), F.when(F.col("deleted"), " uses deleted symbol ").otherwise(" uses "), symbol, through)
+    return rows.withColumn("action", todo).withColumn("why_matters", F.when(F.col("severity") != "Low", why))
 
 
 def with_missing_test(rows: DataFrame, files: DataFrame) -> DataFrame:
-    """Rows with missing_test: 0 if the conventional test of their path is among files (path), else 1."""
-    tests = files.select(F.col("path").alias("__test"), F.lit(0).alias("__there")).distinct()
-    out = rows.withColumn("__want", paths.test_path_of(F.col("path"))).join(tests, F.col("__want") == F.col("__test"), "left")
-    return out.withColumn("missing_test", F.coalesce("__there", F.lit(1))).drop("__want", "__test", "__there")
+    """Rows with test_path, the conventional test of their path if it is among files (path), and missing_test: 1 for Python rows without one, else 0."""
+    tests = files.select(F.col("path").alias("__test")).distinct()
+    python = F.col("category") == "python"
+    out = rows.withColumn("__want", F.when(python, paths.test_path_of(F.col("path")))).join(tests, F.col("__want") == F.col("__test"), "left")
+    return out.withColumn("missing_test", F.when(python & F.col("__test").isNull(), 1).otherwise(0)).withColumnRenamed("__test", "test_path").drop("__want")
 
 
 def scored(rows: DataFrame, fans: DataFrame) -> DataFrame:
-    """Rows with fan_in and risk; fan_in counts in shares of the largest, 1 at least."""
+    """Rows with fan_in (1 for breaking changes) and risk; fan_in counts in shares of the largest, 1 at least."""
     most = fans.agg(F.greatest(F.coalesce(F.max("fan_in"), F.lit(1)), F.lit(1)).alias("most"))
-    out = rows.join(fans, "entity", "left").withColumn("fan_in", F.coalesce("fan_in", F.lit(0))).crossJoin(F.broadcast(most))  # one row
+    out = rows.join(fans, "entity", "left").withColumn("fan_in", F.when(F.col("category") == "breaking", 1).otherwise(F.coalesce("fan_in", F.lit(0)))).crossJoin(F.broadcast(most))  # one row
     return out.withColumn("risk", text.risk(F.col("severity"), F.col("fan_in") / F.col("most"), F.col("missing_test"), F.coalesce("churn", F.lit(0.0)))).drop("most")
 
 
 def ranked(rows: DataFrame) -> DataFrame:
-    """Rows with rank from 1: risk falling, path, arrival. The order is global, over the rows of one report."""
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("risk"), F.coalesce("path", F.lit("")), "seq")))
+    """Rows with rank from 1: risk falling (to 9 places), path, arrival."""
+    return numbered(rows, "rank", F.desc(F.round("risk", 9)), F.coalesce("path", F.lit("")), F.asc_nulls_last("seq"), "ref")
 
 
 def displayed(rows: DataFrame, top: int | None = TOP_ROWS) -> tuple[DataFrame, DataFrame]:
     """(shown, hidden) of ranked rows in display order, numbered by `number`; top None shows all, below 0 none."""
-    n = F.row_number().over(Window.orderBy(_ordinal("section", SECTIONS), _ordinal("tier", TIERS), "rank"))
-    out = rows.withColumn("number", n)
+    out = numbered(rows, "number", _ordinal("section", SECTIONS), _ordinal("tier", TIERS), "rank")
     if top is None:
         return out, out.limit(0)
     return out.filter(F.col("number") <= max(0, top)), out.filter(F.col("number") > max(0, top))
@@ -142,16 +178,18 @@ def hit_rate(looked_up: DataFrame) -> DataFrame:
 
 
 def breaking(changes: DataFrame, ratios: DataFrame, deleted: DataFrame) -> DataFrame:
-    """path, rule, symbol of changes that break: deleted tests, removed exports, migrations and infrastructure; additions do not.
+    """path, rule, symbol of changes that break: deleted tests, removed exports or changed signatures, migrations and infrastructure; additions do not.
 
-    changes: (path, status, old_path, module, old_module); ratios: (path, removed_ratio); deleted: (module, name).
+    changes: (path, status, old_path, module, old_module, and signature_changed if that is known); ratios: (path,
+    removed_ratio), of which more than a half makes a test a deleted one; deleted: (module, name).
     """
     gone = deleted.groupBy("module").agg(F.min("name").alias("symbol"))
     c = changes.filter(~F.col("status").startswith("A")).join(ratios, "path", "left")
     c = c.join(gone.select("module", F.col("symbol").alias("s1")), "module", "left").join(gone.select(F.col("module").alias("old_module"), F.col("symbol").alias("s2")), "old_module", "left")
     symbol = F.least("s1", "s2")
-    lost = F.col("status").startswith("D") | (F.coalesce("removed_ratio", F.lit(0.0)) >= 0.5)
-    rule = F.when(paths.is_test_path(F.col("path")) & lost, "deleted-test").when(symbol.isNotNull(), "removed-export").when(paths.is_migration_or_infra(F.col("path")), "migration-infra")
+    lost = F.col("status").startswith("D") | (F.coalesce("removed_ratio", F.lit(0.0)) > 0.5)
+    signature = F.coalesce(F.col("signature_changed"), F.lit(False)) if "signature_changed" in changes.columns else F.lit(False)
+    rule = F.when(paths.is_test_path(F.col("path")) & lost, "deleted-test").when(symbol.isNotNull(), "removed-export").when(signature, "signature-changed").when(paths.is_migration_or_infra(F.col("path")), "migration-infra")
     return c.withColumn("rule", rule).withColumn("symbol", symbol).filter("rule IS NOT NULL").select("path", "rule", "symbol")
 
 

@@ -5,25 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremor.functions import paths
+from tremor.functions import paths, urls
 from tremor.operators import binding, closures, routes, scoring
 from tremor.session import stored
 
-ROW = ("seq", "path", "module", "category", "ref", "line", "entity", "deleted", "tier", "confidence", "ctx_qname")
+ROW = ("seq", "path", "module", "category", "ref", "line", "entity", "deleted", "tier", "confidence", "chain", "ctx_qname")
 
 
 def python_rows(hits: DataFrame) -> DataFrame:
     """Rows of the reference join."""
+    own, bound = F.col("own"), F.col("bound")
+    place = F.when(F.coalesce("ctx_qname", F.lit("")) != "", F.col("ctx_qname")).otherwise(paths.dir_of(F.col("path")))
     return hits.select(
-        "seq", "path", F.col("own_module").alias("module"), F.lit("python").alias("category"), F.format_string("%s (%s at %d)", "name", "how", "line").alias("ref"), "line", F.col("name").alias("entity"), "deleted",
-        F.lit(None).cast("string").alias("tier"), scoring.confidence(F.col("bound"), F.col("imported"), F.col("how")).alias("confidence"), "ctx_qname")
+        "seq", "path", place.alias("module"), F.lit("python").alias("category"), F.format_string("%s (%s at %d)", "name", "how", "line").alias("ref"), "line", F.col("name").alias("entity"), "deleted",
+        F.lit(None).cast("string").alias("tier"), scoring.confidence(bound, own).alias("confidence"), scoring.evidence(bound, own, F.col("modules"), F.col("own_module")).alias("chain"), "ctx_qname")
 
 
 def linked_rows(matched: DataFrame, category: str, ref: F.Column) -> DataFrame:
     """Rows of references (seq, file, line, handler, deleted) that a route links to a handler."""
+    module = paths.dir_of(F.col("file"))
     return matched.select(
-        "seq", F.col("file").alias("path"), paths.module_of(F.col("file")).alias("module"), F.lit(category).alias("category"), ref.alias("ref"), "line", F.element_at(F.split("handler", r"\."), -1).alias("entity"), F.coalesce("deleted", F.lit(False)).alias("deleted"),
-        F.lit(None).cast("string").alias("tier"), F.lit("high").alias("confidence"), F.lit(None).cast("string").alias("ctx_qname"))
+        "seq", F.col("file").alias("path"), module.alias("module"), F.lit(category).alias("category"), ref.alias("ref"), "line", urls.handler_leaf(F.col("handler")).alias("entity"), F.coalesce("deleted", F.lit(False)).alias("deleted"),
+        F.lit(None).cast("string").alias("tier"), F.lit("medium").alias("confidence"), F.array(module).alias("chain"), F.lit(None).cast("string").alias("ctx_qname"))
+
+
+def symbol_rows(symbols: DataFrame, entities: DataFrame) -> DataFrame:
+    """Rows of scripts (file, line, name) that bind a changed definition by its name."""
+    hit = symbols.join(entities.select("name", "deleted"), "name")
+    return hit.select(
+        F.xxhash64("file", "name").alias("seq"), F.col("file").alias("path"), paths.dir_of(F.col("file")).alias("module"), F.lit("frontend-symbol").alias("category"), F.concat("name", F.lit(" (imported symbol)")).alias("ref"), "line",
+        F.col("name").alias("entity"), "deleted", F.lit(None).cast("string").alias("tier"), F.lit("medium").alias("confidence"), F.lit(None).cast("array<string>").alias("chain"), F.lit(None).cast("string").alias("ctx_qname"))
 
 
 def append(*producers: DataFrame) -> DataFrame:
@@ -35,20 +46,28 @@ def append(*producers: DataFrame) -> DataFrame:
     return out
 
 
-def compose(rows: DataFrame, changed: DataFrame, files: DataFrame, rules: DataFrame | None = None, reached: DataFrame | None = None, show_all: bool = False, any_change: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(ranked rows, hidden rows): de-dup, layers before hiding, fan-in after it, severity, reachability, risk, rank."""
-    rows = scoring.deduplicated(rows)
+def compose(rows: DataFrame, changed: DataFrame, files: DataFrame, rules: DataFrame | None = None, reached: tuple[DataFrame, DataFrame] | None = None, show_all: bool = False, any_change: bool = True, breaking: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(ranked rows, hidden rows): de-dup, layers before hiding, fan-in after it, severity, reachability, risk, rank.
+
+    reached: (names, modules) that entry points reach. The de-duplicated rows are written once and read by each use.
+    """
+    if "chain" not in rows.columns:
+        rows = rows.withColumn("chain", F.lit(None).cast("array<string>"))
+    rows = stored(scoring.deduplicated(rows), "rows")
     seen = scoring.layers(rows)
     visible, hidden = scoring.hidden(rows, show_all)
     out = visible.join(seen, "entity").join(changed.select("path", F.lit(True).alias("__c")).distinct(), "path", "left")
     inside, has_path, change = F.coalesce("__c", F.lit(False)), F.col("path").isNotNull() & (F.col("path") != ""), F.lit(any_change)
+    plain = scoring.severity(F.size("layers"), F.col("deleted"), inside, has_path, change)
     out = out.withColumn("severity", scoring.severity(F.size("layers"), F.col("deleted"), inside, has_path, change, F.col("tier"), F.col("ref")))
-    out = out.withColumn("reason", scoring.severity_reason(F.col("layers"), F.col("deleted"), inside, has_path, change)).drop("__c")
+    out = out.withColumn("reason", scoring.severity_reason(F.col("layers"), F.col("deleted"), inside, has_path, change, F.col("tier"), F.col("ref"), plain)).drop("__c")
     if reached is not None:
-        out = closures.downgraded(out, reached)
-    out = scoring.action(scoring.finished(out, changed))
+        out = closures.downgraded(out, *reached)
+    out = scoring.with_missing_test(scoring.finished(out, changed), files).withColumn("churn", F.lit(0.0))
+    out = scoring.action(out)
+    if breaking is not None:
+        out = out.unionByName(scoring.breaking_rows(breaking), allowMissingColumns=True)
     out = routes.owners(out, rules) if rules is not None else out.withColumn("owner", F.lit(""))
-    out = scoring.with_missing_test(out, files).withColumn("churn", F.lit(0.0))
     return scoring.ranked(scoring.scored(out, scoring.fan_in(visible))), hidden
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import os
-import subprocess
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,20 +27,44 @@ def tree(spark: SparkSession, root: str, tracked: DataFrame | None = None, globs
     return files.withColumn("ext", paths.extension(F.col("path"))).select(*[c.split()[0] for c in FILES.split(", ")])
 
 
-def git(args: list[str], cwd: str) -> tuple[int, str]:
-    """(code, output) of a git command; 127 if git can't be run."""
-    try:
-        done = subprocess.run(["git", *args], cwd=cwd, capture_output=True)
-    except OSError:
-        return 127, ""
-    return done.returncode, done.stdout.decode("utf-8", "replace")
+def texts(files: DataFrame, mark: bool = False) -> DataFrame:
+    """(path, text) of files (path, content): UTF-8 with replacement characters, and with mark without a byte order mark."""
+    text = F.make_valid_utf8(F.col("content").cast("string"))
+    return files.select("path", (F.regexp_replace(text, "^\ufeff", "") if mark else text).alias("text"))
+
+
+def tracked_by(files: DataFrame, globs: list[str], ignores: tuple[str, ...] = paths.DEFAULT_IGNORES, vendor: bool = True) -> DataFrame:
+    """Tracked files that a glob matches and no ignore pattern, without vendor's unless those are wanted."""
+    out = files.filter(F.col("tracked") & paths.matches_glob(F.col("path"), globs) & ~paths.matches_glob(F.col("path"), ignores))
+    return out if vendor else out.filter(~paths.is_vendor(F.col("path")))
 
 
-def git_tokens(spark: SparkSession, args: list[str], cwd: str) -> DataFrame:
-    """(pos, token) of NUL-separated git output, without empty tokens."""
-    code, out = git(args, cwd)
-    tokens = [t for t in out.split("\0") if t] if code == 0 else []
-    return spark.createDataFrame(list(enumerate(tokens)), "pos int, token string")
+def lint_baseline(spark: SparkSession, path: str) -> DataFrame:
+    """(path, key) of a linter's accepted findings: a list of files with messages, the same under results, or keys by path."""
+    try:
+        with open(path, encoding="utf-8") as f:
+            data = json.load(f)
+    except (OSError, ValueError):
+        data = []
+    if isinstance(data, dict) and "results" in data:
+        data = data["results"]
+    rows = []
+    if isinstance(data, dict):
+        rows = [(p.removeprefix("./"), k) for p, keys in data.items() if isinstance(keys, list) for k in keys]
+    elif isinstance(data, list):
+        for item in (x for x in data if isinstance(x, dict) and x.get("filePath")):
+            rows += [(item["filePath"], f"{m['line']}:{m['column']}:{m['ruleId']}") for m in item.get("messages") or [] if m.get("line") and m.get("column") and m.get("ruleId")]
+    return spark.createDataFrame([(p, str(k)) for p, k in rows], "path string, key string").distinct()
+
+
+def format_baseline(spark: SparkSession, path: str) -> DataFrame:
+    """(path) of files that a formatter leaves alone, one a line."""
+    try:
+        with open(path, encoding="utf-8") as f:
+            listed = f.read().split("\n")
+    except (OSError, ValueError):
+        listed = []
+    return spark.createDataFrame([(x.strip().removeprefix("./"),) for x in listed if x.strip()], "path string").distinct()
 
 
 def ownership(spark: SparkSession, root: str) -> DataFrame:
@@ -55,11 +78,12 @@ def ownership(spark: SparkSession, root: str) -> DataFrame:
 
 
 def ownership_rules(spark: SparkSession, content: str) -> DataFrame:
+    """(ord, regex, owner) of lines of a pattern and owners, of which the last counts, without its @."""
     rules = []
     for line in content.splitlines():
         parts = line.split("#")[0].split()
         if len(parts) >= 2:
-            rules.append((len(rules), paths.owner_regex(parts[0]), parts[1]))
+            rules.append((len(rules), paths.owner_regex(parts[0]), parts[-1].lstrip("@")))
     return spark.createDataFrame(rules, "ord int, regex string, owner string")
 
 
