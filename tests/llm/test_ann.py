@@ -50,12 +50,59 @@ def test_few_and_none(spark):
 
 def test_index_gives_every_code_within_the_radius():
     rng = np.random.default_rng(1)
-    code = rng.integers(0, 1 << 63, (400, 2), dtype=np.uint64)
+    code = rng.integers(0, 1 << 63, (400, op.CODES), dtype=np.uint64)
     query = code[:5].copy()
     query[:, 0] ^= np.uint64(0b1011)
-    for radius in (0, 3, 40, 55, 128):
+    for radius in (0, 3, 40, 180, 215, 512):
         want = np.bitwise_count(code[None] ^ query[:, None]).sum(axis=2) <= radius
-        assert (op.Index(code).within(query, radius) == want).all()
+        for m in op.SPLITS:
+            index = op.Index(code, m)
+            assert sum(index.share(k, radius) + 1 for k in range(m)) == radius + 1
+            assert (index.within(query, radius) == want).all() and (index.probe(query, radius) | ~want).all()
+
+
+def test_close_codes_are_looked_up():
+    """Where neighbours are near, many short substrings cost less, and a probe retrieves few other codes."""
+    rng = np.random.default_rng(2)
+    code = rng.integers(0, 1 << 63, (20_000, op.CODES), dtype=np.uint64)
+    query = code[:32] ^ np.uint64(1 << 7)
+    assert min(op.SPLITS, key=lambda m: op.Index(code, m).cost(query, 12)) == 32
+    assert op.Index(code, 32).probe(query, 12).mean() < 0.01
+
+
+def test_recall_on_the_embeddings(spark):
+    """Against brute force on a whole table; a probe retrieves less than a fifth of the codes."""
+    import pyarrow.parquet as pq
+
+    t = pq.read_table("/root/testdata/sf0.1/embeddings.parquet")
+    found = {}
+    for r in op.op6_ann(spark, "/root/testdata/sf0.1").collect():
+        found.setdefault(r.query_id, {})[r.vec_id] = r.score
+    rows = [(i, np.array(v, float)) for i, v in zip(t["vec_id"].to_pylist(), t["embedding"].to_pylist(), strict=True) if v and None not in v and np.isfinite(np.array(v, float)).all() and any(v)]
+    ids, x = np.array([i for i, _ in rows]), np.stack([v for _, v in rows])
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    hits = total = 0
+    for q in np.flatnonzero(ids % 50 == 0).tolist():
+        s = x @ x[q]
+        s[q] = -2
+        want = ids[np.lexsort((ids, -s))[:5]].tolist()
+        hits += sum(v in found[ids[q]] for v in want)
+        total += 5
+    assert hits >= 0.93 * total, hits / total
+    model, radius, split = op.fit(op.usable(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")), len(ids), 5)
+    code = op.encode(x, model)
+    assert op.Index(code, split).probe(code[::500], radius).mean() < 0.2
+
+
+def test_extreme_magnitudes(spark):
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(40, 8))
+    rows = [(k, (v * (1e200 if k % 3 == 0 else 1e-200 if k % 3 == 1 else 1.0)).tolist()) for k, v in enumerate(base)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in op.nearest(df, "vec_id % 50 = 0", 5).collect()}
+    s = base @ base[0] / np.sqrt((base * base).sum(axis=1) * (base[0] @ base[0]))
+    want = [int(k) for k in np.argsort(-s) if k][:5]
+    assert [got[0, r][0] for r in range(1, 6)] == want and abs(got[0, 1][1] - s[want[0]]) < 1e-12
 
 
 def test_every_length_is_searched(spark):

@@ -33,7 +33,63 @@ def test_against_brute_force(spark):
     assert np.allclose(matrix[:, :-1], log, atol=1e-4)
     text = data.rows()[5][1]
     total = sum(log[:, b].sum(axis=1) for b in op.buckets(text)) + matrix[:, -1]
-    assert np.allclose(op.posterior(text, matrix), np.exp(total - total.max()) / np.exp(total - total.max()).sum(), atol=1e-3)
+    turned = np.ascontiguousarray(matrix.T)
+    assert np.allclose(op.posteriors([text], turned)[0], np.exp(total - total.max()) / np.exp(total - total.max()).sum(), atol=1e-3)
+
+
+def test_batches_score_each_text_alone(monkeypatch):
+    rng = np.random.default_rng(5)
+    matrix = rng.normal(size=((1 << op.BUCKET_BITS) + 1, 3)).astype(np.float32)
+    texts = [r[1] for r in data.rows()]
+    whole = op.posteriors(texts, matrix)
+    assert all(np.allclose(op.posteriors([t], matrix)[0], p, atol=1e-9) for t, p in zip(texts, whole, strict=True))
+    monkeypatch.setattr(op, "GATHERED", 500)
+    monkeypatch.setattr(op, "SLICE", 64)
+    assert op.posteriors(texts, matrix).shape == whole.shape
+    assert {k for k, p in enumerate(whole) if not p.any()} == {k for k, t in enumerate(texts) if not any(map(str.isalpha, t or ""))}
+
+
+def by_hand(text):
+    """Character 2- and 3-grams over letters in lower case, all else one boundary, counted by plain strings."""
+    flat = " " + " ".join("".join(c.lower() if c.isalpha() else " " for c in text or "").split()) + " "
+    return [flat[k : k + n] for n in (2, 3) for k in range(len(flat) - n + 1) if " " not in flat[k + 1 : k + n - 1]] if flat.strip() else []
+
+
+def test_against_naive_bayes_by_hand(spark):
+    """The whole query's predictions against a classifier that counts n-grams as strings, without hashing."""
+    import math
+    import zlib
+    from collections import Counter, defaultdict
+
+    rows = [r for r in data.rows(n=200) if r[0] is not None]
+    seen, docs_of = defaultdict(Counter), Counter()
+    for r in rows:
+        if r[2] and zlib.crc32(str(r[0]).encode()) % 3 != 1:
+            docs_of[r[2]] += 1
+            seen[r[2]].update(by_hand(r[1]))
+    size = 1 << op.BUCKET_BITS
+    model = op.train(op.learnable(data.documents(spark, rows)))
+    got = op.predict(data.documents(spark, rows), model, "text").collect()
+    for r in got:
+        grams = Counter(by_hand(r.text))
+        if not grams:
+            assert r.lang_pred == op.UNKNOWN and r.score == 0
+            continue
+        score = {}
+        for lang, counts in seen.items():
+            total = math.log(sum(counts.values()) + op.SMOOTHING * size)
+            score[lang] = math.log(docs_of[lang]) + sum(n * (math.log(counts[g] + op.SMOOTHING) - total) for g, n in grams.items())
+        best = max(score, key=score.get)
+        if sorted(score.values())[-1] - sorted(score.values())[-2] > 1:  # hashing may move a close call
+            assert r.lang_pred == best
+
+
+def test_ties_go_to_the_first_language(spark):
+    rows = [(k, "same words here", "bb" if k % 2 else "aa", "s", 0, 5, 0.5, 9, 3) for k in range(40)]
+    docs = data.documents(spark, rows)
+    names, matrix = op.train(docs.select("doc_id", "text", "lang"))
+    got = op.predict(docs, (names, matrix), "doc_id").collect()
+    assert names == ["aa", "bb"] and {r.lang_pred for r in got} == {"aa"} and all(abs(r.score - 0.5) < 1e-6 for r in got)
 
 
 def test_empty_and_long(spark, monkeypatch):

@@ -12,7 +12,7 @@ code-point order; extra columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +27,8 @@ SAMPLE_DOCS = 3_000
 UNKNOWN = "und"
 #: Characters that are scored at a time.
 SLICE = 1 << 20
+#: Numbers of the matrix that are gathered at a time.
+GATHERED = 1 << 20
 _TABLE: list[np.ndarray] = []
 
 
@@ -123,17 +125,36 @@ def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     return names, matrix
 
 
-def posterior(text: str | None, matrix: np.ndarray) -> np.ndarray | None:
-    """Probability of each language, or None without letters or languages."""
-    total = None
-    for b in buckets(text):
-        piece = np.array([row.take(b).sum(dtype=np.float64) for row in matrix])
-        total = piece if total is None else total + piece
-    if total is None or not len(matrix):
-        return None
-    total += matrix[:, -1]
-    p = np.exp(total - total.max())
-    return p / p.sum()
+def posteriors(texts: Iterable[str | None], matrix: np.ndarray) -> np.ndarray:
+    """A row of probabilities of each language for every text; a row of zeros without letters or languages.
+
+    matrix: a row per bucket and last the log priors, a column per language. N-grams of many texts are scored at once:
+    their rows of the matrix are gathered and summed by text.
+    """
+    texts = list(texts)
+    total, seen = np.zeros((len(texts), matrix.shape[1])), np.zeros(len(texts), bool)
+    at, pieces, size = [], [], 0
+    if not matrix.shape[1]:
+        return total
+
+    def add() -> None:
+        if pieces:
+            starts = np.cumsum([0, *map(len, pieces[:-1])])
+            np.add.at(total, at, np.add.reduceat(matrix[np.concatenate(pieces)], starts, axis=0, dtype=np.float64))
+
+    for k, text in enumerate(texts):
+        for b in buckets(text):
+            seen[k] = True
+            at.append(k)
+            pieces.append(b)
+            size += len(b)
+            if size * matrix.shape[1] >= GATHERED:
+                add()
+                at, pieces, size = [], [], 0
+    add()
+    total += matrix[-1]
+    p = np.exp(total - total.max(axis=1, keepdims=True))
+    return np.where(seen[:, None], p / p.sum(axis=1, keepdims=True), 0.0)
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], *keep: str) -> DataFrame:
@@ -141,17 +162,15 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], *keep: str) ->
     spark = docs.sparkSession
     ship(spark)
     names, matrix = model
-    shared = spark.sparkContext.broadcast(matrix)
+    shared = spark.sparkContext.broadcast(np.ascontiguousarray(matrix.T))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang, p = [], []
-            for text in batch.column(0):
-                found = posterior(text.as_py(), shared.value)
-                best = -1 if found is None else int(found.argmax())
-                lang.append(UNKNOWN if best < 0 else names[best])
-                p.append(0.0 if best < 0 else float(found[best]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(lang, pa.string()), pa.array(p, pa.float64())], names=[*keep, "lang_pred", "score"])
+            p = posteriors((t.as_py() for t in batch.column(0)), shared.value)
+            best = p.argmax(axis=1) if names else np.zeros(len(p), np.int64)
+            most = p.max(axis=1) if names else np.zeros(len(p))
+            lang = [names[k] if x > 0 else UNKNOWN for k, x in zip(best.tolist(), most.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(lang, pa.string()), pa.array(most)], names=[*keep, "lang_pred", "score"])
 
     kept = docs.select(F.col("text").cast("string").alias("__text"), *[F.col(f"`{k}`") for k in keep])
     schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[1:]]

@@ -42,7 +42,8 @@ def first_words(text, n) -> F.Column:
 
 def sized(docs: DataFrame) -> DataFrame:
     """uid, doc_id, source, size, key (60 bits that shuffle the documents), tie (of the text)."""
-    key = F.conv(F.substring(F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")), 1, 15), 16, 10).cast("long")
+    nameless = F.concat(F.lit("null:"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))  # so that rows without a doc_id do not share a key
+    key = F.conv(F.substring(F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), nameless)).cast("binary")), 1, 15), 16, 10).cast("long")
     return docs.select(
         F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
         word_count(F.col("text")).alias("size"), key.alias("key"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("tie"))
@@ -142,7 +143,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP3_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-         ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS key
+         ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, '')))), 1, 15))::BIGINT AS key
   FROM documents),
 s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 s1 AS (SELECT *, row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1 AS ord FROM s0),
