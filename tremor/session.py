@@ -8,6 +8,7 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
 _FOLDERS: set[str] = set()
@@ -85,5 +86,10 @@ def fixed(df: DataFrame) -> DataFrame:
     return df if node.nodeName() in ("LogicalRelation", "LocalRelation") or node.nodeName().startswith(("Relation", "DataSourceV2")) else stored(df, "rows")
 
 
+def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """A stored table, marked for broadcast if it has no more rows than these; a join with it does not then gather the rows of a frequent key."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
