@@ -72,3 +72,60 @@ def test_slices(monkeypatch):
     want = AUTOMATON.numbers(text).tolist()
     monkeypatch.setattr(op, "SLICE", 37)
     assert AUTOMATON.numbers(text).tolist() == want
+
+
+def brute_cover(words, template):
+    """Most template words that a chain of segments covers, by trying every chain of what any two places share."""
+    segs = []
+    for i in range(len(words)):
+        for a in range(len(template)):
+            n = 0
+            while i + n < len(words) and a + n < len(template) and words[i + n] == template[a + n]:
+                n += 1
+            if n >= op.SEGMENT and not (i and a and words[i - 1] == template[a - 1]):
+                segs.append((i, a, n))
+    best = 0
+
+    def go(last, covered):
+        nonlocal best
+        best = max(best, covered)
+        for d, a, n in segs:
+            if last is None:
+                go((d, a, n), n)
+                continue
+            e, b, m = last
+            over = max(0, b + m - a, e + m - d)
+            if e < d and b < a and over < n and d - (e + m) <= op.JUMP:
+                go((d, a, n), covered + n - over)
+
+    go(None, 0)
+    return best
+
+
+def test_spans_against_every_chain():
+    """Texts whose words are one template's alone, so that its segments are those of any two places."""
+    rng = random.Random(12)
+    template = [f"t{k}" for k in range(30)]
+    a = op.Automaton((("one", " ".join(template)),), ())
+    for _ in range(120):
+        text = []
+        for _ in range(rng.randint(1, 5)):
+            at = rng.randrange(27)
+            text += template[at : at + rng.randint(2, 12)] + ["gap"] * rng.choice((0, 1, 3, 70))
+        _, segments = a.stream(a.numbers(" ".join(text).encode()))
+        got = a.spans(segments)
+        want = brute_cover(text, template)
+        assert (got[0][3] if got else 0) == want
+        if got:
+            label, first, last, covered, share = got[0]
+            assert label == "one" and 0 <= first <= last < len(text) and covered <= last - first + 1 and share == covered / len(template)
+
+
+def test_very_long_text(spark):
+    """A text of millions of characters whose licence stands at its end, and one that repeats a licence many times."""
+    mit = op.TEMPLATES[0][1]
+    texts = ["word and more of it " * 150_000 + mit + " MIT License", (mit + " zzz ") * 400]
+    rows = [(k, t, None, None, None, 1, 0.0, 1, 1) for k, t in enumerate(texts)]
+    got = {r.doc_id: r for r in op.scan(data.documents(spark, rows)).collect()}
+    assert got[0].n_words == 750_000 + len(brute_words(mit)) + 2 and "mit" in got[0].labels and got[0].first_word == got[0].n_words - 2
+    assert max(s.share for s in got[1].spans if s.label == "mit") > 0.95 and got[1].score <= 1

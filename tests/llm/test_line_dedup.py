@@ -123,29 +123,33 @@ def test_rows_of_a_hot_bucket_grow_with_it(spark, monkeypatch):
     assert seen[1] < 1.2 * seen[0] and seen[1] < 40
 
 
-def test_runs_over_batches():
-    """Runs that cross batches come out whole, whatever the batch length."""
+def test_packed_pairs_come_out_as_buckets(monkeypatch):
+    """Whatever the batches and parts, buckets of two members at least come out whole, and hot ones row by row."""
     rng = random.Random(4)
-    pairs = sorted((rng.choice((1, 1, 1, rng.randint(2, 400))), k) for k in range(900)) + [(1000, k) for k in range(5)]
-    want = defaultdict(list)
-    for bucket, node in pairs[:-5]:
-        want[bucket].append(node)
-    for size in (1, 2, 7, 64, 65, 900):
-        table = pa.table({"bucket": [p[0] for p in pairs], "node": [p[1] for p in pairs], "hot": [p[0] == 1000 for p in pairs]})
-        lists, long, hot = [], defaultdict(list), 0
-        for batch in op._runs(iter(table.to_batches(size))):
+    rows = [(k, [rng.choice((1, 1, 1, -7, rng.randint(2, 400))), 1000 if k % 3 == 0 else 2000 + k]) for k in range(900)]
+    want = defaultdict(set)
+    for node, keys in rows:
+        for bucket in keys:
+            want[bucket].add(node)
+    for size, parts, pairs in ((1, 3, 64), (7, 1, 1 << 20), (900, 11, 512)):
+        monkeypatch.setattr(op, "PAIRS", pairs)
+        table = pa.table({"node": [r[0] for r in rows], "keys": pa.array([r[1] for r in rows], pa.list_(pa.int64()))})
+        packed = pa.Table.from_batches(op._dealt(parts, np.array([1000]))(iter(table.to_batches(size)))).sort_by("part")
+        lists, long, hot = [], defaultdict(list), set()
+        for batch in op._runs(iter(packed.to_batches(size))):
             for r in batch.to_pylist():
-                if r["bucket"] == 1000:
-                    assert r["members"] is None and r["at"] == -1
-                    hot += 1
-                elif r["members"] is None:
+                if r["members"] is not None:
+                    lists.append(tuple(r["members"]))
+                elif r["bucket"] == 1000:
+                    assert r["at"] == -1
+                    hot.add(r["node"])
+                else:
                     assert r["at"] == len(long[r["bucket"]])
                     long[r["bucket"]].append(r["node"])
-                else:
-                    lists.append(r["members"])
-        assert hot == 5
-        assert sorted(lists) == sorted(x for x in want.values() if 1 < len(x) <= op.FEW)
-        assert long == {k: x for k, x in want.items() if len(x) > op.FEW}
+        assert hot == want[1000]
+        rest = {k: sorted(x) for k, x in want.items() if k != 1000 and len(x) > 1}
+        assert sorted(lists) == sorted(tuple(x) for x in rest.values() if len(x) <= op.FEW)
+        assert long == {k: x for k, x in rest.items() if len(x) > op.FEW}
 
 
 def test_band_keys_of_a_batch_are_those_of_each_line(monkeypatch):
@@ -159,3 +163,15 @@ def test_band_keys_of_a_batch_are_those_of_each_line(monkeypatch):
     assert (op.band_keys([long, "ab"]) == whole).all() and (op.band_keys(lines) == every).all()
     assert len(op.shingle_set("abcdefghij")) == 3 and len(op.shingle_set("ab")) == 1
     assert np.unique(op.band_keys(["same line"] * 3), axis=0).shape[0] == 1
+
+
+def test_long_lines_and_many_dropped_ones(spark):
+    rng = random.Random(21)
+    long = "".join(rng.choice("abcdefgh ijklé") for _ in range(300_000)).strip()
+    near = long[:150_000] + "XYZ" + long[150_000:]
+    many = [f"a line of its own number {k} {rng.random()}" for k in range(3000)]
+    rows = [(1, long + "\n" + "\n".join(many)), (2, near), (3, "\n".join(many + many[:10]) + "\nlast of all these"), (4, "x" * 9)]
+    docs = data.documents(spark, [(*r, None, None, None, 1, 0.0, 1, 1) for r in rows])
+    got = {r.doc_id: r for r in op.dedup_lines(docs).collect()}
+    assert got[1].n_kept <= 3001 and 0 not in got[1].dropped and list(got[2].dropped) == [0] and got[2].text == ""
+    assert got[3].n_kept == 1 and got[3].text == "last of all these" and got[4].n_kept == 1

@@ -23,13 +23,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremor.llm import graph
-from tremor.session import fixed, ship, stored, table
+from tremor.session import fixed, ship, shuffle_partitions, small, stored, table
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 8, 0.8, 16, 5
 #: Lines of a bucket that are compared in one go, of one whose list of members is compared with other lists, and characters whose minima are taken at a time.
 BUCKET, FEW, SLICE = 1024, 64, 1 << 16
 #: One node in so many is looked at for hot buckets, and rows among those that make a bucket hot.
 LOOK, OFTEN = 64, 32
+#: Hot buckets that are told to every task (8 bytes each), and pairs of bucket and node (16 bytes each) in a part.
+HOT, PAIRS = 1 << 18, 1 << 21
 #: Bytes of shingle sets, and lines and pairs, that a task remembers.
 SETS, KNOWN = 48 << 20, 200_000
 #: Documents that are split into lines at a time.
@@ -166,50 +168,81 @@ def _further(shingle_set):
     return run
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (bucket, node, hot) to buckets of two members at least: a row with the list of FEW members or less, or rows (node, its place) of more.
+def _dealt(parts: int, hot: np.ndarray):
+    """(node, keys) to packed pairs of buckets and nodes for each part of the buckets; pairs of hot buckets (sorted) go to a part by node."""
 
-    Only the members of an open bucket are held, and no more than FEW of them. Rows of hot buckets pass, with place -1.
-    """
-    types = [pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
-    held, now, at = np.zeros(0, np.int64), None, 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def packed() -> pa.RecordBatch:
+            buckets, nodes = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+            is_hot = np.isin(buckets, hot) if len(hot) else np.zeros(len(buckets), bool)
+            part = (np.where(is_hot, nodes, buckets).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(parts)
+            part = part.astype(np.int64) * 2 + is_hot
+            order = np.argsort(part, kind="stable")
+            buckets, nodes, part = buckets[order], nodes[order], part[order]
+            edges = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
+            spans = list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
+            of = lambda x: pa.array([x[i:j].tobytes() for i, j in spans], pa.binary())
+            first = part[edges[:-1]]
+            return pa.RecordBatch.from_arrays([pa.array((first // 2).astype(np.int32)), pa.array(first % 2 == 1), of(buckets), of(nodes)], names=["part", "hot", "buckets", "nodes"])
+
+        for batch in batches:
+            keys = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+            nodes = batch.column(0).to_numpy(zero_copy_only=False)
+            held.append((keys, np.repeat(nodes, len(keys) // max(1, len(nodes)))))
+            size += len(keys)
+            if size >= PAIRS // 2:
+                yield packed()
+                held, size = [], 0
+        if size:
+            yield packed()
+
+    return run
+
+
+_GROUPED = "bucket long, members array<long>, node long, at long"
+
+
+def _grouped(buckets: np.ndarray, nodes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """All pairs of a part to its buckets of two members at least: a row with the sorted list of FEW members or less, or rows (node, its place) of more."""
+    order = np.argsort(buckets, kind="stable")
+    buckets = buckets[order]
+    same = buckets[1:] == buckets[:-1]
+    inside = np.concatenate((same, [False])) | np.concatenate(([False], same))
+    buckets, nodes = buckets[inside], nodes[order[inside]]
+    order = np.lexsort((nodes, buckets))
+    buckets, nodes = buckets[order], nodes[order]
+    edges = np.flatnonzero(np.concatenate(([True], buckets[1:] != buckets[:-1], [True]))) if len(buckets) else np.zeros(1, np.int64)
+    sizes = np.diff(edges)
+    few = np.repeat(sizes <= FEW, sizes)
+    lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(sizes[sizes <= FEW]))).astype(np.int32), nodes[few])
+    none = pa.nulls(len(lists), pa.int64())
+    yield pa.RecordBatch.from_arrays([none, lists, none, none], names=["bucket", "members", "node", "at"])
+    at = np.arange(len(nodes)) - np.repeat(edges[:-1], sizes)
+    yield pa.RecordBatch.from_arrays([pa.array(buckets[~few]), pa.nulls(int((~few).sum()), pa.list_(pa.int64())), pa.array(nodes[~few]), pa.array(at[~few])], names=["bucket", "members", "node", "at"])
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed pairs, sorted by part, to buckets: those of one part at a time. Rows of hot buckets pass, with place -1."""
+    open_, held = None, []
 
-    def rows(bucket, lists, nodes, first):
-        n, m = len(lists), len(nodes)
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(([bucket] * (n + m), lists + [None] * m, [None] * n + nodes, [None] * n + list(range(first, first + m))), types, strict=True)], names=["bucket", "members", "node", "at"])
+    def grouped() -> Iterator[pa.RecordBatch]:
+        if held:
+            yield from _grouped(*(np.concatenate([np.frombuffer(h[k], np.int64) for h in held]) for k in (0, 1)))
 
     for batch in batches:
-        buckets, nodes, hot = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-        if hot.any():
-            yield pa.RecordBatch.from_arrays([pa.array(buckets[hot]), pa.nulls(int(hot.sum()), types[1]), pa.array(nodes[hot]), pa.array(np.full(int(hot.sum()), -1))], names=["bucket", "members", "node", "at"])
-            buckets, nodes = buckets[~hot], nodes[~hot]
-        if not len(buckets):
-            continue
-        edges = np.concatenate(([0], np.flatnonzero(buckets[1:] != buckets[:-1]) + 1, [len(buckets)]))
-        small, offsets = [], [0]
-        for k in np.flatnonzero((np.diff(edges) > 1) | (np.arange(len(edges) - 1) == 0) | (np.arange(len(edges) - 1) == len(edges) - 2)).tolist():
-            bucket, new, last = int(buckets[edges[k]]), nodes[edges[k] : edges[k + 1]], k == len(edges) - 2
-            if bucket != now:  # the open bucket is complete
-                if 1 < len(held) and not at:
-                    small.append(held)
-                    offsets.append(offsets[-1] + len(held))
-                held, now, at = np.zeros(0, np.int64), bucket, 0
-            if not at:
-                held = np.concatenate((held, new))
-            if at or len(held) > FEW:
-                yield rows(bucket, [], (new if at else held).tolist(), at)
-                at += len(new) if at else len(held)
-                held = held[:0]
-            elif not last and len(held) > 1:
-                small.append(held)
-                offsets.append(offsets[-1] + len(held))
-                held = held[:0]
-        if small:
-            lists = pa.ListArray.from_arrays(np.array(offsets, np.int32), np.concatenate(small))
-            none = pa.nulls(len(small), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, lists, none, none], names=["bucket", "members", "node", "at"])
-    if 1 < len(held) and not at:
-        yield rows(now, [held.tolist()], [], 0)
+        for part, hot, buckets, nodes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if hot:
+                b, n = np.frombuffer(buckets, np.int64), np.frombuffer(nodes, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(b), pa.nulls(len(b), pa.list_(pa.int64())), pa.array(n), pa.array(np.full(len(b), -1))], names=["bucket", "members", "node", "at"])
+                continue
+            if part != open_:
+                yield from grouped()
+                open_, held = part, []
+            held.append((buckets, nodes))
+    yield from grouped()
 
 
 class _Links:
@@ -302,23 +335,24 @@ def looked_at() -> F.Column:
     return F.pmod(F.xxhash64(F.lit("hot"), "node"), F.lit(LOOK)) == 0
 
 
-def _divided(keys: DataFrame, some: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(buckets, hot) of (node, keys); some are the keys of the nodes that looked_at() takes.
+def _divided(keys: DataFrame, some: DataFrame, nodes: int) -> tuple[DataFrame, DataFrame]:
+    """(buckets, hot) of (node, keys) of so many nodes; some are the keys of the nodes that looked_at() takes.
 
-    hot (bucket, node) are the members of buckets beyond BUCKET. Those that show among some are dealt to many tasks.
+    hot (bucket, node) are the members of buckets beyond BUCKET. The largest HOT of those that show among some are dealt
+    to many tasks; any other is sorted in the task of its part. Pairs travel packed, in parts of about PAIRS.
     """
-    hot = some.select(F.explode("keys").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    hot = stored(hot.filter(F.col("n") >= OFTEN).select("bucket", F.lit(True).alias("hot")), "hot")
-    every, deal = keys.select(F.explode("keys").alias("bucket"), "node"), ["bucket"]
+    spark = keys.sparkSession
+    often = some.select(F.explode("keys").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= OFTEN)
+    hot = np.sort(np.asarray(often.orderBy(F.desc("n"), "bucket").limit(HOT).select("bucket").toArrow()["bucket"]).astype(np.int64))
+    parts = max(shuffle_partitions(spark), -(-nodes * BANDS // PAIRS))
+    packed = keys.select("node", "keys").mapInArrow(_dealt(parts, hot), "part int, hot boolean, buckets binary, nodes binary")
+    runs = packed.repartition(parts, "part").sortWithinPartitions("part").select("part", "hot", "buckets", "nodes")
+    buckets = stored(runs.mapInArrow(_runs, _GROUPED), "buckets")
+    hot = stored(buckets.filter((F.col("at") == BUCKET) | (F.col("at") == -1)).select("bucket").distinct(), "hot")
     if hot.isEmpty():
-        every = every.withColumn("hot", F.lit(False))
-    else:
-        every = every.join(hot, "bucket", "left").withColumn("hot", F.coalesce("hot", F.lit(False))).withColumn("deal", F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.lit(1024))).otherwise(0))
-        deal = ["bucket", "deal"]
-    runs = every.repartition(*deal).sortWithinPartitions("bucket", "node").select("bucket", "node", "hot")
-    buckets = stored(runs.mapInArrow(_runs, "bucket long, members array<long>, node long, at long"), "buckets")
-    hot = buckets.filter((F.col("at") == BUCKET) | (F.col("at") == -1)).select("bucket").distinct()
-    return buckets.join(hot, "bucket", "left_anti"), buckets.filter("members IS NULL").join(hot, "bucket", "left_semi").select("bucket", "node")
+        return buckets, buckets.select("bucket", "node").limit(0)
+    beyond = small(hot)
+    return buckets.join(beyond, "bucket", "left_anti"), buckets.filter("members IS NULL").join(beyond, "bucket", "left_semi").select("bucket", "node")
 
 
 def _tasks(buckets: DataFrame) -> DataFrame:
@@ -346,19 +380,20 @@ def linked(keys: DataFrame, some: DataFrame, lines: DataFrame, similarity: float
         joined = tasks.join(lines, "node").select("bucket", "i", "j", "base", "node", "line", "deal")
         return joined.repartition("bucket", "deal").sortWithinPartitions("bucket", "i", "j", "node").drop("deal").mapInArrow(_verify(similarity, shingle_set, known), "a long, b long")
 
-    buckets, hot = _divided(keys, some)
+    nodes = lines.count()
+    buckets, hot = _divided(keys, some, nodes)
     found = compared(_tasks(buckets))
     hot = stored(hot, "hot-members")
     if hot.isEmpty():
         return found
     again = stored(hot.join(lines, "node").select("bucket", "node", "line").mapInArrow(_further(shingle_set), "node long, keys array<long>"), "further")
-    buckets, hot = _divided(again, again.filter(looked_at()))
+    buckets, hot = _divided(again, again.filter(looked_at()), nodes)
     found = found.unionByName(compared(_tasks(buckets)))
     hot = stored(hot, "hot-again")
     if hot.isEmpty():
         return found
-    blocks = hot.groupBy("bucket").agg(F.min("node").alias("head"), F.ceil(F.count(F.lit(1)) / BUCKET).cast("int").alias("blocks"))
-    hot = stored(hot.join(blocks, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "hot-blocks")
+    blocks = stored(hot.groupBy("bucket").agg(F.min("node").alias("head"), F.ceil(F.count(F.lit(1)) / BUCKET).cast("int").alias("blocks")), "hot-buckets")
+    hot = stored(hot.join(small(blocks), "bucket").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "hot-blocks")
     heads = hot.filter("node = head").select("bucket", "node", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.lit(True).alias("base"))
     star = heads.unionByName(hot.filter("node <> head").select("bucket", "node", F.col("own").alias("i"), F.lit(False).alias("base")))
     star = stored(compared(star.select("bucket", "node", "i", F.lit(-1).alias("j"), "base", F.col("i").cast("long").alias("deal")), known=True), "star")
@@ -366,7 +401,7 @@ def linked(keys: DataFrame, some: DataFrame, lines: DataFrame, similarity: float
     apart = stored(apart, "apart")
     if apart.isEmpty():
         return found.unionByName(star)
-    own = apart.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BUCKET).cast("int").alias("rows"))
+    own = small(stored(apart.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BUCKET).cast("int").alias("rows")), "apart-buckets"))
     base = apart.join(own, "bucket").select("bucket", "node", F.pmod(F.xxhash64("node"), F.col("rows")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(True).alias("base"))
     query = hot.join(own, "bucket").select("bucket", "node", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), F.col("own").alias("j"), F.lit(False).alias("base"))
     both = base.withColumn("j", -2 - F.col("j")).unionByName(query.withColumn("j", -2 - F.col("j")))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremor.llm import graph
-from tremor.session import ship, stored, table
+from tremor.session import ship, small, stored, table
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
 #: Fingerprints of a shard on average, of one block of a dense shard, and of a ball that is compared without splitting it.
@@ -181,6 +181,7 @@ def _dense(dealt: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     dense = stored(dense.select("shard", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), name)
     if dense.isEmpty():
         return dealt, dealt.withColumn("blocks", F.lit(1)).limit(0)
+    dense = small(dense)
     return dealt.join(dense, "shard", "left_anti"), dealt.join(dense, "shard")
 
 
