@@ -173,10 +173,12 @@ def test_report(spark):
     shown = report.render(ranked, unresolved, changed, top=2)
     assert "75/100" in shown and "dynamic-ref 1" in shown and "1 more in b" in shown
     assert "| # |" in report.render(ranked, unresolved, changed, markdown=True)
+    full = report.render(ranked, unresolved, changed, top=None, endpoints=frame(spark, "url string, handler string", ("a/", "v")), hidden_count=1)
+    assert "  a/ -> v" in full and "1 row(s) of low confidence are hidden" in full and "uses deleted symbol k" in full
     doc = json.loads(report.sarif(ranked))
     assert report.sarif_problems(doc) == [] and [x["level"] for x in doc["runs"][0]["results"]] == ["error", "error", "error", "note"]
     assert report.sarif_problems({"version": "1"}) == ["version is not 2.1.0", "runs is empty"]
-    p = json.loads(report.payload(ranked, unresolved, frame(spark, "url string, handler string", ("/a/", "v")), 1, 1, top=3).first().json)
+    p = json.loads(report.payload(ranked, unresolved, frame(spark, "url string, handler string", ("/a/", "v")), 1, 1, top=3))
     assert (p["shown_count"], p["hidden_counts"], p["unresolved_by_reason"], len(p["rows"])) == (3, {"z": 1}, {"dynamic-ref": 1}, 4)
     assert scoring.gate((0, 1, 2), "high") == 0 and scoring.gate((0, 1, 2), "medium") == 1 and scoring.gate((1, 0, 0), "low", advisory=True) == 0
 

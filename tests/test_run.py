@@ -70,6 +70,20 @@ def test_reachability(spark):
     assert got["app/orphan.py", "Book (import at 1)"] == ("Medium", "reachable")  # stands in no function
 
 
+def test_template_run(spark):
+    tree = {
+        "app/templates/base.html": "<p>old</p>", "app/templates/child.html": "{% extends 'base.html' %}{% include page.x %}", "app/templates/far.html": "{% extends 'child.html' %}",
+        "app/views.py": "from django.shortcuts import render\n\ndef orders(request):\n    return render(request, 'base.html')\n\ndef other(request):\n    return log('child.html')\n", "app/urls.py": URLS,
+    }
+    found = report_of(spark, tree, {"app/templates/base.html": "<p>new</p>{% include page.y %}"}, DJANGO | {"reverse": True, "show_all": True})
+    got = {(r.path, r.ref, r.tier, r.confidence, r.severity) for r in found.rows.collect() if r.tier}
+    assert {("app/templates/base.html", "changed", "frontend", "high", "High"), ("app/templates/child.html", "extends 'base.html'", "frontend", "high", "Medium"), ("app/templates/far.html", "extends (transitive)", "heuristic", "low", "Medium"),
+            ("app/views.py", "renders 'base.html' (line 4)", "backend", "medium", "Medium"), ("app/views.py", "renders 'child.html' (line 7)", "heuristic", "low", "Medium")} <= got
+    assert {p for p, _, tier, *_ in got if tier == "heuristic" and p == "app/urls.py"} == {"app/urls.py"}
+    assert {r.url for r in found.endpoints.collect()} == {"orders/", "api/v1/orders/"}
+    assert ("app/templates/base.html", "dynamic include; manual check required") in {(r.file, r.reason) for r in found.unresolved.collect()}
+
+
 def test_guard(spark):
     files = spark.createDataFrame([("a.py", bytearray(b"x = 1 \n"), True), ("k.txt", bytearray(b"-----BEGIN PRIVATE KEY-----\n"), True), ("b.json", bytearray(b"{"), True)], "path string, content binary, tracked boolean")
     done = guard.run(files, {"guard": {"blocking": "warn"}})

@@ -8,25 +8,33 @@ from pyspark.sql import functions as F
 from tremor.functions import paths, urls
 from tremor.operators import binding, closures, routes, scoring
 from tremor.session import stored
+from tremor.sources import extract
 
-ROW = ("seq", "path", "module", "category", "ref", "line", "entity", "deleted", "tier", "confidence", "chain", "ctx_qname")
+ROW = ("seq", "path", "module", "category", "ref", "line", "entity", "deleted", "tier", "confidence", "chain", "ctx_qname", "related")
 
 
-def python_rows(hits: DataFrame) -> DataFrame:
-    """Rows of the reference join."""
+def no_related() -> F.Column:
+    return F.lit(None).cast("array<string>").alias("related")
+
+
+def python_rows(hits: DataFrame, tier: str | None = None) -> DataFrame:
+    """Rows of the reference join; those of a heuristic tier are of low confidence."""
     own, bound = F.col("own"), F.col("bound")
     place = F.when(F.coalesce("ctx_qname", F.lit("")) != "", F.col("ctx_qname")).otherwise(paths.dir_of(F.col("path")))
     return hits.select(
         "seq", "path", place.alias("module"), F.lit("python").alias("category"), F.format_string("%s (%s at %d)", "name", "how", "line").alias("ref"), "line", F.col("name").alias("entity"), "deleted",
-        F.lit(None).cast("string").alias("tier"), scoring.confidence(bound, own).alias("confidence"), scoring.evidence(bound, own, F.col("modules"), F.col("own_module")).alias("chain"), "ctx_qname")
+        F.lit(tier).cast("string").alias("tier"), (F.lit("low") if tier == "heuristic" else scoring.confidence(bound, own)).alias("confidence"),
+        (F.lit(None).cast("array<string>") if tier == "heuristic" else scoring.evidence(bound, own, F.col("modules"), F.col("own_module"))).alias("chain"), "ctx_qname", no_related())
 
 
 def linked_rows(matched: DataFrame, category: str, ref: F.Column) -> DataFrame:
     """Rows of references (seq, file, line, handler, deleted) that a route links to a handler."""
     module = paths.dir_of(F.col("file"))
+    if "tier" not in matched.columns:
+        matched = matched.withColumn("tier", F.lit(None).cast("string"))
     return matched.select(
         "seq", F.col("file").alias("path"), module.alias("module"), F.lit(category).alias("category"), ref.alias("ref"), "line", urls.handler_leaf(F.col("handler")).alias("entity"), F.coalesce("deleted", F.lit(False)).alias("deleted"),
-        F.lit(None).cast("string").alias("tier"), F.lit("medium").alias("confidence"), F.array(module).alias("chain"), F.lit(None).cast("string").alias("ctx_qname"))
+        "tier", scoring.tier_confidence(F.col("tier")).alias("confidence"), F.when(F.coalesce("tier", F.lit("")) != "heuristic", F.array(module)).alias("chain"), F.lit(None).cast("string").alias("ctx_qname"), no_related())
 
 
 def symbol_rows(symbols: DataFrame, entities: DataFrame) -> DataFrame:
@@ -34,7 +42,7 @@ def symbol_rows(symbols: DataFrame, entities: DataFrame) -> DataFrame:
     hit = symbols.join(entities.select("name", "deleted"), "name")
     return hit.select(
         F.xxhash64("file", "name").alias("seq"), F.col("file").alias("path"), paths.dir_of(F.col("file")).alias("module"), F.lit("frontend-symbol").alias("category"), F.concat("name", F.lit(" (imported symbol)")).alias("ref"), "line",
-        F.col("name").alias("entity"), "deleted", F.lit(None).cast("string").alias("tier"), F.lit("medium").alias("confidence"), F.lit(None).cast("array<string>").alias("chain"), F.lit(None).cast("string").alias("ctx_qname"))
+        F.col("name").alias("entity"), "deleted", F.lit(None).cast("string").alias("tier"), F.lit("medium").alias("confidence"), F.lit(None).cast("array<string>").alias("chain"), F.lit(None).cast("string").alias("ctx_qname"), no_related())
 
 
 def append(*producers: DataFrame) -> DataFrame:
@@ -83,6 +91,53 @@ def template_chain(changed_templates: DataFrame, graph: DataFrame, usages: DataF
     return direct.unionByName(far).unionByName(sites)
 
 
+def template_rows(changed: DataFrame, templates: DataFrame, usages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, views, unresolved) of changed templates (path) among templates (path, text).
+
+    Rows: a changed template and what extends it directly (frontend; one row with all of them if they are many), what
+    extends it through others (heuristic), functions that render it by a known call (backend) and other places that name
+    it or what extends it (heuristic). Views (name, kind, deleted, modules) are the functions that render it.
+    """
+    graph = stored(extract.template_graph(templates).withColumn("template", F.coalesce("template_name", "path")), "template-graph")
+    there = graph.groupBy("template").agg(F.min("path").alias("at"))
+    named = changed.select(paths.template_name_of(F.col("path")).alias("name")).filter("name IS NOT NULL").distinct()
+    edges = graph.select(F.explode("extends").alias("src"), F.col("template").alias("dst")).distinct()
+    direct = stored(edges.join(named.select(F.col("name").alias("src")), "src").join(there.withColumnRenamed("template", "dst"), "dst"), "direct")
+    few = named.join(direct.groupBy(F.col("src").alias("name")).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("at")).alias("children")), "name", "left")
+    few = few.join(there.withColumnRenamed("template", "name"), "name", "left").withColumn("at", F.coalesce("at", "name"))
+    none = F.lit(None).cast("string")
+
+    def rows(df: DataFrame, order: int, path: F.Column, ref: F.Column, entity: F.Column, tier: str, module: F.Column | None = None, category: str = "template", line: F.Column | None = None, related: F.Column | None = None) -> DataFrame:
+        module = paths.dir_of(path) if module is None else module
+        chain = {"frontend": F.array(path), "backend": F.array(module)}.get(tier, F.lit(None).cast("array<string>"))
+        return df.select(
+            F.xxhash64(F.lit(order), path, ref).alias("seq"), path.alias("path"), module.alias("module"), F.lit(category).alias("category"), ref.alias("ref"), (F.lit(0) if line is None else line).cast("int").alias("line"), entity.alias("entity"),
+            F.lit(False).alias("deleted"), F.lit(tier).alias("tier"), scoring.tier_confidence(F.lit(tier)).alias("confidence"), chain.alias("chain"), none.alias("ctx_qname"), no_related() if related is None else related.alias("related"))
+
+    many = F.coalesce("n", F.lit(0)) > scoring.INLINE_CHILDREN
+    entity = F.concat(F.lit("changed:"), "name")
+    out = rows(few.filter(~many), 0, F.col("at"), F.lit("changed"), entity, "frontend")
+    out = out.unionByName(rows(few.filter(many), 0, F.col("at"), F.format_string("changed - %d templates directly extend it", "n"), entity, "frontend", related=F.col("children")))
+    child = lambda c: F.concat(F.lit("extends:"), c)
+    shown = direct.join(few.filter(~many).select(F.col("name").alias("src")), "src", "left_semi")
+    out = out.unionByName(rows(shown, 1, F.col("at"), F.format_string("extends '%s'", "src"), child("dst"), "frontend"))
+    far = stored(closures.reach_from_each(edges, named.select(F.col("name").alias("node"))), "descendants")
+    cyclic = far.join(edges, (F.col("node") == F.col("src")) & (F.col("seed") == F.col("dst"))).select("seed").distinct()
+    below = far.filter("hop > 0").join(cyclic, "seed", "left_anti").select(F.col("node").alias("dst")).distinct()
+    transitive = below.join(direct.select("dst"), "dst", "left_anti").join(there.withColumnRenamed("template", "dst"), "dst")
+    out = out.unionByName(rows(transitive, 2, F.col("at"), F.lit("extends (transitive)"), child("dst"), "heuristic"))
+    sites = binding.render_sites(usages, named.select(F.col("name").alias("template")).union(below).distinct()).filter("ctx_leaf <> ''").withColumn("module", paths.module_of(F.col("path")))
+    sites = sites.join(named.select(F.col("name").alias("template"), F.lit(True).alias("is_changed")), "template", "left").withColumn("sure", F.col("certain") & F.coalesce("is_changed", F.lit(False)))
+    said = F.format_string("renders '%s' (line %d)", "template", "line")
+    sure = stored(sites.filter("sure"), "render-sites")
+    out = out.unionByName(rows(sure, 3, F.col("path"), said, F.col("ctx_leaf"), "backend", F.col("module"), "python", F.col("line")))
+    other = sites.filter("NOT sure").join(sure.select("path", "line"), ["path", "line"], "left_anti")
+    out = out.unionByName(rows(other, 4, F.col("path"), said, F.format_string("render:%s:%d", "path", "line"), "heuristic", F.col("module"), "python", F.col("line")))
+    views = sure.groupBy(F.col("ctx_leaf").alias("name")).agg(F.array_sort(F.collect_set("module")).alias("modules")).select("name", F.lit("function").alias("kind"), F.lit(False).alias("deleted"), "modules")
+    unresolved = graph.filter("dynamic_include").join(changed.select("path"), "path", "left_semi").select(F.col("path").alias("file"), none.alias("ref"), F.lit("dynamic include; manual check required").alias("reason"))
+    return out, views, unresolved
+
+
 def asset_chain(changed: DataFrame, graph: DataFrame, usages: DataFrame) -> DataFrame:
     """asset, template, view: changed assets to the templates that load them and the code that renders those."""
     loads = routes.match_assets(graph.select(F.col("template_name").alias("file"), F.explode("assets").alias("asset")), changed).select(F.col("path").alias("asset"), F.col("file").alias("template")).distinct()

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import io
 import json
 import re
+from collections.abc import Iterator
+from typing import TextIO
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tremor.functions import text
 from tremor.operators import scoring
 
+#: Endpoints that the text lists.
+LISTED = 50
 # --- fixed values: levels and columns of the formats ---
 LEVELS = {"High": "error", "Medium": "warning", "Low": "note"}
 COLUMNS = ("#", "Impacted File Path", "Module / Subsystem", "Category", "Detected Reference / Usage", "Severity", "Action Required", "Badge")
@@ -17,16 +23,32 @@ WIDTHS = (2, 38, 20, 8, 38, 8, 26, 8)
 FIELDS = ("number", "path", "module", "category", "ref", "severity", "action", "badge")
 
 
-def payload(rows: DataFrame, unresolved: DataFrame, endpoints: DataFrame, changed_count: int, hidden_count: int, top: int | None = scoring.TOP_ROWS) -> DataFrame:
-    """One row (json) with the whole report; lists are as long as the report."""
+PAYLOAD = ("rank", "path", "module", "category", "ref", "entity", "severity", "risk", "badge", "section", "key", "action")
+
+
+def write_payload(out: TextIO, rows: DataFrame, unresolved: DataFrame, endpoints: DataFrame, changed_count: int, hidden_count: int, top: int | None = scoring.TOP_ROWS) -> None:
+    """Writes the whole report as one JSON object. Rows pass by one partition at a time, so a report may be of any length; counts by module and reason are held."""
     shown, left = scoring.displayed(rows, top)
-    listed = rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "path", "module", "category", "ref", "entity", "severity", "risk", "badge", "section", "key", "action"))), lambda r: r).alias("rows"))
-    reasons = scoring.unresolved_counts(unresolved).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("reason", "n")))).alias("unresolved_by_reason"))
-    hidden = scoring.overflow(left).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("module", "hidden")))).alias("hidden_counts"))
-    counts = shown.agg(F.count(F.lit(1)).alias("shown_count"))
-    urls = endpoints.agg(F.array_sort(F.collect_set(F.struct("url", "handler"))).alias("endpoints"))
-    one = listed.crossJoin(reasons).crossJoin(hidden).crossJoin(counts).crossJoin(urls)  # one row each
-    return one.select(F.to_json(F.struct(F.lit(changed_count).alias("changed_count"), "rows", "endpoints", "unresolved_by_reason", F.lit(hidden_count).alias("hidden_count"), "shown_count", "hidden_counts")).alias("json"))
+    held = {
+        "changed_count": changed_count, "unresolved_by_reason": {r["reason"]: r["n"] for r in scoring.unresolved_counts(unresolved).orderBy("reason").collect()}, "hidden_count": hidden_count, "shown_count": shown.count(),
+        "hidden_counts": {r["module"]: r["hidden"] for r in scoring.overflow(left).orderBy("module").toLocalIterator()},
+    }
+    out.write(json.dumps(held)[:-1])
+    listed = rows.orderBy("rank").select(F.to_json(F.struct(*PAYLOAD)).alias("json"))
+    urls = endpoints.select("url", "handler").distinct().orderBy("url", "handler").select(F.to_json(F.struct("url", "handler")).alias("json"))
+    for name, table in (("endpoints", urls), ("rows", listed)):
+        out.write(f', "{name}": [')
+        for k, r in enumerate(table.toLocalIterator()):
+            out.write((", " if k else "") + r["json"])
+        out.write("]")
+    out.write("}")
+
+
+def payload(rows: DataFrame, unresolved: DataFrame, endpoints: DataFrame, changed_count: int, hidden_count: int, top: int | None = scoring.TOP_ROWS) -> str:
+    """The report as a JSON text, for reports that fit one; write_payload() writes any."""
+    out = io.StringIO()
+    write_payload(out, rows, unresolved, endpoints, changed_count, hidden_count, top)
+    return out.getvalue()
 
 
 def sarif_results(rows: DataFrame) -> DataFrame:
@@ -36,16 +58,22 @@ def sarif_results(rows: DataFrame) -> DataFrame:
     return rows.select("rank", F.concat(F.lit("impact/"), F.lower(F.when(F.col("severity").isin(*LEVELS), F.col("severity")).otherwise("Low"))).alias("rule"), level.alias("level"), F.col("ref").alias("text"), F.col("path").alias("uri"), line.alias("line"))
 
 
-def sarif(rows: DataFrame, tool: str = "tremor") -> str:
-    """A SARIF 2.1.0 document; rules in the order in which they are first seen."""
-    results, rules = [], []
-    for r in sarif_results(rows).orderBy("rank").toLocalIterator():
-        if r["rule"] not in rules:
-            rules.append(r["rule"])
+def write_sarif(out: TextIO, rows: DataFrame, tool: str = "tremor") -> None:
+    """Writes a SARIF 2.1.0 document; rules in the order in which they are first seen, results one partition at a time."""
+    results = sarif_results(rows)
+    rules = [r["rule"] for r in results.groupBy("rule").agg(F.min("rank").alias("first")).orderBy("first").collect()]
+    out.write('{"version": "2.1.0", "runs": [{"tool": {"driver": ' + json.dumps({"name": tool, "rules": [{"id": k} for k in rules]}) + '}, "results": [')
+    for k, r in enumerate(results.orderBy("rank").toLocalIterator()):
         place = {"physicalLocation": {"artifactLocation": {"uri": r["uri"]}, "region": {"startLine": r["line"]}}}
-        results.append({"ruleId": r["rule"], "level": r["level"], "message": {"text": r["text"]}, "locations": [place]})
-    run = {"tool": {"driver": {"name": tool, "rules": [{"id": k} for k in rules]}}, "results": results}
-    return json.dumps({"version": "2.1.0", "runs": [run]})
+        out.write((", " if k else "") + json.dumps({"ruleId": r["rule"], "level": r["level"], "message": {"text": r["text"]}, "locations": [place]}))
+    out.write("]}]}")
+
+
+def sarif(rows: DataFrame, tool: str = "tremor") -> str:
+    """A SARIF document as a text, for reports that fit one; write_sarif() writes any."""
+    out = io.StringIO()
+    write_sarif(out, rows, tool)
+    return out.getvalue()
 
 
 def sarif_problems(document: dict) -> list[str]:
@@ -110,17 +138,31 @@ def markdown_lines(rows: list[dict]) -> list[str]:
     return out
 
 
-def render(rows: DataFrame, unresolved: DataFrame, changed: DataFrame, top: int | None = scoring.TOP_ROWS, markdown: bool = False) -> str:
-    """The report as text. Only the shown rows, one row of sums and the counts by module and reason come to the driver."""
+def lines_of(rows: DataFrame, unresolved: DataFrame, changed: DataFrame, top: int | None = scoring.TOP_ROWS, markdown: bool = False, endpoints: DataFrame | None = None, hidden_count: int = 0) -> Iterator[str]:
+    """Lines of the report: sums, the paths most at risk, a table by section, what the tables leave out, endpoints, reasons and unresolved references.
+
+    Shown rows come to the driver one partition at a time, and a table is laid out a section at a time.
+    """
     shown, left = scoring.displayed(rows, top)
     s = scoring.summary(rows, changed).first()
-    out = [f"Risk {s['summary_risk']}/100: {s['high']} High, {s['medium']} Medium, {s['low']} Low in {s['impacted']} files outside the change-set"]
-    out += [f"  {k}. {r['path']} ({r['owner'] or 'unowned'})" for k, r in enumerate(scoring.top_paths(rows, changed).collect(), 1)]
-    listed = [r.asDict() for r in shown.orderBy("number").collect()]
+    yield f"Risk {s['summary_risk']}/100: {s['high']} High, {s['medium']} Medium, {s['low']} Low in {s['impacted']} files outside the change-set"
+    yield from (f"  {k}. {r['path']} ({r['owner'] or 'unowned'})" for k, r in enumerate(scoring.top_paths(rows, changed).collect(), 1))
     for section in scoring.SECTIONS:
-        part = [r for r in listed if r["section"] == section]
+        part = [r.asDict() for r in shown.filter(F.col("section") == section).orderBy("number").toLocalIterator()]
         if part:
-            out += ["", section, *(markdown_lines(part) if markdown else table_lines(part))]
-    out += [f"... {r['hidden']} more in {r['module']} ({r['high']} High)" for r in scoring.overflow(left).orderBy("module").collect()]
-    reasons = [f"{r['reason']} {r['n']}" for r in scoring.unresolved_counts(unresolved).orderBy("reason").collect()]
-    return "\n".join([*out, "Unresolved: " + (", ".join(reasons) or "none")])
+            yield from ("", section, *(markdown_lines(part) if markdown else table_lines(part)))
+            yield from (f"  #{r['number']}: {r['why_matters']}" for r in part if r.get("why_matters"))
+    yield from (f"... {r['hidden']} more in {r['module']} ({r['high']} High)" for r in scoring.overflow(left).orderBy("module").toLocalIterator())
+    if hidden_count:
+        yield f"{hidden_count} row(s) of low confidence are hidden"
+    if endpoints is not None:
+        listed = endpoints.orderBy("url").limit(LISTED + 1).collect()
+        if listed:
+            yield from ("", "Endpoints", *(f"  {r['url']} -> {r['handler']}" for r in listed[:LISTED]), *(["  ..."] if len(listed) > LISTED else []))
+    reasons = [f"{r['reason']} {r['n']}" for r in scoring.unresolved_counts(unresolved).collect()]
+    yield "Unresolved: " + (", ".join(sorted(reasons, key=lambda x: text.REASONS.index(x.split()[0]))) or "none")
+
+
+def render(rows: DataFrame, unresolved: DataFrame, changed: DataFrame, top: int | None = scoring.TOP_ROWS, markdown: bool = False, endpoints: DataFrame | None = None, hidden_count: int = 0) -> str:
+    """The report as text."""
+    return "\n".join(lines_of(rows, unresolved, changed, top, markdown, endpoints, hidden_count))

@@ -16,7 +16,7 @@ from tremor.sources import files as sources
 
 DEFAULTS = {
     "profile": "generic", "urls_globs": ["**/urls.py"], "template_globs": ["**/*.html"], "frontend_globs": ["**/*.ts", "**/*.js", "**/*.tsx", "**/*.jsx"], "ignore_paths": list(paths.DEFAULT_IGNORES),
-    "ignore_symbols": [], "show_all": False, "fast": False,
+    "ignore_symbols": [], "show_all": False, "fast": False, "reverse": False,
 }
 OWNER_FILES = ("CODEOWNERS", ".github/CODEOWNERS", "docs/CODEOWNERS")
 
@@ -80,7 +80,8 @@ def run(spark: SparkSession, old: DataFrame, new: DataFrame, config: dict | None
     """Impact of what differs between two snapshots (path, text) of a tree.
 
     config: see DEFAULTS. Python references always; routes of the profile (django, fastapi) link templates and scripts
-    to the handlers that callers of a change lead to, and entry points tell what is reachable. Fast runs look at changed
+    to the handlers that callers of a change lead to, and entry points tell what is reachable. With reverse, changed
+    templates lead to what extends and renders them, and the functions that do to their routes. Fast runs look at changed
     files and those that import a changed name, at Python alone. A snapshot's null texts count as empty.
     """
     cfg = DEFAULTS | (config or {})
@@ -94,26 +95,33 @@ def run(spark: SparkSession, old: DataFrame, new: DataFrame, config: dict | None
     if cfg["fast"]:
         usages = usages.join(binding.fast_subset(python, usages, entities, changed), "path", "left_semi")
     weak = tuple(cfg["ignore_symbols"])
-    producers = [impact.python_rows(binding.references(usages, entities, changed, weak))]
+    producers, seeds = [impact.python_rows(binding.references(usages, entities, changed, weak))], entities
     none = spark.createDataFrame([], "file string, ref string, reason string")
     unresolved, endpoints, reached = none, spark.createDataFrame([], "url string, handler string, name string, module string"), None
     if not cfg["fast"]:
         definitions = stored(extract.python_definitions(python), "definitions")
+        pseudo = None
+        if cfg["reverse"]:
+            rendered, views, unresolved = impact.template_rows(changed.filter(F.col("path").endswith(".html")), _matching(kept, cfg["template_globs"]), usages)
+            pseudo = stored(views.join(entities.select("name"), "name", "left_anti"), "views")
+            context = binding.references(usages, pseudo.select("name", "kind", "deleted", "modules"), changed, weak, need_base=True)
+            producers = [rendered, *producers, impact.python_rows(context, "heuristic")]
+            seeds = entities.select("name", "modules").unionByName(pseudo.select("name", "modules"))
         route_files = _matching(python, cfg["urls_globs"])
         found = {"django": extract.composed_routes, "fastapi": extract.fastapi_routes}.get(cfg["profile"])
         if found is not None:
             table = changes.numbered(found(route_files).withColumnRenamed("ord", "at"), "ord", "module", "at").drop("at")
             table = stored(table, "routes")
-            touched = stored(affected_routes(table, closures.callers(usages, entities.select("name", "modules"), weak=weak), usages, weak), "affected")
+            touched = stored(affected_routes(table, closures.callers(usages, seeds.select("name", "modules"), weak=weak), usages, weak), "affected")
             templates, frontend = _matching(kept, cfg["template_globs"]), _matching(kept, cfg["frontend_globs"])
             tags, no_tag = routes.match_template_refs(extract.url_tags(templates, touched.select("name").filter("name IS NOT NULL")), touched)
             calls, no_call = routes.match_urls(extract.frontend_refs(scope.with_needles(frontend, touched)), touched)
             gone = entities.select(F.col("name").alias("name_of_handler"), "deleted")
-            linked = lambda hits, ref, line: impact_columns(hits.drop("name_of_handler").withColumn("name_of_handler", routes.leaf("handler")).join(gone, "name_of_handler", "left"), ref, line)
+            linked = lambda hits, ref, line: impact_columns(_tiered(hits.drop("name_of_handler").withColumn("name_of_handler", routes.leaf("handler")).join(gone, "name_of_handler", "left"), pseudo, changed), ref, line)
             producers += [
                 impact.linked_rows(linked(tags, "name", F.lit(0)), "template", F.format_string("{%% url '%s' %%}", "name")),
                 impact.linked_rows(linked(calls, "ref", F.col("line")), "frontend", F.format_string('http.%s("%s") at %d', F.coalesce("method", F.lit("get")), "ref", "line"))]
-            unresolved = no_tag.select("file", "ref", "reason").union(no_call.select("file", "ref", "reason"))
+            unresolved = unresolved.union(no_tag.select("file", "ref", "reason")).union(no_call.select("file", "ref", "reason"))
             endpoints = scope.endpoints(touched)
             entries = stored(closures.entry_points(table, definitions, python), "entries")
             if not entries.isEmpty():
@@ -124,6 +132,14 @@ def run(spark: SparkSession, old: DataFrame, new: DataFrame, config: dict | None
     return Impact(rows, hidden, endpoints, unresolved, change_list, entities)
 
 
+def _tiered(hits: DataFrame, pseudo: DataFrame | None, changed: DataFrame) -> DataFrame:
+    """Matched references with their tier: context only, where the handler is affected by a template alone and the file did not change."""
+    if pseudo is None:
+        return hits.withColumn("tier", F.lit(None).cast("string"))
+    out = hits.join(pseudo.select(F.col("name").alias("name_of_handler"), F.lit(True).alias("__view")), "name_of_handler", "left").join(changed.select(F.col("path").alias("file"), F.lit(True).alias("__in")).distinct(), "file", "left")
+    return out.withColumn("tier", F.when(F.col("__view") & F.col("__in").isNull(), "heuristic")).drop("__view", "__in")
+
+
 def impact_columns(hits: DataFrame, ref: str, line: F.Column) -> DataFrame:
     """Matched references with the order of arrival and the line that rows need."""
     return hits.withColumn("line", line.cast("int")).withColumn("seq", F.xxhash64("file", ref, "line"))
