@@ -104,3 +104,17 @@ def test_texts_and_tracked(spark):
     f = spark.createDataFrame([("a.py", bytearray(b"\xef\xbb\xbfx\xff"), True), ("jquery-1.js", bytearray(b"y"), True), ("n.js", bytearray(b"z"), False)], "path string, content binary, tracked boolean")
     assert {r.path: r.text for r in files.texts(f, mark=True).collect()}["a.py"] == "x�"
     assert [r.path for r in files.tracked_by(f, ["*.js"], vendor=False).collect()] == [] and [r.path for r in files.tracked_by(f, ["*.js"]).collect()] == ["jquery-1.js"]
+
+
+def test_project_configuration(tmp_path):
+    at = str(tmp_path / "c.json")
+    assert files.project_config(at)["impact"]["profile"] == "generic"
+    assert files.save_config(at, {"ignore_paths": ["x/**"], "impact": {"profile": "django", "urls_globs": ["**/routes.py"], "reverse": False}, "guard": {"blocking": "strict", "checks": ["syntax/json-syntax"]}})
+    got = files.project_config(at)
+    assert got["impact"]["urls_globs"] == ["**/urls.py", "**/routes.py"] and got["impact"]["reverse"] is False and got["ignore_paths"][-1] == "x/**"
+    assert got["guard"] == {"blocking": "strict", "checks": ["syntax/json-syntax"]} and files.PROFILES["django"]["impact"]["urls_globs"] == ["**/urls.py"]
+    (tmp_path / "c.json").write_text('{"impact": {"profile": 7}, "guard": {"checks": "all"}}')
+    got = files.project_config(at)
+    assert got["impact"]["profile"] == "generic" and got["guard"]["checks"] == []
+    (tmp_path / "c.json").write_text("[1]")
+    assert files.project_config(at)["guard"]["blocking"] == "warn" and not files.save_config(str(tmp_path / "no" / "c.json"), {})

@@ -100,6 +100,48 @@ def merged(base: dict, over: dict) -> dict:
     return out
 
 
+# --- fixed values: what each kind of project looks at ---
+_SCRIPTS = ["**/src/**/*.ts", "**/app/**/*.js"]
+PROFILES = {
+    "django": {"impact": {"urls_globs": ["**/urls.py"], "template_globs": ["**/templates/**/*.html"], "frontend_globs": _SCRIPTS, "reverse": True}, "guard": {"checks": [{"id": "ruff"}, {"id": "ruff-format"}]}},
+    "fastapi": {"impact": {"urls_globs": ["**/*.py"], "template_globs": [], "frontend_globs": _SCRIPTS}, "guard": {"checks": [{"id": "ruff"}, {"id": "ruff-format"}]}},
+    "frontend": {"impact": {"urls_globs": [], "template_globs": ["**/*.html"], "frontend_globs": _SCRIPTS, "reverse": True}, "guard": {"checks": [{"id": "eslint"}, {"id": "prettier"}]}},
+    "python": {"impact": {"urls_globs": [], "template_globs": [], "frontend_globs": []}, "guard": {"checks": [{"id": "ruff"}, {"id": "ruff-format"}]}},
+    "generic": {"impact": {"urls_globs": [], "template_globs": [], "frontend_globs": []}},
+}
+BASE = {"ignore_paths": list(paths.DEFAULT_IGNORES), "guard": {"blocking": "warn", "checks": []}, "impact": {"reverse": False, "experimental": False, "ignore_symbols": []}}
+
+
+def project_config(path: str, defaults: dict = BASE) -> dict:
+    """Configuration of a project: the user's file over its profile over the defaults.
+
+    Lists append, but the user's list of checks stands alone. An unknown profile counts as generic; a file that can't be
+    read, or is no object, as none.
+    """
+    user = config(path, {})
+    impact = user.get("impact") if isinstance(user.get("impact"), dict) else {}
+    name = impact.get("profile") if impact.get("profile") in PROFILES else "generic"
+    out = merged(merged(defaults, PROFILES[name]), user)
+    guard = user.get("guard") if isinstance(user.get("guard"), dict) else {}
+    if "checks" in guard:
+        out["guard"] = dict(out["guard"]) | {"checks": guard["checks"] if isinstance(guard["checks"], list) else defaults["guard"]["checks"]}
+    out["impact"] = dict(out["impact"]) | {"profile": name}
+    return out
+
+
+def save_config(path: str, data: dict) -> bool:
+    """Writes a configuration beside its place, then renames it; whether that worked."""
+    beside = f"{path}.{os.getpid()}"
+    try:
+        with open(beside, "w", encoding="utf-8") as f:
+            json.dump(data, f, indent=2)
+            f.write("\n")
+        os.replace(beside, path)
+    except (OSError, TypeError, ValueError):
+        return False
+    return True
+
+
 def config(path: str, defaults: dict) -> dict:
     try:
         with open(path, encoding="utf-8") as f:
