@@ -6,9 +6,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm import data
-from tests.llm.test_simhash import brute_components, brute_fp
+from tests.llm.test_near_dedup import brute_kept
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 COLUMNS = corpus_pipeline.COLUMNS
@@ -50,12 +51,8 @@ def test_exact(spark, docs):
 
 def test_near(spark, docs):
     rows = docs.select(*COLUMNS).collect()
-    roots = brute_components([brute_fp(r.text) for r in rows])
-    best = {}
-    for r, root in zip(rows, roots, strict=True):
-        best[root] = min(best.get(root, (True, 1 << 62)), (r.doc_id is None, r.doc_id or 0))
     got = corpus_pipeline.near(spark, docs, "").collect()
-    assert Counter((r.doc_id is None, r.doc_id or 0) for r in got) == Counter(best.values())
+    assert Counter((r.doc_id is None, r.doc_id or 0) for r in got) == brute_kept([(r.doc_id, r.text) for r in rows])
 
 
 def test_mixture(spark, docs):
@@ -94,6 +91,30 @@ def test_run(spark, docs, tmp_path):
     assert full and sum(any(zlib.crc32(b) == r.ids_crc32 for b in whole[r.doc_id]) for r in full) >= len(full) - 4  # but for texts that the mix cuts
 
 
+def test_stages_number_rows_of_any_input_alike(spark, docs):
+    """An input that is no table of files gives other row numbers in another scan, so it is written first."""
+    shuffled = docs.repartition(5, "doc_id").withColumn("n_chars", F.coalesce("n_chars", F.lit(0)))
+    for stage in (corpus_pipeline.exact, corpus_pipeline.near):
+        want = Counter((r.doc_id is None, r.doc_id or 0) for r in stage(spark, docs, "").collect())
+        assert Counter((r.doc_id is None, r.doc_id or 0) for r in stage(spark, shuffled, "").collect()) == want
+
+
+def test_clashing_columns(spark, docs, tmp_path):
+    """Columns that the stages use themselves do no harm in the input of a run."""
+    wide = docs.withColumn("__uid", F.lit(1)).withColumn("keep_id", F.lit(2)).withColumn("lang_pred", F.lit("x")).withColumn("slots", F.lit(None).cast("array<long>"))
+    wide.write.parquet(str(tmp_path / "documents.parquet"))
+    narrow = tmp_path / "narrow"
+    docs.select(*COLUMNS).write.parquet(str(narrow / "documents.parquet"))
+
+    def tokens(at):
+        out = Counter()
+        for r in corpus_pipeline.run(spark, str(at)).collect():
+            out[r.doc_id] += r.length
+        return out
+
+    assert tokens(tmp_path) == tokens(narrow)
+
+
 def test_empty(spark, tmp_path):
     empty = stored_docs(spark, [], tmp_path / "documents.parquet")
     for _, stage in corpus_pipeline.STAGES:
