@@ -36,7 +36,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component of near copies (five-word shingles, Jaccard of at least 0.8) stays: the one with the smallest doc_id (null last), then the first."""
+    """One row of each component of near copies (SimHash of five-word shingles, then exact Jaccard of at least 0.8) stays: the one with the smallest doc_id (null last), then the first."""
     docs = fixed(docs)
     rows = docs.select(*COLUMNS, F.monotonically_increasing_id().alias("__uid"))
     found = stored(near_dedup.components_of(docs.select("doc_id", "text")), "near")

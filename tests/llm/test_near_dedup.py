@@ -1,6 +1,8 @@
 import random
 from collections import Counter
 
+import numpy as np
+
 import corpus_pipeline
 from tests.llm import data
 from tremor.llm import near_dedup as op
@@ -77,3 +79,67 @@ def test_long_texts_are_read_in_slices(monkeypatch):
     monkeypatch.setattr(op, "SLICE", 7)
     assert (op.shingle_set(text) == whole).all() and len(whole) == len(shingles(text.decode()))
     assert (op.band_keys(whole) == op.band_keys(op.shingle_set(text))).all()
+
+
+def test_fingerprint_bits_by_majority(monkeypatch):
+    """SimHash: a bit is set if it is set in over half of the shingles' hashes."""
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 5, 300, 1000):
+        h = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        ones = [[sum(int(x) >> k & 1 for x in op.simhash._mix(h ^ salt)) for k in range(64)] for salt in op._SALT]
+        want = [sum(1 << k for k in range(64) if 2 * o[k] > n) for o in ones]
+        assert op.fingerprint(h).tolist() == want
+        monkeypatch.setattr(op, "SLICE", 7)
+        assert op.fingerprint(h).tolist() == want
+        monkeypatch.undo()
+
+
+def test_radius_holds_pairs_of_least_similarity():
+    rng = random.Random(12)
+    fps, met, total = [], 0, 0
+    while total < 300:
+        n = rng.choice((5, 12, 60, 200, 700))
+        a = data.words(rng, "bb", n).split()
+        b = a + ["tail"] if n < 20 else a[:-1] + ["edit"] + ["more"] * (n // 9)
+        a, b = " ".join(a), " ".join(b)
+        if (n < 20 and len(shingles(a)) >= 4) or 0.8 <= similarity(shingles(a), shingles(b)) < 0.86:
+            total += 1
+            pair = np.stack([op.fingerprint(op.shingle_set(t.encode())) for t in (a, b)])
+            met += len(op.close(pair[:1], pair[1:], op.RADIUS)[0])
+            fps.append(pair[0])
+    assert met == total
+    x, y = op.close(np.stack(fps), np.stack(fps), op.RADIUS)
+    assert (x == y).all() and len(x) == total
+
+
+def test_fingerprints_decide_what_is_compared(spark):
+    """Without a radius only equal fingerprints meet, whatever the Jaccard similarity."""
+    rows_ = [r for r in rows() if r[0] is None or r[0] < 40 or r[0] >= 1000]
+    docs = data.documents(spark, rows_)
+    roots = {}
+    for r in op.components_of(docs, radius=0).collect():
+        roots.setdefault(r.root, []).append(r.doc_id)
+    want = {}
+    for r in rows_:
+        want.setdefault(frozenset(shingles(r[1])), []).append(r[0])
+    order = lambda groups: sorted(sorted(map(str, g)) for g in groups.values())
+    assert order(roots) == order(want)
+
+
+def test_dense_leaves_and_large_components_lose_no_link(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(op, "LEAF", 16)
+    monkeypatch.setattr(op, "MEMBERS", 12)
+    rng = random.Random(6)
+    base = data.words(rng, "aa", 150).split()
+    group = []
+    for k in range(90):
+        copy = list(base)
+        for at in rng.sample(range(150), rng.randint(0, 3)):
+            copy[at] = f"edit{k % 7}"
+        group.append((2000 + k, " ".join(copy)))
+    for k in range(40):  # a chain: the first and the last have nothing in common
+        group.append((3000 + k, " ".join(f"w{4 * k + n}" for n in range(50))))
+    every = rows()[-48:] + [(*r, None, "s", 0, 5, 0.5, 9, 3) for r in group]
+    data.documents(spark, every).repartition(3).write.parquet(str(tmp_path / "d"))
+    got = corpus_pipeline.near(spark, spark.read.parquet(str(tmp_path / "d")), "").collect()
+    assert Counter((r.doc_id is None, r.doc_id or 0) for r in got) == brute_kept(every)
