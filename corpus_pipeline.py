@@ -48,14 +48,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes all of it, and once more cut to its first words where it takes a part, in the order of the schedule."""
-    docs = fixed(docs)
-    rows = docs.select(*COLUMNS, F.monotonically_increasing_id().alias("__uid"))
-    taken = mixing.mix(docs.select("doc_id", "text", "source")).filter("taken > 0").selectExpr("uid AS __uid", "taken div size AS __whole", "partial AS __part", "start AS __start", "slots AS __slots")
-    both = rows.join(taken, "__uid")
-    whole = F.transform(F.sequence(F.lit(1).cast("long"), F.greatest(F.lit(1).cast("long"), F.col("__whole"))), lambda _: F.lit(0).cast("long"))
-    uses = F.concat(F.when(F.col("__whole") > 0, whole).otherwise(F.array().cast("array<long>")), F.when(F.col("__part") > 0, F.array("__part")).otherwise(F.array().cast("array<long>")))
-    both = both.select("*", F.posexplode(uses).alias("__k", "__use")).withColumn("__slot", F.element_at("__slots", F.col("__k") + 1)).drop("__slots")
-    both = both.orderBy("__slot", "__start", "__uid")
+    both = mixing.scheduled(fixed(docs), COLUMNS, "__use")
     text = F.when(F.col("__use") == 0, F.col("text")).otherwise(mixing.first_words(F.col("text"), F.col("__use")))
     return both.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("__use") == 0, F.col("n_chars")).otherwise(F.length(text)).cast("long").alias("n_chars"))
 

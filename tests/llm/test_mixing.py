@@ -1,6 +1,10 @@
 import math
+import re
+from collections import Counter
 
 import duckdb
+import pytest
+from pyspark.sql import functions as F
 
 from tests.llm import data
 from tremor.llm import mixing as op
@@ -62,3 +66,58 @@ def test_pipeline_emits_the_mix_in_the_order_of_the_schedule(spark, tmp_path):
     for n in range(1, len(got) + 1):  # every prefix is near the targets
         for j, w in enumerate((5, 2, 1)):
             assert abs(sum(d % 3 == j for d in got[:n]) - n * w / 8) < 3
+
+
+@pytest.fixture(scope="module")
+def odd(spark, tmp_path_factory):
+    """Repeated rows and ids, ids with several texts, null ids and rows without words, in five sources, one of them null."""
+    rows = data.rows(seed=3, n=400)
+    same = [(7, f"{'w ' * (1 + k % 5)}{k % 3}", None, "s0", None, 1, 0.0, 1, 1) for k in range(90)]
+    nameless = [(None, f"n {'x ' * (k % 4)}", None, None, None, 1, 0.0, 1, 1) for k in range(60)]
+    at = str(tmp_path_factory.mktemp("odd") / "d")
+    data.documents(spark, rows + same + nameless).repartition(3).write.parquet(at)
+    return spark.read.parquet(at)
+
+
+@pytest.mark.parametrize(("partitions", "most"), [(2, op.SPANS), (7, op.SPANS), (64, op.SPANS), (7, 0)])
+def test_scheduled_rows_against_the_uses_of_the_mix(spark, odd, partitions, most):
+    block = 5
+    docs = {r["uid"]: r for r in odd.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text", "source").collect()}
+    want = []
+    for r in op.mix(odd.select("doc_id", "text", "source"), block=block).filter("taken > 0").collect():
+        lengths = [0] * (r["taken"] // r["size"]) + [r["partial"]] * (r["partial"] > 0)
+        d = docs[r["uid"]]
+        want += [(r["slots"][k], r["start"], r["uid"], (d["doc_id"], d["text"], d["source"], n)) for k, n in enumerate(lengths)]
+    want = [w[3] for w in sorted(want, key=lambda w: w[:3])]
+    assert len({w[2] for w in want}) == 5 and len(want) > 600 and any(w[3] for w in want)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = [tuple(r) for r in op.scheduled(odd, ("doc_id", "text", "source"), "use", block=block, most=most).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert Counter(got) == Counter(want)
+    assert got == want
+
+
+def test_pipeline_moves_each_text_once(spark, odd):
+    """Of the exchanges of the mixture stage one carries texts: the one to the parts of the schedule."""
+    import corpus_pipeline
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # tables of one row a document are not small
+    try:
+        plan = corpus_pipeline.mixture(spark, odd, "")._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+    def exchanges(node):
+        if node.nodeName() == "AdaptiveSparkPlan":
+            node = node.initialPlan()
+        if node.nodeName() == "Exchange" and re.search(r"\btext#", node.output().mkString(" ")):
+            yield node.simpleString(100)
+        for k in range(node.children().size()):
+            yield from exchanges(node.children().apply(k))
+
+    found = list(exchanges(plan))
+    assert len(found) == 1 and "rangepartitioning(__part" in found[0]

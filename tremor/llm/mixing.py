@@ -16,15 +16,19 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tremor.session import stored, table
+from tremor.session import shuffle_partitions, stored, table
 
 #: Words of a block, weights that repeat over the sources, and how often the mix may use a document.
 BLOCK, WEIGHTS, EPOCHS = 1024, (5, 2, 1), 3
 #: Slots that one row is expanded into, and slots of a rank bucket.
 EXPAND, RANK_SLOTS = 4_096, 65_536
+#: Columns that order the documents of a source, and columns that tell the uses of a document apart.
+ORDER, USE = ("key", "doc_id", "size", "tie", "uid"), ("__part", "__uid", "__k")
+#: Parts of the schedule that a shuffle partition takes, and entries of the table of parts by source that is broadcast (about 150 bytes each).
+PARTS, SPANS = 2, 400_000
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 
 
@@ -40,13 +44,21 @@ def first_words(text, n) -> F.Column:
     return F.array_join(F.slice(words, F.lit(1), n.cast("int")), "")
 
 
+def shuffle_key() -> F.Column:
+    """60 bits that shuffle the documents (doc_id, text)."""
+    nameless = F.concat(F.lit("null:"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))  # so that rows without a doc_id do not share a key
+    return F.conv(F.substring(F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), nameless)).cast("binary")), 1, 15), 16, 10).cast("long")
+
+
+def text_tie() -> F.Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """uid, doc_id, source, size, key (60 bits that shuffle the documents), tie (of the text)."""
-    nameless = F.concat(F.lit("null:"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))  # so that rows without a doc_id do not share a key
-    key = F.conv(F.substring(F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), nameless)).cast("binary")), 1, 15), 16, 10).cast("long")
     return docs.select(
         F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-        word_count(F.col("text")).alias("size"), key.alias("key"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("tie"))
+        word_count(F.col("text")).alias("size"), shuffle_key().alias("key"), text_tie().alias("tie"))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
@@ -125,6 +137,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCH
     taken counts repeats; partial is what remains of it after whole uses, always the document's first words. Use k of a
     document begins in slot slots[k] of the schedule, behind documents of smaller start.
     """
+    return _mixed(docs, weights, epochs, block).select("uid", "doc_id", "size", "source_size", "target", "taken", "partial", "start", "slots")
+
+
+def _mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, block: int = BLOCK) -> DataFrame:
+    """The columns of mix(), source and those of ORDER."""
     sizes = stored(sized(docs), "sizes")
     sources = stored(targets(sizes, weights, epochs), "sources")
     placed = stored(laid_out(sizes, sources), "placed")
@@ -133,7 +150,63 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCH
     pieces = pieces.selectExpr("uid", "ord", "block", f"greatest(start, block * {block}) - block * {block} AS a", f"least(start + size, (block + 1) * {block}) - block * {block} AS b")
     taken = pieces.join(uses.hint("merge"), ["ord", "block"]).groupBy("uid").agg(F.sum(F.expr("whole * (b - a) + greatest(0, least(b, cut) - a)")).alias("taken"), F.min(F.struct("block", "slots")).alias("first"))
     out = placed.join(taken, "uid", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
-    return out.select("uid", "doc_id", "size", "source_size", "target", "taken", F.when(F.col("size") > 0, F.expr("taken % size")).otherwise(0).alias("partial"), "start", F.coalesce("first.slots", F.array().cast("array<long>")).alias("slots"))
+    return out.select("source", *ORDER, "source_size", "target", "taken", F.when(F.col("size") > 0, F.expr("taken % size")).otherwise(0).alias("partial"), "start", F.coalesce("first.slots", F.array().cast("array<long>")).alias("slots"))
+
+
+def _parts_by_order(rows: DataFrame, uses: DataFrame, parts: int) -> DataFrame:
+    """rows (with __uid) once for each use (__k) that the document has, with its part (__part), found where the rows are read.
+
+    Within a source and a use, slots never fall as the order of the documents rises. So the first and the last document
+    of each part hold between them all that belong to it; besides these, only rows without words can lie there.
+    """
+    shift = 60 - max(0, parts.bit_length() - 4)  # ranges of keys: fewer than parts, so that few parts reach into more than two
+    at = F.struct(*ORDER)
+    spans = uses.groupBy("source", "k", "part").agg(F.min(at).alias("first"), F.max(at).alias("last"))
+    spans = spans.withColumn("range", F.explode(F.sequence(F.shiftright("first.key", shift), F.shiftright("last.key", shift))))
+    spans = stored(spans.groupBy(F.col("source").alias("__source"), F.col("range").alias("__range")).agg(F.collect_list(F.struct("k", "part", "first", "last")).alias("__spans")), "spans")
+    # keys are rarely equal; the rest of the order, which reads the text, is made up only where they are
+    rest = F.struct(F.col("doc_id").cast("long").alias("doc_id"), word_count(F.col("text")).alias("size"), text_tie().alias("tie"), F.col("__uid").alias("uid"))
+    others = lambda c: F.struct(*[c[name].alias(name) for name in ORDER[1:]])
+    key = F.col("__key")
+    within = lambda s: (
+        ((s["first"]["key"] < key) | ((s["first"]["key"] == key) & (others(s["first"]) <= rest)))
+        & ((s["last"]["key"] > key) | ((s["last"]["key"] == key) & (others(s["last"]) >= rest))))
+    found = F.transform(F.filter("__spans", within), lambda s: F.struct(s["k"].alias("__k"), s["part"].alias("__part")))
+    keyed = rows.withColumn("__key", shuffle_key())
+    joined = keyed.join(F.broadcast(spans), F.col("source").cast("string").eqNullSafe(F.col("__source")) & (F.shiftright("__key", shift) == F.col("__range")))
+    return joined.select(*rows.columns, F.inline(found))
+
+
+def _parts_by_row(rows: DataFrame, uses: DataFrame) -> DataFrame:
+    """The same by a join on the row's number, which moves the texts once more."""
+    of = uses.groupBy(F.col("uid").alias("__uid")).agg(F.collect_list(F.struct(F.col("k").alias("__k"), F.col("part").alias("__part"))).alias("__parts"))
+    return rows.join(of, "__uid").select(*rows.columns, F.inline("__parts"))
+
+
+def scheduled(docs: DataFrame, columns: tuple[str, ...], use: str, block: int = BLOCK, most: int = SPANS) -> DataFrame:
+    """columns of docs in the order of the schedule: a row for every use of a document, with its words in use (0: all).
+
+    docs: a table of files, for it is read again; columns are among its own and have doc_id, text and source. Texts move
+    once, to the part of the schedule where they are used, and meet what is to be done with them there. Where sources
+    and shuffle partitions are so many that the table of their parts would have more than most entries, they move twice.
+    """
+    taken = stored(_mixed(docs.select("doc_id", "text", "source"), block=block).filter("taken > 0").drop("source_size", "target"), "taken")
+    whole = F.array_repeat(F.lit(0).cast("long"), F.expr("cast(taken div size AS int)"))
+    lengths = F.concat(whole, F.when(F.col("partial") > 0, F.array("partial")).otherwise(F.array().cast("array<long>")))
+    uses = taken.select("source", *ORDER, "start", "slots", F.posexplode(lengths).alias("k", "use")).withColumn("slot", F.element_at("slots", F.col("k") + 1)).drop("slots")
+    last, sources = uses.agg(F.max("slot")).first()[0] or 0, taken.select("source").distinct().count()
+    partitions = shuffle_partitions(docs.sparkSession)
+    fit = (most // max(1, sources) - EPOCHS - 1) // 2  # parts: a source has an entry for each, one more for each use, and half as many where ranges of keys meet
+    parts = min(PARTS * partitions, fit) if fit >= partitions else PARTS * partitions
+    uses = uses.withColumn("part", F.expr(f"cast(slot * {parts} div {last + 1} AS int)"))
+    rows = docs.select(*columns, F.monotonically_increasing_id().alias("__uid"))
+    rows = _parts_by_order(rows, uses, parts) if fit >= partitions else _parts_by_row(rows, uses)
+    told = uses.select(F.col("uid").alias("__uid"), F.col("k").alias("__k"), F.col("part").alias("__part"), F.col("use").alias("__use"), F.col("slot").alias("__slot"), F.col("start").alias("__start"))
+    both = rows.withColumn("__sent", F.lit(1)).unionByName(told, allowMissingColumns=True).repartitionByRange("__part")
+    same = Window.partitionBy(*USE)
+    both = both.select(*columns, "__uid", F.col("__sent").alias("__row"), *[F.max(c).over(same).alias(c) for c in ("__sent", "__use", "__slot", "__start")])
+    met = F.when(F.col("__sent").isNull(), F.raise_error(F.lit("a use of a document has not met its text"))).otherwise(F.col("__row").isNotNull() & F.col("__slot").isNotNull())
+    return both.filter(met).sortWithinPartitions("__slot", "__start", "__uid").select(*columns, F.col("__use").alias(use))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
